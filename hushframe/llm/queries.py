@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .quality import op2_quality_suffix_array
 from .simhash import op7_simhash_bk_tree
 
 
 def queries() -> dict:
     return {
+        "op2_quality_suffix_array": op2_quality_suffix_array,
         "op7_simhash_bk_tree": op7_simhash_bk_tree,
     }
 
