@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op1_byte_bpe_prefix_dp
 from .quality import op2_quality_suffix_array
 from .simhash import op7_simhash_bk_tree
 
 
 def queries() -> dict:
     return {
+        "op1_byte_bpe_prefix_dp": op1_byte_bpe_prefix_dp,
         "op2_quality_suffix_array": op2_quality_suffix_array,
         "op7_simhash_bk_tree": op7_simhash_bk_tree,
     }
