@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op1_byte_bpe_prefix_dp
+from .ngram_lm import op3_lm_elias_fano_trie
 from .quality import op2_quality_suffix_array
 from .simhash import op7_simhash_bk_tree
 
@@ -11,6 +12,7 @@ def queries() -> dict:
     return {
         "op1_byte_bpe_prefix_dp": op1_byte_bpe_prefix_dp,
         "op2_quality_suffix_array": op2_quality_suffix_array,
+        "op3_lm_elias_fano_trie": op3_lm_elias_fano_trie,
         "op7_simhash_bk_tree": op7_simhash_bk_tree,
     }
 
