@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op1_byte_bpe_prefix_dp
 from .ngram_lm import op3_lm_elias_fano_trie
+from .ordinal import op5_quality_ordinal
 from .pii import op6_pii_feistel
 from .product_quantisation import op4_embeddings_product_quantisation
 from .quality import op2_quality_suffix_array
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op2_quality_suffix_array": op2_quality_suffix_array,
         "op3_lm_elias_fano_trie": op3_lm_elias_fano_trie,
         "op4_embeddings_product_quantisation": op4_embeddings_product_quantisation,
+        "op5_quality_ordinal": op5_quality_ordinal,
         "op6_pii_feistel": op6_pii_feistel,
         "op7_simhash_bk_tree": op7_simhash_bk_tree,
     }
