@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op1_byte_bpe_prefix_dp
+from .language_id import op8_language_bigru
 from .ngram_lm import op3_lm_elias_fano_trie
 from .ordinal import op5_quality_ordinal
 from .pii import op6_pii_feistel
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op5_quality_ordinal": op5_quality_ordinal,
         "op6_pii_feistel": op6_pii_feistel,
         "op7_simhash_bk_tree": op7_simhash_bk_tree,
+        "op8_language_bigru": op8_language_bigru,
     }
 
 
