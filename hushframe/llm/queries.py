@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op1_byte_bpe_prefix_dp
 from .language_id import op8_language_bigru
+from .mixing import op9_mixing_soft_membership
 from .ngram_lm import op3_lm_elias_fano_trie
 from .ordinal import op5_quality_ordinal
 from .pii import op6_pii_feistel
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op6_pii_feistel": op6_pii_feistel,
         "op7_simhash_bk_tree": op7_simhash_bk_tree,
         "op8_language_bigru": op8_language_bigru,
+        "op9_mixing_soft_membership": op9_mixing_soft_membership,
     }
 
 
