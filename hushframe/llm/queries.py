@@ -11,6 +11,7 @@ from .pii import op6_pii_feistel
 from .product_quantisation import op4_embeddings_product_quantisation
 from .quality import op2_quality_suffix_array
 from .simhash import op7_simhash_bk_tree
+from .token_files import op10_token_files_mixing_coder
 
 
 def queries() -> dict:
@@ -24,6 +25,7 @@ def queries() -> dict:
         "op7_simhash_bk_tree": op7_simhash_bk_tree,
         "op8_language_bigru": op8_language_bigru,
         "op9_mixing_soft_membership": op9_mixing_soft_membership,
+        "op10_token_files_mixing_coder": op10_token_files_mixing_coder,
     }
 
 
