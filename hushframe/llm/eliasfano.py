@@ -136,12 +136,26 @@ class EliasFano:
         out[some] = np.where(inside, where - k, self.n)
         return np.minimum(out, self.n)
 
+    def run(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries [a, b) that have these high bits: a run of ones behind the zero that ends the bucket before."""
+        a = self.bucket(high)
+        at = a + high
+        length, open_ = np.zeros(len(high), np.int64), np.arange(len(high))
+        last = 64 * len(self.high)
+        open_ = open_[at < last]
+        while len(open_):
+            word, shift = at[open_] >> 6, at[open_] & 63
+            rest = ~(self.high[word] >> shift.astype(np.uint64))
+            ones = np.minimum(np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)).astype(np.int64), 64 - shift)
+            length[open_] += ones
+            at[open_] += ones
+            open_ = open_[(ones == 64 - shift) & (at[open_] < last)]
+        return a, np.minimum(a + length, self.n)
+
     def successor(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
         """Index of the first entry not below x, kept inside [lo, hi)."""
-        h = (x >> np.uint64(self.bits)).astype(np.int64)
-        limit = 64 * len(self.high)
-        h = np.minimum(h, limit)
-        a, b = self.bucket(h), self.bucket(h + 1)
+        h = np.minimum(x >> np.uint64(self.bits), np.uint64(64 * len(self.high))).astype(np.int64)
+        a, b = self.run(h)
         if lo is not None:
             a, b = np.clip(a, lo, hi), np.clip(b, lo, hi)
         low = x & np.uint64((1 << self.bits) - 1)
@@ -185,8 +199,13 @@ class SortedLists:
     def bounds(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.pointer.at(k).astype(np.int64), self.pointer.at(k + 1).astype(np.int64)
 
-    def find(self, k: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Position of x in list k, counted over all lists, or -1."""
+    def find(self, k: np.ndarray, x: np.ndarray, back: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(position of x counted over all lists or -1, position of the list's first entry) for list k of each x;
+        back: which k each x belongs to, where many ask the same lists."""
         lo, hi = self.bounds(k)
-        base = self.base.at(k)
-        return np.where(base + x < self.base.at(k + 1), self.value.find(base + x, lo, hi), -1)
+        base, top = self.base.at(k), self.base.at(k + 1)
+        if back is not None:
+            lo, hi, base, top = lo[back], hi[back], base[back], top[back]
+        out, some = np.full(len(x), -1, np.int64), np.flatnonzero(base + x < top)
+        out[some] = self.value.find(base[some] + x[some], lo[some], hi[some])
+        return out, lo

@@ -38,7 +38,7 @@ from .eliasfano import EliasFano, SortedLists, lists_build, map_arrays, write_ar
 
 END = xxhash.xxh64_intdigest(b"")
 #: Tokens that a map task gathers before it sends blocks.
-FLUSH = 2_000_000
+FLUSH = 1_500_000
 #: Tokens to a shard of the model.
 SHARD_TOKENS = 4_000_000
 _BLOCK = "shard long, block binary"
@@ -110,8 +110,11 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.round(-np.log10(np.maximum(p, 1e-12)) / _STEP).astype(np.uint16)
 
 
+_RESTORE = 10.0 ** (-_STEP * np.arange(65536.0))
+
+
 def restore(q: np.ndarray) -> np.ndarray:
-    return 10.0 ** (-_STEP * q.astype(np.float64))
+    return _RESTORE[q]
 
 
 class Trie:
@@ -161,11 +164,11 @@ class Trie:
             out[some] = self.open("words", int(k))["arrays"]["count"][ids[some] - self.word_start[k]]
         return out
 
-    def pairs(self, keys: np.ndarray, with_context: bool = False):
-        """Sorted pair keys (first id << 32 | second id) -> position in level 2 or -1, discounted probability,
-        and the rest mass left by the first word."""
+    def pairs(self, keys: np.ndarray):
+        """Sorted pair keys (first id << 32 | second id) -> position in level 2 or -1, rank among the first
+        word's successors, discounted probability, and the rest mass left by the first word."""
         n = len(keys)
-        at, alpha, rest = np.full(n, -1, np.int64), np.zeros(n), np.ones(n)
+        at, rank, alpha, rest = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.zeros(n), np.ones(n)
         shard = np.searchsorted(self.pair_from, keys, "right") - 1
         for k in np.unique(shard):
             if k < 0 or not self.spec["pairs"][k]["n"]:
@@ -173,38 +176,31 @@ class Trie:
             a, b = np.searchsorted(shard, [k, k + 1])
             f = self.open("pairs", int(k))
             first, second = keys[a:b] >> np.uint64(32), keys[a:b] & np.uint64(0xFFFFFFFF)
-            context, back = np.unique(first, return_inverse=True)
-            slot = f["ef"].find(context)
-            left = np.where(slot >= 0, restore(f["arrays"]["rest"][np.maximum(slot, 0)]), 1.0)
-            here = slot[back]
-            some = np.flatnonzero(here >= 0)
-            if len(some):
-                found = f["lists"].find(here[some], second[some])
-                hit = found >= 0
-                at[a:b][some[hit]] = found[hit] + self.pair_start[k]
-                alpha[a:b][some[hit]] = restore(f["arrays"]["alpha"][found[hit]])
+            lead = np.concatenate(([True], first[1:] != first[:-1]))
+            back = np.cumsum(lead) - 1
+            slot = f["ef"].find(first[lead])
+            known = slot >= 0
+            if not known.any():
+                continue
+            left = np.ones(len(slot))
+            left[known] = restore(f["arrays"]["rest"][slot[known]])
             rest[a:b] = left[back]
+            some = np.flatnonzero(known[back])
+            found, start = f["lists"].find(slot[known], second[some], (np.cumsum(known) - 1)[back[some]])
+            hit = np.flatnonzero(found >= 0)
+            there = a + some[hit]
+            at[there] = found[hit] + self.pair_start[k]
+            rank[there] = found[hit] - start[hit]
+            alpha[there] = restore(f["arrays"]["alpha"][found[hit]])
         if self.spec["shared_id"].size and n:
-            # First words that lie in several shards: their rest mass is known from all of them together.
+            # First words that lie in several shards: rest mass and first successor are known from all together.
             first = (keys >> np.uint64(32)).astype(np.int64)
             k = np.minimum(np.searchsorted(self.spec["shared_id"], first), len(self.spec["shared_id"]) - 1)
-            rest = np.where(self.spec["shared_id"][k] == first, self.spec["shared_rest"][k], rest)
-        return at, alpha, rest
-
-    def list_start(self, first: np.ndarray) -> np.ndarray:
-        """Position in level 2 of the first successor of each word."""
-        out = np.zeros(len(first), np.int64)
-        key = first.astype(np.uint64) << np.uint64(32)
-        shard = np.maximum(np.searchsorted(self.pair_from, key, "right") - 1, 0)
-        for k in np.unique(shard):
-            some = np.flatnonzero(shard == k)
-            if not self.spec["pairs"][k]["n"]:
-                out[some] = self.pair_start[k]
-                continue
-            f = self.open("pairs", int(k))
-            slot = f["ef"].successor(first[some].astype(np.uint64))
-            out[some] = self.pair_start[k] + f["lists"].pointer.at(slot).astype(np.int64)
-        return out
+            own = self.spec["shared_id"][k] == first
+            rest[own] = self.spec["shared_rest"][k[own]]
+            own &= at >= 0
+            rank[own] = at[own] - self.spec["shared_start"][k[own]]
+        return at, rank, alpha, rest
 
     def triples(self, pair: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(discounted probability, rest mass) of the rank-th successor in the context of a pair; both sorted by pair."""
@@ -218,27 +214,35 @@ class Trie:
             local = pair[a:b] - self.pair_start[t]
             rest[a:b] = restore(f["arrays"]["rest"][local])
             some = np.flatnonzero(rank[a:b] >= 0)
-            found = f["lists"].find(local[some], rank[a:b][some].astype(np.uint64))
+            found, _ = f["lists"].find(local[some], rank[a:b][some].astype(np.uint64))
             hit = found >= 0
             alpha[a:b][some[hit]] = restore(f["arrays"]["alpha"][found[hit]])
         return alpha, rest
 
     def adjacent(self, ids: np.ndarray, counts: np.ndarray):
-        """For each token but the first of a document, its pair's position, probability and rest mass."""
+        """For each token but the first of a document: its pair's position, rank, probability and rest mass."""
         n = len(ids)
-        at, alpha, rest = np.full(n, -1, np.int64), np.zeros(n), np.ones(n)
-        inner = np.ones(n, bool)
-        inner[np.concatenate(([0], np.cumsum(counts)[:-1]))] = False
+        at, rank, alpha, rest = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.zeros(n), np.ones(n)
+        inner = _inner(counts)
         where = np.flatnonzero(inner)
+        where = where[ids[where - 1] >= 0]
         first, second = ids[where - 1], ids[where]
-        known = first >= 0
-        where, first, second = where[known], first[known], second[known]
         # An unknown second word still needs the rest mass; no id reaches the largest number.
         key = (first.astype(np.uint64) << np.uint64(32)) | np.where(second >= 0, second, 0xFFFFFFFF).astype(np.uint64)
-        unique, back = np.unique(key, return_inverse=True)
-        a, p, r = self.pairs(unique)
-        at[where], alpha[where], rest[where] = a[back], p[back], r[back]
-        return at, alpha, rest, inner
+        order = np.argsort(key)
+        key = key[order]
+        lead = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
+        back, where = np.cumsum(lead) - 1, where[order]
+        a, r, p, m = self.pairs(key[lead])
+        at[where], rank[where], alpha[where], rest[where] = a[back], r[back], p[back], m[back]
+        return at, rank, alpha, rest, inner
+
+
+def _inner(counts: np.ndarray) -> np.ndarray:
+    """False at each document's first token."""
+    out = np.ones(counts.sum(), bool)
+    out[np.concatenate(([0], np.cumsum(counts)[:-1]))] = False
+    return out
 
 
 @lru_cache(maxsize=1)
@@ -297,7 +301,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
         heavy = np.sort(np.argsort(counts, kind="stable")[-64:])
         return _done(shard, path, len(keys), int(counts.sum()), np.concatenate([heavy, counts[heavy]]))
 
-    spec = {"base": base, "word_shards": shards, "words": [], "pairs": [], "triples": [], "triples_of": {}, "V": 0, "N": 0, "n_pairs": 0, "shared_id": np.empty(0, np.int64), "shared_rest": np.empty(0)}
+    spec = {"base": base, "word_shards": shards, "words": [], "pairs": [], "triples": [], "triples_of": {}, "V": 0, "N": 0, "n_pairs": 0, "shared_id": np.empty(0, np.int64), "shared_rest": np.empty(0), "shared_start": np.empty(0, np.int64)}
     heavy: list[tuple[int, int]] = []
     totals = []
     for r in _reduce(texts.mapInArrow(count_words, _BLOCK), build_words):
@@ -331,9 +335,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
         trie = opened(spec)
         for _, tokens, counts in _batches(batches):
             ids, _ = trie.words(tokens)
-            inner = np.ones(len(ids), bool)
-            inner[np.concatenate(([0], np.cumsum(counts)[:-1]))] = False
-            where = np.flatnonzero(inner)
+            where = np.flatnonzero(_inner(counts))
             keys, n = _count((ids[where - 1].astype(np.uint64) << np.uint64(32)) | ids[where].astype(np.uint64))
             yield _send(keys, n, np.searchsorted(pair_from, keys, "right") - 1)
 
@@ -351,22 +353,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
         arrays |= {"alpha": quantise(alpha), "rest": quantise(1 - mass / np.maximum(total, 1)), "count": counts.astype(np.uint32)}
         path = write_arrays(base, f"pairs-{shard}", arrays)
         ends = [0, len(context) - 1] if len(context) else []
-        edges = np.array([[context[e], int(round(mass[e] * 4)), total[e]] for e in ends], np.int64).ravel()
+        edges = np.array([[context[e], int(round(mass[e] * 1e6)), total[e], lead[e]] for e in ends], np.int64).ravel()
         return _done(shard, path, len(keys), int(counts.sum()), edges)
 
-    seen: dict[int, dict[int, tuple[int, int]]] = {}
+    seen: dict[int, dict[int, tuple[int, int, int]]] = {}
     done = {r.shard: r for r in _reduce(texts.mapInArrow(count_pairs, _BLOCK), build_pairs)}
     n_pairs, listed = 0, []
     for k, start in enumerate(pair_from.tolist()):
         if r := done.get(k):
             listed.append({"from": start, "path": r.path, "first": n_pairs, "n": r.n})
+            for i, mass, total, place in np.frombuffer(r.edges, "<i8").reshape(-1, 4).tolist():
+                seen.setdefault(i, {})[k] = (mass, total, n_pairs + place)
             n_pairs += r.n
-            for i, mass, total in np.frombuffer(r.edges, "<i8").reshape(-1, 3).tolist():
-                seen.setdefault(i, {})[k] = (mass, total)
         else:
             listed.append({"from": start, "path": "", "first": n_pairs, "n": 0})
-    shared = sorted((i, 1 - sum(m for m, _ in by.values()) / 4 / next(iter(by.values()))[1]) for i, by in seen.items() if len(by) > 1)
-    spec = spec | {"pairs": listed, "n_pairs": n_pairs, "shared_id": np.array([i for i, _ in shared], np.int64), "shared_rest": np.array([r for _, r in shared])}
+    shared = sorted((i, 1 - sum(m for m, _, _ in by.values()) / 1e6 / next(iter(by.values()))[1], min(p for _, _, p in by.values())) for i, by in seen.items() if len(by) > 1)
+    spec = spec | {"pairs": listed, "n_pairs": n_pairs, "shared_id": np.array([i for i, _, _ in shared], np.int64), "shared_rest": np.array([r for _, r, _ in shared]), "shared_start": np.array([p for _, _, p in shared], np.int64)}
     if not n_pairs:
         return spec
 
@@ -374,11 +376,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
         trie = opened(spec)
         for _, tokens, counts in _batches(batches):
             ids, _ = trie.words(tokens)
-            at, _, _, inner = trie.adjacent(ids, counts)
+            at, rank, _, _, _ = trie.adjacent(ids, counts)
             # A triple seen twice has both its pairs in level 2.
             where = np.flatnonzero((at[1:] >= 0) & (at[:-1] >= 0)) + 1
-            pair, rank = at[where - 1], at[where] - trie.list_start(ids[where - 1])
-            keys, n = _count(_triple_keys(pair, rank))
+            keys, n = _count(_triple_keys(at[where - 1], rank[where]))
             yield _send(keys, n, np.searchsorted(trie.pair_start, (keys >> RANK_BITS).astype(np.int64), "right") - 1)
 
     def build_triples(table: pa.Table) -> pa.Table:
@@ -428,7 +429,7 @@ def score(docs: DataFrame, spec: dict, id_col: str = "doc_id", text_col: str = "
         for ids, tokens, counts in _batches(batches):
             word, c = trie.words(tokens)
             p1 = (c + 1) / (N + V + 1)
-            at, alpha2, rest2, inner = trie.adjacent(word, counts)
+            at, rank, alpha2, rest2, inner = trie.adjacent(word, counts)
             p2 = alpha2 + rest2 * p1
             p = p2.copy()
             # Where the pair before is in level 2, mix in the triple; its key exists only if its own pair does.
@@ -436,9 +437,8 @@ def score(docs: DataFrame, spec: dict, id_col: str = "doc_id", text_col: str = "
             where = where[inner[where]]
             if len(where) and spec["triples_of"]:
                 pair = at[where - 1]
-                rank = np.where(at[where] >= 0, at[where] - trie.list_start(word[where - 1]), -1)
-                order = np.argsort(pair, kind="stable")
-                alpha3, rest3 = trie.triples(pair[order], rank[order])
+                order = np.argsort(pair)
+                alpha3, rest3 = trie.triples(pair[order], rank[where[order]])
                 p[where[order]] = alpha3 + rest3 * p2[where[order]]
             cut = np.concatenate(([0], np.cumsum(counts)[:-1]))
             yield pa.RecordBatch.from_arrays(
