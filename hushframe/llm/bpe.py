@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import byte_slices, documents
 
 #: Bounds of a worker's memory of units and of token pairs; a full one is emptied, results do not depend on it.
 UNIT_MEMORY = 400_000
@@ -268,8 +268,9 @@ def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, ids binary, decoded binary")
 
 
-def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """tokenize(), with only the number of ids and the SHA-256 of ids and decoded bytes sent back to the JVM."""
+def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:
+    """tokenize(), with only the number of ids and the SHA-256 of ids and decoded bytes sent back to the JVM;
+    with_ids: the ids too. extra: columns to carry along."""
     names = {c: f"extra_{k}" for k, c in enumerate(extra)}
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(n) for c, n in names.items()))
     fields = "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[2:])
@@ -277,16 +278,19 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
         for batch in batches:
-            counts, a, b = [], [], []
-            for text in batch.column(1):
-                ids = coder.encode(text.as_py() or "")
-                counts.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-            cols = [batch.column(0), pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *(batch.column(k) for k in range(2, batch.num_columns))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "n_tokens", "ids_sha256", "decoded_sha256", *names.values()])
-
-    out = kept.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + fields)
+            for part in byte_slices([batch], "text"):
+                counts, a, b, c = [], [], [], []
+                for text in part.column(1):
+                    ids = coder.encode(text.as_py() or "")
+                    counts.append(len(ids) // 4)
+                    a.append(hashlib.sha256(ids).hexdigest())
+                    b.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+                    if with_ids:
+                        c.append(ids)
+                cols = [part.column(0), pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *(part.column(k) for k in range(2, part.num_columns))]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(c, pa.binary())] * with_ids, ["id", "n_tokens", "ids_sha256", "decoded_sha256", *names.values()] + ["ids"] * with_ids)
+
+    out = kept.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + fields + ", ids binary" * with_ids)
     return out.withColumnsRenamed({n: c for c, n in names.items()})
 
 

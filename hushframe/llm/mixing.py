@@ -25,14 +25,15 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import byte_slices, documents, materialize
 
 BUCKETS = 1 << 18
 #: Documented bounds: labelled rows that are learnt from, and words whose bucket a worker remembers.
@@ -40,7 +41,7 @@ FIT_ROWS = 4_000
 WORD_MEMORY = 300_000
 #: Targets of the registered query and of the pipeline.
 TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
-ROUNDS = 40
+ROUNDS = 25
 
 
 def word_buckets(text: str | None, known: dict[bytes, int]) -> np.ndarray:
@@ -81,30 +82,36 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], text_col: st
     return np.vstack([np.log(smooth / smooth.sum(axis=0)), np.log(prior)]).astype(np.float32)
 
 
-def members(docs: DataFrame, weights: np.ndarray, text_col: str = "text", id_col: str = "doc_id", temperature: float = 0.1) -> DataFrame:
+def members(docs: DataFrame, weights: np.ndarray, text_col: str = "text", id_col: str = "doc_id", temperature: float = 1.0) -> DataFrame:
     """(id, n_tokens, p array<double>) for every row. The word evidence is divided by the root of the number
     of words, since words of a text are far from independent, and tempered."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
         known: dict[bytes, int] = {}
         for batch in batches:
-            n, p = [], []
-            for text in batch.column(1):
-                b = word_buckets(text.as_py(), known)
-                s = w[-1].astype(np.float64)
-                if len(b):
-                    e = w[b].sum(axis=0, dtype=np.float64)
-                    s = s + (e - e.mean()) / math.sqrt(len(b)) / temperature / 10
-                s = np.exp(s - s.max())
-                n.append(len(b))
-                p.append(s / s.sum())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.float64()))], ["id", "n_tokens", "p"])
+            n, p = posteriors((t.as_py() for t in batch.column(1)), shared.value, known, temperature)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], ["id", "n_tokens", "p"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_tokens long, p array<double>")
 
 
+def posteriors(texts: Iterable[str | None], w: np.ndarray, known: dict[bytes, int], temperature: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(words, posterior over the domains) of each text."""
+    n, s = [], []
+    for text in texts:
+        b = word_buckets(text, known)
+        score = w[-1].astype(np.float64)
+        if len(b):
+            e = w[b].sum(axis=0, dtype=np.float64)
+            score = score + (e - e.mean()) / math.sqrt(len(b)) / temperature
+        n.append(len(b))
+        s.append(score)
+    p = np.array(s, np.float64).reshape(-1, w.shape[1])
+    p = np.exp(p - p.max(axis=1, keepdims=True))
+    return np.array(n, np.int64), p / p.sum(axis=1, keepdims=True)
+
+
 def _rate(p: F.Column, history: list[np.ndarray], floor: float) -> F.Column:
     """The rate after the steps so far: each adds its multipliers' product with p, and clips at the floor."""
     if not history:
@@ -113,7 +120,7 @@ def _rate(p: F.Column, history: list[np.ndarray], floor: float) -> F.Column:
     return F.aggregate(steps, F.lit(1.0), lambda r, step: F.greatest(F.lit(float(floor)), r + F.aggregate(F.zip_with(p, step, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
 
 
-def fit_rates(found: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None, floor: float = 1.0, rounds: int = ROUNDS, tolerance: float = 1e-6) -> tuple[F.Column, dict]:
+def fit_rates(found: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None, floor: float = 1.0, rounds: int = ROUNDS, tolerance: float = 1e-4) -> tuple[F.Column, dict]:
     """found (id, n_tokens, p) -> (rate as a function of column p, report).
 
     Every step asks for the expected tokens of each domain at the present rates. The gradient in r_i of half
@@ -135,7 +142,7 @@ def fit_rates(found: DataFrame, domains: list[str], targets: dict[str, float], t
     first = sums(F.lit(1.0), True)
     now, gram = first[: len(domains)], first[len(domains) :].reshape(len(domains), -1)
     if not now.sum() or not (now > 0).all():
-        return F.lit(1.0), {"before": now.tolist(), "after": now.tolist(), "target": now.tolist(), "steps": 0}
+        return F.lit(1.0), {"before": now.tolist(), "after": now.tolist(), "target": now.tolist(), "steps": 0, "history": []}
     # Rates move by sums of p_ik times multipliers; at the scale below the least favoured domain stays at the floor.
     scale = total if total is not None else float(floor * (now / share).max())
     target = share * scale
@@ -148,15 +155,39 @@ def fit_rates(found: DataFrame, domains: list[str], targets: dict[str, float], t
             break
         history.append(curvature @ miss)
         now = sums(_rate(F.col("p"), history, floor))
-    return _rate(F.col("p"), history, floor), {"before": before.tolist(), "after": now.tolist(), "target": target.tolist(), "steps": len(history)}
+    return _rate(F.col("p"), history, floor), {"before": before.tolist(), "after": now.tolist(), "target": target.tolist(), "steps": len(history), "history": history}
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[DataFrame, dict]:
     """(id, n_tokens, p, rate) for every row, and the report of the fit."""
     domains = sorted(targets)
-    found = materialize(members(docs, train(docs, labelled, domains, text_col, id_col), text_col, id_col), "members")
+    weights = train(docs, labelled, domains, text_col, id_col)
+    found = materialize(members(docs, weights, text_col, id_col), "members")
     rate, report = fit_rates(found, domains, targets, **options)
-    return found.withColumn("rate", F.when(F.col("n_tokens") > 0, rate).otherwise(1.0)), report
+    return found.withColumn("rate", F.when(F.col("n_tokens") > 0, rate).otherwise(1.0)), report | {"weights": weights}
+
+
+def repeat_rows(docs: DataFrame, report: dict, text_col: str = "text", floor: float = 1.0) -> DataFrame:
+    """docs with every row as often as its rate says; columns as they are. Rates are computed again from the
+    texts, so no row is joined to its rate. The broken part of a rate is drawn by a hash of the text."""
+    shared = docs.sparkSession.sparkContext.broadcast((report["weights"], report["history"]))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, history = shared.value
+        known: dict[bytes, int] = {}
+        for part in byte_slices(batches, at):
+            texts = [t.as_py() or "" for t in part.column(at)]
+            n, p = posteriors(texts, weights, known)
+            r = np.ones(len(texts))
+            for step in history:
+                r = np.maximum(floor, r + p @ step)
+            r[n == 0] = 1
+            u = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "replace"), 9) for t in texts], np.float64) / 2.0**64
+            times = np.floor(r).astype(np.int64) + (u < r - np.floor(r))
+            yield part.take(pa.array(np.repeat(np.arange(len(texts)), times)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def copies(rate: F.Column, *keys: F.Column) -> F.Column:

@@ -12,7 +12,7 @@ results; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import byte_slices, documents
 
 _SPACE = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
-_FLUSH = 300_000
+#: Bytes of text that share one suffix array; a longer text has one of its own.
+_SLICE = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -130,48 +131,65 @@ def covered(longest: np.ndarray, min_length: int) -> np.ndarray:
 _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
 
 
+def base_counts(text: str | None) -> tuple[list[bytes], tuple[int, int, int, int]]:
+    """(words, (n_words, word_chars, n_symbols, n_dup_lines)) of a text."""
+    s = text or ""
+    raw = s.encode("utf-8", "surrogatepass")
+    words = raw.split()
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    chars = len(s) - len(raw) + len(raw.translate(None, _SPACE))
+    return words, (len(words), chars, len(raw) - len(raw.translate(None, _SYMBOLS)), len(lines) - len(set(lines)))
+
+
+def measure_texts(texts: Iterable[str | None], min_words: int) -> np.ndarray:
+    """(texts, 7) numbers in the order of _FIELDS, from one suffix array over all the texts."""
+    base, symbols, counts, offset = [], [], [], 0
+    for text in texts:
+        words, cells = base_counts(text)
+        base.append(cells)
+        seen: dict[bytes, int] = {}
+        give = seen.setdefault
+        symbols.append(np.fromiter((give(w, len(seen)) for w in words), np.int64, len(words)) + offset)
+        offset += len(seen)
+        counts.append(len(words))
+    n = np.array(counts, np.int64)
+    cells = np.zeros((len(n), 3), np.int64)
+    full = np.flatnonzero(n)
+    if len(full):
+        longest = longest_at(suffix_ranks(np.concatenate(symbols)))
+        cut = np.concatenate(([0], np.cumsum(n[full])[:-1]))
+        cells[full, 0] = np.add.reduceat(covered(longest, 3).astype(np.int64), cut)
+        cells[full, 1] = np.add.reduceat(covered(longest, min_words).astype(np.int64), cut)
+        cells[full, 2] = np.maximum.reduceat(longest, cut)
+    return np.column_stack([np.array(base, np.int64).reshape(-1, 4), cells])
+
+
 def measures(docs: DataFrame, id_col: str, text_col: str, limits: RepetitionLimits) -> DataFrame:
     """id and the counts of _FIELDS for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, base, symbols, counts, offset = [], [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            n = np.array(counts, np.int64)
-            cells = np.zeros((len(n), 3), np.int64)
-            full = np.flatnonzero(n)
-            if len(full):
-                longest = longest_at(suffix_ranks(np.concatenate(symbols)))
-                cut = np.concatenate(([0], np.cumsum(n[full])[:-1]))
-                cells[full, 0] = np.add.reduceat(covered(longest, 3).astype(np.int64), cut)
-                cells[full, 1] = np.add.reduceat(covered(longest, limits.min_words).astype(np.int64), cut)
-                cells[full, 2] = np.maximum.reduceat(longest, cut)
-            table = np.column_stack([np.array(base, np.int64).reshape(-1, 4), cells])
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(table[:, k]) for k in range(7))], ["id", *_FIELDS])
-
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = text.as_py() or ""
-                raw = s.encode("utf-8", "surrogatepass")
-                words = raw.split()
-                lines = [x for x in raw.split(b"\n") if x.strip()]
-                ids.append(i)
-                base.append((len(words), len(s) - len(raw) + len(raw.translate(None, _SPACE)), len(raw) - len(raw.translate(None, _SYMBOLS)), len(lines) - len(set(lines))))
-                seen: dict[bytes, int] = {}
-                give = seen.setdefault
-                symbols.append(np.fromiter((give(w, len(seen)) for w in words), np.int64, len(words)) + offset)
-                offset += len(seen)
-                counts.append(len(words))
-                if offset >= _FLUSH or len(ids) >= 20_000:
-                    yield flush()
-                    ids, base, symbols, counts, offset = [], [], [], [], 0
-        if ids:
-            yield flush()
+        for part in byte_slices(batches, "text", _SLICE):
+            table = measure_texts((t.as_py() for t in part.column(1)), limits.min_words)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(table[:, k]) for k in range(7))], ["id", *_FIELDS])
 
     schema = "id long, " + ", ".join(f"{x} long" for x in _FIELDS)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, text_col: str = "text", limits: RepetitionLimits = RepetitionLimits()) -> DataFrame:
+    """The rows of docs that the rules keep, with their columns as they are."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in byte_slices(batches, at, _SLICE):
+            n = dict(zip(_FIELDS, measure_texts((t.as_py() for t in part.column(at)), limits.min_words).T))
+            failed = (n["n_words"] < 50) | (100 * n["n_repeat_words"] > 50 * n["n_words"])
+            repetitive = (n["covered_words"] > limits.max_covered * n["n_words"]) | (n["longest_repeat"] > limits.max_longest)
+            yield part.filter(pa.array(~failed & ~repetitive))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: RepetitionLimits = RepetitionLimits()) -> DataFrame:
     """Counts and the verdict: base_failed, and kept = neither the base rule nor the repetition limits fail."""
     m = measures(docs, id_col, text_col, limits)

@@ -276,14 +276,19 @@ def refined_keys(fp: F.Column, radius: int) -> F.Column:
 def near_duplicates(fps: DataFrame, radius: int = 3, width: int = 1, keys=None, large: int = 4096) -> DataFrame:
     """fps (id, fp) -> (id, fp, component): groups linked by fingerprints at most `radius` bits apart.
 
-    keys: a function of the fingerprint column that gives an array of shard keys; by default the exact
-    pigeonhole keys. Shards of over `large` distinct fingerprints are dealt out by finer exact keys."""
+    keys: a function from fingerprints, as (rows, width) words, to (rows, keys) shard keys; by default the exact
+    pigeonhole keys of a 64-bit value. Shards of over `large` distinct fingerprints are dealt out by finer exact keys."""
     spark = fps.sparkSession
     fps = materialize(fps, "fingerprints")
     reps = fps.groupBy("fp").agg(F.min("id").alias("rep"))
     exact = keys is None
-    shards = reps.where("rep is not null").select("rep", "fp", F.posexplode(pigeonhole_keys(F.col("fp"), radius) if exact else keys(F.col("fp"))).alias("block", "key"))
+    shards = reps.where("rep is not null")
     if exact:
+        shards = shards.select("rep", "fp", F.posexplode(pigeonhole_keys(F.col("fp"), radius)).alias("block", "key"))
+    else:
+        shards = shards.select("rep", "fp").mapInArrow(_keyed(keys, width), "rep long, fp binary, key long")
+    if exact:
+        # Shards that one task should not hold whole are dealt again by finer keys; their list is short.
         big = shards.groupBy("key").count().where(F.col("count") > large).select("key", F.lit(True).alias("hot"))
         finer = refined_keys(F.col("fp"), radius)
         shards = shards.join(big, "key", "left").select("rep", "fp", F.explode(F.when(F.col("hot"), finer[F.col("block")]).otherwise(F.array("key"))).alias("key"))
@@ -293,6 +298,63 @@ def near_duplicates(fps: DataFrame, radius: int = 3, width: int = 1, keys=None,
     return fps.join(named, "fp").select("id", "fp", "component")
 
 
+def _keyed(keys, width: int):
+    """mapInArrow body: one row for each shard key of each fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                words = np.frombuffer(b"".join(part.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(-1, width)
+                k = keys(words)
+                at = np.repeat(np.arange(len(words)), k.shape[1])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(k.ravel())], ["rep", "fp", "key"])
+
+    return run
+
+
+def sampled_keys(rows: int, width: int, radius: int, recall: float = 0.95, seed: int = 7):
+    """Shard keys from sampled bits of wide fingerprints. Pairs at the radius share each bit with chance
+    1 - radius / bits; so many keys are drawn that they share a whole key with chance `recall`, nearer pairs
+    with more. Keys have more bits for more rows, so that shards stay small."""
+    bits = 64 * width
+    taken = int(np.clip(np.ceil(np.log2(max(rows, 2))) - 3, 8, 24))
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - radius / bits) ** taken)))
+    rng = np.random.default_rng(seed)
+    chosen = [rng.choice(bits, taken, replace=False) for _ in range(tables)]
+
+    def keys(words: np.ndarray) -> np.ndarray:
+        out = np.empty((len(words), tables), np.int64)
+        for t, some in enumerate(chosen):
+            value = np.full(len(words), t, np.uint64)
+            for b in some:
+                value = (value << np.uint64(1)) | ((words[:, b // 64] >> np.uint64(63 - b % 64)) & np.uint64(1))
+            out[:, t] = value.view(np.int64)
+        return out
+
+    return keys
+
+
+#: 256 bits, of which at most 45 differ: texts whose 5-word shingles have a Jaccard similarity of 0.8 differ in
+#: 39 of 256 bits on average.
+WIDE, WIDE_RADIUS = 4, 45
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """The rows of docs that are the first, by id, of their group of near-duplicates; columns as they are.
+
+    Rows that share an id are one document, and stay once for each text; rows without an id stay."""
+    fps = materialize(fingerprints(docs, id_col, text_col, words, WIDE), "wide")
+    rows = fps.select("fp").distinct().count()
+    found = materialize(near_duplicates(fps, WIDE_RADIUS, WIDE, sampled_keys(rows, WIDE, WIDE_RADIUS)), "groups")
+    first = found.groupBy("id").agg(F.max(F.col("id") == F.col("component")).alias("first"), F.count("*").alias("times"))
+    gone = first.where(~F.col("first")).select(F.col("id").alias("gone"))
+    kept = docs.join(gone, docs[id_col].cast("long") == gone["gone"], "left_anti")
+    if first.where("id is not null and times > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_col, text_col])
+    return kept
+
+
 def op7_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's 64-bit fingerprint of 3-word shingles and the least doc_id reachable over links of
     at most 3 differing bits."""
