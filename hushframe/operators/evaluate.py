@@ -21,7 +21,7 @@ def match_counts(docs: DataFrame, expected: str = "expected", predicted: str = "
     """docs with n_expected, n_predicted, detected, correct_label, tight_boundary, false_positives."""
     e, p = F.col(expected), F.col(predicted)
     found = docs.withColumn("_m", greedy_match(e, p))
-    pairs = F.filter(F.transform(F.arrays_zip(e, F.col("_m")), lambda r: F.struct(r[expected].alias("e"), F.try_element_at(p, r["_m"] + 1).alias("p"), r["_m"].alias("i"))), lambda r: r["i"] >= 0)
+    pairs = F.filter(F.transform(F.arrays_zip(e, F.col("_m")), lambda r: F.struct(r[expected].alias("e"), F.try_element_at(p, F.greatest(r["_m"] + 1, F.lit(1))).alias("p"), r["_m"].alias("i"))), lambda r: r["i"] >= 0)
     found = found.withColumn("_p", pairs)
     n = lambda keep: F.size(F.filter("_p", keep)).cast("long")
     tight = lambda r: (F.abs(r["p"]["start"] - r["e"]["start"]) <= slack) & (F.abs(r["p"]["end"] - r["e"]["end"]) <= slack)
