@@ -40,7 +40,7 @@ def by_start(spans: Column) -> Column:
 
 def merge_spans(tagged: Column, hits: Column) -> Column:
     """Tagger spans, and the pattern hits that overlap none of them, by start."""
-    return by_start(F.concat(tagged, F.filter(hits, lambda h: ~F.exists(tagged, lambda n: overlaps(n, h)))))
+    return T.let(tagged, lambda t: by_start(F.concat(t, F.filter(hits, lambda h: ~F.exists(t, lambda n: overlaps(n, h))))))
 
 
 def align_tokens(text: Column, tokens: Column, floor: float = rules.TOKEN_FLOOR) -> Column:
@@ -127,7 +127,7 @@ def dedupe_overlapping(spans: Column) -> Column:
         drop = F.coalesce((last["label"] == s["label"]) & (last["end"] > s["start"]), F.lit(False))
         return F.when(drop, kept).otherwise(F.concat(kept, F.array(s)))
 
-    return F.aggregate(order, F.slice(order, 1, 0), step)
+    return T.let(order, lambda o: F.aggregate(o, F.slice(o, 1, 0), step))
 
 
 def tier_of(label: Column, default: Column | str, policy: str = "shipped") -> Column:
