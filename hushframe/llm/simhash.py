@@ -348,7 +348,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = fps.select("fp").distinct().count()
     found = materialize(near_duplicates(fps, WIDE_RADIUS, WIDE, sampled_keys(rows, WIDE, WIDE_RADIUS)), "groups")
     first = found.groupBy("id").agg(F.max(F.col("id") == F.col("component")).alias("first"), F.count("*").alias("times"))
-    gone = first.where(~F.col("first")).select(F.col("id").alias("gone"))
+    # The list of ids grows with the input, so it is never broadcast.
+    gone = first.where(~F.col("first")).select(F.col("id").alias("gone")).hint("merge")
     kept = docs.join(gone, docs[id_col].cast("long") == gone["gone"], "left_anti")
     if first.where("id is not null and times > 1").limit(1).count():
         kept = kept.dropDuplicates([id_col, text_col])
