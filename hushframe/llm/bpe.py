@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import byte_slices, documents
 
 #: Bounds of a worker's memory of units and of token pairs; a full one is emptied, results do not depend on it.
-UNIT_MEMORY = 400_000
-PAIR_MEMORY = 1_000_000
+UNIT_MEMORY = 250_000
+PAIR_MEMORY = 500_000
 #: The rank of a merge that never happens.
 NEVER = 1 << 60
 
