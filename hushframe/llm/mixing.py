@@ -120,7 +120,7 @@ def _rate(p: F.Column, history: list[np.ndarray], floor: float) -> F.Column:
     return F.aggregate(steps, F.lit(1.0), lambda r, step: F.greatest(F.lit(float(floor)), r + F.aggregate(F.zip_with(p, step, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
 
 
-def fit_rates(found: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None, floor: float = 1.0, rounds: int = ROUNDS, tolerance: float = 1e-4) -> tuple[F.Column, dict]:
+def fit_rates(found: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None, floor: float = 1.0, rounds: int = ROUNDS, tolerance: float = 1e-3) -> tuple[F.Column, dict]:
     """found (id, n_tokens, p) -> (rate as a function of column p, report).
 
     Every step asks for the expected tokens of each domain at the present rates. The gradient in r_i of half
