@@ -339,14 +339,142 @@ def sampled_keys(rows: int, width: int, radius: int, recall: float = 0.95, seed:
 #: 39 of 256 bits on average.
 WIDE, WIDE_RADIUS = 4, 45
 
+#: Keys are made of 5 minima each. Two texts share a minimum with a chance equal to their similarity, so at 0.8
+#: they miss all 24 keys with chance (1 - 0.8**5)**24 = 7e-5, at 0.85 with 2e-6, whatever the number of rows.
+KEY_MINIMA, KEYS = 5, 24
+#: Candidate groups of more texts than this are dealt out by key instead of whole.
+LARGE_GROUP = 256
+_MASKS, _ODD = np.random.default_rng(11).integers(0, 2**64, (2, KEYS * KEY_MINIMA), dtype=np.uint64) | np.array([[0], [1]], np.uint64)
+
+
+def shared_minima(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(documents, KEYS) keys of the non-empty hash sets that begin at `starts`."""
+    out = np.empty((len(starts), KEYS), np.int64)
+    with np.errstate(over="ignore"):
+        for t in range(KEYS):
+            key = np.full(len(starts), t, np.uint64)
+            for k in range(t * KEY_MINIMA, (t + 1) * KEY_MINIMA):
+                key = key * np.uint64(_GOLDEN) + np.minimum.reduceat((h ^ _MASKS[k]) * _ODD[k], starts)
+            out[:, t] = _stream(key, t + 1).view(np.int64)
+    return out
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def set_digest(h: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(h.tobytes())
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, flush: int = 100_000) -> DataFrame:
+    """(id, same, keys) for every row: the digest of its shingle set, and the keys it is looked up by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sets, held = [], [], 0
+
+        def send() -> pa.RecordBatch:
+            size = np.array([len(x) for x in sets], np.int64)
+            full = size > 0
+            keys = np.empty((0, KEYS), np.int64)
+            if full.any():
+                keys = shared_minima(np.concatenate(sets), (np.cumsum(size) - size)[full])
+            offsets = np.concatenate(([0], np.cumsum(full * KEYS))).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([set_digest(x) for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], ["id", "same", "keys"])
+
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids.append(i)
+                sets.append(shingle_set(text.as_py(), words))
+                held += len(sets[-1])
+                if held >= flush or len(ids) >= 20_000:
+                    yield send()
+                    ids, sets, held = [], [], 0
+        if ids:
+            yield send()
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, same binary, keys array<long>")
+
+
+def confirmed(sets: list[np.ndarray], chunk: int = 512) -> np.ndarray:
+    """For each set, the least index reachable over links of Jaccard similarity 0.8 or more. Pairs that are
+    already connected are not compared."""
+    groups = Union(len(sets))
+    size = np.array([len(x) for x in sets], np.int64)
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    codes = np.split(codes, np.cumsum(size)[:-1])
+    mark = np.zeros(len(values), bool)
+    for i in range(len(sets) - 1):
+        after = np.arange(i + 1, len(sets))
+        fits = (5 * np.minimum(size[after], size[i]) >= 4 * np.maximum(size[after], size[i])) & (size[after] > 0)
+        mark[codes[i]] = True
+        for at in range(0, len(after), chunk):
+            js = after[at : at + chunk][fits[at : at + chunk]]
+            js = js[groups.root[js] != groups.root[i]]
+            if len(js):
+                both = np.add.reduceat(mark[np.concatenate([codes[j] for j in js])], np.cumsum(size[js]) - size[js], dtype=np.int64)
+                hit = js[9 * both >= 4 * (size[js] + size[i])]  # both / (a + b - both) >= 4 / 5, in integers
+                groups.join(np.full(len(hit), i), hit)
+        mark[codes[i]] = False
+    return groups.root
+
+
+def _confirmer(words: int):
+    """mapInArrow body over rows (group, id, same, text) sorted by group: a spanning forest (u, v) of the links
+    of each group. A row whose text is another one of the same id is passed over."""
+
+    def solve(members: dict) -> pa.RecordBatch:
+        ids = np.array([i for i, _ in members], np.int64)
+        found = confirmed(list(members.values()))
+        moved = np.flatnonzero(found != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[found[moved]])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members = None, {}
+        for batch in batches:
+            for group, i, same, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                if group != now:
+                    if len(members) > 1:
+                        yield solve(members)
+                    now, members = group, {}
+                if (i, same) not in members:
+                    h = shingle_set(text.as_py(), words)
+                    if set_digest(h) == same:
+                        members[i, same] = h
+        if len(members) > 1:
+            yield solve(members)
+
+    return run
+
+
+def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, component) for every row: groups linked by a Jaccard similarity of 0.8 or more of their shingle sets.
+
+    Texts with equal sets are one. Others are candidates if they share a key; the texts of a group of candidates
+    meet in one task, which decides every link by the sets themselves. Members of a large group meet by key."""
+    rows = materialize(sketches(docs, id_col, text_col, words), "sketches")
+    reps = rows.groupBy("same").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
+    keyed = reps.where("rep is not null").select("rep", "same", F.explode("keys").alias("key"))
+    low = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = materialize(keyed.join(low.hint("merge"), "key"), "shared")
+    near = connected_components(shared.select(F.col("rep").alias("u"), F.col("low").alias("v")))
+    placed = near.join(near.groupBy("component").count(), "component")
+    group = F.when(F.col("count") > LARGE_GROUP, F.col("key")).otherwise(F.col("component")).alias("group")
+    deal = shared.join(placed, shared.rep == placed.node).select(group, "rep", "same").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    # The list of candidates grows with the input, so it is never broadcast.
+    met = texts.join(deal.hint("merge"), "rep").select("group", "rep", "same", "text")
+    links = met.repartition(F.col("group")).sortWithinPartitions("group", "rep").mapInArrow(_confirmer(words), "u long, v long")
+    labels = connected_components(links)
+    named = reps.select("same", "rep").join(labels, reps.rep == labels.node, "left").select("same", F.coalesce("component", "rep").alias("component"))
+    return rows.select("id", "same").join(named, "same").select("id", "component")
+
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """The rows of docs that are the first, by id, of their group of near-duplicates; columns as they are.
 
     Rows that share an id are one document, and stay once for each text; rows without an id stay."""
-    fps = materialize(fingerprints(docs, id_col, text_col, words, WIDE), "wide")
-    rows = fps.select("fp").distinct().count()
-    found = materialize(near_duplicates(fps, WIDE_RADIUS, WIDE, sampled_keys(rows, WIDE, WIDE_RADIUS)), "groups")
+    found = materialize(similar_groups(docs, id_col, text_col, words), "groups")
     first = found.groupBy("id").agg(F.max(F.col("id") == F.col("component")).alias("first"), F.count("*").alias("times"))
     # The list of ids grows with the input, so it is never broadcast.
     gone = first.where(~F.col("first")).select(F.col("id").alias("gone")).hint("merge")

@@ -166,6 +166,32 @@ def test_keep_first(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == [(False, 3), (False, 7), (True, 0)]
 
 
+@pytest.mark.parametrize("large", [256, 1])
+def test_keep_first_equals_brute_force(spark, monkeypatch, large):
+    monkeypatch.setattr(simhash, "LARGE_GROUP", large)
+    rows = []
+    for k in range(2, 17):  # similarity (90 - k) / (90 + k): from 0.698 to 0.957, 0.8 at k = 10
+        for n in range(30):
+            w = [f"{k}-{n}-{i}" for i in range(94 + k)]
+            rows += [(len(rows), " ".join(w[:94])), (len(rows) + 1, " ".join(w[k:]))]
+    chain = [f"c{i}" for i in range(500)]
+    rows += [(2000 + j, " ".join(chain[5 * j : 5 * j + 94])) for j in range(80)]
+    rows += [(3000, "a b"), (3001, "A  b"), (3002, ""), (3003, None), (3004, "one two three four five six seven eight"), (3005, "two three four five six seven eight"), (3006, "one two three four five six seven eight nine")]
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(x) for x in zip(*(w[j:] for j in range(5)))} or {tuple(w)}
+    owners = {}
+    for i, s in sets.items():
+        for x in s:
+            owners.setdefault(x, []).append(i)
+    pairs = {(a, b) for ids in owners.values() for b in ids for a in ids if a < b}
+    links = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    want = brute_components([i for i, _ in rows], links)
+    got = simhash.keep_first(docs(spark, [(i, t, None, None, 0) for i, t in rows])).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i in want if want[i] == i)
+
+
 def luhn(d):
     s = [int(c) * (2 if k % 2 else 1) for k, c in enumerate(reversed(d))]
     return sum(x - 9 if x > 9 else x for x in s) % 10 == 0
