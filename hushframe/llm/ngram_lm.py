@@ -3,15 +3,15 @@
 Counting is distributed: map tasks send each shard one compressed block of sorted distinct keys and counts
 a flush, and the task of a shard merges them and writes one memory-mapped level file into the shared folder.
   level 1  words, as 64-bit hashes in an Elias-Fano sequence, with exact counts; the index is the word's id
-  level 2  word pairs seen at least twice: first words, monotone pointers, successor ids, discounted
+  level 2  word pairs: first words, monotone pointers, successor ids, discounted
            probabilities quantised to 16 bits
-  level 3  word triples seen at least twice: the third word is kept as its rank among the successors of the
+  level 3  word triples: the third word is kept as its rank among the successors of the
            second, so that searches are relative to that context
 Shards are ranges of ids cut at equal shares of the tokens; very frequent first words are cut again by their
 second word, so that no task gets a hot word whole. Workers map the files and never load the model.
 
 Smoothing is interpolated absolute discounting over add-one word probabilities, with unknown words as one
-more word. Pairs and triples seen once are pruned (min_count), as is usual for tries; their mass goes to the
+more word. The query keeps all pairs and triples; min_count can prune rarer ones, whose mass then goes to the
 shorter context. Base counts are exact and unpruned.
 
 Word ids are 64-bit hashes: at 200 million distinct words the chance of any collision is about one in 1,000.
@@ -377,7 +377,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
         for _, tokens, counts in _batches(batches):
             ids, _ = trie.words(tokens)
             at, rank, _, _, _ = trie.adjacent(ids, counts)
-            # A triple seen twice has both its pairs in level 2.
+            # A triple seen min_count times has both its pairs in level 2.
             where = np.flatnonzero((at[1:] >= 0) & (at[:-1] >= 0)) + 1
             keys, n = _count(_triple_keys(at[where - 1], rank[where]))
             yield _send(keys, n, np.searchsorted(trie.pair_start, (keys >> RANK_BITS).astype(np.int64), "right") - 1)
@@ -452,6 +452,6 @@ def score(docs: DataFrame, spec: dict, id_col: str = "doc_id", text_col: str = "
 def op3_lm_elias_fano_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score under the model of those whose crc32 remainder by 7 is not 2."""
     docs = documents(spark, sf_dir)
-    spec = train(docs.where(crc_bucket("doc_id", 7) != 2))
+    spec = train(docs.where(crc_bucket("doc_id", 7) != 2), min_count=1)
     found = score(docs, spec).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", (crc_bucket("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(spec["N"]).cast("long").alias("train_tokens"), "base_score", "score")

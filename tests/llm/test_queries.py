@@ -103,6 +103,32 @@ def test_language_model(spark, sf, monkeypatch):
     assert {round(r.score, 9) for r in ngram_lm.score(table.where("doc_id < -1"), empty).collect()} == {0.0}
 
 
+def test_language_model_query_is_unpruned(spark, sf):
+    words = {r.doc_id: (r.text or "").encode().lower().split() + [b""] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    one, two, three = Counter(), Counter(), Counter()
+    for i, w in words.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            one.update(w)
+            two.update(zip(w, w[1:]))
+            three.update(zip(w, w[1:], w[2:]))
+    n, v, left2, left3 = sum(one.values()), len(one), Counter(), Counter()
+    for (a, _), c in two.items():
+        left2[a] += c - 0.75
+    for (a, b, _), c in three.items():
+        left3[a, b] += c - 0.75
+    for r in ngram_lm.op3_lm_elias_fano_trie(spark, sf).collect():
+        w, total = words[r.doc_id], 0
+        for k, x in enumerate(w):
+            p = (one[x] + 1) / (n + v + 1)
+            if k and one[w[k - 1]]:
+                a = w[k - 1]
+                p = max(two[a, x] - 0.75, 0) / one[a] + (1 - left2[a] / one[a]) * p
+                if k > 1 and (z := (w[k - 2], a)) in two:
+                    p = max(three[(*z, x)] - 0.75, 0) / two[z] + (1 - left3[z] / two[z]) * p
+            total += math.log10(p)
+        assert abs(r.score - total) < 2e-4 * len(w)
+
+
 def brute_components(ids, linked):
     parent = {i: i for i in ids}
 
