@@ -12,7 +12,7 @@ different ones, and lengths, separators, check digits and calendar validity are
                were right
   IPv4         the two last octets' pair and the two first octets' pair are permuted
   e-mails      letters and digits of the local part are permuted by runs; the domain stays
-  secrets      AKIA keys, 32 to 64 hex digits, and values after password=, token= and the like
+  secrets      AKIA keys, 32 hex digits or more, and values after password=, token= and the like
 
 The permutation alternates two halves (a mod m, b mod n) with sums of keyed SHA-256 values, so any product
 m*n is a valid domain. Change the key to get other pseudonyms.
@@ -35,8 +35,8 @@ DEFAULT_KEY = "hushframe"
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,250}[A-Za-z0-9])?\.[A-Za-z]{2,24}"
 AKIA = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
-SECRET = r"(?i:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9]{8,64}"
-HEX = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])"
+SECRET = r"(?i:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9]{8,}+"
+HEX = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])"
 ISO_DATE = r"(?<![0-9])[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9])"
 DMY_DATE = r"(?<![0-9/.])(?:0[1-9]|[12][0-9]|3[01])[./](?:0[1-9]|[12][0-9]|3[01])[./](?:19|20)[0-9]{2}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -50,7 +50,7 @@ KINDS = {"email": EMAIL, "secret": SECRET, "akia": AKIA, "hex": HEX, "date": ISO
 _AT_WORD = "|".join(f"(?:{p})" for k, p in KINDS.items() if k not in ("nanp", "card", "abroad"))
 ANY = f"(?<![A-Za-z0-9])(?:{_AT_WORD})|(?:{NANP})|(?:{CARD})|(?:{ABROAD})"
 #: Every match holds one of these, so texts without them are passed over.
-HINT = "[0-9@=:]"
+HINT = "[0-9@=:]|AKIA[A-Z]{16}|[a-f]{32}|[A-F]{32}"
 
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _BASE26 = "0123456789abcdefghijklmnop"
