@@ -1,20 +1,25 @@
 """Token ids in compressed binary blocks: an adaptive context-mixing range coder over ids.
 
-Each block of ids is coded on its own: models start empty, and a checksum closes it. An id's interval is cut
-from a mixture of three predictions: adaptive order-0 counts of all ids, the id that last followed the
-previous id (order 1), and the one that last followed the previous two (order 2). The weights of the last two
-follow their own record of hits, by how often in a row they were right. Cumulative mixture values have closed
-forms, so coding an id costs a few array operations, and decoding needs one search in the order-0 table.
+Each block of ids is coded on its own: models start empty, and a checksum closes it. An id's interval comes
+from a mixture of predictions: counts of the ids that followed the previous two (order 2) and the previous one
+(order 1), counts of all ids (order 0), and an even share for ids that are new to the block. A context of order
+1 or 2 keeps counts of its SLOTS most frequent followers. Weights follow each order's own record of hits, in
+cells by how often its context was seen and whether one id alone followed: order 2 first, order 1 by its record
+where order 2 missed, order 0 by its record where both missed. The followers of order 2 come first, then those
+of order 1, order 0 and the even share; an id is coded by the largest interval that stands for it. Decoding finds it by comparing with at most 2 SLOTS bounds, or by one look into the
+sorted ids so far.
 
 To run as array operations, a block is dealt to lanes, each with a range coder and a contiguous share of the
-ids; lanes share the block's models. Predictions are updated at each step, counts and weights at steps 1, 2, 4,
-... 64 and then each 64 steps. Arithmetic is on integers, so files do not depend on the machine.
+ids; lanes share the block's models. Followers are updated at each step, order-0 counts and weights at steps 1,
+2, 4, ... 64 and then each 64 steps. Arithmetic is on integers, so files do not depend on the machine.
 
 Blocks are rows of a table that Spark writes and commits, as are the ids and lengths of the documents they
 hold, so a lost executor costs a task and readers need no shared mount. A row holds whole documents.
 
-Defined results: null and empty texts are just the end id; repeated rows are written like others; a document
-without an id sorts first; an empty table gives an empty table of blocks; extra columns are ignored.
+Defined results: null and empty texts are just the end id; an added token of the vocabulary that stands in a
+text gets its id, as the library gives it; repeated rows are written like others; rows of equal ids are written
+in the order of their texts; documents without an id sort first; an empty table gives an empty table of blocks;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,106 +32,174 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import TextEncoder
-from .common import documents, materialize, shuffle_partitions
+from .common import byte_slices, documents, materialize, shuffle_partitions
 
-BLOCK = 1 << 16
-MAX_LANES = 128
-MAGIC = b"HCM1"
-#: magic, ids, vocabulary, lanes, CRC-32 of the ids, 16-bit words of payload.
-HEAD = struct.Struct("<4sIIIII")
+#: Ids in a block, more or less; lanes of a block; blocks that are coded side by side.
+BLOCK = 1 << 17
+MAX_LANES = 256
+SIDE = 8
+MAGIC = b"HCM2"
+#: magic, ids, vocabulary, lanes, CRC-32 of the ids, 16-bit words of payload, steps.
+HEAD = struct.Struct("<4sIIIIII")
 TOTAL_BITS = 24
 _TOTAL = 1 << TOTAL_BITS
-_GAIN = 24
+#: Followers that a context keeps, and the most that one is counted.
+SLOTS = 4
+_MOST = 255
 _HASH_BITS = 16
-_FLOOR = 1 << 21
+_WEIGHT_BITS = 16
+#: The least even share; as many ids at most can a vocabulary have.
+_FLOOR = 1 << 18
+#: Level of a context by how often it was seen.
+_LEVEL = 2 * np.array([0, 1, 2, 3, 3, 4, 4, 4, 4, 5])
+_CELLS = 12
 #: Ids that a row of the table holds at least, unless the partition ends.
 ROW_IDS = 1 << 20
 UNIT_MEMORY = 400_000
+#: Kinds of bytes: letters, marks, others, line ends, other white space and control characters.
+_LETTER, _MARK, _OTHER, _LINE, _WHITE = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[: 0x21], _KIND[0x7F], _KIND[0x0A] = _WHITE, _WHITE, _LINE
+_KIND[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = _MARK
+_KIND[[c for c in range(0x21, 0x7F) if chr(c).isalpha()]] = _LETTER
+
+
+class _Followers:
+    """The SLOTS ids that followed each context most, beside how often: one row of a table for each context."""
+
+    def __init__(self, contexts: int, vocabulary: int):
+        self.table = np.zeros((contexts, 2 * SLOTS), np.uint16 if vocabulary <= 1 << 16 else np.uint32)
+
+    def look(self, at: np.ndarray) -> None:
+        self.at = at
+        rows = self.table.take(at, axis=0).T.astype(np.int32, order="C")
+        self.ids, self.n = rows[:SLOTS], rows[SLOTS:]
+        self.total = np.add.reduce(self.n)
+        #: How sure the context is: by how often it was seen, and whether one id alone followed it.
+        self.cell = _LEVEL[np.minimum(self.total, len(_LEVEL) - 1)] + (np.maximum.reduce(self.n) == self.total)
+
+    def update(self, ids: np.ndarray) -> np.ndarray:
+        """Count ids, in place of the rarest one where they are new; returns where they were known."""
+        was = self.n * (self.ids == ids.astype(np.int32))
+        least, slot = self.n[0], np.zeros(len(ids), np.int8)
+        for k in range(1, SLOTS):
+            slot = np.where(self.n[k] < least, np.int8(k), slot)
+            least = np.minimum(least, self.n[k])
+        count = np.maximum.reduce(was)
+        known = count > 0
+        for k in range(SLOTS):
+            slot = np.where(was[k] > 0, np.int8(k), slot)
+        flat, k = self.table.reshape(-1), self.at * (2 * SLOTS) + slot
+        flat[k] = ids.astype(flat.dtype)
+        flat[k + SLOTS] = np.minimum(count + 1, _MOST).astype(flat.dtype)
+        return known
 
 
 class _Mixture:
-    """Models of several blocks of equal length, each used by `lanes` lanes."""
+    """Models of several blocks of equal shape, each used by `lanes` lanes."""
 
     def __init__(self, blocks: int, lanes: int, vocabulary: int):
-        self.V, self.block = vocabulary, np.repeat(np.arange(blocks), lanes)
-        self.counts = np.zeros((blocks, vocabulary), np.int64)
-        self.guess1 = np.full(blocks * (vocabulary + 1), -1, np.int64)
-        self.sure1 = np.zeros(blocks * (vocabulary + 1), np.int64)
-        self.guess2 = np.full(blocks << _HASH_BITS, -1, np.int64)
-        self.sure2 = np.zeros(blocks << _HASH_BITS, np.int64)
+        self.V, self.blocks, self.block = vocabulary, blocks, np.repeat(np.arange(blocks), lanes)
+        self.one, self.two = _Followers(blocks * (vocabulary + 1), vocabulary), _Followers(blocks << _HASH_BITS, vocabulary)
         self.before = np.full((2, blocks * lanes), vocabulary, np.int64)
-        self.tries, self.hits = np.full((2, 4), 8, np.int64), np.full((2, 4), 1, np.int64)
-        self.tries, self.hits = np.tile(self.tries, (blocks, 1, 1)), np.tile(self.hits, (blocks, 1, 1))
+        self.counts = np.zeros((blocks, vocabulary), np.int64)
+        #: Records of each order, by block and cell: order 2; order 1 where it missed; order 0 where both missed.
+        self.tries, self.hits = np.full((3, blocks, _CELLS), 4, np.int64), np.full((3, blocks, _CELLS), 2, np.int64)
         self.seen: list[np.ndarray] = []
-        self.log: list[tuple[np.ndarray, ...]] = []
+        self.log: tuple[list, list, list] = ([], [], [])
         self.refresh()
 
     def refresh(self) -> None:
-        """Fold what was coded since into counts and weights."""
+        """Fold what was coded since into the order-0 counts and into the weights."""
         if self.seen:
             at = np.concatenate([self.block * self.V + ids for ids in self.seen])
             self.counts += np.bincount(at, minlength=self.counts.size).reshape(self.counts.shape)
-            for order, sure, right in self.log:
-                cell = (self.block * 2 + order) * 4 + sure
-                self.tries += np.bincount(cell, minlength=self.tries.size).reshape(self.tries.shape)
-                self.hits += np.bincount(cell[right], minlength=self.hits.size).reshape(self.hits.shape)
-            self.seen, self.log = [], []
-        blocks = len(self.counts)
-        self.cum = np.zeros((blocks, self.V + 1), np.int64)
-        np.cumsum(1 + _GAIN * self.counts, axis=1, out=self.cum[:, 1:])
-        self.scale = self.cum[:, -1][self.block]
-        self.stride = int(self.cum[:, -1].max()) + 1
-        self.search = (self.cum[:, :-1] + (np.arange(blocks) * self.stride)[:, None]).ravel()
-        self.flat = self.cum.ravel()
-        room = _TOTAL - _FLOOR
-        self.weight = self.hits * room // self.tries
+            for order, log in enumerate(self.log):
+                for record, cells in zip((self.tries, self.hits), zip(*log)):
+                    record[order] += np.bincount(np.concatenate(cells), minlength=self.blocks * _CELLS).reshape(self.blocks, -1)
+            self.seen, self.log = [], ([], [], [])
+        self.cum = np.zeros((self.blocks, self.V + 1), np.int64)
+        np.cumsum(self.counts, axis=1, out=self.cum[:, 1:])
+        self.N = int(self.cum[0, -1])
+        self.cum = self.cum.reshape(-1)
+        #: Ids so far, in order, block after block: the inverse of the cumulative counts.
+        self.ordered = np.repeat(np.tile(np.arange(self.V), self.blocks), self.counts.reshape(-1))
+        self.weight = ((self.hits << _WEIGHT_BITS) // (self.tries + 1)).reshape(3, -1)
 
     def predict(self) -> None:
         a, b = self.before
-        self.at1 = self.block * (self.V + 1) + a
-        h = ((a * 0x9E3779B1 + b * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - _HASH_BITS)
-        self.at2 = (self.block << _HASH_BITS) + h
-        self.p1, self.p2 = self.guess1[self.at1], self.guess2[self.at2]
-        self.s1, self.s2 = np.minimum(self.sure1[self.at1], 3), np.minimum(self.sure2[self.at2], 3)
-        self.w2 = np.where(self.p2 >= 0, self.weight[self.block, 1, self.s2], 0)
-        # Both together leave the floor to order 0.
-        self.w1 = np.where(self.p1 >= 0, np.minimum(self.weight[self.block, 0, self.s1], _TOTAL - _FLOOR - self.w2), 0)
-        self.w0 = _TOTAL - self.w1 - self.w2
+        one, two = self.one, self.two
+        one.look(self.block * (self.V + 1) + a)
+        two.look((self.block << _HASH_BITS) + (((a * 0x9E3779B1 + b * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - _HASH_BITS)))
+        room = _TOTAL - _FLOOR
+        self.c2, self.c1 = self.block * _CELLS + two.cell, self.block * _CELLS + one.cell
+        w2 = np.where(two.total > 0, room * self.weight[0, self.c2] >> _WEIGHT_BITS, 0)
+        rest = room - w2
+        w1 = np.where(one.total > 0, rest * self.weight[1, self.c1] >> _WEIGHT_BITS, 0)
+        rest -= w1
+        self.w0 = rest * self.weight[2, self.block * _CELLS] >> _WEIGHT_BITS if self.N else np.zeros_like(rest)
+        shares = two.n * (w2.astype(np.int32) // np.maximum(two.total, 1)), one.n * (w1.astype(np.int32) // np.maximum(one.total, 1))
+        self.ids, self.mass = np.concatenate([two.ids, one.ids]), np.concatenate(shares)
+        self.ends = np.cumsum(self.mass, axis=0, dtype=np.int32)
+        self.named = self.ends[-1].astype(np.int64)
+        self.wu = _TOTAL - self.named - self.w0
+
+    def _share(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) in the part of order 0."""
+        k = self.block * (self.V + 1) + ids
+        n = max(self.N, 1)
+        lo = self.cum.take(k) * self.w0 // n
+        return self.named + lo, self.cum.take(k + 1) * self.w0 // n - lo
+
+    def _even(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) in the part where all ids are alike."""
+        lo = self.wu * ids // self.V
+        return self.named + self.w0 + lo, self.wu * (ids + 1) // self.V - lo
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) of each id among _TOTAL."""
-        k = self.block * (self.V + 1) + ids
-        lo = self.flat[k] * self.w0 // self.scale
-        size = self.flat[k + 1] * self.w0 // self.scale - lo
-        lo += self.w1 * (ids > self.p1) + self.w2 * (ids > self.p2)
-        size += self.w1 * (ids == self.p1) + self.w2 * (ids == self.p2)
-        return lo, size
-
-    def lookup(self, v: np.ndarray) -> np.ndarray:
-        """The id whose interval holds v."""
-        found = np.full(len(v), -1, np.int64)
-        rest = v.copy()
-        for guess, w in ((self.p1, self.w1), (self.p2, self.w2)):
-            lo, size = self.interval(np.maximum(guess, 0))
-            has = guess >= 0
-            found = np.where(has & (lo <= v) & (v < lo + size), guess, found)
-            rest -= np.where(has & (v >= lo + size), w, 0)
-        bound = ((rest + 1) * self.scale - 1) // self.w0
-        other = np.searchsorted(self.search, np.clip(bound, 0, self.scale - 1) + self.block * self.stride, "right") - 1 - self.block * self.V
-        return np.where(found >= 0, found, other)
+        """(start, size) among _TOTAL: the largest of the intervals that stand for each id."""
+        mass = self.mass * (self.ids == ids.astype(np.int32))
+        k, lane = mass.argmax(axis=0), np.arange(len(ids))
+        size = mass[k, lane].astype(np.int64)
+        start = self.ends[k, lane] - size
+        for other in (self._share, self._even):
+            lo, n = other(ids)
+            start, size = np.where(n > size, lo, start), np.maximum(size, n)
+        return start, size
+
+    def lookup(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id, start, size) of the interval that holds v."""
+        lane = np.arange(len(v))
+        k = np.minimum(np.add.reduce(self.ends <= v, dtype=np.int8), 2 * SLOTS - 1).astype(np.int64)
+        ids, size = self.ids[k, lane].astype(np.int64), self.mass[k, lane].astype(np.int64)
+        start = self.ends[k, lane] - size
+        m = np.flatnonzero(v >= self.named)
+        if len(m):
+            r = v[m] - self.named[m]
+            w0, wu, n = self.w0[m], self.wu[m], max(self.N, 1)
+            common = r < w0
+            slot = np.where(common, ((r + 1) * n - 1) // np.maximum(w0, 1), 0)
+            even = ((r - w0 + 1) * self.V - 1) // wu
+            ids[m] = np.where(common, self.ordered[self.block[m] * self.N + slot], even) if self.N else even
+            for other, which in ((self._share, common), (self._even, ~common)):
+                lo, n = other(ids)
+                start[m[which]], size[m[which]] = lo[m[which]], n[m[which]]
+        return ids, start, size
 
     def update(self, ids: np.ndarray) -> None:
-        r1, r2 = ids == self.p1, ids == self.p2
-        some1, some2 = self.p1 >= 0, self.p2 >= 0
-        self.log.append((np.zeros(len(ids), np.int64), np.where(some1, self.s1, 0), r1))
-        self.log.append((np.ones(len(ids), np.int64), np.where(some2, self.s2, 0), r2))
+        hit2, hit1 = self.two.update(ids), self.one.update(ids)
+        k = self.block * (self.V + 1) + ids
+        hit0 = self.cum.take(k + 1) > self.cum.take(k)
+        self.log[0].append((self.c2, self.c2[hit2]))
+        self.log[1].append((self.c1[~hit2], self.c1[~hit2 & hit1]))
+        rare = ~hit2 & ~hit1
+        zero = self.block * _CELLS
+        self.log[2].append((zero[rare], zero[rare & hit0]))
         self.seen.append(ids)
-        self.sure1[self.at1], self.sure2[self.at2] = np.where(r1, self.s1 + 1, 0), np.where(r2, self.s2 + 1, 0)
-        self.guess1[self.at1], self.guess2[self.at2] = ids, ids
         self.before = np.stack([ids, self.before[0]])
 
 
@@ -134,16 +207,18 @@ def _due(step: int) -> bool:
     return step > 0 and (step & (step - 1) == 0 if step < 64 else step % 64 == 0)
 
 
-def _lanes(n: int) -> tuple[int, int]:
-    """(lanes, steps) of a block of n ids."""
-    lanes = max(1, min(MAX_LANES, n // 64))
-    return lanes, -(-n // lanes)
+def _lanes(n: int) -> int:
+    return max(1, min(MAX_LANES, n // 64))
 
 
-def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[bytes]:
-    """ids: (blocks, n) -> one self-contained block of bytes for each row."""
+def encode_blocks(ids: np.ndarray, vocabulary: int, sizes: np.ndarray | None = None) -> list[bytes]:
+    """ids: (blocks, n) -> one self-contained block of bytes for each row; sizes: ids of each row that count."""
+    if not 0 < vocabulary <= _FLOOR:
+        raise ValueError(f"vocabularies have 1 to {_FLOOR} ids")
     blocks, n = ids.shape
-    lanes, steps = _lanes(n)
+    sizes = np.full(blocks, n) if sizes is None else sizes
+    lanes = _lanes(n)
+    steps = -(-n // lanes)
     padded = np.zeros((blocks, lanes * steps), np.int64)
     padded[:, :n] = ids
     lane_ids = np.ascontiguousarray(padded.reshape(blocks * lanes, steps).T)
@@ -187,10 +262,10 @@ def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     found = []
     for b in range(blocks):
         rows = range(b * lanes, (b + 1) * lanes)
-        sizes = (pos[b * lanes : (b + 1) * lanes] - 1).astype("<u4")
+        ends = (pos[b * lanes : (b + 1) * lanes] - 1).astype("<u4")
         words = np.concatenate([out[i, 1 : pos[i]] for i in rows]).astype("<u2")
-        raw = ids[b].astype("<u4").tobytes()
-        found.append(HEAD.pack(MAGIC, n, vocabulary, lanes, zlib.crc32(raw), len(words)) + sizes.tobytes() + words.tobytes())
+        raw = ids[b, : sizes[b]].astype("<u4").tobytes()
+        found.append(HEAD.pack(MAGIC, sizes[b], vocabulary, lanes, zlib.crc32(raw), len(words), steps) + ends.tobytes() + words.tobytes())
     return found
 
 
@@ -201,20 +276,20 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
         raise ValueError("not a block of token ids")
     out: list[np.ndarray | None] = [None] * len(blocks)
     shapes: dict[tuple, list[int]] = {}
-    for k, h in enumerate(heads):
-        shapes.setdefault(h[1:4], []).append(k)
-    for (n, vocabulary, lanes), which in shapes.items():
-        for a in range(0, len(which), 16):
-            part = which[a : a + 16]
-            for k, ids in zip(part, _decode_alike([blocks[k] for k in part], n, vocabulary, lanes)):
+    for k, (_, _, vocabulary, lanes, _, _, steps) in enumerate(heads):
+        shapes.setdefault((vocabulary, lanes, steps), []).append(k)
+    for shape, which in shapes.items():
+        for a in range(0, len(which), SIDE):
+            part = which[a : a + SIDE]
+            for k, ids in zip(part, _decode_alike([blocks[k] for k in part], *shape)):
+                ids = ids[: heads[k][1]]
                 if zlib.crc32(ids.astype("<u4").tobytes()) != heads[k][4]:
                     raise ValueError(f"block {k}: checksum of the ids is wrong")
                 out[k] = ids
     return out
 
 
-def _decode_alike(blocks: list[bytes], n: int, vocabulary: int, lanes: int) -> np.ndarray:
-    steps = -(-n // lanes) if n else 0
+def _decode_alike(blocks: list[bytes], vocabulary: int, lanes: int, steps: int) -> np.ndarray:
     width = len(blocks) * lanes
     sizes = np.concatenate([np.frombuffer(b, "<u4", lanes, HEAD.size) for b in blocks]).astype(np.int64)
     words = np.concatenate([np.frombuffer(b, "<u2", offset=HEAD.size + 4 * lanes) for b in blocks] + [np.zeros(4, np.uint16)]).astype(np.uint64)
@@ -231,9 +306,7 @@ def _decode_alike(blocks: list[bytes], n: int, vocabulary: int, lanes: int) -> n
             model.refresh()
         model.predict()
         r = span >> shift
-        v = np.minimum(code // r, np.uint64(_TOTAL - 1)).astype(np.int64)
-        ids = model.lookup(v)
-        lo, size = model.interval(ids)
+        ids, lo, size = model.lookup(np.minimum(code // r, np.uint64(_TOTAL - 1)).astype(np.int64))
         code -= lo.astype(np.uint64) * r
         span = size.astype(np.uint64) * r
         for _ in range(2):
@@ -245,65 +318,141 @@ def _decode_alike(blocks: list[bytes], n: int, vocabulary: int, lanes: int) -> n
             span[m] <<= np.uint64(16)
         out[t] = ids
         model.update(ids)
-    return np.ascontiguousarray(out.T).reshape(len(blocks), -1)[:, :n]
+    return np.ascontiguousarray(out.T).reshape(len(blocks), -1)
 
 
 def pack(ids: np.ndarray, vocabulary: int) -> list[bytes]:
-    """A run of ids as blocks: full ones side by side, then the rest."""
-    full = len(ids) // BLOCK
-    found = []
-    for a in range(0, full, 16):
-        found += encode_blocks(ids[a * BLOCK : min(a + 16, full) * BLOCK].reshape(-1, BLOCK), vocabulary)
-    if len(ids) > full * BLOCK:
-        found += encode_blocks(ids[None, full * BLOCK :], vocabulary)
-    return found
-
-
-class LibraryEncoder(TextEncoder):
-    """Whole texts to ids by the tokenizers library. A text is cut at single spaces, where its splitting
-    pattern always has a border, and the library's ids of each unit are remembered."""
+    """A run of ids as blocks of nearly equal size, coded side by side."""
+    if not len(ids):
+        return []
+    blocks = max(1, round(len(ids) / BLOCK))
+    size = -(-len(ids) // blocks)
+    blocks = -(-len(ids) // size)
+    padded = np.zeros(blocks * size, np.int64)
+    padded[: len(ids)] = ids
+    rows, sizes = padded.reshape(blocks, size), np.full(blocks, size)
+    sizes[-1] = len(ids) - size * (blocks - 1)
+    return [b for a in range(0, blocks, SIDE) for b in encode_blocks(rows[a : a + SIDE], vocabulary, sizes[a : a + SIDE])]
+
+
+class LibraryEncoder:
+    """Texts to ids by the tokenizers library. Texts are cut before single spaces that have other characters on
+    both sides, where its splitting pattern always has a border. A batch of texts is cut and its units are
+    told apart in Arrow arrays; the library encodes each unit it has not met, and ids are gathered by unit."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.vocabulary_size = self.library.get_vocab_size()
-        self.units = {"": b""}
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.units = {b"": b""}
         (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        units = self.cut(text)
-        new = [u for u in set(units).difference(self.units) if u]
+    def encode(self, text: str | None) -> bytes:
+        """Ids of one text, as little-endian unsigned 32-bit integers."""
+        return self.encode_column(pa.array([text], pa.string()))[0].tobytes()
+
+    def encode_column(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each); null texts are empty. With end_id, it closes
+        each text."""
+        data, ends = _bytes_of(texts)
+        edge = _borders(data)
+        whole = data.tobytes()
+        for token in self.added:
+            at = whole.find(token)
+            while at >= 0:
+                edge[at + 1 : at + len(token)] = False
+                at = whole.find(token, at + 1)
+        edge[ends[:-1][ends[:-1] < len(data)]] = True
+        edge[:1] = True
+        cuts = np.flatnonzero(edge)
+        bounds = np.append(cuts, len(data))
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
+        coded = units.dictionary_encode()
+        which = coded.indices.to_numpy().astype(np.int64)
+        found = self._ids(coded.dictionary.to_pylist())
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        table = np.frombuffer(b"".join(found), "<u4")
+        first = np.cumsum(sizes) - sizes
+        if end_id is not None:
+            # The end is one more unit, put behind the last unit of each text.
+            first, sizes, table = np.append(first, len(table)), np.append(sizes, 1), np.append(table, np.uint32(end_id))
+            last = np.searchsorted(cuts, ends)
+            which = np.insert(which, last, len(sizes) - 1)
+            per_text = np.diff(np.concatenate(([0], last + np.arange(1, len(ends) + 1))))
+        else:
+            per_text = np.diff(np.concatenate(([0], np.searchsorted(cuts, ends))))
+        each = sizes[which]
+        upto = np.cumsum(each)
+        at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(first[which] - (upto - each), each)
+        marks = np.concatenate(([0], np.cumsum(per_text)))
+        total = np.concatenate(([0], upto))[marks]
+        return table[at], np.diff(total)
+
+    def _ids(self, units: list[bytes]) -> list[bytes]:
+        new = [u for u in units if u not in self.units]
         if len(self.units) + len(new) > UNIT_MEMORY:
-            self.units = {"": b""}
-            new = [u for u in set(units) if u]
-        for unit, ids in zip(new, self._each(new)):
-            self.units[unit] = ids
-        out = b"".join(map(self.units.__getitem__, units))
+            self.units = {b"": b""}
+            new = [u for u in units if u]
+        self.units.update(zip(new, self._each(new)))
+        out = [self.units[u] for u in units]
         for unit in new:
             if len(unit) > 64:
                 del self.units[unit]
         return out
 
-    def _each(self, units: list[str]) -> Iterator[bytes]:
-        """Ids of each unit. Units that begin with a space and have no other white space are encoded as one
-        text, parted by line ends, which are then matches, and ids, of their own."""
-        joined = [len(u.split()) == 1 and u[0] == " " and not u[1:2].isspace() and not u[-1].isspace() for u in units]
+    def _each(self, raw: list[bytes]) -> Iterator[bytes]:
+        """Ids of each unit. Units that begin with a space and have neither other white space nor an added token
+        are encoded as one text, parted by line ends, which are then matches, and ids, of their own."""
+        units = [u.decode() for u in raw]
+        plain = [not any(a in u for a in self.added) for u in raw]
+        joined = [p and len(u.split()) == 1 and u[0] == " " and not u[1:2].isspace() and not u[-1].isspace() for u, p in zip(units, plain)]
         together = "\n".join(u for u, j in zip(units, joined) if j)
         alone = [u for u, j in zip(units, joined) if not j]
         flat = np.array(self.library.encode(together, add_special_tokens=False).ids, "<u4") if together else np.empty(0, "<u4")
         cut = np.flatnonzero(flat == self.line_end)
-        raw, edges = flat.tobytes(), [0, *(4 * cut + 4).tolist(), 4 * len(flat) + 4]
-        pieces = iter([raw[a : b - 4] for a, b in zip(edges, edges[1:])])
+        ids, edges = flat.tobytes(), [0, *(4 * cut + 4).tolist(), 4 * len(flat) + 4]
+        pieces = iter([ids[a : b - 4] for a, b in zip(edges, edges[1:])])
         others = iter(self.library.encode_batch_fast(alone, add_special_tokens=False))
         for j in joined:
             yield next(pieces) if j else np.array(next(others).ids, "<u4").tobytes()
 
 
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts one after another, end of each)."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    flat = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.empty(0, np.uint8)
+    return flat, bounds[1:] - bounds[0]
+
+
+def _borders(data: np.ndarray) -> np.ndarray:
+    """Whether a match of the library's splitting pattern always begins at a byte: at a single space that has no
+    white space beside it; at a mark or line end behind an ASCII letter; at an ASCII letter behind a single line end.
+    Characters whose first bytes white space has too count as white space, which only makes units longer."""
+    kind = _KIND[data]
+    lead = np.flatnonzero((data == 0xC2) | (data == 0xE1) | (data == 0xE2) | (data == 0xE3))
+    for k in range(3):
+        at = lead[lead + k < len(data)]
+        if k == 2:
+            at = at[data[at] != 0xC2]
+        kind[at + k] = _WHITE
+    edge = np.zeros(len(data), bool)
+    before, here = kind[:-1], kind[1:]
+    letter = before == _LETTER
+    edge[1:] = letter & ((here == _MARK) | (here == _LINE))
+    edge[2:] |= (kind[:-2] < _LINE) & (before[1:] == _LINE) & (here[1:] == _LETTER)
+    space = np.flatnonzero(data[:-1] == 0x20)
+    space = space[space > 0]
+    edge[space[(kind[space - 1] < _LINE) & (kind[space + 1] < _LINE)]] = True
+    return edge
+
+
 @lru_cache(maxsize=1)
 def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
@@ -316,31 +465,31 @@ def write_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     """Write the ids of all documents, in ascending order of their ids, each closed by end_id; returns the
     table as read back: rows of whole documents, numbered by (shard, row)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = texts.repartitionByRange(shuffle_partitions(docs.sparkSession), "id").sortWithinPartitions("id")
+    ordered = texts.repartitionByRange(shuffle_partitions(docs.sparkSession), "id").sortWithinPartitions("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         coder, shard, row = library_encoder(path), TaskContext.get().partitionId(), 0
-        tail = np.array([end_id], "<u4").tobytes()
-        ids, parts, held = [], [], 0
+        ids, sizes, parts, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            sizes = [len(p) // 4 for p in parts]
-            blocks = pack(np.frombuffer(b"".join(parts), "<u4").astype(np.int64), coder.vocabulary_size)
-            cells = [[shard], [row], [ids], [sizes], [blocks]]
+            flat = np.concatenate(parts)
+            cells = [[shard], [row], [np.concatenate(ids)], [np.concatenate(sizes)], [pack(flat, coder.vocabulary_size)]]
             kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], ["shard", "row", "ids", "sizes", "blocks"])
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(i)
-                parts.append(coder.encode(text.as_py()) + tail)
-                held += len(parts[-1]) // 4
+            for part in byte_slices([batch], 1):
+                found, n = coder.encode_column(part.column(1), end_id)
+                ids.append(np.array(part.column(0).to_pylist(), object))
+                sizes.append(n)
+                parts.append(found)
+                held += len(found)
                 if held >= ROW_IDS:
                     yield flush()
-                    ids, parts, held, row = [], [], 0, row + 1
-        if ids:
+                    ids, sizes, parts, held, row = [], [], [], 0, row + 1
+        if parts:
             yield flush()
 
     return materialize(ordered.mapInArrow(run, _ROW), "tokens")

@@ -11,6 +11,7 @@ import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from hushframe.llm import bpe, language_id, mixing, ngram_lm, ordinal, pii, queries, quality, simhash, token_files
 from hushframe.llm import product_quantisation as pq
@@ -320,12 +321,13 @@ def test_mixing_odd(odd):
     assert empty.count() == 0
 
 
-def test_token_table(odd):
+def test_token_table(spark, odd):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    got = token_files.read_token_table(token_files.write_token_table(odd, path)).orderBy("start").collect()
-    library = token_files.LibraryEncoder(path).library
+    table = odd.union(docs(spark, [(1005, "a <|endoftext|> b", "en", "s", 1), (1005, "another text of that id", "en", "s", 1), (None, "no id", None, None, 0)]))
+    got = token_files.read_token_table(token_files.write_token_table(table, path)).orderBy("start").collect()
+    library = Tokenizer.from_file(path)
     at = 0
-    rows = sorted(text_of(odd))
+    rows = sorted(text_of(table), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert [r.id for r in got] == [i for i, _ in rows]
     for r, (_, t) in zip(got, rows):
         ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4")

@@ -4,8 +4,10 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
+from tokenizers import Tokenizer
 
 from hushframe.llm import bpe, language_id, ordinal, quality, simhash, token_files
 from hushframe.llm import product_quantisation as pq
@@ -166,14 +168,29 @@ def test_range_coder_round_trip(n, blocks, v):
 
 
 def test_coder_learns_repeats():
-    x = np.tile(np.random.default_rng(0).integers(0, 50257, 2000), 33)[None, : 1 << 16]
+    x = np.tile(np.random.default_rng(0).integers(0, 50257, 2000), 66)[None, : 1 << 17]
     assert len(token_files.encode_blocks(x, 50257)[0]) < 0.25 * 2 * x.size
 
 
 def test_library_ids():
-    e = token_files.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"))
-    for t in texts(800, seed=9):
-        assert np.frombuffer(e.encode(t), "<u4").tolist() == e.library.encode(t, add_special_tokens=False).ids
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ours, library = token_files.LibraryEncoder(path), Tokenizer.from_file(path)
+    some = [*texts(800, seed=9), "a <|endoftext|> b", "<|endoftext|>", "don't.\nStop 'stuff' x\n\ny\r\n z", "it's 5,000.5 \x1fa \x85b", "w" * 9000, ""]
+    want = [library.encode(t, add_special_tokens=False).ids for t in some]
+    flat, sizes = ours.encode_column(pa.array([*some, None]), 7)
+    assert sizes.tolist() == [*(len(w) + 1 for w in want), 1]
+    assert flat.tolist() == [i for w in [*want, []] for i in [*w, 7]]
+    for t, w in zip(some, want):
+        assert np.frombuffer(ours.encode(t), "<u4").tolist() == w
+    assert 50256 in want[800]
+
+
+def test_packed_runs_have_even_blocks(monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK", 500)
+    for n in (0, 1, 499, 700, 750, 2600, 9001):
+        x = np.random.default_rng(n).integers(0, 300, n) ** 2 // 300
+        blocks = token_files.pack(x, 300)
+        assert np.array_equal(np.concatenate([*token_files.decode_blocks(blocks), np.empty(0, np.int64)]), x)
 
 
 def test_recurrent_gradients():
