@@ -8,7 +8,8 @@ a flush, and the task of a shard merges them and writes one memory-mapped level
   level 3  word triples: the third word is kept as its rank among the successors of the
            second, so that searches are relative to that context
 Shards are ranges of ids cut at equal shares of the tokens; very frequent first words are cut again by their
-second word, so that no task gets a hot word whole. Workers map the files and never load the model.
+second word, so that no task gets a hot word whole. Workers map the files and never load the model; so they do
+with the directory of the shards, of some 60 bytes for each 4 million tokens, which plans name by its path only.
 
 Smoothing is interpolated absolute discounting over add-one word probabilities, with unknown words as one
 more word. The query keeps all pairs and triples; min_count can prune rarer ones, whose mass then goes to the
@@ -34,13 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, documents, scratch_path
-from .eliasfano import EliasFano, SortedLists, lists_build, map_arrays, write_arrays
+from .eliasfano import EliasFano, SortedLists, filesystem, lists_build, map_arrays, write_arrays
 
 END = xxhash.xxh64_intdigest(b"")
 #: Tokens that a map task gathers before it sends blocks.
 FLUSH = 1_500_000
 #: Tokens to a shard of the model.
 SHARD_TOKENS = 4_000_000
+#: Level files that a worker keeps mapped.
+OPEN_FILES = 4096
 _BLOCK = "shard long, block binary"
 _DONE = "shard long, path string, n long, total long, edges binary"
 _STEP = 12.0 / 65535
@@ -71,13 +74,17 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarr
 
 
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    return zstandard.compress(np.diff(keys, prepend=np.uint64(0)).tobytes() + counts.astype("<u4").tobytes(), 1)
+    """Sorted keys as gaps, and counts, both by planes of bytes, most of which are zero."""
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes() for x in (np.diff(keys, prepend=np.uint64(0)), counts.astype("<u4"))]
+    return zstandard.compress(b"".join(planes), 1)
 
 
 def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zstandard.decompress(block)
+    raw = np.frombuffer(zstandard.decompress(block), np.uint8)
     n = len(raw) // 12
-    return np.cumsum(np.frombuffer(raw, "<u8", n), dtype=np.uint64), np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64)
+    gaps = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel()
+    counts = np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4").ravel()
+    return np.cumsum(gaps, dtype=np.uint64), counts.astype(np.int64)
 
 
 def _count(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -117,19 +124,38 @@ def restore(q: np.ndarray) -> np.ndarray:
     return _RESTORE[q]
 
 
+def small_counts(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts in a byte each; those of 255 and more beside them."""
+    large = np.flatnonzero(counts >= 255)
+    return {"count": np.minimum(counts, 255).astype(np.uint8), "large_at": large, "large": counts[large].astype(np.int64)}
+
+
+def whole_counts(arrays: dict[str, np.ndarray], at: np.ndarray | None = None) -> np.ndarray:
+    out = (arrays["count"] if at is None else arrays["count"][at]).astype(np.int64)
+    some = np.flatnonzero(out == 255)
+    out[some] = arrays["large"][np.searchsorted(arrays["large_at"], some if at is None else at[some])]
+    return out
+
+
 class Trie:
-    """The mapped level files of one model. `spec` has only what grows with the number of shards."""
+    """The mapped level files of one model, and their directory. `spec` has paths and a few numbers."""
 
     def __init__(self, spec: dict):
         self.spec, self.files = spec, {}
-        self.word_start = np.array([s["first"] for s in spec["words"]] + [spec["V"]], np.int64)
-        self.pair_start = np.array([s["first"] for s in spec["pairs"]] + [spec.get("n_pairs", 0)], np.int64)
-        self.pair_from = np.array([s["from"] for s in spec["pairs"]], np.uint64)
+        listed = {level: map_arrays(spec["base"], spec[level])[0] if spec[level] else {} for level in ("words", "pairs", "triples")}
+        self.names = {level: found.get("name", np.empty(0, "S1")) for level, found in listed.items()}
+        none = np.empty(0, np.int64)
+        self.word_shard, self.word_start = listed["words"].get("shard", none), np.append(listed["words"].get("first", none), spec["V"])
+        self.pair_start = np.append(listed["pairs"].get("first", none), spec["n_pairs"])
+        self.pair_from = listed["pairs"].get("from", np.empty(0, np.uint64))
+        self.shared_id, self.shared_rest, self.shared_start = (listed["pairs"].get(k, none) for k in ("shared_id", "shared_rest", "shared_start"))
 
     def open(self, level: str, k: int) -> dict:
         key = (level, k)
         if key not in self.files:
-            arrays, _ = map_arrays(self.spec["base"], self.spec[level][k]["path"])
+            if len(self.files) >= OPEN_FILES:
+                self.files.pop(next(iter(self.files)))
+            arrays, _ = map_arrays(self.spec["base"], f"{filesystem(self.spec['base'])[1]}/{self.names[level][k].decode()}")
             found = {"arrays": arrays}
             if level == "words":
                 found["ef"] = EliasFano(arrays, "word_")
@@ -144,16 +170,18 @@ class Trie:
         """(ids, counts) of words; unknown ones are -1 and 0. Each distinct word is looked up once."""
         unique, back = np.unique(hashes, return_inverse=True)
         ids, counts = np.full(len(unique), -1, np.int64), np.zeros(len(unique), np.int64)
-        if self.spec["words"]:
+        if len(self.word_shard):
             shard = word_shard(unique, self.spec["word_shards"])
-            for k, s in enumerate(self.spec["words"]):
-                a, b = np.searchsorted(shard, [s["shard"], s["shard"] + 1])
-                if a < b:
-                    f = self.open("words", k)
-                    at = f["ef"].find(unique[a:b])
-                    hit = at >= 0
-                    ids[a:b][hit] = at[hit] + s["first"]
-                    counts[a:b][hit] = f["arrays"]["count"][at[hit]]
+            for number in np.unique(shard):
+                k = int(np.searchsorted(self.word_shard, number))
+                if k == len(self.word_shard) or self.word_shard[k] != number:
+                    continue
+                a, b = np.searchsorted(shard, [number, number + 1])
+                f = self.open("words", k)
+                at = f["ef"].find(unique[a:b])
+                hit = at >= 0
+                ids[a:b][hit] = at[hit] + self.word_start[k]
+                counts[a:b][hit] = whole_counts(f["arrays"], at[hit])
         return ids[back], counts[back]
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
@@ -161,7 +189,7 @@ class Trie:
         shard = np.searchsorted(self.word_start, ids, "right") - 1
         for k in np.unique(shard):
             some = np.flatnonzero(shard == k)
-            out[some] = self.open("words", int(k))["arrays"]["count"][ids[some] - self.word_start[k]]
+            out[some] = whole_counts(self.open("words", int(k))["arrays"], ids[some] - self.word_start[k])
         return out
 
     def pairs(self, keys: np.ndarray):
@@ -171,7 +199,7 @@ class Trie:
         at, rank, alpha, rest = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.zeros(n), np.ones(n)
         shard = np.searchsorted(self.pair_from, keys, "right") - 1
         for k in np.unique(shard):
-            if k < 0 or not self.spec["pairs"][k]["n"]:
+            if k < 0 or self.pair_start[k] == self.pair_start[k + 1]:
                 continue
             a, b = np.searchsorted(shard, [k, k + 1])
             f = self.open("pairs", int(k))
@@ -192,25 +220,25 @@ class Trie:
             at[there] = found[hit] + self.pair_start[k]
             rank[there] = found[hit] - start[hit]
             alpha[there] = restore(f["arrays"]["alpha"][found[hit]])
-        if self.spec["shared_id"].size and n:
+        if len(self.shared_id) and n:
             # First words that lie in several shards: rest mass and first successor are known from all together.
             first = (keys >> np.uint64(32)).astype(np.int64)
-            k = np.minimum(np.searchsorted(self.spec["shared_id"], first), len(self.spec["shared_id"]) - 1)
-            own = self.spec["shared_id"][k] == first
-            rest[own] = self.spec["shared_rest"][k[own]]
+            k = np.minimum(np.searchsorted(self.shared_id, first), len(self.shared_id) - 1)
+            own = self.shared_id[k] == first
+            rest[own] = self.shared_rest[k[own]]
             own &= at >= 0
-            rank[own] = at[own] - self.spec["shared_start"][k[own]]
+            rank[own] = at[own] - self.shared_start[k[own]]
         return at, rank, alpha, rest
 
     def triples(self, pair: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(discounted probability, rest mass) of the rank-th successor in the context of a pair; both sorted by pair."""
         alpha, rest = np.zeros(len(pair)), np.ones(len(pair))
         shard = np.searchsorted(self.pair_start, pair, "right") - 1
-        for t in self.spec["triples_of"]:
-            a, b = np.searchsorted(shard, [t, t + 1])
-            if a >= b:
+        for t in np.unique(shard).tolist():
+            if not self.names["triples"][t]:
                 continue
-            f = self.open("triples", self.spec["triples_of"][t])
+            a, b = np.searchsorted(shard, [t, t + 1])
+            f = self.open("triples", t)
             local = pair[a:b] - self.pair_start[t]
             rest[a:b] = restore(f["arrays"]["rest"][local])
             some = np.flatnonzero(rank[a:b] >= 0)
@@ -246,25 +274,12 @@ def _inner(counts: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _opened(key: str, holder) -> Trie:
-    return Trie(holder.spec)
-
-
-class _Spec:
-    """Carries a spec through a cached call; equal paths mean equal models."""
-
-    def __init__(self, spec: dict):
-        self.spec = spec
-
-    def __hash__(self) -> int:
-        return 0
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Spec)
+def _opened(items: tuple) -> Trie:
+    return Trie(dict(items))
 
 
 def opened(spec: dict) -> Trie:
-    return _opened(f"{spec['base']}:{len(spec['pairs'])}:{len(spec['triples'])}", _Spec(spec))
+    return _opened(tuple(sorted(spec.items())))
 
 
 def word_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -275,12 +290,17 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _reduce(blocks: DataFrame, build) -> list:
-    """Give each shard's blocks to one task; only a line for each shard reaches the driver."""
-    return blocks.groupBy("shard").applyInArrow(build, _DONE).orderBy("shard").collect()
+def _reduce(blocks: DataFrame, build) -> dict[str, np.ndarray]:
+    """Give each shard's blocks to one task; only a line for each shard, of some 4 million tokens, reaches the driver."""
+    # Sorted here: a distributed sort would sample, and so build, every shard twice.
+    done = blocks.groupBy("shard").applyInArrow(build, _DONE).toArrow().combine_chunks().sort_by("shard")
+    found = {k: done.column(k).to_numpy() for k in ("shard", "n", "total")}
+    edges = [np.frombuffer(x.as_py(), "<i8") for x in done.column("edges")]
+    name = np.array([x.as_py().rsplit("/", 1)[-1].encode() for x in done.column("path")] or [b""], "S")[: done.num_rows]
+    return found | {"name": name, "edges": np.concatenate([*edges, np.empty(0, np.int64)]), "edge_of": np.repeat(np.arange(len(edges)), [len(e) for e in edges])}
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = 2, discount: float = 0.75, size_hint: int | None = None) -> dict:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = 1, discount: float = 0.75, size_hint: int | None = None) -> dict:
     """Count all of docs and write the model; returns its spec."""
     spark = docs.sparkSession
     base = scratch_path(spark, "ngrams")
@@ -289,6 +309,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     size = size_hint if size_hint is not None else (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     shards = max(1, -(-int(size) // (SHARD_TOKENS * 6)))
 
+    step = SHARD_TOKENS
+
     def count_words(batches):
         for _, tokens, _ in _batches(batches):
             keys, counts = _count(tokens)
@@ -297,42 +319,36 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     def build_words(table: pa.Table) -> pa.Table:
         keys, counts = _merge(table)
         shard = table.column("shard")[0].as_py()
-        path = write_arrays(base, f"words-{shard}", EliasFano.build(keys, "word_") | {"count": counts})
-        heavy = np.sort(np.argsort(counts, kind="stable")[-64:])
-        return _done(shard, path, len(keys), int(counts.sum()), np.concatenate([heavy, counts[heavy]]))
-
-    spec = {"base": base, "word_shards": shards, "words": [], "pairs": [], "triples": [], "triples_of": {}, "V": 0, "N": 0, "n_pairs": 0, "shared_id": np.empty(0, np.int64), "shared_rest": np.empty(0), "shared_start": np.empty(0, np.int64)}
-    heavy: list[tuple[int, int]] = []
-    totals = []
-    for r in _reduce(texts.mapInArrow(count_words, _BLOCK), build_words):
-        spec["words"].append({"shard": r.shard, "path": r.path, "first": spec["V"], "n": r.n})
-        edges = np.frombuffer(r.edges, "<i8").reshape(2, -1)
-        heavy += [(int(i) + spec["V"], int(c)) for i, c in edges.T]
-        totals.append((spec["V"], r.n, r.total))
-        spec["V"] += r.n
-        spec["N"] += r.total
+        path = write_arrays(base, f"words-{shard}", EliasFano.build(keys, "word_") | small_counts(counts))
+        # Words that are to be cut: two at most for each SHARD_TOKENS.
+        heavy = np.flatnonzero(counts > step // 2)
+        return _done(shard, path, len(keys), int(counts.sum()), np.column_stack([heavy, counts[heavy]]).ravel())
+
+    spec = {"base": base, "word_shards": shards, "words": "", "pairs": "", "triples": "", "V": 0, "N": 0, "n_pairs": 0}
+    done = _reduce(texts.mapInArrow(count_words, _BLOCK), build_words)
+    first = np.cumsum(done["n"]) - done["n"]
+    spec["V"], spec["N"] = int(done["n"].sum()), int(done["total"].sum())
     if spec["V"] >= 0xFFFFFFFF:
         raise ValueError("more than 2**32 distinct words: raise the width of pair keys")
     if not spec["N"]:
         return spec
+    spec["words"] = write_arrays(base, "directory-words", {"shard": done["shard"], "first": first, "name": done["name"]})
 
     # Pair shards: ranges of (first id, second id) with about equal numbers of tokens.
-    step = SHARD_TOKENS
-    heavy = [(i, c) for i, c in heavy if c > step // 2]
-    starts = [0]
-    for first, n, total in totals:
-        own = [(i, c) for i, c in heavy if first <= i < first + n]
-        light = total - sum(c for _, c in own)
-        parts = max(1, round(light / step))
-        cuts = {(first + n * k // parts) << 32 for k in range(parts)}
-        for i, c in own:
-            parts = max(1, -(-c // step))
-            cuts |= {(i << 32) + spec["V"] * k // parts for k in range(parts)} | {(i + 1) << 32}
-        starts += sorted(cuts)
-    pair_from = np.array(sorted(set(starts)), np.uint64)
+    heavy, count = done["edges"].reshape(-1, 2).T
+    of = done["edge_of"].reshape(-1, 2)[:, 0]
+    light = done["total"] - np.bincount(of, count, len(first)).astype(np.int64)
+    starts = [np.zeros(1, np.uint64)]
+    for a, n, rest in zip(first.tolist(), done["n"].tolist(), light.tolist()):
+        parts = max(1, round(rest / step))
+        starts.append(np.array([(a + n * k // parts) << 32 for k in range(parts)], np.uint64))
+    for i, c in zip((heavy + first[of]).tolist(), count.tolist()):
+        parts = max(1, -(-c // step))
+        starts.append(np.array([(i << 32) + spec["V"] * k // parts for k in range(parts)] + [(i + 1) << 32], np.uint64))
+    cuts = write_arrays(base, "cuts", {"from": np.unique(np.concatenate(starts))})
 
     def count_pairs(batches):
-        trie = opened(spec)
+        trie, pair_from = opened(spec), map_arrays(base, cuts)[0]["from"]
         for _, tokens, counts in _batches(batches):
             ids, _ = trie.words(tokens)
             where = np.flatnonzero(_inner(counts))
@@ -350,25 +366,27 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
         mass = np.add.reduceat(counts - discount, lead) if len(lead) else np.empty(0)
         alpha = (counts - discount) / np.repeat(total, size)
         arrays = EliasFano.build(context, "ctx_") | lists_build(size, keys & np.uint64(0xFFFFFFFF), "next_")
-        arrays |= {"alpha": quantise(alpha), "rest": quantise(1 - mass / np.maximum(total, 1)), "count": counts.astype(np.uint32)}
+        arrays |= {"alpha": quantise(alpha), "rest": quantise(1 - mass / np.maximum(total, 1))} | small_counts(counts)
         path = write_arrays(base, f"pairs-{shard}", arrays)
         ends = [0, len(context) - 1] if len(context) else []
         edges = np.array([[context[e], int(round(mass[e] * 1e6)), total[e], lead[e]] for e in ends], np.int64).ravel()
         return _done(shard, path, len(keys), int(counts.sum()), edges)
 
-    seen: dict[int, dict[int, tuple[int, int, int]]] = {}
-    done = {r.shard: r for r in _reduce(texts.mapInArrow(count_pairs, _BLOCK), build_pairs)}
-    n_pairs, listed = 0, []
-    for k, start in enumerate(pair_from.tolist()):
-        if r := done.get(k):
-            listed.append({"from": start, "path": r.path, "first": n_pairs, "n": r.n})
-            for i, mass, total, place in np.frombuffer(r.edges, "<i8").reshape(-1, 4).tolist():
-                seen.setdefault(i, {})[k] = (mass, total, n_pairs + place)
-            n_pairs += r.n
-        else:
-            listed.append({"from": start, "path": "", "first": n_pairs, "n": 0})
-    shared = sorted((i, 1 - sum(m for m, _, _ in by.values()) / 1e6 / next(iter(by.values()))[1], min(p for _, _, p in by.values())) for i, by in seen.items() if len(by) > 1)
-    spec = spec | {"pairs": listed, "n_pairs": n_pairs, "shared_id": np.array([i for i, _, _ in shared], np.int64), "shared_rest": np.array([r for _, r, _ in shared]), "shared_start": np.array([p for _, _, p in shared], np.int64)}
+    done = _reduce(texts.mapInArrow(count_pairs, _BLOCK), build_pairs)
+    pair_from = np.array(map_arrays(base, cuts)[0]["from"])
+    n = np.zeros(len(pair_from), np.int64)
+    n[done["shard"]] = done["n"]
+    name = np.zeros(len(pair_from), done["name"].dtype)
+    name[done["shard"]] = done["name"]
+    n_pairs, begin = int(n.sum()), np.cumsum(n) - n
+    # First words that lie in several shards; each shard names its first and its last, which may be one.
+    word, mass, total, place = done["edges"].reshape(-1, 4).T
+    shard = done["shard"][done["edge_of"].reshape(-1, 4)[:, 0]]
+    word, shard, mass, total, place = np.unique(np.column_stack([word, shard, mass, total, begin[shard] + place]), axis=0).T
+    shared, lead, often = np.unique(word, return_index=True, return_counts=True)
+    rest = 1 - np.add.reduceat(mass, lead) / 1e6 / total[lead] if len(lead) else np.empty(0)
+    many = often > 1
+    spec = spec | {"n_pairs": n_pairs, "pairs": write_arrays(base, "directory-pairs", {"from": pair_from, "first": begin, "name": name, "shared_id": shared[many], "shared_rest": rest[many], "shared_start": place[lead][many]})}
     if not n_pairs:
         return spec
 
@@ -389,15 +407,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
         keys, counts = keys[keep], counts[keep]
         trie = opened(spec)
         pair = (keys >> RANK_BITS).astype(np.int64) - trie.pair_start[shard]
-        size = np.bincount(pair, minlength=trie.spec["pairs"][shard]["n"])
-        total = trie.open("pairs", shard)["arrays"]["count"].astype(np.float64)
+        size = np.bincount(pair, minlength=int(trie.pair_start[shard + 1] - trie.pair_start[shard]))
+        total = whole_counts(trie.open("pairs", shard)["arrays"]).astype(np.float64)
         mass = np.bincount(pair, counts - discount, len(size))
         values = keys & ((np.uint64(1) << RANK_BITS) - np.uint64(1))
         arrays = _lists_with_gaps(size, values) | {"alpha": quantise((counts - discount) / total[pair]), "rest": quantise(1 - mass / total)}
         return _done(shard, write_arrays(base, f"triples-{shard}", arrays), len(keys), int(counts.sum()), np.empty(0, np.int64))
 
     done = _reduce(texts.mapInArrow(count_triples, _BLOCK), build_triples)
-    return spec | {"triples": [{"path": r.path, "n": r.n} for r in done], "triples_of": {r.shard: k for k, r in enumerate(done)}}
+    name = np.zeros(len(pair_from), done["name"].dtype)
+    name[done["shard"]] = done["name"]
+    return spec | {"triples": write_arrays(base, "directory-triples", {"name": name})}
 
 
 #: Bits of a triple's key for the rank of the third word; the others number the pairs.
@@ -435,7 +455,7 @@ def score(docs: DataFrame, spec: dict, id_col: str = "doc_id", text_col: str = "
             # Where the pair before is in level 2, mix in the triple; its key exists only if its own pair does.
             where = np.flatnonzero(at[:-1] >= 0) + 1
             where = where[inner[where]]
-            if len(where) and spec["triples_of"]:
+            if len(where) and spec["triples"]:
                 pair = at[where - 1]
                 order = np.argsort(pair)
                 alpha3, rest3 = trie.triples(pair[order], rank[where[order]])

@@ -63,7 +63,7 @@ def test_quality(odd):
 
 
 def test_language_model(spark, sf, monkeypatch):
-    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 3000)
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 150)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(-1, None), (-2, ""), (-3, "unknown words")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
@@ -93,8 +93,9 @@ def test_language_model(spark, sf, monkeypatch):
             total += math.log10(p)
         return total
 
-    spec = ngram_lm.train(table.where(F.col("doc_id").isin(train)))
-    assert len(spec["pairs"]) > 3 and spec["N"] == n
+    spec = ngram_lm.train(table.where(F.col("doc_id").isin(train)), min_count=2)
+    model = ngram_lm.Trie(spec)
+    assert len(model.names["pairs"]) > 3 and len(model.shared_id) and spec["N"] == n
     for r in ngram_lm.score(table, spec).collect():
         w = words[r.id]
         assert r.n_tokens == len(w) and r.n_known == sum(one[x] > 0 for x in w)
@@ -104,7 +105,8 @@ def test_language_model(spark, sf, monkeypatch):
     assert {round(r.score, 9) for r in ngram_lm.score(table.where("doc_id < -1"), empty).collect()} == {0.0}
 
 
-def test_language_model_query_is_unpruned(spark, sf):
+def test_language_model_query_is_unpruned(spark, sf, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 5000)
     words = {r.doc_id: (r.text or "").encode().lower().split() + [b""] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     one, two, three = Counter(), Counter(), Counter()
     for i, w in words.items():
