@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rules
@@ -14,30 +14,95 @@ def spark_pattern(pattern: str) -> str:
     return pattern.replace(r"\b", rules.EDGE)
 
 
+def fields(df: DataFrame) -> str:
+    """The columns of a table as a schema string."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def unnest(df: DataFrame, array: Column | str, name: str, *keep: str | Column, at: str | None = None) -> DataFrame:
+    """Rows (keep, name), or (keep, at, name) with places, for the elements of an array, none of which is null. A plain
+    explode makes the optimizer test the array for emptiness below it, so that the array is computed up to three times."""
+    outer = F.explode_outer(array).alias(name) if at is None else F.posexplode_outer(array).alias(at, name)
+    return df.select(*keep, outer).where(F.col(name).isNotNull())
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value written into the expression once."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def find_all(text: Column, pattern: str, groups: tuple[int, ...] = ()) -> Column:
-    """All matches: array of (start, end, value, g1, g2, ...). One pass gives the matches, one the gaps, and
-    a fold over them the offsets."""
+#: Elements of a part of an array that is folded at once: a fold that appends copies what it has, so parts are short.
+PART = 64
+
+
+def in_parts(rows: Column, size: int = PART) -> Column:
+    """An array cut into arrays of `size` elements; the last may be shorter."""
+    n = F.size(rows)
+    starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda k: F.slice(rows, k, F.lit(size)))
+
+
+def fold(rows: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column] | Column], kind: str, state: str) -> Column:
+    """Array of the elements that step(state, row) -> (state, elements of this row) gives, from state to state; a step
+    may also return a struct (now, new) of the two.
+
+    Rows are folded part by part; what a part gives is appended to a short array of its own, and the parts' arrays
+    are put end to end once, so the work grows with the rows and not with their square."""
+    pack = lambda now, out: F.struct(now.alias("now"), out.alias("out"))
+    none = lambda k: F.array().cast(f"array<{k}>")
+
+    def one(acc: Column, row: Column) -> Column:
+        found = step(acc["now"], row)
+        both = found if isinstance(found, Column) else F.struct(found[0].alias("now"), found[1].alias("new"))
+        return let(both, lambda r: pack(r["now"], F.concat(acc["out"], r["new"])))
+
+    def part(acc: Column, some: Column) -> Column:
+        return let(F.aggregate(some, pack(acc["now"], none(kind)), one), lambda r: pack(r["now"], F.concat(acc["out"], F.array(r["out"]))))
+
+    def block(acc: Column, parts: Column) -> Column:
+        return let(F.aggregate(parts, pack(acc["now"], none(f"array<{kind}>")), part), lambda r: pack(r["now"], F.concat(acc["out"], F.array(F.flatten(r["out"])))))
+
+    begin = pack(start.cast(state), none(f"array<{kind}>"))
+    return F.aggregate(let(rows, lambda r: in_parts(in_parts(r))), begin, block, lambda acc: F.flatten(acc["out"]))
+
+
+def _pieces(text: Column, pattern: str, groups: tuple[int, ...]) -> Column:
+    """(value, gap before it, g1, ...) of each match. One pass gives the matches; only where there are any, others
+    give the gaps and groups."""
     p = spark_pattern(pattern)
-    hits = F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    gaps = F.split(text, p, -1)
-    fields = [F.regexp_extract_all(text, F.lit(p), F.lit(g)) for g in groups]
     names = [f"g{g}" for g in groups]
-    rows = F.arrays_zip(hits.alias("value"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), *(f.alias(n) for f, n in zip(fields, names)))
-    empty = "array<struct<start:int,end:int,value:string" + "".join(f",{n}:string" for n in names) + ">>"
+    none = F.array().cast("array<struct<value:string,gap:string" + "".join(f",{n}:string" for n in names) + ">>")
+
+    def cut(text: Column, hits: Column) -> Column:
+        fields = [F.regexp_extract_all(text, F.lit(p), F.lit(g)) for g in groups]
+        rows = F.arrays_zip(hits.alias("value"), F.slice(F.split(text, p, -1), F.lit(1), F.size(hits)).alias("gap"), *(f.alias(n) for f, n in zip(fields, names)))
+        return F.when(F.size(hits) > 0, rows).otherwise(none)
+
+    # The text is bound too: in a lambda its name could be taken for that of a new column of the same select.
+    return let(text, lambda t: let(F.regexp_extract_all(t, F.lit(p), F.lit(0)), lambda hits: cut(t, hits)))
+
 
-    def step(state: Column, r: Column) -> Column:
-        start = state["at"] + F.length(r["gap"])
+def _placed(pieces: Column, names: list[str]) -> Column:
+    """Pieces with their offsets, by a fold over the lengths."""
+    kind = "struct<start:int,end:int,value:string" + "".join(f",{n}:string" for n in names) + ">"
+
+    def step(at: Column, r: Column) -> tuple[Column, Column]:
+        start = at + F.length(r["gap"])
         end = start + F.length(r["value"])
-        found = F.struct(start.alias("start"), end.alias("end"), r["value"].alias("value"), *(r[n].alias(n) for n in names))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(found)).alias("out"))
+        return end, F.array(F.struct(start.alias("start"), end.alias("end"), r["value"].alias("value"), *(r[n].alias(n) for n in names)))
+
+    return fold(pieces, F.lit(0), step, kind, "int")
 
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), F.array().cast(empty).alias("out")), step, lambda s: s["out"])
-    return F.when(F.size(hits) > 0, found).otherwise(F.array().cast(empty))
+
+def find_all(text: Column, pattern: str, groups: tuple[int, ...] = ()) -> Column:
+    """All matches: array of (start, end, value, g1, g2, ...)."""
+    return _placed(_pieces(text, pattern, groups), [f"g{g}" for g in groups])
+
+
+def find_each(text: Column, patterns: list[str]) -> Column:
+    """find_all() for several patterns: one array for each, all placed by one and the same expression."""
+    every = let(text, lambda t: F.array(*[_pieces(t, p, ()) for p in patterns]))
+    return F.transform(every, lambda pieces: _placed(pieces, []))
 
 
 def markers(text: Column, pattern: str = rules.MARKER) -> Column:
@@ -51,15 +116,14 @@ def strip_markers(text: Column, pattern: str = rules.MARKER) -> Column:
 
 def entities(text: Column, labels: list[str] = rules.LABELS, pattern: str = rules.MARKER) -> Column:
     """Entities of known labels with their place in the text without markers."""
-    def step(state: Column, m: Column) -> Column:
-        start = m["start"] - state["cut"]
+    def step(cut: Column, m: Column) -> tuple[Column, Column]:
+        start = m["start"] - cut
         end = start + F.length(m["value"])
-        known = m["label"].isin(labels)
         one = F.array(F.struct(start.alias("start"), end.alias("end"), m["label"].alias("label"), m["value"].alias("value")))
-        return F.struct((state["cut"] + m["end"] - m["start"] - F.length(m["value"])).alias("cut"), F.when(known, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
+        return cut + m["end"] - m["start"] - F.length(m["value"]), F.when(m["label"].isin(labels), one).otherwise(F.array().cast(f"array<{kind}>"))
 
-    empty = F.array().cast("array<struct<start:int,end:int,label:string,value:string>>")
-    return F.aggregate(markers(text, pattern), F.struct(F.lit(0).alias("cut"), empty.alias("out")), step, lambda s: s["out"])
+    kind = "struct<start:int,end:int,label:string,value:string>"
+    return fold(markers(text, pattern), F.lit(0), step, kind, "int")
 
 
 def annotate(value: Column, label: Column) -> Column:
@@ -69,15 +133,19 @@ def annotate(value: Column, label: Column) -> Column:
 def bio_tags(text: Column, ents: Column) -> Column:
     """(word, tag) of each white-space word: the entity at its first character gives the tag, or else the one at its
     middle; B where the entity starts just there."""
-    def tag(w: Column) -> Column:
-        here = lambda at: F.filter(ents, lambda e: (e["start"] <= at) & (at < e["end"]))
+    def tag(w: Column, near: Column) -> Column:
+        here = lambda at: F.filter(near, lambda e: (e["start"] <= at) & (at < e["end"]))
         start, middle = w["start"], w["start"] + F.floor((w["end"] - w["start"]) / 2).cast("int")
-        name = lambda e, at: F.concat(F.when(e["start"] == at, "B-").otherwise("I-"), e["label"])
-        first, second = F.try_element_at(here(start), F.lit(1)), F.try_element_at(here(middle), F.lit(1))
-        found = F.when(first.isNotNull(), name(first, start)).when(second.isNotNull(), name(second, middle)).otherwise("O")
-        return F.struct(w["value"].alias("word"), found.alias("tag"))
+        name = lambda at: let(F.try_element_at(here(at), F.lit(1)), lambda e: F.when(e.isNotNull(), F.concat(F.when(e["start"] == at, "B-").otherwise("I-"), e["label"])))
+        return F.struct(w["value"].alias("word"), F.coalesce(name(start), name(middle), F.lit("O")).alias("tag"))
 
-    return F.transform(find_all(text, r"\S+"), tag)
+    def tags(some: Column, all_ents: Column) -> Column:
+        # Only the entities that reach into this part of the words are looked through for each word.
+        first, last = F.element_at(some, 1)["start"], F.element_at(some, -1)["end"]
+        return let(F.filter(all_ents, lambda e: (e["start"] < last) & (e["end"] > first)), lambda near: F.transform(some, lambda w: tag(w, near)))
+
+    words = find_all(text, r"\S+")
+    return let(ents, lambda e: F.flatten(F.transform(let(words, lambda w: in_parts(w)), lambda some: tags(some, e))))
 
 
 def shape(text: Column) -> Column:
@@ -88,11 +156,26 @@ def shape_hash(text: Column) -> Column:
     return F.md5(shape(text))
 
 
-def redact(text: Column, spans: Column, mask: Callable[[Column], Column] | None = None) -> Column:
-    """Put [LABEL_REDACTED], or mask(span), for each span, from the last start to the first."""
-    put = mask or (lambda s: F.concat(F.lit("["), s["label"], F.lit("_REDACTED]")))
-    down = F.array_sort(spans, lambda a, b: F.when(a["start"] > b["start"], -1).when(a["start"] < b["start"], 1).otherwise(0))
-    return F.aggregate(down, text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), put(s), F.substring(t, s["end"] + 1, F.length(t))))
+def replace_spans(text: Column, spans: Column, mask: Callable[[Column], Column] | None = None) -> Column:
+    """Put the mask of its label, or mask(span), for each span. Spans that overlap are put in from the last start to
+    the first, each into the text as it then is; others in one pass over the pieces between them."""
+    put = mask or (lambda s: F.concat(F.lit(rules.MASK_HEAD), s["label"], F.lit(rules.MASK_TAIL)))
+    order = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["end"] - b["end"]))
+
+    def one_pass(text: Column, up: Column) -> Column:
+        begins = F.concat(F.array(F.lit(0)), F.transform(up, lambda s: s["end"]))
+        ends = F.concat(F.transform(up, lambda s: s["start"]), F.array(F.length(text)))
+        gaps = F.zip_with(begins, ends, lambda b, e: F.substring(text, b + 1, F.greatest(e - b, F.lit(0))))
+        return F.array_join(F.zip_with(gaps, F.concat(F.transform(up, put), F.array(F.lit(""))), lambda g, m: F.concat(g, m)), "")
+
+    def one_by_one(text: Column, up: Column) -> Column:
+        return F.aggregate(F.reverse(up), text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), put(s), F.substring(t, s["end"] + 1, F.length(t))))
+
+    def choose(text: Column, up: Column) -> Column:
+        crossed = F.exists(F.zip_with(up, F.slice(up, F.lit(2), F.size(up)), lambda a, b: F.coalesce(a["end"] > b["start"], F.lit(False))), lambda x: x)
+        return F.when(F.size(up) == 0, text).when(crossed, one_by_one(text, up)).otherwise(one_pass(text, up))
+
+    return let(text, lambda t: let(order, lambda up: choose(t, up)))
 
 
 def mask_value(value: Column) -> Column:

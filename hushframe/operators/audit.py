@@ -11,7 +11,7 @@ from ..functions import text as T
 
 def occurrences(rows: DataFrame) -> DataFrame:
     """One row for each marker: (id, pos, start, end, value, label)."""
-    return rows.select("id", F.posexplode(T.markers(F.col("text"))).alias("pos", "m")).select("id", "pos", "m.start", "m.end", "m.value", "m.label")
+    return T.unnest(rows, T.markers(F.col("text")), "m", "id", at="pos").select("id", "pos", "m.start", "m.end", "m.value", "m.label")
 
 
 def structural(rows: DataFrame, expect_positive: bool = True) -> DataFrame:
@@ -44,7 +44,7 @@ def variable_rules(spark: SparkSession) -> DataFrame:
 def variable_values(rows: DataFrame) -> DataFrame:
     """(id, var, value) of lines VAR=[value|LABEL]."""
     line = r"(?m)^([A-Z][A-Z_0-9]+)=" + rules.MARKER
-    return rows.select("id", F.explode(T.find_all(F.col("text"), line, (1, 2, 3))).alias("m")).select("id", F.col("m.g1").alias("var"), F.col("m.g2").alias("value"), F.col("m.g3").alias("label"))
+    return T.unnest(rows, T.find_all(F.col("text"), line, (1, 2, 3)), "m", "id").select("id", F.col("m.g1").alias("var"), F.col("m.g2").alias("value"), F.col("m.g3").alias("label"))
 
 
 def variable_mismatches(rows: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def stratified_split(rows: DataFrame, strata: list[str], share: float = 0.1, see
 
 def rarest_label_split(rows: DataFrame, labels: str = "labels", seed: str = "42", key: str = "id") -> DataFrame:
     """Rows bucketed by their globally rarest label; a tenth of each bucket, one at least, is eval."""
-    freq = rows.select(F.explode(F.array_distinct(labels)).alias("label")).groupBy("label").agg(F.count("*").alias("freq"))
+    freq = T.unnest(rows, F.array_distinct(labels), "label").groupBy("label").agg(F.count("*").alias("freq"))
     # As many entries as labels.
     table = freq.agg(F.map_from_entries(F.collect_list(F.struct("label", "freq"))).alias("freq"))
     with_freq = rows.crossJoin(F.broadcast(table))

@@ -21,11 +21,10 @@ def span(start: Column, end: Column, label: Column, value: Column, source: Colum
 
 def regex_spans(text: Column) -> Column:
     """Hits of the whole catalogue, pattern by pattern, each in order of place."""
-    def of(name: str, label: str, tier: str, score: float) -> Callable[[Column], Column]:
-        return lambda h: span(h["start"], h["end"], F.lit(label), h["value"], F.lit(f"regex:{name}"), F.lit(tier), F.lit(score))
-
-    parts = [F.transform(T.find_all(text, pattern), of(*rest)) for *rest, pattern in rules.PATTERNS]
-    return F.when(text.rlike(HINT), F.concat(*parts)).otherwise(F.array()).cast(SPAN)
+    kinds = F.array(*[F.struct(F.lit(f"regex:{name}").alias("source"), F.lit(label).alias("label"), F.lit(tier).alias("tier"), F.lit(score).alias("score")) for name, label, tier, score, _ in rules.PATTERNS])
+    found = T.find_each(text, [pattern for *_, pattern in rules.PATTERNS])
+    named = F.zip_with(kinds, found, lambda k, hits: F.transform(hits, lambda h: span(h["start"], h["end"], k["label"], h["value"], k["source"], k["tier"], k["score"])))
+    return F.when(text.rlike(HINT), F.flatten(named)).otherwise(F.array()).cast(SPAN)
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -46,39 +45,41 @@ def merge_spans(tagged: Column, hits: Column) -> Column:
 def align_tokens(text: Column, tokens: Column, floor: float = rules.TOKEN_FLOOR) -> Column:
     """Place word pieces in the text with a moving cursor: (start, end, prefix, label, score). Pieces that are
     outside, unsure or not found are skipped and leave the cursor where it is."""
-    lower = F.lower(text)
+    kind = "struct<start:int,end:int,prefix:string,label:string,score:double>"
+
+    def align(lower: Column) -> Column:
+        def step(cursor: Column, t: Column) -> Column:
+            glued = t["word"].startswith("##")
+            needle = F.when(glued, F.substring(t["word"], F.lit(3), F.length(t["word"]))).otherwise(t["word"])
 
-    def step(state: Column, t: Column) -> Column:
-        tag = T.split_tag(t["entity"])
-        glued = t["word"].startswith("##")
-        needle = F.when(glued, F.substring(t["word"], F.lit(3), F.length(t["word"]))).otherwise(t["word"])
-        at = F.call_function("locate", needle, lower, state["cursor"] + 1)
+            def place(x: Column) -> Column:
+                start, end = x["at"] - 1, x["at"] - 1 + x["n"]
+                use = (x["at"] > 0) & (x["n"] > 0) & (~x["glued"] | (start - cursor < 8)) & (x["tag"]["label"] != "O") & (t["score"] >= floor)
+                one = F.array(F.struct(start.alias("start"), end.alias("end"), x["tag"]["prefix"].alias("prefix"), x["tag"]["label"].alias("label"), t["score"].cast("double").alias("score")))
+                return T.let(F.coalesce(use, F.lit(False)), lambda u: F.struct(F.when(u, end).otherwise(cursor).alias("now"), F.when(u, one).otherwise(F.array().cast(f"array<{kind}>")).alias("new")))
 
-        def place(x: Column) -> Column:
-            start = x["at"] - 1
-            found = (x["at"] > 0) & (F.length(x["needle"]) > 0) & (~x["glued"] | (start - state["cursor"] < 8))
-            use = found & (x["tag"]["label"] != "O") & (t["score"] >= floor)
-            end = start + F.length(x["needle"])
-            one = F.array(F.struct(start.alias("start"), end.alias("end"), x["tag"]["prefix"].alias("prefix"), x["tag"]["label"].alias("label"), t["score"].cast("double").alias("score")))
-            return F.struct(F.when(use, end).otherwise(state["cursor"]).alias("cursor"), F.when(use, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
+            return T.let(F.struct(F.call_function("locate", needle, lower, cursor + 1).alias("at"), F.length(needle).alias("n"), glued.alias("glued"), T.split_tag(t["entity"]).alias("tag")), place)
 
-        return T.let(F.struct(at.alias("at"), needle.alias("needle"), glued.alias("glued"), tag.alias("tag")), place)
+        return T.fold(tokens, F.lit(0), step, kind, "int")
 
-    empty = F.array().cast("array<struct<start:int,end:int,prefix:string,label:string,score:double>>")
-    return F.aggregate(tokens, F.struct(F.lit(0).alias("cursor"), empty.alias("out")), step, lambda s: s["out"])
+    return T.let(F.lower(text), align)
 
 
 def collapse_bio(aligned: Column) -> Column:
     """Groups of aligned tokens: an I of the last group's label extends it across any gap, everything else opens
-    a new one; the score is the mean."""
-    def step(groups: Column, t: Column) -> Column:
-        last = F.try_element_at(groups, F.lit(-1))
+    a new one; the score is the mean. A group is closed, and given out, when the next opens."""
+    group = "struct<start:int,end:int,label:string,total:double,n:int>"
+
+    def step(last: Column, t: Column) -> tuple[Column, Column]:
         goes_on = F.coalesce((t["prefix"] == "I") & (t["label"] == last["label"]), F.lit(False))
         longer = F.struct(last["start"].alias("start"), t["end"].alias("end"), last["label"].alias("label"), (last["total"] + t["score"]).alias("total"), (last["n"] + 1).alias("n"))
         new = F.struct(t["start"].alias("start"), t["end"].alias("end"), t["label"].alias("label"), t["score"].alias("total"), F.lit(1).alias("n"))
-        return F.when(goes_on, F.concat(F.slice(groups, F.lit(1), F.greatest(F.size(groups) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(groups, F.array(new)))
+        closed = F.when(goes_on | last["n"].isNull(), F.array().cast(f"array<{group}>")).otherwise(F.array(last))
+        return F.when(goes_on, longer).otherwise(new), closed
 
-    groups = F.aggregate(aligned, F.array().cast("array<struct<start:int,end:int,label:string,total:double,n:int>>"), step)
+    # A last element closes the last group.
+    end = F.array(F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit("B").alias("prefix"), F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("score")))
+    groups = T.fold(F.concat(aligned, end), F.lit(None), step, group, group)
     return F.transform(groups, lambda g: F.struct(g["start"], g["end"], g["label"], (g["total"] / g["n"]).alias("score")))
 
 
@@ -122,12 +123,15 @@ def dedupe_overlapping(spans: Column) -> Column:
     """By start, then score downwards; a span goes if the last kept one has its label and reaches past its start."""
     order = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(0))
 
-    def step(kept: Column, s: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
+    def step(last: Column, s: Column) -> tuple[Column, Column]:
         drop = F.coalesce((last["label"] == s["label"]) & (last["end"] > s["start"]), F.lit(False))
-        return F.when(drop, kept).otherwise(F.concat(kept, F.array(s)))
+        return F.when(drop, last).otherwise(F.struct(s["label"].alias("label"), s["end"].alias("end"))), F.filter(F.array(s), lambda _: ~drop)
+
+    def kept(o: Column) -> Column:
+        marked = T.fold(F.transform(o, lambda s, i: F.struct(s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"), i.alias("i"))), F.lit(None), step, "struct<label:string,start:int,end:int,i:int>", "struct<label:string,end:int>")
+        return F.transform(marked, lambda m: F.element_at(o, m["i"] + 1))
 
-    return T.let(order, lambda o: F.aggregate(o, F.slice(o, 1, 0), step))
+    return T.let(order, kept)
 
 
 def tier_of(label: Column, default: Column | str, policy: str = "shipped") -> Column:
@@ -196,7 +200,7 @@ def detect(docs: DataFrame, text_col: str = "text", provider: Callable[[DataFram
 
 def mask(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """docs with the spans of tier block replaced in a column `masked`."""
-    return docs.withColumn("masked", T.redact(F.col(text_col), of_tier(F.col(spans_col), "block")))
+    return docs.withColumn("masked", T.replace_spans(F.col(text_col), of_tier(F.col(spans_col), "block")))
 
 
 def anti_interval_join(hits: DataFrame, spans: DataFrame) -> DataFrame:

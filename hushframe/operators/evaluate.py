@@ -6,15 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions import text as T
 
 
 def greedy_match(expected: Column, predicted: Column) -> Column:
     """For each expected span in order, the place of the first unmatched prediction that overlaps it, or -1."""
-    def step(state: Column, e: Column) -> Column:
-        free = F.filter(F.sequence(F.lit(0), F.greatest(F.size(predicted) - 1, F.lit(0))), lambda i: (i < F.size(predicted)) & ~F.array_contains(state, i) & (F.try_element_at(predicted, i + 1)["end"] > e["start"]) & (e["end"] > F.try_element_at(predicted, i + 1)["start"]))
-        return F.concat(state, F.array(F.coalesce(F.try_element_at(free, F.lit(1)), F.lit(-1))))
+    numbered = F.transform(predicted, lambda p, i: F.struct(p["start"].alias("start"), p["end"].alias("end"), i.alias("i")))
 
-    return F.aggregate(expected, F.array().cast("array<int>"), step)
+    def match(all_p: Column) -> Column:
+        def step(used: Column, e: Column) -> tuple[Column, Column]:
+            free = F.filter(all_p, lambda p: (p["end"] > e["start"]) & (e["end"] > p["start"]) & ~F.array_contains(used, p["i"]))
+            pick = F.try_element_at(free, F.lit(1))["i"]
+            return F.when(pick.isNotNull(), F.concat(used, F.array(pick))).otherwise(used), F.array(F.coalesce(pick, F.lit(-1)))
+
+        return T.fold(expected, F.array().cast("array<int>"), step, "int", "array<int>")
+
+    return T.let(numbered, match)
 
 
 def match_counts(docs: DataFrame, expected: str = "expected", predicted: str = "predicted", slack: int = 2) -> DataFrame:
@@ -42,15 +49,16 @@ def compare_scorecards(old: DataFrame, new: DataFrame, category: str = "category
     return new.select(category, F.col("detect_pct").alias("new_pct")).join(o, category, "left").withColumn("change", F.col("new_pct") - F.col("old_pct"))
 
 
-def tag_distribution(rows: DataFrame, tags: str = "ner_tags", order: str = "id", limit: int = 5000) -> DataFrame:
-    """Counts and shares of tags over the first rows: a limit that is the report's own."""
-    some = rows.orderBy(order).limit(limit).select(F.explode(tags).alias("tag")).groupBy("tag").count()
+def tag_distribution(rows: DataFrame, tags: str = "ner_tags", order: str = "id", limit: int | None = 5000) -> DataFrame:
+    """Counts and shares of tags, over all rows without a limit; a limit gives the preview over the first rows."""
+    some = rows if limit is None else rows.orderBy(order).limit(limit)
+    some = T.unnest(some, tags, "tag").groupBy("tag").count()
     return some.withColumn("pct", F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy()))
 
 
 def class_weights(rows: DataFrame, labels: str = "labels", n_labels: int = len(rules.BIO), cap: float = 6.0, ignore: int = -100) -> DataFrame:
     """total / (n_labels * count) for each label id, at most cap; 1 for absent ones."""
-    counts = rows.select(F.explode(labels).alias("label_id")).where(F.col("label_id") != ignore).groupBy("label_id").count()
+    counts = T.unnest(rows, labels, "label_id").where(F.col("label_id") != ignore).groupBy("label_id").count()
     total = counts.agg(F.sum("count").alias("total"))
     every = rows.sparkSession.range(n_labels).select(F.col("id").cast("int").alias("label_id"))
     out = every.join(counts, "label_id", "left").crossJoin(F.broadcast(total))
@@ -69,12 +77,9 @@ def tag_entities(tags: DataFrame, key: str = "id") -> DataFrame:
     return t.groupBy(key, "island").agg(F.first("label").alias("label"), F.min("pos").alias("start"), (F.max("pos") + 1).alias("end")).drop("island")
 
 
-def entity_scores(expected: DataFrame, predicted: DataFrame, key: str = "id") -> DataFrame:
-    """Exact-match counts, precision, recall and F1 of each label, and of all under `micro`."""
-    cols = [key, "label", "start", "end"]
-    e = expected.select(*cols).withColumn("e", F.lit(1))
-    p = predicted.select(*cols).withColumn("p", F.lit(1))
-    both = e.join(p, cols, "full").select("label", F.coalesce("e", F.lit(0)).alias("e"), F.coalesce("p", F.lit(0)).alias("p"))
+def _scores(sides: DataFrame, key: str) -> DataFrame:
+    """sides: (key, label, start, end, e, p) with e or p 1; one shuffle brings both sides of an entity together."""
+    both = sides.groupBy(key, "label", "start", "end").agg(F.max("e").alias("e"), F.max("p").alias("p"))
     agg = [F.sum("e").alias("expected"), F.sum("p").alias("predicted"), F.sum(F.col("e") * F.col("p")).alias("correct")]
     # label and the grand total in one pass
     sums = both.rollup("label").agg(*agg).withColumn("label", F.coalesce("label", F.lit("micro")))
@@ -83,6 +88,19 @@ def entity_scores(expected: DataFrame, predicted: DataFrame, key: str = "id") ->
     return out.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
 
 
+def entity_scores(expected: DataFrame, predicted: DataFrame, key: str = "id") -> DataFrame:
+    """Exact-match counts of different entities, precision, recall and F1 of each label, and of all under `micro`."""
+    side = lambda df, e, p: df.select(key, "label", "start", "end", F.lit(e).alias("e"), F.lit(p).alias("p"))
+    return _scores(side(expected, 1, 0).union(side(predicted, 0, 1)), key)
+
+
+def entity_scores_of(docs: DataFrame, expected: str, predicted: str, key: str = "id") -> DataFrame:
+    """entity_scores() of two array columns, each row read once."""
+    side = lambda c, e, p: F.transform(c, lambda x: F.struct(x["label"].alias("label"), x["start"].alias("start"), x["end"].alias("end"), F.lit(e).alias("e"), F.lit(p).alias("p")))
+    found = T.unnest(docs, F.concat(side(expected, 1, 0), side(predicted, 0, 1)), "s", key)
+    return _scores(found.select(key, "s.*"), key)
+
+
 def best_epoch(history: DataFrame) -> DataFrame:
     """The epoch of the greatest F1; the first of equals."""
     return history.orderBy(F.desc("f1"), "epoch").limit(1)
@@ -90,10 +108,10 @@ def best_epoch(history: DataFrame) -> DataFrame:
 
 def label_frequency(rows: DataFrame, labels: str = "labels") -> DataFrame:
     """In how many rows each label occurs."""
-    return rows.select(F.explode(F.array_distinct(labels)).alias("label")).groupBy("label").count()
+    return T.unnest(rows, F.array_distinct(labels), "label").groupBy("label").count()
 
 
 def eval_share(rows: DataFrame, split: str = "split", labels: str = "labels", low: float = 7.0, high: float = 13.0) -> DataFrame:
     """Each label's share in the eval split in percent, flagged outside the bounds."""
-    n = rows.select(split, F.explode(F.array_distinct(labels)).alias("label")).groupBy("label").agg(F.count("*").alias("total"), F.count_if(F.col(split) == "eval").alias("in_eval"))
+    n = T.unnest(rows, F.array_distinct(labels), "label", split).groupBy("label").agg(F.count("*").alias("total"), F.count_if(F.col(split) == "eval").alias("in_eval"))
     return n.withColumn("eval_pct", F.col("in_eval") * 100.0 / F.col("total")).withColumn("flag", ~F.col("eval_pct").between(low, high))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions import text as T
 from . import detect
 
@@ -56,21 +61,56 @@ def accepted(events: DataFrame) -> DataFrame:
 def cooldown(events: Column, minutes: Column) -> Column:
     """Events (t seconds, needs) by time -> whether each is silent: a prompt opens a window that silent ones do not
     extend."""
-    def step(state: Column, e: Column) -> Column:
-        quiet = F.coalesce(e["t"] - state["last"] < minutes * 60, F.lit(False))
+    def step(last: Column, e: Column) -> tuple[Column, Column]:
+        quiet = F.coalesce(e["t"] - last < minutes * 60, F.lit(False))
         prompt = e["needs"] & ~quiet
         one = F.array(F.struct(e["t"].alias("t"), (e["needs"] & quiet).alias("silent"), prompt.alias("prompt")))
-        return F.struct(F.when(prompt, e["t"]).otherwise(state["last"]).alias("last"), F.concat(state["out"], one).alias("out"))
-
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<t:bigint,silent:boolean,prompt:boolean>>").alias("out"))
-    return F.aggregate(events, start, step, lambda s: s["out"])
+        return F.when(prompt, e["t"]).otherwise(last), one
+
+    return T.fold(events, F.lit(None), step, "struct<t:bigint,silent:boolean,prompt:boolean>", "bigint")
+
+
+def cooldown_rows(events: DataFrame, minutes: int = 5, gap: int = 3600) -> DataFrame:
+    """events (host, t seconds, event_id, needs) with `silent` and `prompt`, as cooldown() gives them.
+
+    A host's time line is cut where no event in need lies within the window before a time bucket's first one: what
+    follows does not depend on what was before. So a busy host is many stretches, and a stretch is read in order
+    of time with one number of state, however long it is."""
+    window = max(1, min(120, minutes or 5)) * 60
+    by = Window.partitionBy("host").orderBy("_b")
+    rows = events.withColumn("_b", F.floor(F.col("t") / max(gap, window)))
+    # One row for each host and bucket with an event in need.
+    buckets = rows.where("needs").groupBy("host", "_b").agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
+    cut = F.coalesce(F.col("_lo") - F.lag("_hi").over(by) >= window, F.lit(True))
+    stretches = buckets.select("host", "_b", F.sum(cut.cast("int")).over(by).alias("_s"))
+    # Buckets without an event in need are their own stretches: nothing in them is silent or a prompt.
+    rows = rows.join(stretches, ["host", "_b"], "left").withColumn("_s", F.coalesce("_s", -F.col("_b") - 1))
+    ordered = rows.drop("_b").repartition("host", "_s").sortWithinPartitions("host", "_s", "t", "event_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            hosts, parts, t, needs = (batch.column(batch.schema.get_field_index(c)) for c in ("host", "_s", "t", "needs"))
+            t, needs = t.to_numpy(zero_copy_only=False), needs.to_numpy(zero_copy_only=False).astype(bool)
+            keys = list(zip(hosts.to_pylist(), parts.to_pylist()))
+            prompt = np.zeros(len(t), bool)
+            for i in np.flatnonzero(needs).tolist():
+                if keys[i] != key:
+                    key, last = keys[i], None
+                if last is None or t[i] - last >= window:
+                    prompt[i], last = True, t[i]
+            kept = batch.drop_columns(["_s"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(needs & ~prompt), pa.array(prompt)], [*kept.schema.names, "silent", "prompt"])
+
+    fields = T.fields(events)
+    return ordered.select(*events.columns, "_s").mapInArrow(run, f"{fields}, silent boolean, prompt boolean")
 
 
 def decide(mode: Column, quiet: Column, has_block: Column, answer: Column, text: Column, masked: Column) -> Column:
     """What is inserted: masked when silent, by the answer when asked, null when cancelled; the text as it is where
     nothing is to block."""
-    silent = (mode == "auto-redact") | ((mode == "cooldown") & quiet)
-    asked = F.when(answer == "redact", masked).when(answer == "send-anyway", text)
+    silent = (mode == rules.SILENT_MODE) | ((mode == rules.COOLDOWN_MODE) & quiet)
+    asked = F.when(answer == rules.ANSWERS["mask"], masked).when(answer == rules.ANSWERS["send"], text)
     return F.when(~has_block, text).when(silent, masked).otherwise(asked)
 
 

@@ -39,6 +39,10 @@ ANNOTATED = f"""SELECT k AS id, {_SPLIT} AS split, label AS category, {_TEXT} AS
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, split, category, text): marked texts with some of every defect, a tenth of them without markers."""
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    cores = spark.sparkContext.defaultParallelism
+    if customer.rdd.getNumPartitions() < cores:
+        # A small file is one task; texts are made from keys, so only keys are dealt out.
+        customer = customer.repartition(cores)
     return spark.sql(ANNOTATED, customer=customer)
 
 

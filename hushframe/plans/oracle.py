@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import rules, text
-from ..operators import policy, synth
+from ..operators import detect, policy, synth
 from .fixtures import ANNOTATED_CTE
 
 #: Shapes whose values are too long to compare character by character for every key.
@@ -49,11 +49,17 @@ def hits(source: str, key: str = "id") -> str:
     return " UNION ALL ".join(parts)
 
 
+def ranked_hits(source: str, key: str = "id") -> str:
+    """hits() with the place of the pattern in the catalogue."""
+    names = "CASE source " + " ".join(f"WHEN {q('regex:' + name)} THEN {k}" for k, (name, *_) in enumerate(rules.PATTERNS)) + " END"
+    return f"SELECT *, {names} AS pattern FROM ({hits(source, key)}) ranked"
+
+
 def block_masked(col: str) -> str:
     out = col
     for _, label, tier, _, pattern in rules.PATTERNS:
         if tier == "block":
-            out = f"regexp_replace({out}, {q(pattern)}, {q(f'[{label}_REDACTED]')}, 'g')"
+            out = f"regexp_replace({out}, {q(pattern)}, {q(rules.MASK_HEAD + label + rules.MASK_TAIL)}, 'g')"
     return out
 
 
@@ -135,6 +141,54 @@ _PREDICTED = """predicted AS (SELECT id, CAST(greatest(start + (id % 7 - 3), 0)
  UNION ALL SELECT id, 100000, 100005, 'SSN' FROM annotated WHERE id % 13 = 0)"""
 
 
+#: For each expected entity in turn the first prediction that overlaps it and is still free. Predictions keep the order
+#: of the entities they come from; the extra one comes last.
+_MATCHED = """pr AS (SELECT p.*, row_number() OVER (PARTITION BY p.id ORDER BY p.place) AS j FROM (SELECT id, i AS place, CAST(greatest(start + (id % 7 - 3), 0) AS INT) AS start, CAST("end" + (id % 7 - 3) AS INT) AS "end", CASE WHEN id % 11 = 0 THEN 'EMAIL' ELSE label END AS label FROM ents WHERE (id + start) % 7 <> 0
+ UNION ALL SELECT id, 1000000, 100000, 100005, 'SSN' FROM annotated WHERE id % 13 = 0) p),
+ex AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS k FROM ents),
+can AS (SELECT e.id, e.k, list(p.j ORDER BY p.j) AS js FROM ex e JOIN pr p ON p.id = e.id AND p."end" > e.start AND e."end" > p.start GROUP BY e.id, e.k),
+lists AS (SELECT e.id, e.k, coalesce(js, []) AS js FROM ex e LEFT JOIN can USING (id, k)),
+walk AS (SELECT id, k, js[1] AS j, CASE WHEN len(js) > 0 THEN [js[1]] ELSE [] END AS used FROM lists WHERE k = 1
+ UNION ALL SELECT l.id, l.k, list_filter(l.js, lambda x: NOT list_contains(w.used, x))[1], list_concat(w.used, list_filter(l.js, lambda x: NOT list_contains(w.used, x))[1:1]) FROM walk w JOIN lists l ON l.id = w.id AND l.k = w.k + 1),
+pairs AS (SELECT w.id, w.k, e.label = p.label AS same, abs(p.start - e.start) <= 2 AND abs(p."end" - e."end") <= 2 AS tight FROM walk w JOIN ex e ON e.id = w.id AND e.k = w.k JOIN pr p ON p.id = w.id AND p.j = w.j WHERE w.j IS NOT NULL)"""
+_EXTERNAL = "WHEN 'CREDENTIAL' THEN 'CREDENTIAL' WHEN 'EMAIL' THEN 'EMAIL' WHEN 'PHONE' THEN 'PHONE' WHEN 'SSN' THEN 'SSN'"
+
+
+def _scorecard(name: str, condition: str) -> str:
+    per = lambda table, what="count(*)": f"coalesce((SELECT {what} FROM {table} z WHERE z.id = a.id), 0)"
+    return f"""{name}_rows AS (SELECT a.id, a.category, {per('ex')} AS e, {per('pr')} AS p, {per('pairs')} AS d, {per('pairs', 'count(*) FILTER (WHERE same)')} AS c, {per('pairs', 'count(*) FILTER (WHERE tight)')} AS t FROM annotated a WHERE {condition}),
+{name} AS (SELECT category, count(*) AS total, CAST(sum(e) AS BIGINT) AS n_expected, CAST(sum(p) AS BIGINT) AS n_predicted, CAST(sum(d) AS BIGINT) AS detected, CAST(sum(c) AS BIGINT) AS correct_label, CAST(sum(t) AS BIGINT) AS tight_boundary, CAST(sum(p - d) AS BIGINT) AS false_positives, round(CASE WHEN sum(e) > 0 THEN sum(d) * 100.0 / sum(e) ELSE 0 END, 6) AS detect_pct FROM {name}_rows GROUP BY category)"""
+
+
+def _aggregated() -> str:
+    """Word pieces placed by a moving cursor, grouped, trimmed, cut at connector words and trimmed again."""
+    joint = q(detect.CONNECTOR)
+    head, tail = q("^" + detect.EDGES + "+"), q(detect.EDGES + "+$")
+    trimmed = lambda inner, start, end: f"least({start} + length({inner}) - length(regexp_replace({inner}, {head}, '')), {end})"
+    shut = lambda inner, start, end: f"greatest({end} - (length({inner}) - length(regexp_replace({inner}, {tail}, ''))), {trimmed(inner, start, end)})"
+    length = lambda x, a, b: f"coalesce(list_sum(list_transform({x}[{a}:{b}], lambda v: length(v))), 0)"
+    return f"""WITH RECURSIVE {BASE[5:]}, {WORDS}, w0 AS (SELECT id, i - 1 AS i, lower(word) AS w, tag, ((id * 31 + (i - 1) * 17) % 70 + 30) / CAST(100 AS DOUBLE) AS score FROM bio),
+ tok AS (SELECT id, 2 * i AS o, left(w, 4) AS needle, false AS glued, tag, score FROM w0 UNION ALL SELECT id, 2 * i + 1, substr(w, 5), true, replace(tag, 'B-', 'I-'), score FROM w0 WHERE length(w) > 4),
+ seq AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o) AS n FROM tok),
+ low AS (SELECT id, lower(text) AS text FROM clean),
+ walk AS (SELECT id, CAST(0 AS BIGINT) AS n, 0 AS cursor, CAST(NULL AS INT) AS start, CAST(NULL AS INT) AS stop, '' AS tag, CAST(0 AS DOUBLE) AS score FROM low
+  UNION ALL SELECT id, n, CAST(CASE WHEN use THEN spot - 1 + length(needle) ELSE cursor END AS INT), CAST(CASE WHEN use THEN spot - 1 END AS INT), CAST(CASE WHEN use THEN spot - 1 + length(needle) END AS INT), tag, score FROM (
+   SELECT *, spot > 0 AND length(needle) > 0 AND (NOT glued OR spot - 1 - cursor < 8) AND tag <> 'O' AND score >= {rules.TOKEN_FLOOR} AS use FROM (
+    SELECT s.id, s.n, s.needle, s.glued, s.tag, s.score, w.cursor, CASE WHEN instr(substr(l.text, w.cursor + 1), s.needle) > 0 THEN w.cursor + instr(substr(l.text, w.cursor + 1), s.needle) ELSE 0 END AS spot
+    FROM walk w JOIN seq s ON s.id = w.id AND s.n = w.n + 1 JOIN low l ON l.id = w.id) y) z),
+ placed AS (SELECT id, n, start, stop, left(tag, 1) AS prefix, substr(tag, 3) AS label, score FROM walk WHERE start IS NOT NULL),
+ marked AS (SELECT *, CASE WHEN prefix = 'I' AND label = lag(label) OVER (PARTITION BY id ORDER BY n) THEN 0 ELSE 1 END AS opens FROM placed),
+ isles AS (SELECT *, sum(opens) OVER (PARTITION BY id ORDER BY n) AS g FROM marked),
+ groups_ AS (SELECT id, g, arg_min(start, n) AS start, arg_max(stop, n) AS stop, min(label) AS label, avg(score) AS score FROM isles GROUP BY id, g),
+ inner_ AS (SELECT x.*, substr(text, start + 1, stop - start) AS inner_text FROM groups_ x JOIN clean USING (id)),
+ cut AS (SELECT id, g, label, score, {trimmed('inner_text', 'start', 'stop')} AS start, {shut('inner_text', 'start', 'stop')} AS stop FROM inner_),
+ again AS (SELECT c.*, substr(text, start + 1, stop - start) AS inner_text FROM cut c JOIN clean USING (id)),
+ split_ AS (SELECT *, regexp_split_to_array(inner_text, {joint}) AS gaps, regexp_extract_all(inner_text, {joint}) AS hits FROM again),
+ pieces AS (SELECT id, label, score, start + {length('gaps', 1, 'k - 1')} + {length('hits', 1, 'k - 1')} AS start, start + {length('gaps', 1, 'k')} + {length('hits', 1, 'k - 1')} AS stop, gaps[k] AS piece FROM (SELECT *, unnest(range(1, len(gaps) + 1)) AS k FROM split_) u),
+ done AS (SELECT id, label, score, {trimmed('piece', 'start', 'stop')} AS start, {shut('piece', 'start', 'stop')} AS stop FROM pieces)
+ SELECT id, CAST(start AS INT) AS start, CAST(stop AS INT) AS "end", label, round(score, 9) AS score FROM done WHERE stop > start"""
+
+
 def _contract(col: str) -> str:
     col = f"lower({col})"
     for long, short in rules.CONTRACTIONS:
@@ -179,13 +233,13 @@ def statements() -> dict[str, str]:
  s1 AS (SELECT *, regexp_matches(v, {q(rules.STRICT_SSN)}) AS ssn, regexp_matches(v, {q(rules.STRICT_CARD)}) AND {luhn('d')} AS card FROM s0 WHERE score >= 0.85),
  s2 AS (SELECT id, start, "end", CASE WHEN ssn THEN 'SSN' WHEN card THEN 'CREDIT_CARD' ELSE label END AS label, value, CASE WHEN ssn THEN 'ner+format-override' WHEN card THEN 'ner+luhn-override' ELSE 'ner' END AS source, score, v, d, ssn, card FROM s1)
  SELECT id, start, "end", label, value, source, 'block' AS tier, score FROM s2 WHERE CASE label WHEN 'SSN' THEN ssn OR length(d) = 9 WHEN 'CREDIT_CARD' THEN card WHEN 'PHONE' THEN regexp_matches(v, {q(rules.PHONE_LIKE)}) OR length(d) BETWEEN 10 AND 15 ELSE true END""",
-        "tier_override": f"{BASE}, hit AS ({hits('clean')}) SELECT id, count(*) FILTER (WHERE label = 'IP_ADDRESS') AS n_block, count(*) FILTER (WHERE label IS NOT NULL AND label <> 'IP_ADDRESS') AS n_warn FROM clean LEFT JOIN hit USING (id) GROUP BY id",
+        "tier_override": f"{BASE}, hit AS ({hits('every')}) SELECT id, count(*) FILTER (WHERE label = 'IP_ADDRESS') AS n_block, count(*) FILTER (WHERE label IS NOT NULL AND label <> 'IP_ADDRESS') AS n_warn FROM every LEFT JOIN hit USING (id) GROUP BY id",
         "parse_entities": f"{BASE} SELECT id, start, \"end\", label, value FROM ents",
         "parse_markers": f"{BASE} SELECT id, i - 1 AS pos, start, \"end\", value, label FROM marks",
         "strip_markers": f"WITH {ANNOTATED_CTE} SELECT id, md5({_STRIP}) AS clean_md5, md5(regexp_replace(text, {q(rules.MARKER_V1)}, '\\1', 'g')) AS v1_md5 FROM annotated",
         "bio_words": f"{BASE}, {WORDS} SELECT id, i - 1 AS pos, word, tag FROM bio",
         "shape_hashes": f"WITH {ANNOTATED_CTE} SELECT id, md5({_SHAPE}) AS shape FROM annotated UNION ALL SELECT -doc_id - 1, md5({_SHAPE}) FROM documents",
-        "redact_entities": f"WITH {ANNOTATED_CTE} SELECT id, {'regexp_replace(' * 2}text, '\\[([^\\]\\|]*)\\|({'|'.join(rules.LABELS)})\\]', '[\\2_REDACTED]', 'g'), {q(_MARK)}, '\\1', 'g') AS redacted FROM annotated",
+        "replace_entities": f"WITH {ANNOTATED_CTE} SELECT id, {'regexp_replace(' * 2}text, '\\[([^\\]\\|]*)\\|({'|'.join(rules.LABELS)})\\]', {q(rules.MASK_HEAD + chr(92) + '2' + rules.MASK_TAIL)}, 'g'), {q(_MARK)}, '\\1', 'g') AS replaced FROM annotated",
         "mask_and_name_values": f"{BASE} SELECT id, i - 1 AS pos, {masked_value('trim(value)')} AS masked, {pretty('label')} AS name FROM marks",
         "escape_pages": f"SELECT page_id, md5({_escape('html')}) AS escaped_md5 FROM pages",
         "chunk_documents": f"SELECT doc_id, pos, md5(CASE WHEN length(text) <= {rules.CHUNK} THEN text ELSE substr(text, pos + 1, {rules.CHUNK}) END) AS chunk_md5 FROM (SELECT doc_id, text, unnest(CASE WHEN length(text) <= {rules.CHUNK} THEN [0] ELSE range(0, length(text), {rules.CHUNK_STEP}) END) AS pos FROM documents) c",
@@ -225,7 +279,7 @@ def statements() -> dict[str, str]:
  SELECT label, CAST(x AS BIGINT) AS expected, CAST(y AS BIGINT) AS predicted, CAST(z AS BIGINT) AS correct, round(CASE WHEN y > 0 THEN z / y ELSE 0 END, 9) AS precision, round(CASE WHEN x > 0 THEN z / x ELSE 0 END, 9) AS recall, round(CASE WHEN z > 0 THEN 2 * (z / y) * (z / x) / (z / y + z / x) ELSE 0 END, 9) AS f1 FROM s""",
         "tag_entities": f"{BASE}, {WORDS}, t AS (SELECT id, i, tag, lag(tag) OVER (PARTITION BY id ORDER BY i) AS was FROM bio), g AS (SELECT *, sum(CASE WHEN tag <> 'O' AND (tag LIKE 'B-%' OR was IS NULL OR was = 'O' OR substr(was, 3) <> substr(tag, 3)) THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS isle FROM t) SELECT id, min(substr(tag, 3)) AS label, min(i) - 1 AS start, max(i) AS \"end\" FROM g WHERE tag <> 'O' GROUP BY id, isle",
         "class_weights": f"{BASE}, {WORDS}, c AS (SELECT {_IDS} AS label_id, count(*) AS n FROM bio GROUP BY 1) SELECT k AS label_id, round(CASE WHEN n IS NULL THEN 1.0 ELSE least(6.0, (SELECT sum(n) FROM c) / (11.0 * n)) END, 9) AS weight FROM (SELECT unnest(range(0, 11)) AS k) r LEFT JOIN c ON k = label_id",
-        "tag_distribution": f"{BASE}, {WORDS}, few AS (SELECT id FROM annotated ORDER BY id LIMIT 5000), c AS (SELECT {_IDS} AS tag, count(*) AS n FROM bio WHERE id IN (SELECT id FROM few) GROUP BY 1) SELECT CAST(tag AS BIGINT) AS tag, n, round(n * 100.0 / (SELECT sum(n) FROM c), 6) AS pct FROM c",
+        "tag_distribution": f"{BASE}, {WORDS}, c AS (SELECT {_IDS} AS tag, count(*) AS n FROM bio GROUP BY 1) SELECT CAST(tag AS BIGINT) AS tag, n, round(n * 100.0 / (SELECT sum(n) FROM c), 6) AS pct FROM c",
         "best_epoch": "SELECT n_nationkey AS epoch FROM nation ORDER BY (n_nationkey * 7) % 11 DESC, n_nationkey LIMIT 1",
         "synth_values": shapes,
         "synth_cards": f"SELECT c_custkey, {card('c_custkey')} AS card, true AS valid FROM customer",
@@ -234,7 +288,32 @@ def statements() -> dict[str, str]:
         "variable_names": f"{BASE} SELECT id, i - 1 AS pos, {_variable('value', 'label', 'id')} AS var FROM marks",
         "site_lookup": f"SELECT page_id, host, site FROM (SELECT page_id, nullif(regexp_extract(url, '^[a-z]+://(?:[^/@]*@)?([^/:?#]+)', 1), '') AS host FROM pages) p LEFT JOIN (SELECT * FROM {values(list(policy.HOSTS.items()), 'h, site')}) s ON p.host = s.h",
         "effective_settings": "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'false' ELSE 'true' END AS enabled, CASE WHEN n_nationkey % 2 = 0 THEN 'confirm' ELSE 'modal' END AS \"blockBehavior\", CAST(n_nationkey AS VARCHAR) AS \"cooldownMinutes\", 'banner' AS \"warnBehavior\", '5' AS \"warnAutoDismissSec\" FROM nation",
-        "paste_decisions": f"""{BASE}, hit AS ({hits('clean')}), h AS (SELECT id, count(*) FILTER (WHERE tier = 'block') AS b, count(*) FILTER (WHERE tier = 'warn') AS w FROM hit GROUP BY id)
- SELECT id, md5(CASE WHEN coalesce(b, 0) = 0 THEN text WHEN id % 4 = 1 OR (id % 4 = 2 AND id % 5 = 0) THEN {block_masked('text')} WHEN id % 3 = 0 THEN {block_masked('text')} WHEN id % 3 = 1 THEN text END) AS inserted_md5, coalesce(w, 0) > 0 AS banner FROM clean LEFT JOIN h USING (id)""",
+        "paste_decisions": f"""{BASE}, hit AS ({hits('every')}), h AS (SELECT id, count(*) FILTER (WHERE tier = 'block') AS b, count(*) FILTER (WHERE tier = 'warn') AS w FROM hit GROUP BY id),
+ m AS (SELECT *, (id % 4 + 4) % 4 AS how, (id % 5 + 5) % 5 AS quiet, (id % 3 + 3) % 3 AS answer FROM every)
+ SELECT id, md5(CASE WHEN coalesce(b, 0) = 0 THEN text WHEN how = 1 OR (how = 2 AND quiet = 0) THEN {block_masked('text')} WHEN answer = 0 THEN {block_masked('text')} WHEN answer = 1 THEN text END) AS inserted_md5, coalesce(w, 0) > 0 AS banner FROM m LEFT JOIN h USING (id)""",
+        "finding_chips": f"""{BASE}, hit AS ({ranked_hits('every')}), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pattern, start) AS n FROM hit),
+ s AS (SELECT id, string_agg({pretty('label')} || ':' || {masked_value('trim(value)')}, '; ' ORDER BY n) FILTER (WHERE n <= 3) AS shown, count(*) AS c FROM r GROUP BY id)
+ SELECT id, coalesce(shown, '') AS shown, greatest(coalesce(c, 0) - 3, 0) AS more FROM every LEFT JOIN s USING (id)""",
+        "dedupe_spans": f"""WITH RECURSIVE {BASE[5:]}, hit AS ({ranked_hits('every')}),
+ both_ AS (SELECT id, pattern, 0 AS copy, start, "end", label, value, source, tier, score FROM hit UNION ALL SELECT id, pattern, 1, start + 1, "end" + 1, label, value, source, tier, score FROM hit),
+ o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start, score DESC, copy, pattern) AS n FROM both_),
+ w AS (SELECT *, label AS last_label, "end" AS last_end, true AS kept FROM o WHERE n = 1
+  UNION ALL SELECT o.*, CASE WHEN w.last_label = o.label AND w.last_end > o.start THEN w.last_label ELSE o.label END, CASE WHEN w.last_label = o.label AND w.last_end > o.start THEN w.last_end ELSE o."end" END, NOT (w.last_label = o.label AND w.last_end > o.start) FROM w JOIN o ON o.id = w.id AND o.n = w.n + 1)
+ SELECT {cols} FROM w WHERE kept""",
+        "cooldown_sessions": """WITH RECURSIVE e AS (SELECT 'host' || (user_id % 11) AS host, epoch(ts)::BIGINT AS t, event_id % 3 = 0 AS needs FROM events),
+ p AS (SELECT host, min(t) AS t FROM e WHERE needs GROUP BY host UNION ALL SELECT p.host, (SELECT min(e.t) FROM e WHERE e.host = p.host AND e.needs AND e.t >= p.t + 300) FROM p WHERE p.t IS NOT NULL),
+ c AS (SELECT host, count(t) AS prompts FROM p GROUP BY host)
+ SELECT host, count(*) AS n, count(*) FILTER (WHERE needs) - min(coalesce(prompts, 0)) AS silent, min(coalesce(prompts, 0)) AS prompts FROM e LEFT JOIN c USING (host) GROUP BY host""",
+        "robustness_scorecard": f"WITH RECURSIVE {BASE[5:]}, {_PREDICTED}, {_MATCHED}, {_scorecard('card', 'true')} SELECT * FROM card",
+        "scorecard_regression": f"""WITH RECURSIVE {BASE[5:]}, {_PREDICTED}, {_MATCHED}, {_scorecard('fresh', 'true')}, {_scorecard('old', "id % 2 = 0 AND category <> 'SSN'")}
+ SELECT f.category, f.detect_pct AS new_pct, o.detect_pct AS old_pct FROM fresh f LEFT JOIN old o USING (category)""",
+        "external_to_bio": f"""{BASE}, x AS (SELECT id, i, start, "end", value, CASE label {_EXTERNAL} END AS label FROM ents), t AS (SELECT * FROM clean WHERE id IN (SELECT id FROM x WHERE label IS NOT NULL)),
+ v AS (SELECT x.*, len(regexp_extract_all(value, '\S+')) AS n, coalesce(max(CASE WHEN value ~ '.*\\S.*' THEN "end" END) OVER (PARTITION BY id ORDER BY start, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM x WHERE label IS NOT NULL),
+ parts AS (SELECT v.id, v.start AS a, v.i AS b, 0 AS c, regexp_extract_all(substr(text, pos + 1, greatest(v.start - pos, 0)), '\S+') AS words, NULL AS label FROM v JOIN t USING (id)
+  UNION ALL SELECT id, start, i, 1, regexp_extract_all(value, '\S+'), label FROM v
+  UNION ALL SELECT t.id, 1000000000, 0, 2, regexp_extract_all(substr(text, coalesce((SELECT max("end") FROM v WHERE v.id = t.id AND v.n > 0), 0) + 1), '\S+'), NULL FROM t),
+ flat AS (SELECT id, a, b, c, label, words, unnest(range(1, len(words) + 1)) AS k FROM parts)
+ SELECT id, row_number() OVER (PARTITION BY id ORDER BY a, b, c, k) - 1 AS pos, words[k] AS word, CASE WHEN label IS NULL THEN 'O' WHEN k = 1 THEN 'B-' || label ELSE 'I-' || label END AS tag FROM flat""",
+        "aggregate_word_pieces": _aggregated(),
     }
     return out

@@ -33,7 +33,7 @@ def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans_rows(df: DataFrame, col: str = "s") -> DataFrame:
-    return df.select("id", F.explode(col).alias("s")).select("id", "s.start", "s.end", "s.label", "s.value", "s.source", "s.tier", "s.score")
+    return T.unnest(df, col, "s", "id").select("id", "s.start", "s.end", "s.label", "s.value", "s.source", "s.tier", "s.score")
 
 
 # Detection
@@ -83,8 +83,8 @@ def merge_tagged_and_hits(spark, sf):
 @query
 def anti_interval_join(spark, sf):
     rows = _shifted(spark, sf)
-    hits = rows.select(F.col("id").alias("doc_id"), F.explode("hits").alias("h")).select("doc_id", "h.start", "h.end", "h.source")
-    return detect.anti_interval_join(hits, rows.select(F.col("id").alias("doc_id"), F.explode("ner").alias("h")).select("doc_id", "h.start", "h.end"))
+    hits = T.unnest(rows, "hits", "h", F.col("id").alias("doc_id")).select("doc_id", "h.start", "h.end", "h.source")
+    return detect.anti_interval_join(hits, T.unnest(rows, "ner", "h", F.col("id").alias("doc_id")).select("doc_id", "h.start", "h.end"))
 
 
 @query
@@ -97,7 +97,7 @@ def postprocess_spans(spark, sf):
 
 @query
 def tier_override(spark, sf):
-    rows = clean_texts(spark, sf).where("id >= 0").select("id", detect.regex_spans(F.col("text")).alias("s"))
+    rows = clean_texts(spark, sf).select("id", detect.regex_spans(F.col("text")).alias("s"))
     own = F.create_map(F.lit("IP_ADDRESS"), F.lit("block"), F.lit("CREDENTIAL"), F.lit("warn"))
     s = detect.override_tiers(F.col("s"), own)
     return rows.select("id", F.size(detect.of_tier(s, "block")).cast("long").alias("n_block"), F.size(detect.of_tier(s, "warn")).cast("long").alias("n_warn"))
@@ -119,12 +119,12 @@ def word_pieces(spark, sf):
 @query
 def aggregate_word_pieces(spark, sf):
     rows = word_pieces(spark, sf)
-    return rows.select("id", F.explode(detect.aggregate_bio(F.col("text"), F.col("tokens"))).alias("s")).select("id", "s.start", "s.end", "s.label", F.round("s.score", 9).alias("score"))
+    return T.unnest(rows, detect.aggregate_bio(F.col("text"), F.col("tokens")), "s", "id").select("id", "s.start", "s.end", "s.label", F.round("s.score", 9).alias("score"))
 
 
 @query
 def dedupe_spans(spark, sf):
-    rows = clean_texts(spark, sf).where("id >= 0").select("id", detect.regex_spans(F.col("text")).alias("s"))
+    rows = clean_texts(spark, sf).select("id", detect.regex_spans(F.col("text")).alias("s"))
     doubled = F.concat("s", F.transform("s", lambda s: detect.span(s["start"] + 1, s["end"] + 1, s["label"], s["value"], s["source"], s["tier"], s["score"])))
     return spans_rows(rows.select("id", detect.dedupe_overlapping(doubled).alias("s")))
 
@@ -134,7 +134,7 @@ def dedupe_spans(spark, sf):
 
 @query
 def parse_entities(spark, sf):
-    return annotated(spark, sf).select("id", F.explode(T.entities(F.col("text"))).alias("e")).select("id", "e.start", "e.end", "e.label", "e.value")
+    return T.unnest(annotated(spark, sf), T.entities(F.col("text")), "e", "id").select("id", "e.start", "e.end", "e.label", "e.value")
 
 
 @query
@@ -150,7 +150,7 @@ def strip_markers(spark, sf):
 @query
 def bio_words(spark, sf):
     rows = corpus.bio_rows(annotated(spark, sf).select("id", "text"))
-    return rows.select("id", F.posexplode(F.arrays_zip(F.col("tokens").alias("word"), F.col("tags").alias("tag"))).alias("pos", "w")).select("id", F.col("pos").cast("long").alias("pos"), "w.word", "w.tag")
+    return T.unnest(rows, F.arrays_zip(F.col("tokens").alias("word"), F.col("tags").alias("tag")), "w", "id", at="pos").select("id", F.col("pos").cast("long").alias("pos"), "w.word", "w.tag")
 
 
 @query
@@ -159,8 +159,8 @@ def shape_hashes(spark, sf):
 
 
 @query
-def redact_entities(spark, sf):
-    return annotated(spark, sf).select("id", T.redact(T.strip_markers(F.col("text")), T.entities(F.col("text"))).alias("redacted"))
+def replace_entities(spark, sf):
+    return annotated(spark, sf).select("id", T.replace_spans(T.strip_markers(F.col("text")), T.entities(F.col("text"))).alias("replaced"))
 
 
 @query
@@ -175,13 +175,13 @@ def escape_pages(spark, sf):
 
 @query
 def chunk_documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(T.chunks(F.col("text"))).alias("c")).select("doc_id", F.col("c.pos").cast("long").alias("pos"), F.md5("c.chunk").alias("chunk_md5"))
+    return T.unnest(table(spark, sf, "documents"), T.chunks(F.col("text")), "c", "doc_id").select("doc_id", F.col("c.pos").cast("long").alias("pos"), F.md5("c.chunk").alias("chunk_md5"))
 
 
 @query
 def token_windows(spark, sf):
     docs = corpus.negative_rows(table(spark, sf, "documents").select("doc_id", "text"))
-    w = docs.select("doc_id", F.explode(T.token_windows(F.col("tokens"), F.col("ner_tags"))).alias("w"))
+    w = T.unnest(docs, T.token_windows(F.col("tokens"), F.col("ner_tags")), "w", "doc_id")
     return w.select("doc_id", F.col("w.start").cast("long").alias("start"), F.size("w.tokens").cast("long").alias("n_tokens"), F.size("w.labels").cast("long").alias("n_labels"))
 
 
@@ -194,7 +194,7 @@ def contract_outside_markers(spark, sf):
 def split_tags(spark, sf):
     rows = corpus.bio_rows(annotated(spark, sf).select("id", "text"))
     tag = T.split_tag(F.col("tag"))
-    return rows.select(F.explode("tags").alias("tag")).groupBy(tag["prefix"].alias("prefix"), tag["label"].alias("label")).agg(F.count("*").alias("n"))
+    return T.unnest(rows, "tags", "tag").groupBy(tag["prefix"].alias("prefix"), tag["label"].alias("label")).agg(F.count("*").alias("n"))
 
 
 @query
@@ -216,7 +216,7 @@ def external_to_bio(spark, sf):
     names = F.create_map(*[F.lit(x) for pair in {"CREDENTIAL": "PASSWORD", "EMAIL": "EMAIL", "PHONE": "TELEPHONENUM", "SSN": "SOCIALNUM", "CREDIT_CARD": "NAME"}.items() for x in pair])
     mask = F.transform("e", lambda e: F.struct(names[e["label"]].alias("label"), e["start"], e["end"], e["value"]))
     rows = rows.withColumn("privacy_mask", mask).where(corpus.has_target(F.col("privacy_mask")))
-    return rows.select("id", F.posexplode(corpus.external_bio(F.col("source_text"), F.col("privacy_mask"))).alias("pos", "w")).select("id", F.col("pos").cast("long").alias("pos"), "w.word", "w.tag")
+    return T.unnest(rows, corpus.external_bio(F.col("source_text"), F.col("privacy_mask")), "w", "id", at="pos").select("id", F.col("pos").cast("long").alias("pos"), "w.word", "w.tag")
 
 
 # Audits
@@ -387,14 +387,13 @@ def robustness_scorecard(spark, sf):
 
 @query
 def entity_f1(spark, sf):
-    rows = expected_and_predicted(spark, sf)
-    flat = lambda c: rows.select("id", F.explode(c).alias("e")).select("id", "e.label", "e.start", "e.end").distinct()
-    return evaluate.entity_scores(flat("expected"), flat("predicted")).select("label", "expected", "predicted", "correct", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), F.round("f1", 9).alias("f1"))
+    found = evaluate.entity_scores_of(expected_and_predicted(spark, sf), "expected", "predicted")
+    return found.select("label", "expected", "predicted", "correct", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), F.round("f1", 9).alias("f1"))
 
 
 def _tags(spark, sf):
     rows = corpus.bio_rows(annotated(spark, sf).select("id", "text"))
-    return rows.select("id", F.posexplode("tags").alias("pos", "tag"))
+    return T.unnest(rows, "tags", "tag", "id", at="pos")
 
 
 @query
@@ -411,7 +410,7 @@ def class_weights(spark, sf):
 @query
 def tag_distribution(spark, sf):
     rows = corpus.bio_rows(annotated(spark, sf).select("id", "text"))
-    return evaluate.tag_distribution(rows).select(F.col("tag").cast("long").alias("tag"), F.col("count").alias("n"), F.round("pct", 6).alias("pct"))
+    return evaluate.tag_distribution(rows, limit=None).select(F.col("tag").cast("long").alias("tag"), F.col("count").alias("n"), F.round("pct", 6).alias("pct"))
 
 
 @query
@@ -494,24 +493,23 @@ def paste_events(spark, sf):
 
 @query
 def cooldown_sessions(spark, sf):
-    rows = paste_events(spark, sf).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "needs"))).alias("e"))
-    found = rows.select("host", F.explode(policy.cooldown(F.col("e"), F.lit(5))).alias("d"))
-    return found.groupBy("host").agg(F.count("*").alias("n"), F.count_if("d.silent").alias("silent"), F.count_if("d.prompt").alias("prompts"))
+    found = policy.cooldown_rows(paste_events(spark, sf), 5)
+    return found.groupBy("host").agg(F.count("*").alias("n"), F.count_if("silent").alias("silent"), F.count_if("prompt").alias("prompts"))
 
 
 @query
 def paste_decisions(spark, sf):
-    rows = clean_texts(spark, sf).where("id >= 0")
+    rows = clean_texts(spark, sf)
     rows = detect.mask(detect.detect(rows))
-    mode = F.element_at(F.array(*map(F.lit, ["confirm", "auto-redact", "cooldown", "modal"])), (F.col("id") % 4 + 1).cast("int"))
-    answer = F.element_at(F.array(*map(F.lit, ["redact", "send-anyway", "cancel"])), (F.col("id") % 3 + 1).cast("int"))
-    out = policy.decide(mode, F.col("id") % 5 == 0, F.size(detect.of_tier(F.col("spans"), "block")) > 0, answer, F.col("text"), F.col("masked"))
+    mode = F.element_at(F.array(*map(F.lit, ["confirm", rules.SILENT_MODE, rules.COOLDOWN_MODE, "modal"])), (F.pmod("id", F.lit(4)) + 1).cast("int"))
+    answer = F.element_at(F.array(*map(F.lit, rules.ANSWERS.values())), (F.pmod("id", F.lit(3)) + 1).cast("int"))
+    out = policy.decide(mode, F.pmod("id", F.lit(5)) == 0, F.size(detect.of_tier(F.col("spans"), "block")) > 0, answer, F.col("text"), F.col("masked"))
     return rows.select("id", F.md5(out).alias("inserted_md5"), policy.shows_banner(F.col("spans"), F.lit("banner")).alias("banner"))
 
 
 @query
 def finding_chips(spark, sf):
-    rows = clean_texts(spark, sf).where("id >= 0").select("id", policy.chips(detect.regex_spans(F.col("text"))).alias("c"))
+    rows = clean_texts(spark, sf).select("id", policy.chips(detect.regex_spans(F.col("text"))).alias("c"))
     return rows.select("id", F.array_join(F.transform("c.shown", lambda x: F.concat_ws(":", x["label"], x["value"])), "; ").alias("shown"), F.col("c.more").cast("long").alias("more"))
 
 

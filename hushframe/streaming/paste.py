@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import detect, policy
+from ..functions import rules
 from ..functions import text as T
+from ..operators import detect, policy
 
 EVENTS = "host string, ts timestamp, text string, mode string, decision string, trusted boolean, input_type string, enabled boolean"
 DECISIONS = "host string, ts timestamp, silent boolean, prompt boolean, result string"
@@ -24,7 +25,7 @@ def paste_stream(spark: SparkSession, path: str, schema: str = EVENTS) -> DataFr
 def masked(events: DataFrame) -> DataFrame:
     """Accepted events with spans and masked text; works on a stream as on a table."""
     found = detect.detect(policy.accepted(events))
-    return found.withColumn("masked", T.redact(F.col("text"), detect.of_tier(F.col("spans"), "block"))).withColumn("has_block", F.size(detect.of_tier(F.col("spans"), "block")) > 0)
+    return found.withColumn("masked", T.replace_spans(F.col("text"), detect.of_tier(F.col("spans"), "block"))).withColumn("has_block", F.size(detect.of_tier(F.col("spans"), "block")) > 0)
 
 
 def cooldown_decisions(events: DataFrame, minutes: int = 5, delay: str = "10 minutes") -> DataFrame:
@@ -41,11 +42,11 @@ def cooldown_decisions(events: DataFrame, minutes: int = 5, delay: str = "10 min
         out = []
         for r in rows.itertuples():
             quiet = last is not None and r.ts - last < window
-            silent = r.has_block and (r.mode == "auto-redact" or (r.mode == "cooldown" and quiet))
+            silent = r.has_block and (r.mode == rules.SILENT_MODE or (r.mode == rules.COOLDOWN_MODE and quiet))
             prompt = bool(r.has_block and not silent)
-            if prompt and r.mode == "cooldown":
+            if prompt and r.mode == rules.COOLDOWN_MODE:
                 last = r.ts
-            answer = {"redact": r.masked, "send-anyway": r.text}.get(r.decision)
+            answer = {rules.ANSWERS["mask"]: r.masked, rules.ANSWERS["send"]: r.text}.get(r.decision)
             out.append((key[0], r.ts, bool(silent), prompt, r.text if not r.has_block else r.masked if silent else answer))
         if last is not None:
             state.update((int(last.value // 1000),))
