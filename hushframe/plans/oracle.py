@@ -308,10 +308,10 @@ def statements() -> dict[str, str]:
         "scorecard_regression": f"""WITH RECURSIVE {BASE[5:]}, {_PREDICTED}, {_MATCHED}, {_scorecard('fresh', 'true')}, {_scorecard('old', "id % 2 = 0 AND category <> 'SSN'")}
  SELECT f.category, f.detect_pct AS new_pct, o.detect_pct AS old_pct FROM fresh f LEFT JOIN old o USING (category)""",
         "external_to_bio": f"""{BASE}, x AS (SELECT id, i, start, "end", value, CASE label {_EXTERNAL} END AS label FROM ents), t AS (SELECT * FROM clean WHERE id IN (SELECT id FROM x WHERE label IS NOT NULL)),
- v AS (SELECT x.*, len(regexp_extract_all(value, '\S+')) AS n, coalesce(max(CASE WHEN value ~ '.*\\S.*' THEN "end" END) OVER (PARTITION BY id ORDER BY start, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM x WHERE label IS NOT NULL),
- parts AS (SELECT v.id, v.start AS a, v.i AS b, 0 AS c, regexp_extract_all(substr(text, pos + 1, greatest(v.start - pos, 0)), '\S+') AS words, NULL AS label FROM v JOIN t USING (id)
-  UNION ALL SELECT id, start, i, 1, regexp_extract_all(value, '\S+'), label FROM v
-  UNION ALL SELECT t.id, 1000000000, 0, 2, regexp_extract_all(substr(text, coalesce((SELECT max("end") FROM v WHERE v.id = t.id AND v.n > 0), 0) + 1), '\S+'), NULL FROM t),
+ v AS (SELECT x.*, len(regexp_extract_all(value, '\\S+')) AS n, coalesce(max(CASE WHEN value ~ '.*\\S.*' THEN "end" END) OVER (PARTITION BY id ORDER BY start, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM x WHERE label IS NOT NULL),
+ parts AS (SELECT v.id, v.start AS a, v.i AS b, 0 AS c, regexp_extract_all(substr(text, pos + 1, greatest(v.start - pos, 0)), '\\S+') AS words, NULL AS label FROM v JOIN t USING (id)
+  UNION ALL SELECT id, start, i, 1, regexp_extract_all(value, '\\S+'), label FROM v
+  UNION ALL SELECT t.id, 1000000000, 0, 2, regexp_extract_all(substr(text, coalesce((SELECT max("end") FROM v WHERE v.id = t.id AND v.n > 0), 0) + 1), '\\S+'), NULL FROM t),
  flat AS (SELECT id, a, b, c, label, words, unnest(range(1, len(words) + 1)) AS k FROM parts)
  SELECT id, row_number() OVER (PARTITION BY id ORDER BY a, b, c, k) - 1 AS pos, words[k] AS word, CASE WHEN label IS NULL THEN 'O' WHEN k = 1 THEN 'B-' || label ELSE 'I-' || label END AS tag FROM flat""",
         "aggregate_word_pieces": _aggregated(),
