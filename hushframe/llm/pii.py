@@ -1,13 +1,16 @@
 """PII pseudonyms that keep their format, by keyed Feistel permutations in plain DataFrame functions.
 
 One pattern finds all kinds in one pass over a text; each match is validated and permuted inside the set of
-well-formed values of its kind, so equal values get equal pseudonyms in every document, different values get
-different ones, and lengths, separators, check digits and calendar validity are kept:
-  dates        valid calendar days of 1900 to 2102 are permuted among those days, others within their year
-  phones       North American numbers are permuted among numbers with valid area and exchange codes, others
-               by digits after the country code
+values of its kind and class, so equal values get equal pseudonyms in every document, different values of a kind
+get different ones, and lengths, separators, check digits and calendar validity are kept. Sets are products of two
+ranges that are covered exactly, so no value of one class can take the pseudonym of another:
+  dates        calendar days of 1900 to 2099 are permuted among those days, others within their year; days written
+               month first, with a day above 12, among the days so written; what is no calendar day stays
+  phones       North American numbers with valid area and exchange codes, with an invalid area code, and with only
+               an invalid exchange code, each among their like; others by digits after the country code
   cards        13 to 19 digits: the first digit stays; if the Luhn digit was right it is right again
-  SSNs         permuted among areas 001-665, groups 01-99, serials 0001-9999
+  SSNs         areas 001-665 and 667-899, groups 01-99, serials 0001-9999 among themselves; so are those with
+               another area, with group 00, and with serial 0000
   IBANs        country stays, letters and digits are permuted by class, check digits are recomputed if they
                were right
   IPv4         the two last octets' pair and the two first octets' pair are permuted
@@ -15,7 +18,9 @@ different ones, and lengths, separators, check digits and calendar validity are
   secrets      AKIA keys, 32 hex digits or more, and values after password=, token= and the like
 
 The permutation alternates two halves (a mod m, b mod n) with sums of keyed SHA-256 values, so any product
-m*n is a valid domain. Change the key to get other pseudonyms.
+m*n is a valid domain. The key decides everything and has no default: who has it can undo the pseudonyms. The
+registered query takes it from the session's setting spark.hushframe.pii.key; where that is unset it draws one for
+the run, which then links values within that run only.
 
 Defined results: null texts stay null; empty texts and texts without matches come back unchanged; other
 columns are left as they are; repeated rows get equal results; an empty table gives an empty result.
@@ -23,6 +28,7 @@ columns are left as they are; repeated rows get equal results; an empty table gi
 
 from __future__ import annotations
 
+import secrets
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,8 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-ROUNDS = 6
-DEFAULT_KEY = "hushframe"
+ROUNDS = 8
+#: The session's setting that holds the key.
+KEY_SETTING = "spark.hushframe.pii.key"
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,250}[A-Za-z0-9])?\.[A-Za-z]{2,24}"
 AKIA = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
@@ -135,16 +142,16 @@ def _two(v: Column, w: int) -> Column:
     return F.lpad(v.cast("string"), w, "0")
 
 
-#: 272 * 272 days from 1900-01-01 end in 2102.
-_DAYS_SIDE = 272
+#: 17 * 4297 days from 1900-01-01 to 2099-12-31.
+_SHORT, _LONG = 17, 4297
 
 
 def _day(date: Column, key: str) -> Column:
     """The pseudonym of a calendar day."""
     epoch = F.lit("1900-01-01").cast("date")
     since = F.datediff(date, epoch)
-    side = F.lit(_DAYS_SIDE)
-    inside = let(feistel(F.floor(since / side), F.pmod(since, side), _DAYS_SIDE, _DAYS_SIDE, key, "date"), lambda f: F.date_add(epoch, (f["a"] * side + f["b"]).cast("int")))
+    side = F.lit(_LONG)
+    inside = let(feistel(F.floor(since / side), F.pmod(since, side), _SHORT, _LONG, key, "date"), lambda f: F.date_add(epoch, (f["a"] * side + f["b"]).cast("int")))
 
     def within(s: Column) -> Column:
         m, n = F.when(s["leap"], F.lit(61)).otherwise(73).cast("long"), F.when(s["leap"], F.lit(6)).otherwise(5).cast("long")
@@ -152,7 +159,7 @@ def _day(date: Column, key: str) -> Column:
 
     start = F.trunc(date, "year")
     other = let(F.struct(start.alias("start"), (F.datediff(F.add_months(start, 12), start) == 366).alias("leap"), (F.dayofyear(date) - 1).cast("long").alias("at")), within)
-    return F.when((since >= 0) & (since < side * side), inside).otherwise(other)
+    return F.when((since >= 0) & (since < _SHORT * _LONG), inside).otherwise(other)
 
 
 def _calendar(year: Column, month: Column, day: Column) -> Column:
@@ -162,16 +169,37 @@ def _calendar(year: Column, month: Column, day: Column) -> Column:
 
 def _date(v: Column, key: str) -> Column:
     day = let(_calendar(F.substring(v, 1, 4), F.substring(v, 6, 2), F.substring(v, 9, 2)), lambda d: F.date_format(_day(d, key), "yyyy-MM-dd"))
-    return F.coalesce(day, _refill(v, permute_run(_digits(v), 10, key, "nodate")))
+    return F.coalesce(day, v)
+
+
+#: Months with 30 days or more, and with 31.
+_WITH_30, _WITH_31 = [1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12], [1, 3, 5, 7, 8, 10, 12]
+
+
+def _month_first(date: Column, key: str) -> Column:
+    """The pseudonym of a calendar day above the 12th of 1900 to 2099, among such days: the 13th to the 28th of all
+    months; the 29th, 30th and 31st each over the months that have them; the 29th of February over leap years."""
+    year, month, day = (F.year(date) - 1900).cast("long"), F.month(date).cast("long"), F.dayofmonth(date).cast("long")
+    shown = lambda y, m, d: F.concat(_two(m, 2), _two(d, 2), (y + 1900).cast("string"))
+    common = let(feistel(year * 12 + month - 1, day - 13, 2400, 16, key, "mdy"), lambda f: shown(F.floor(f["a"] / 12), f["a"] % 12 + 1, f["b"] + 13))
+
+    def late(months: list[int], tweak: str) -> Column:
+        some = F.array(*[F.lit(m).cast("long") for m in months])
+        at = F.array_position(some, month) - 1
+        return let(feistel(year, at, 200, len(months), key, tweak), lambda f: shown(f["a"], F.element_at(some, (f["b"] + 1).cast("int")), day))
+
+    leap = F.floor(year / 4) - 1
+    leap_day = let(feistel(F.floor(leap / 7), leap % 7, 7, 7, key, "leap"), lambda f: shown((f["a"] * 7 + f["b"] + 1) * 4, month, day))
+    return F.when(day <= 28, common).when((day == 29) & (month == 2), leap_day).when(day == 31, late(_WITH_31, "31st")).otherwise(late(_WITH_30, "30th"))
 
 
 def _dmy(v: Column, key: str) -> Column:
     """Day first, unless only month first is a calendar day."""
     a, b, y = F.substring(v, 1, 2), F.substring(v, 4, 2), F.substring(v, 7, 4)
-    day_first = b.cast("int") <= 12
-    date = F.when(day_first, _calendar(y, b, a)).when(a.cast("int") <= 12, _calendar(y, a, b))
-    text = let(date, lambda d: let(_day(d, key), lambda n: F.when(day_first, F.date_format(n, "ddMMyyyy")).otherwise(F.date_format(n, "MMddyyyy"))))
-    return _refill(v, F.coalesce(text, permute_run(_digits(v), 10, key, "nodate")))
+    day_first = let(_calendar(y, b, a), lambda d: F.date_format(_day(d, key), "ddMMyyyy"))
+    month_first = let(_calendar(y, a, b), lambda d: _month_first(d, key))
+    text = F.when(b.cast("int") <= 12, day_first).when(a.cast("int") <= 12, month_first)
+    return F.coalesce(_refill(v, text), v)
 
 
 def _nanp(v: Column, key: str) -> Column:
@@ -180,14 +208,15 @@ def _nanp(v: Column, key: str) -> Column:
         return F.struct(
             F.when(F.length(d) == 11, F.substring(d, 1, 1)).otherwise("").alias("country"),
             ten.alias("ten"),
-            (F.substring(ten, 1, 1).between("2", "9") & F.substring(ten, 4, 1).between("2", "9")).alias("valid"),
-            (((F.substring(ten, 1, 3).cast("long") - 200) * 800 + F.substring(ten, 4, 3).cast("long") - 200) * 10000 + F.substring(ten, 7, 4).cast("long")).alias("index"),
         )
 
     def new(s: Column) -> Column:
-        moved = let(feistel(F.floor(s["index"] / 80000), F.pmod(s["index"], F.lit(80000)), 80000, 80000, key, "nanp"), lambda f: f["a"] * 80000 + f["b"])
-        valid = let(moved, lambda x: F.concat(s["country"], (F.floor(x / 8000000) + 200).cast("string"), (F.floor(x / 10000) % 800 + 200).cast("string"), _two(x % 10000, 4)))
-        return F.when(s["valid"], valid).otherwise(F.concat(s["country"], permute_run(s["ten"], 10, key, "phone")))
+        area, exchange, line = (F.substring(s["ten"], k, n).cast("long") for k, n in ((1, 3), (4, 3), (7, 4)))
+        show = lambda area, exchange, line: F.concat(s["country"], _two(area, 3), _two(exchange, 3), _two(line, 4))
+        good = let(feistel((area - 200) * 100 + F.floor(line / 100), (exchange - 200) * 100 + line % 100, 80000, 80000, key, "nanp"), lambda f: show(F.floor(f["a"] / 100) + 200, F.floor(f["b"] / 100) + 200, f["a"] % 100 * 100 + f["b"] % 100))
+        no_area = let(feistel(area * 100 + F.floor(line / 100), exchange * 100 + line % 100, 20000, 100000, key, "area"), lambda f: show(F.floor(f["a"] / 100), F.floor(f["b"] / 100), f["a"] % 100 * 100 + f["b"] % 100))
+        no_exchange = let(feistel((area - 200) * 100 + F.floor(line / 100), exchange * 100 + line % 100, 80000, 20000, key, "exchange"), lambda f: show(F.floor(f["a"] / 100) + 200, F.floor(f["b"] / 100), f["a"] % 100 * 100 + f["b"] % 100))
+        return F.when(area < 200, no_area).when(exchange < 200, no_exchange).otherwise(good)
 
     return _refill(v, let(let(_digits(v), numbered), new))
 
@@ -215,10 +244,18 @@ def _card(v: Column, key: str) -> Column:
 
 
 def _ssn(v: Column, key: str) -> Column:
+    """Areas 001-665 and 667-899 are 898 in a row; the other 102 are 000, 666 and 900-999."""
     area, group, serial = F.substring(v, 1, 3).cast("long"), F.substring(v, 5, 2).cast("long"), F.substring(v, 8, 4).cast("long")
-    valid = area.between(1, 665) & (group >= 1) & (serial >= 1)
-    new = let(feistel((area - 1) * 99 + group - 1, serial - 1, 665 * 99, 9999, key, "ssn"), lambda f: F.concat_ws("-", _two(F.floor(f["a"] / 99) + 1, 3), _two(f["a"] % 99 + 1, 2), _two(f["b"] + 1, 4)))
-    return F.when(valid, new).otherwise(_refill(v, permute_run(_digits(v), 10, key, "ssn0")))
+    row = F.when(area > 666, area - 2).otherwise(area - 1)
+    odd = F.when(area == 0, 0).when(area == 666, 1).otherwise(area - 898).cast("long")
+    good = lambda r: F.when(r >= 665, r + 2).otherwise(r + 1)
+    bad = lambda r: F.when(r == 0, 0).when(r == 1, 666).otherwise(r + 898)
+    show = lambda area, group, serial: F.concat_ws("-", _two(area, 3), _two(group, 2), _two(serial, 4))
+    valid = let(feistel(row * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn"), lambda f: show(good(F.floor(f["a"] / 99)), f["a"] % 99 + 1, f["b"] + 1))
+    other_area = let(feistel(odd * 100 + group, serial, 10200, 10000, key, "ssn area"), lambda f: show(bad(F.floor(f["a"] / 100)), f["a"] % 100, f["b"]))
+    no_group = let(feistel(row, serial, 898, 10000, key, "ssn group"), lambda f: show(good(f["a"]), F.lit(0), f["b"]))
+    no_serial = let(feistel(row, group - 1, 898, 99, key, "ssn serial"), lambda f: show(good(f["a"]), f["b"] + 1, F.lit(0)))
+    return F.when((area == 0) | (area == 666) | (area >= 900), other_area).when(group == 0, no_group).when(serial == 0, no_serial).otherwise(valid)
 
 
 def _iban_rest(plain: Column) -> Column:
@@ -273,13 +310,13 @@ def _secret(v: Column, key: str) -> Column:
 _CHANGE = {"email": _email, "secret": _secret, "akia": _akia, "hex": _hex, "date": _date, "dmy": _dmy, "ssn": _ssn, "nanp": _nanp, "card": _card, "abroad": _abroad, "iban": _iban, "ipv4": _ipv4}
 
 
-def pseudonym(value: Column, key: str = DEFAULT_KEY) -> Column:
+def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of one whole match, by the first kind that it fits."""
     kinds = [(value.rlike(f"^(?:{pattern})$"), _CHANGE[kind](value, key)) for kind, pattern in KINDS.items()]
     return F.coalesce(reduce(lambda chain, case: chain.when(*case), kinds[1:], F.when(*kinds[0])), value)
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY, hits_col: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", hits_col: str | None = None) -> DataFrame:
     """docs with PII in text_col replaced; all other columns as they are. hits_col: keeps the matches there."""
     hits = hits_col or _free_name(docs, "hits")
     text = F.col(f"`{text_col}`")
@@ -298,7 +335,12 @@ def _free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key of the session's setting, or one drawn for this run where it is unset."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(16)
+
+
 def op6_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its PII replaced, and how many values were."""
-    found = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), hits_col="hits")
+    found = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), session_key(spark), hits_col="hits")
     return found.select("doc_id", "text", F.when(F.size("hits") > 0, F.size("hits")).otherwise(0).cast("long").alias("n_replaced"))
