@@ -3,15 +3,15 @@
 A classifier learnt from labelled rows gives every document a posterior over the domains. Document i has n_i
 tokens and posterior p_i; at rates r_i the expected tokens of domain k are sum_i r_i n_i p_ik. Rates are fitted
 by projected-gradient least squares: they start at 1, each step moves all rates along the gradient of the
-squared misses, scaled by the inverse of its curvature over the domains, and clips them at `floor`, which is 0
-or more. One step is one distributed sum of as many numbers as
-there are domains; a document's rate follows from its own posterior and the few multipliers so far, so
-rates are never shuffled or stored between steps.
+squared misses, scaled by the inverse of its curvature over the domains and the rates that are free to move, and
+clips them at `floor`, by default 0. One step is one distributed sum of some dozen numbers; a document's rate
+follows from its own posterior and the few multipliers so far, so rates are never shuffled or stored between
+steps. Steps end at `tolerance`; if they run out before, that is an error, so results always meet the targets.
 
 The classifier is multinomial naive Bayes over hashed words, from a bounded sample (fit_rows labelled rows, by
-least id hash); posteriors and token counts read every whole text. Unless a total is given, the token scale of
-the target is the least at which the best supplied domain needs no rate below `floor`: with the floor at 1,
-mixing repeats documents and drops none.
+least id hash); posteriors and token counts read every whole text. Unless a total is given, the targets add up to
+the tokens there are. With a floor above 0, that total may be out of reach; `reachable_total` gives one that is
+not: at the rates it stands for, no document is below the floor, so mixing repeats documents and drops none.
 
 In the tables here a text says nothing about its source column, so a classifier of sources could only give
 the prior; the query's domains are the languages, of the documents that the labels table covers.
@@ -41,7 +41,7 @@ FIT_ROWS = 4_000
 WORD_MEMORY = 300_000
 #: Targets of the registered query and of the pipeline.
 TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
-ROUNDS = 25
+ROUNDS = 200
 
 
 def word_buckets(text: str | None, known: dict[bytes, int]) -> np.ndarray:
@@ -120,61 +120,86 @@ def _rate(p: F.Column, history: list[np.ndarray], floor: float) -> F.Column:
     return F.aggregate(steps, F.lit(1.0), lambda r, step: F.greatest(F.lit(float(floor)), r + F.aggregate(F.zip_with(p, step, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
 
 
-def fit_rates(found: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None, floor: float = 1.0, rounds: int = ROUNDS, tolerance: float = 1e-3) -> tuple[F.Column, dict]:
+def fit_rates(found: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None, floor: float = 0.0, rounds: int = ROUNDS, tolerance: float = 1e-6) -> tuple[F.Column, dict]:
     """found (id, n_tokens, p) -> (rate as a function of column p, report).
 
-    Every step asks for the expected tokens of each domain at the present rates. The gradient in r_i of half
-    the squared relative misses is n_i sum_k p_ik miss_k / T_k^2; it is preconditioned by n_i, so that long
-    texts do not move first, and by the domains' own curvature."""
+    Every step asks for the expected tokens of each domain at the present rates, and for their curvature over the
+    documents whose rate is above the floor. The gradient in r_i of half the squared misses is n_i sum_k p_ik
+    miss_k; it is preconditioned by n_i, so that long texts do not move first, and by that curvature. A step is cut
+    in half until it brings the squared misses down. RuntimeError: `rounds` sums were not enough for `tolerance`,
+    relative to the greatest target."""
     if floor < 0 or floor > 1:
         raise ValueError("floor must be from 0 to 1, the rate at the start")
     share = np.array([targets[d] for d in domains], float)
     share = share / share.sum()
     kth = [F.col("p")[k] for k in range(len(domains))]
 
-    def sums(rate: F.Column, square: bool = False) -> np.ndarray:
-        w = F.col("n_tokens") * rate
-        cells = [F.sum(w * x) for x in kth]
-        if square:
-            cells += [F.sum(F.col("n_tokens") * x * y) for x in kth for y in kth]
-        return np.array([float(v or 0.0) for v in found.agg(*[c.alias(f"c{i}") for i, c in enumerate(cells)]).first()])
-
-    first = sums(F.lit(1.0), True)
-    now, gram = first[: len(domains)], first[len(domains) :].reshape(len(domains), -1)
-    if not now.sum() or not (now > 0).all():
+    def sums(history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        rate = _rate(F.col("p"), history, floor)
+        rows = found.select("n_tokens", "p", rate.alias("r"))
+        # At the start, rates at the floor are free as well: they may rise.
+        free = F.when((F.col("r") > floor) | F.lit(not history), F.col("n_tokens")).otherwise(0)
+        cells = [F.sum(F.col("n_tokens") * F.col("r") * x) for x in kth] + [F.sum(free * x * y) for x in kth for y in kth]
+        got = np.array([float(v or 0.0) for v in rows.agg(*[c.alias(f"c{i}") for i, c in enumerate(cells)]).first()])
+        return got[: len(domains)], got[len(domains) :].reshape(len(domains), -1)
+
+    now, gram = sums([])
+    if not now.sum() or not (now[share > 0] > 0).all():
         return F.lit(1.0), {"before": now.tolist(), "after": now.tolist(), "target": now.tolist(), "steps": 0, "history": []}
-    # Rates move by sums of p_ik times multipliers; at the scale below the least favoured domain stays at the floor.
-    scale = total if total is not None else float(floor * (now / share).max())
-    target = share * scale
+    target = share * (total if total is not None else now.sum())
     history: list[np.ndarray] = []
-    before = now
-    curvature = np.linalg.pinv(gram, rcond=1e-9)
-    for _ in range(rounds):
-        miss = target - now
-        if np.abs(miss).max() <= tolerance * target.max():
-            break
-        history.append(curvature @ miss)
-        now = sums(_rate(F.col("p"), history, floor))
+    before, asked = now, 0
+    while np.abs(target - now).max() > tolerance * target.max():
+        step = np.linalg.pinv(gram, rcond=1e-9) @ (target - now)
+        for half in range(20):
+            after, curve = sums([*history, step * 0.5**half])
+            asked += 1
+            if ((target - after) ** 2).sum() < ((target - now) ** 2).sum():
+                break
+            if asked >= rounds:
+                raise RuntimeError(f"rates miss the targets by {np.abs(target - now).max() / target.max():.2e} after {asked} sums")
+        else:
+            raise RuntimeError(f"no rates from {floor} up come nearer to the targets than {np.abs(target - now).max() / target.max():.2e}")
+        history, now, gram = [*history, step * 0.5**half], after, curve
     return _rate(F.col("p"), history, floor), {"before": before.tolist(), "after": now.tolist(), "target": target.tolist(), "steps": len(history), "history": history}
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[DataFrame, dict]:
-    """(id, n_tokens, p, rate) for every row, and the report of the fit."""
+def reachable_total(found: DataFrame, domains: list[str], targets: dict[str, float], slack: float = 1.05) -> float:
+    """A total at which rates of 1 and more meet the targets: rates are 1 + sum_k p_ik x_k, with x not negative. Where
+    the shortfall at the scale of the best supplied domain needs a negative x, the scale grows."""
+    kth = [F.col("p")[k] for k in range(len(domains))]
+    row = found.agg(*[F.sum(F.col("n_tokens") * x) for x in kth], *[F.sum(F.col("n_tokens") * x * y) for x in kth for y in kth]).first()
+    got = np.array([float(v or 0.0) for v in row])
+    now, gram = got[: len(domains)], got[len(domains) :].reshape(len(domains), -1)
+    share = np.array([targets[d] for d in domains], float)
+    share = share / share.sum()
+    total = float((now[share > 0] / share[share > 0]).max()) if now.sum() else 0.0
+    while total and (np.linalg.pinv(gram, rcond=1e-9) @ (share * total - now) < 0).any() and total < 1e6 * now.sum():
+        total *= slack
+    return total
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", floor: float = 0.0, total: float | None = None, **options) -> tuple[DataFrame, dict]:
+    """(id, n_tokens, p, rate) for every row, and the report of the fit. With a floor above 0 and no total, a total
+    that the floor allows is taken."""
     domains = sorted(targets)
     weights = train(docs, labelled, domains, text_col, id_col)
     found = materialize(members(docs, weights, text_col, id_col), "members")
-    rate, report = fit_rates(found, domains, targets, **options)
-    return found.withColumn("rate", F.when(F.col("n_tokens") > 0, rate).otherwise(1.0)), report | {"weights": weights}
+    if floor > 0 and total is None:
+        total = reachable_total(found, domains, targets)
+    rate, report = fit_rates(found, domains, targets, total=total, floor=floor, **options)
+    return found.withColumn("rate", F.when(F.col("n_tokens") > 0, rate).otherwise(1.0)), report | {"weights": weights, "floor": floor}
 
 
-def repeat_rows(docs: DataFrame, report: dict, text_col: str = "text", floor: float = 1.0) -> DataFrame:
+def repeat_rows(docs: DataFrame, report: dict, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with every row as often as its rate says; columns as they are. Rates are computed again from the
-    texts, so no row is joined to its rate. The broken part of a rate is drawn by a hash of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast((report["weights"], report["history"]))
-    at = docs.columns.index(text_col)
+    texts, so no row is joined to its rate. The broken part of a rate is drawn by a hash of the id and the text, so
+    equal texts draw apart; rows with no id draw by their text."""
+    shared = docs.sparkSession.sparkContext.broadcast((report["weights"], report["history"], report["floor"]))
+    at, name = docs.columns.index(text_col), docs.columns.index(id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, history = shared.value
+        weights, history, floor = shared.value
         known: dict[bytes, int] = {}
         for part in byte_slices(batches, at):
             texts = [t.as_py() or "" for t in part.column(at)]
@@ -183,7 +208,8 @@ def repeat_rows(docs: DataFrame, report: dict, text_col: str = "text", floor: fl
             for step in history:
                 r = np.maximum(floor, r + p @ step)
             r[n == 0] = 1
-            u = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "replace"), 9) for t in texts], np.float64) / 2.0**64
+            keys = [f"{i}|{t}" for i, t in zip(part.column(name).to_pylist(), texts)]
+            u = np.array([xxhash.xxh64_intdigest(k.encode("utf-8", "replace"), 9) for k in keys], np.float64) / 2.0**64
             times = np.floor(r).astype(np.int64) + (u < r - np.floor(r))
             yield part.take(pa.array(np.repeat(np.arange(len(texts)), times)))
 
@@ -191,8 +217,8 @@ def repeat_rows(docs: DataFrame, report: dict, text_col: str = "text", floor: fl
 
 
 def copies(rate: F.Column, *keys: F.Column) -> F.Column:
-    """A whole number of copies whose mean over keys is the rate, by a hash of the keys."""
-    u = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    """A whole number of copies whose mean over keys is the rate, by a hash of the keys, nulls among them."""
+    u = F.pmod(F.xxhash64(*[F.coalesce(k.cast("string"), F.lit("")) for k in keys]), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return (F.floor(rate) + (u < rate - F.floor(rate)).cast("int")).cast("int")
 
 
@@ -209,4 +235,4 @@ def op9_mixing_soft_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     domains = sorted(TARGETS)
     p = [F.element_at("p", k + 1).alias(f"p_{d}") for k, d in enumerate(domains)]
     miss = max(abs(a - t) / t if t else 0.0 for a, t in zip(report["after"], report["target"]))
-    return found.select(F.col("id").alias("doc_id"), "n_tokens", *p, "rate", copies(F.col("rate"), F.col("id")).alias("copies"), F.lit(miss).alias("largest_miss"))
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", *p, "rate", copies(F.col("rate"), F.col("id"), F.col("n_tokens")).alias("copies"), F.lit(miss).alias("largest_miss"))
