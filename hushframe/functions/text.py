@@ -229,6 +229,13 @@ def token_windows(tokens: Column, tags: Column, content: int = 510, step: int =
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(tokens, s + 1, F.lit(content)).alias("tokens"), F.concat(edge, F.slice(tags, s + 1, F.lit(content)), edge).alias("labels")))
 
 
+def piece_labels(pieces: Column, tags: Column, inside: bool = True) -> Column:
+    """Labels of word pieces, from the pieces of each word and the words' BIO ids: the first piece has the word's; the
+    others continue it, a B as I, or with inside=False are ignored (-100)."""
+    follow = lambda t: F.when((t > 0) & (t % 2 == 1), t + 1).otherwise(t) if inside else F.lit(-100)
+    return F.flatten(F.zip_with(pieces, tags, lambda p, t: F.transform(p, lambda x, i: F.when(i == 0, t).otherwise(follow(t)))))
+
+
 def outside_markers(text: Column, change: Callable[[Column], Column], pattern: str = rules.MARKER) -> Column:
     """change() applied to what is between markers; markers stay byte for byte."""
     gaps = F.transform(F.split(text, pattern, -1), change)

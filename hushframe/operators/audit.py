@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,21 +56,15 @@ def variable_mismatches(rows: DataFrame) -> DataFrame:
     return found.where(~fits).select("id", "var", "value")
 
 
-def semantic(rows: DataFrame) -> DataFrame:
-    """Counts of values that do not look like their label."""
+def semantic(rows: DataFrame, checks: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+    """Counts of values that do not look like their label. checks: further ones by name, each a condition on
+    (value, label) that holds for a bad value."""
     v, label = F.col("value"), F.col("label")
     cred = label == "CREDENTIAL"
     count = lambda c, name: F.count_if(c).alias(name)
     bad = [count((label == k) & ~v.rlike(p), f"{k.lower()}_bad_format") for k, p in rules.AUDIT_FORMATS.items()]
     looks = [count(cred & v.rlike(rules.AUDIT_FORMATS["SSN"]), "cred_looks_like_ssn"), count(cred & v.rlike(r"^[0-9\s\-]{15,19}$"), "cred_looks_like_cc"), count(cred & v.rlike(rules.AUDIT_FORMATS["EMAIL"]), "cred_looks_like_email")]
-    return occurrences(rows).agg(*looks, *bad)
-
-
-def index_percentile(sorted_values: Column, n: Column, q: float) -> Column:
-    """The value at place int(n*q) of a sorted array, the first or the last where there are at most 100."""
-    edge = F.lit(1) if q < 0.5 else F.greatest(n, F.lit(1))
-    at = F.when(n > 100, F.floor(n * F.lit(q)).cast("int") + 1).otherwise(edge) if q != 0.5 else F.floor(n / 2).cast("int") + 1
-    return F.try_element_at(sorted_values, at)
+    return occurrences(rows).agg(*looks, *bad, *[count(check(v, label), name) for name, check in (checks or {}).items()])
 
 
 def length_percentiles(rows: DataFrame) -> DataFrame:
@@ -147,14 +143,14 @@ def tokenization(rows: DataFrame, count: Column, sample: int = 100, limit: int =
     return some.agg(n.alias("sampled"), F.try_element_at(s, F.greatest(F.lit(0), F.floor(n / 100).cast("int")) + 1).alias("p1"), F.try_element_at(s, F.floor(n / 2).cast("int") + 1).alias("p50"), F.try_element_at(s, F.least(n - 1, F.floor(n * 0.99)).cast("int") + 1).alias("p99"), F.count_if(F.col("n") > limit).alias("over_limit"), F.max("n").alias("max"))
 
 
-def report(train: DataFrame, evals: DataFrame, negatives: DataFrame) -> dict:
-    """The nested audit report; every part is a few numbers."""
+def report(train: DataFrame, evals: DataFrame, negatives: DataFrame, checks: dict[str, Callable[[Column, Column], Column]] | None = None) -> dict:
+    """The nested audit report; every part is a few numbers. checks: those of semantic()."""
     row = lambda df: df.first().asDict()
     out: dict = {}
     for name, rows, positive in (("train", train, True), ("eval", evals, True), ("negatives", negatives, False)):
         part = {"structural": row(structural(rows, positive)), "diversity": row(diversity(rows)) | row(length_percentiles(rows)), "top_repeat_counts": [r["count"] for r in top_repeats(rows).collect()]}
         if positive:
-            part["semantic"] = row(semantic(rows)) | {"var_value_mismatch": variable_mismatches(rows).count()}
+            part["semantic"] = row(semantic(rows, checks)) | {"var_value_mismatch": variable_mismatches(rows).count()}
         out[name] = part
     every = train.union(evals)
     out["coverage"] = {r.label: r.asDict() for r in coverage(every).collect()}

@@ -198,6 +198,27 @@ def detect(docs: DataFrame, text_col: str = "text", provider: Callable[[DataFram
     return joined.withColumn("spans", postprocess(merge_spans(spans, regex_spans(text)), policy)).drop("_row", "ner", "n")
 
 
+_LOADED: dict[str, Callable] = {}
+
+
+def tagger(load: Callable[[], Callable[[list[str]], list[list[dict]]]], name: str = "tagger") -> Callable[[DataFrame], DataFrame]:
+    """A provider for detect() from a token tagger in Python. load() gives a function from texts to their word pieces,
+    dicts of entity, score, index and word; it is called once in each Python worker, at its first batch, and what it
+    returns stays there. Chunks come and go in Arrow batches."""
+    pieces = "array<struct<entity:string,score:double,index:int,word:string>>"
+
+    def provider(chunks: DataFrame) -> DataFrame:
+        def run(frames):
+            if name not in _LOADED:
+                _LOADED[name] = load()
+            for frame in frames:
+                yield frame.assign(tokens=_LOADED[name](frame["chunk"].tolist()))
+
+        return chunks.mapInPandas(run, f"{T.fields(chunks)}, tokens {pieces}")
+
+    return provider
+
+
 def mask(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """docs with the spans of tier block replaced in a column `masked`."""
     return docs.withColumn("masked", T.replace_spans(F.col(text_col), of_tier(F.col(spans_col), "block")))

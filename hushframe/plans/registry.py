@@ -433,8 +433,8 @@ def best_epoch(spark, sf):
 @query
 def synth_values(spark, sf):
     key = F.col("n_nationkey")
-    shapes = [F.struct(F.lit(n).alias("shape"), synth.value_of(s, key, slot=n).alias("value")) for n, s in synth.SHAPES.items() if n not in oracle.LONG_SHAPES]
-    return table(spark, sf, "nation").select(key, F.explode(F.array(*shapes)).alias("v")).select("n_nationkey", "v.shape", "v.value")
+    made = F.transform(synth.shape_table(list(synth.SHAPES)), lambda s: F.struct(s["name"].alias("shape"), synth.value_from(s["parts"], key, "42", s["name"]).alias("value")))
+    return T.unnest(table(spark, sf, "nation"), made, "v", "n_nationkey").select("n_nationkey", "v.shape", "v.value")
 
 
 @query

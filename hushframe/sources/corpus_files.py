@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions import text as T
 from ..operators import corpus
 
 
@@ -26,6 +27,12 @@ def read_annotated(spark: SparkSession, path: str, drop_empty: bool = False, pat
     return corpus.bio_rows(read_csv(spark, path), pattern=pattern, drop_empty=drop_empty)
 
 
+def dropped_labels(rows: DataFrame, pattern: str = rules.MARKER) -> DataFrame:
+    """(label, n): labels of markers that no reader keeps, and how often they occur."""
+    found = T.unnest(rows, T.markers(F.col("text"), pattern), "m").select("m.label")
+    return found.where(~F.col("label").isin(rules.LABELS)).groupBy("label").agg(F.count("*").alias("n"))
+
+
 def read_negatives(spark: SparkSession, path: str) -> DataFrame:
     return corpus.negative_rows(read_csv(spark, path))
 

@@ -1,0 +1,139 @@
+"""Sources, settings, voices, word pieces and synthesis rules that have no query of their own."""
+
+import json
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from hushframe.functions import rules
+from hushframe.functions import text as T
+from hushframe.operators import audit, corpus, detect, policy, synth
+from hushframe.sources import corpus_files
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    return synth.positives(spark.range(1200).withColumnRenamed("id", "id")).collect()
+
+
+def test_positives_follow_the_rules(made):
+    marker = re.compile(r"\[([^\]\|]*)\|([A-Z_]+)\]")
+    values, labels = Counter(), Counter()
+    for r in made:
+        found = marker.findall(r.text)
+        if r.context == "code":
+            assert found and {x for _, x in found} == {"CREDENTIAL"}
+        elif r.context == "env_multi":
+            assert 3 <= len(found) <= 8
+        elif r.context == "proximity_chain":
+            assert len(found) >= 3
+        elif r.context == "test_and_real_mix":
+            assert len(found) == 1 and found[0][1] == r.primary_label
+        else:
+            assert len(found) in synth.VALUE_COUNTS[r.length_mode]
+            assert found[0][1] == r.primary_label
+        values.update(v for v, _ in found)
+        labels.update(x for _, x in found)
+    assert set(labels) == set(rules.LABELS) and max(values.values()) <= 3
+    assert {r.context for r in made} == set(synth.CONTEXTS)
+    assert all(synth._MODE[m] in ("short", "medium", "long") for c in synth.CONTEXTS.values() for m in c[0])
+    for r in made:
+        assert r.length_mode in [synth._MODE[m] for m in synth.CONTEXTS[r.context][0]]
+
+
+def test_every_credential_kind_occurs(spark):
+    u = spark.range(6000).select(synth.labelled_value(F.lit("CREDENTIAL"), F.col("id"), "42", F.lit("x")).alias("v"), (T.draw("42", F.col("id"), "x.shape", len(synth.credential_shapes()))).alias("k"))
+    kinds = {r.k for r in u.collect() if r.v}
+    assert kinds == set(range(len(synth.credential_shapes())))
+
+
+def test_user_shapes_and_checks(spark):
+    synth.register_shape("acme_key", "acme_{N:8}")
+    try:
+        found = spark.range(3000).select(synth.labelled_value(F.lit("CREDENTIAL"), F.col("id"), "42", F.lit("x")).alias("v")).where("v like 'acme_%'").collect()
+        assert found and all(re.fullmatch("acme_[A-Za-z0-9]{8}", r.v) for r in found)
+        with pytest.raises(ValueError):
+            synth.register_shape("acme_key", "x")
+    finally:
+        synth.unregister_shape("acme_key")
+    rows = spark.createDataFrame([(1, "[abc|CREDENTIAL] [abcdef|CREDENTIAL]")], "id int, text string")
+    assert audit.semantic(rows, {"short_credential": lambda v, label: (label == "CREDENTIAL") & (F.length(v) < 5)}).first().short_credential == 1
+
+
+def test_variable_names_suit_values(spark):
+    rows = [("postgres://a:b@c", "CREDENTIAL", {"DATABASE_URL", "DB_URL", "DB_CONNECTION_STRING"}), ("AC" + "a" * 32, "CREDENTIAL", {"TWILIO_ACCOUNT_SID", "TWILIO_AUTH_TOKEN"}), ("x" * 36 + "NRAL", "CREDENTIAL", {"NEW_RELIC_LICENSE_KEY", "NR_LICENSE"}), ("00" + "a" * 40, "CREDENTIAL", {"OKTA_API_TOKEN", "OKTA_TOKEN"}), ("00" + "a" * 39, "CREDENTIAL", set(synth.LABEL_VARIABLES["CREDENTIAL"])), ("AKIA", "EMAIL", set(synth.LABEL_VARIABLES["EMAIL"]))]
+    df = spark.createDataFrame([(i, v, x) for i, (v, x, _) in enumerate(rows)], "id long, v string, label string")
+    for r in df.select("id", synth.variable_name(F.col("v"), F.col("label"), F.col("id")).alias("name")).collect():
+        assert r.name in rows[r.id][2]
+
+
+def test_typos_stay_outside_markers(spark):
+    df = spark.createDataFrame([(k, "some ordinary words here [keep_this|EMAIL] and more words") for k in range(40)], "id int, text string")
+    out = [r.t for r in df.select(synth.typos(F.col("text"), F.col("id"), per_mille=200).alias("t")).collect()]
+    assert all("[keep_this|EMAIL]" in t and len(t) == len("some ordinary words here [keep_this|EMAIL] and more words") for t in out) and len(set(out)) > 30
+
+
+def test_readers(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "mail [a@b.c|EMAIL] now"), (2, "nothing"), (3, "odd [x|FOO] [y|FOO]")], "ord int, text string")
+    corpus_files.write_csv(texts, str(tmp_path / "c"), "ord")
+    rows = corpus_files.read_annotated(spark, str(tmp_path / "c")).orderBy("id").collect()
+    assert [r.tags for r in rows] == [["O", "B-EMAIL", "O"], ["O"], ["O", "O", "O"]]
+    assert [r.id for r in corpus_files.read_annotated(spark, str(tmp_path / "c"), drop_empty=True).collect()] == [1]
+    assert [(r.label, r.n) for r in corpus_files.dropped_labels(corpus_files.read_csv(spark, str(tmp_path / "c"))).collect()] == [("FOO", 2)]
+    assert {r.id: r.ner_tags for r in corpus_files.read_negatives(spark, str(tmp_path / "c")).collect()}[2] == [0]
+    adversarial = spark.createDataFrame([(1, None, "x [k|CREDENTIAL]"), (2, "nested", "(([k|CREDENTIAL]))")], "ord int, category string, text string")
+    corpus_files.write_csv(adversarial, str(tmp_path / "a"), "ord", ("category", "text"))
+    got = {r.id: (r.category, len(r.entities)) for r in corpus_files.read_adversarial(spark, str(tmp_path / "a")).collect()}
+    assert got == {1: ("unknown", 1), 2: ("nested", 1)}
+    (tmp_path / "x.json").write_text("\n".join(json.dumps(r) for r in [
+        {"source_text": "call 555", "language": "en", "privacy_mask": [{"label": "PHONENUMBER", "start": 5, "end": 8, "value": "555"}]},
+        {"source_text": "ruf 555", "language": "de", "privacy_mask": [{"label": "PHONENUMBER", "start": 4, "end": 7, "value": "555"}]},
+        {"source_text": "Ann", "language": "en", "privacy_mask": [{"label": "NAME", "start": 0, "end": 3, "value": "Ann"}]}]))
+    assert [[tuple(w) for w in r.bio] for r in corpus_files.read_external(spark, str(tmp_path / "x.json")).collect()] == [[("call", "O"), ("555", "B-PHONE")]]
+    assert corpus_files.read_external(spark, str(tmp_path / "x.json"), None).count() == 2
+
+
+def test_made_once_and_reports(spark, tmp_path):
+    calls = []
+    make = lambda: calls.append(1) or spark.range(3)
+    path = str(tmp_path / "t")
+    assert corpus_files.ensure_corpus(spark, path, make).count() == corpus_files.ensure_corpus(spark, path, make).count() == 3 and len(calls) == 1
+    corpus_files.write_report(spark, {"a": {"b": 1}}, str(tmp_path / "r"))
+    assert json.loads("\n".join(r.value for r in spark.read.text(str(tmp_path / "r")).collect())) == {"a": {"b": 1}}
+    audit.require_clean({"summary": {"passed": True}})
+    with pytest.raises(ValueError):
+        audit.require_clean({"summary": {"passed": False, "failures": 2}})
+
+
+def test_settings_and_failures(spark):
+    old = spark.createDataFrame([("a", "1"), ("b", "2")], "name string, value string")
+    new = spark.createDataFrame([("b", "3")], "name string, value string")
+    assert sorted(map(tuple, policy.upsert_settings(old, new).collect())) == [("a", "1"), ("b", "3")]
+    over = F.create_map(F.lit("EMAIL"), F.lit("warn"), F.lit("SSN"), F.lit("block"))
+    assert spark.range(1).select(policy.kept_overrides(over).alias("o")).first().o == {"EMAIL": "warn"}
+    df = spark.createDataFrame([(None, "t"), ("m", "t")], "m string, t string")
+    assert [(r.a, r.b) for r in df.select(policy.fail_open(F.col("m"), F.col("t")).alias("a"), policy.fail_open(F.col("m"), F.col("t"), False).alias("b")).collect()] == [("t", None), ("m", "m")]
+    spans = "array<struct<start:int,end:int,label:string>>"
+    row = spark.createDataFrame([("abcdef", [(1, 3, "X"), (2, 5, "Y")]), ("abcdef", [(4, 5, "X"), (0, 2, "Y")])], f"t string, s {spans}")
+    assert [r.o for r in row.select(T.replace_spans(F.col("t"), F.col("s"), lambda s: F.concat(F.lit("<"), s["label"], F.lit(">"))).alias("o")).collect()] == ["a<X>Y>f", "<Y>cd<X>f"]
+    assert spark.range(1).select(T.strip_prefixes(F.lit("B-EMAIL")).alias("x")).first().x == "EMAIL"
+
+
+def test_python_tagger_and_word_pieces(spark):
+    def load():
+        return lambda texts: [[{"entity": "B-CREDENTIAL", "score": 0.9, "index": 0, "word": "hunter2"}] if "hunter2" in t else [] for t in texts]
+
+    df = spark.createDataFrame([(1, "pw hunter2"), (2, "none"), (3, None)], "id int, text string")
+    got = {r.id: [(s.label, s.value) for s in r.spans] for r in detect.detect(df, provider=detect.tagger(load, "test")).collect()}
+    assert got == {1: [("CREDENTIAL", "hunter2")], 2: [], 3: []}
+    words = spark.createDataFrame([([["hun", "##ter"], ["a"], ["b", "##c", "##d"]], [1, 0, 4])], "p array<array<string>>, t array<int>")
+    assert words.select(T.piece_labels(F.col("p"), F.col("t")).alias("x")).first().x == [1, 2, 0, 4, 4, 4]
+    assert words.select(T.piece_labels(F.col("p"), F.col("t"), False).alias("x")).first().x == [1, -100, 0, 4, -100, -100]
+
+
+def test_one_long_text(spark):
+    long = spark.range(1).select(F.repeat(F.lit("word "), 30000).alias("text"), F.lit(1).alias("id"))
+    assert corpus.bio_rows(long).select(F.size("tags").alias("n")).first().n == 30000
+    assert long.select(T.find_all(F.col("text"), r"\S+")[29999]["start"].alias("at")).first().at == 149995
