@@ -26,6 +26,8 @@ from .common import crc_bucket, documents
 
 #: Documented bound of the training sample: documents for each language.
 FIT_ROWS = 250
+#: Windows, from anywhere in it, that the fit reads of each of those documents; None reads them whole.
+FIT_WINDOWS = 4
 WINDOW = 96
 HIDDEN = 16
 _LANES = 2048
@@ -176,7 +178,7 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.ascontiguousarray(padded.reshape(-1, WINDOW).T), np.repeat(np.arange(len(texts)), count), sizes
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> ByteTagger | None:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS, fit_windows: int | None = FIT_WINDOWS) -> ByteTagger | None:
     """Learn from rows with a language and a letter in the text: of each language, the rows of least id hash."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     total = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -191,8 +193,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     for k, name in enumerate(languages):
         for text in cut.loc[cut["lang"] == name, "text"][:fit_rows]:
             raw = text.encode("utf-8", "replace")
-            # A few windows from anywhere in the document.
-            for start in rng.integers(0, max(1, len(raw) - WINDOW + 1), 4):
+            last = max(1, len(raw) - WINDOW + 1)
+            for start in range(0, max(1, len(raw)), WINDOW) if fit_windows is None else rng.integers(0, last, fit_windows):
                 texts.append(raw[start : start + WINDOW])
                 y.append(k)
     full = [i for i, t in enumerate(texts) if t]

@@ -91,7 +91,10 @@ def neighbour_lcp(levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def longest_at(levels: list[np.ndarray]) -> np.ndarray:
-    """For each position, the length of the longest substring that starts there and occurs elsewhere too."""
+    """For each position, the length of the longest substring that starts there and occurs elsewhere too: that of the
+    deepest LCP interval which holds the suffix, the greater of the suffix's two LCP values. The spans of these
+    intervals have the same union, and the same longest, as those of all maximal repeats, of which a repetitive text
+    has so many occurrences that listing them all would take the square of its length."""
     order, lcp = neighbour_lcp(levels)
     out = np.empty(len(order), np.int64)
     out[order] = np.maximum(lcp, np.append(lcp[1:], 0)) if len(order) else lcp
