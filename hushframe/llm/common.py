@@ -9,16 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
-FALLBACK_SCRATCH = "/tmp/hushframe-checkpoints"
-
-
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder the cluster names in spark.checkpoint.dir, or else the one set on the context. Where neither
+    is set, as in tests, a folder below the warehouse is set, which the cluster shares too."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = FALLBACK_SCRATCH
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_hushframe_scratch")
+        base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
 
 
@@ -74,3 +71,15 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str | int, limit: int
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, weight: str, how: str = "inner", parts: int = 1000) -> DataFrame:
+    """rows joined to keyed (one row a key, with the number of rows it meets in `weight`); a key that meets more than a
+    `parts`-th of all is dealt to several tasks. Fewer than `parts` keys can, so their table is broadcast."""
+    every = keyed.agg(F.sum(weight).alias("_every"))
+    hot = keyed.select(key, F.col(weight).alias("_w")).crossJoin(F.broadcast(every)).where(F.col("_w") * parts > F.col("_every"))
+    hot = F.broadcast(hot.select(key, F.ceil(F.col("_w") * parts / F.col("_every")).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), salts).cast("int")).drop("_salts")
+    right = keyed.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")

@@ -1,27 +1,28 @@
 """Connected components of a distributed edge table by alternating large-star and small-star rounds
-(Kiveris et al., 2014). No task holds a whole component and nothing but a change count reaches the driver."""
+(Kiveris et al., 2014). No task holds a whole component, the neighbours of a node with very many are dealt to
+several tasks, and nothing but a change count reaches the driver."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, join_hot, materialize
 
 
 def _mins(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_mins(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return join_hot(both, _mins(both), "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     mins = _mins(down)
-    hung = down.join(mins, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    hung = join_hot(down, mins, "u", "n").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(mins.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 

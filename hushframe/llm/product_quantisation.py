@@ -1,20 +1,24 @@
 """Embedding near-duplicates by product quantisation.
 
 Vectors are scaled to length 1 and assigned to coarse inverted lists; the rest of each vector is coded by one
-centroid a subspace. A query probes every list that can hold a neighbour and no other: a list is passed over
-if the query is further than the search distance from the half-space nearer to that list's centroid than to
-the query's own, or from the ball of the list's radius. In a list, asymmetric table-lookup distances from the query to the codes, lowered by each code's own known error,
-drop only vectors that cannot be neighbours; the others are compared exactly, in double precision. Recall is
-therefore that of brute force, up to the rounding of the final comparison.
-
-Coarse centroids and codebooks are fitted to a bounded sample (fit_rows, in hash order of the ids); every row is
-indexed. Equal vectors are one class with a count, so copies are never expanded. A probe task holds a block of
-queries against a block of a list; it sends counts and a spanning forest, never all pairs.
-
-Defined results: a null label, or a vector that is null, zero, of another length than the first (in hash
-order) or with null or non-finite components, links with nothing; empty tables give empty results; repeated
-rows are linked to each other like any others; extra columns are ignored. A repeated vec_id with different
-vectors counts as different vectors.
+centroid a subspace. A query probes its own list and those whose border is near: a list is passed over if the
+query is further than a margin from the half-space nearer to that list's centroid than to the query's own, or
+further than the search distance from the ball of the list's radius. The margin is a share of the search distance,
+measured on the fit sample: the least at which neighbours at just the threshold, in random directions, are probed
+with the wanted recall, by default 0.97; those nearer than the threshold are found more often still. With
+recall=1.0 the margin is the whole search distance, and nothing can be missed. In a list, asymmetric table-lookup
+distances from the query to the codes, lowered by each code's own known error, drop only vectors that cannot be
+neighbours; the others are compared exactly, in double precision.
+
+Coarse centroids and codebooks are fitted to a bounded sample (FIT_ROWS, in hash order) for each length of vectors
+in it; every row is indexed. Vectors of a length that the sample does not hold are one list and compared exactly.
+Equal vectors are one class with a count, so copies are never expanded. A probe task holds a block of queries
+against a block of a list; it sends counts and a spanning forest, never all pairs.
+
+Defined results: a null label, or a vector that is null, empty, zero or has null or non-finite components, links
+with nothing; vectors of different lengths do not link; empty tables give empty results; repeated rows are linked
+to each other like any others; extra columns are ignored. A repeated vec_id with different vectors counts as
+different vectors.
 """
 
 from __future__ import annotations
@@ -26,13 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, join_hot, materialize
 from .components import connected_components
 from .simhash import Union
 
 #: Documented bounds of what is fitted and broadcast.
-FIT_ROWS = 20_000
-MAX_LISTS = 1024
+FIT_ROWS = 12_000
+MAX_LISTS = 2048
 SUBSPACES = 8
 CENTROIDS = 64
 BLOCK = 4096
@@ -69,6 +73,7 @@ class Quantiser:
         self.coarse = lloyd(sample, lists)
         rest = sample - self.coarse[nearest(sample, self.coarse)]
         self.cuts = np.linspace(0, sample.shape[1], min(subspaces, sample.shape[1]) + 1).round().astype(int)
+        self.gaps = np.sqrt(distances(self.coarse, self.coarse))
         self.books = [lloyd(rest[:, a:b], centroids) for a, b in zip(self.cuts, self.cuts[1:])]
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,6 +84,31 @@ class Quantiser:
         error = np.sqrt(((rest - self.decode(codes)) ** 2).sum(1))
         return cell, codes, error, np.sqrt((rest**2).sum(1))
 
+    def margin(self, sample: np.ndarray, threshold: float, recall: float) -> float:
+        """The share of the search distance that borders are looked across to have a recall of planted neighbours."""
+        if recall >= 1:
+            return 1.0
+        rng = np.random.default_rng(1)
+        x = sample[rng.permutation(len(sample))[:2000]]
+        side = rng.standard_normal(x.shape)
+        side -= (side * x).sum(1)[:, None] * x
+        size = np.sqrt((side**2).sum(1))
+        x, side = x[size > 1e-9], side[size > 1e-9] / size[size > 1e-9][:, None]
+        if not len(x):
+            return 1.0
+        there = nearest(threshold * x + math.sqrt(1 - threshold**2) * side, self.coarse)
+        for share in np.arange(0.05, 1.0, 0.05):
+            own, asked = self.near_lists(x, share * math.sqrt(2 - 2 * threshold))
+            if asked[np.arange(len(x)), there].mean() >= recall:
+                return float(share)
+        return 1.0
+
+    def near_lists(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+        """(squared distances to all centroids, which lists have a border within the margin)."""
+        squared = distances(x, self.coarse)
+        own = squared.argmin(1)
+        return squared, squared - squared[np.arange(len(own)), own][:, None] <= 2 * margin * self.gaps[own] + 1e-7
+
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], axis=1)
 
@@ -91,93 +121,109 @@ def _unit(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, 1))
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+class _OneList(Quantiser):
+    """Vectors of a length without a sample: one list, and codes that rule nothing out."""
+
+    def __init__(self, size: int):
+        self.coarse, self.gaps, self.cuts, self.books = np.zeros((1, size)), np.zeros((1, 1)), np.array([0, size]), [np.zeros((1, size))]
+
+
+def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", recall: float = 0.97) -> DataFrame:
     """(id, n_links, component, kept) for every row; links join rows of equal labels with cosine >= threshold."""
     spark = rows.sparkSession
     vec = F.col("vec")
     base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     finite = F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(math.inf)))
-    # A row number of its own for every row: a class is named by the least row in it.
-    base = materialize(base.withColumn("usable", F.coalesce(F.col("label").isNotNull() & (F.size("vec") > 0) & finite & F.exists(vec, lambda v: v != 0), F.lit(False))), "vectors")
-    usable = base.where("usable")
+    usable = F.coalesce(F.col("label").isNotNull() & (F.size("vec") > 0) & finite & F.exists(vec, lambda v: v != 0), F.lit(False))
+    # Vectors only meet those of their own label and length; a digest stands for a vector from here on.
+    base = base.withColumn("label", F.when(usable, F.concat_ws(":", F.size("vec"), "label")))
+    base = base.withColumn("digest", F.when(usable, F.sha2(F.concat_ws(",", "label", vec.cast("array<string>")), 256)))
+    base = materialize(base, "vectors")
     scale = F.array_max(F.transform(vec, F.abs))
-    unit = F.transform(vec, lambda v: v / scale)
     unit_norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, v: s + v * v))
-    classes = usable.groupBy("label", "vec").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-    classes = classes.withColumn("scaled", unit).withColumn("n", unit_norm).select("label", "vec", "least", "copies", F.transform("scaled", lambda v: v / F.col("n")).alias("unit"))
-    classes = classes.withColumn("cls", F.monotonically_increasing_id())
-    classes = materialize(classes, "classes")
-    sample = classes.select("unit", F.xxhash64("vec").alias("h")).orderBy("h").limit(FIT_ROWS).toPandas()
+    classes = base.where("digest is not null").groupBy("digest").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.min("id").alias("least"), F.count("*").alias("copies"))
+    classes = classes.withColumn("scaled", F.transform(vec, lambda v: v / scale)).withColumn("n", unit_norm)
+    classes = classes.select("digest", "label", "least", "copies", F.transform("scaled", lambda v: v / F.col("n")).alias("unit"))
+    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    sample = classes.select("unit", "digest").orderBy("digest").limit(FIT_ROWS).toPandas()
     if not len(sample):
         return base.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.lit(True).alias("kept"))
-    size = len(sample["unit"].iloc[0])
     in_label = classes.groupBy("label").count().agg(F.max("count")).first()[0]
-    fit = np.stack([u for u in sample["unit"] if len(u) == size]).astype(np.float64)
-    quantiser = Quantiser(fit, int(min(MAX_LISTS, max(1, round(math.sqrt(in_label))))))
-    # Bounded by MAX_LISTS and CENTROIDS, whatever the input.
-    shared = spark.sparkContext.broadcast(quantiser)
+    lists_wanted = int(min(MAX_LISTS, max(1, round(2 * math.sqrt(in_label)))))
+    # Bounded by FIT_ROWS, MAX_LISTS and CENTROIDS, whatever the input: one quantiser and margin for each length.
+    fitted = {}
+    for size, part in sample.groupby(sample["unit"].map(len)):
+        x = np.stack(part["unit"].to_numpy()).astype(np.float64)
+        quantiser = Quantiser(x, lists_wanted)
+        fitted[int(size)] = quantiser, quantiser.margin(x, threshold, recall)
+    shared = spark.sparkContext.broadcast(fitted)
     reach = math.sqrt(2 - 2 * threshold) + 1e-9
+
+    def of_size(size: int) -> tuple[Quantiser, float]:
+        return shared.value.get(size) or (_OneList(size), 1.0)
+
+    def by_size(frame: pd.DataFrame):
+        return frame.groupby(frame["unit"].map(len)) if len(frame) else ()
+
     fields = "cls long, label string, copies long, unit array<double>, cell int, codes binary, error double, away double"
 
     def index(frames):
-        q = shared.value
         for frame in frames:
-            x = _unit(frame["unit"])
-            cell, codes, error, away = q.encode(x)
-            yield frame[["cls", "label", "copies", "unit"]].assign(cell=cell.astype(np.int32), codes=[c.tobytes() for c in codes], error=error, away=away)
+            for size, part in by_size(frame):
+                cell, codes, error, away = of_size(size)[0].encode(_unit(part["unit"]))
+                yield part[["cls", "label", "copies", "unit"]].assign(cell=cell.astype(np.int32), codes=[c.tobytes() for c in codes], error=error, away=away)
 
-    coded = materialize(classes.where(F.size("unit") == size).select("cls", "label", "copies", "unit").mapInPandas(index, fields), "codes")
+    coded = materialize(classes.select("cls", "label", "copies", "unit").mapInPandas(index, fields), "codes")
     # Radius and size of each (label, list): one row each, at most labels x MAX_LISTS.
     lists = coded.groupBy("label", "cell").agg(F.max("away").alias("radius"), F.count("*").alias("members"))
     # Large lists are cut into blocks; a query goes to every block of each list it probes.
     lists = lists.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    centroids = quantiser.coarse
-    gaps = np.sqrt(distances(centroids, centroids))
 
     def probes(frames):
-        q = shared.value
         for frame in frames:
-            if not len(frame):
-                continue
-            squared = distances(_unit(frame["unit"]), q.coarse)
-            own = squared.argmin(1)
-            radius = np.stack(frame["radii"].to_numpy()).astype(np.float64)
-            border = squared - squared[np.arange(len(own)), own][:, None] <= 2 * reach * gaps[own] + 1e-7
-            qi, ci = np.nonzero(border & (np.sqrt(squared) <= radius + reach + 1e-7))
-            yield pd.DataFrame({"cls": frame["cls"].to_numpy()[qi], "cell": ci.astype(np.int32)})
-
+            for size, part in by_size(frame):
+                q, margin = of_size(size)
+                squared, border = q.near_lists(_unit(part["unit"]), margin * reach)
+                radius = np.stack(part["radii"].to_numpy()).astype(np.float64)[:, : len(q.coarse)]
+                qi, ci = np.nonzero(border & (np.sqrt(squared) <= radius + reach + 1e-7))
+                yield part[["cls", "label", "copies", "unit"]].iloc[qi].assign(cell=ci.astype(np.int32))
+
+    widest = max(len(q.coarse) for q, _ in fitted.values())
     radii = lists.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("cell", "radius"))).alias("by_cell"))
-    radii = radii.select("label", F.transform(F.sequence(F.lit(0), F.lit(len(centroids) - 1)), lambda c: F.coalesce(F.try_element_at("by_cell", c), F.lit(-10.0))).alias("radii"))
-    asked = coded.select("cls", "label", "unit").join(radii, "label").select("cls", "unit", "radii").mapInPandas(probes, "cls long, cell int")
-    asked = coded.select("cls", "label", "copies", "unit").join(asked, "cls")
+    radii = radii.select("label", F.transform(F.sequence(F.lit(0), F.lit(widest - 1)), lambda c: F.coalesce(F.try_element_at("by_cell", c), F.lit(-10.0))).alias("radii"))
+    asked = coded.select("cls", "label", "copies", "unit").join(radii, "label").mapInPandas(probes, "cls long, label string, copies long, unit array<double>, cell int")
     member = coded.join(lists.select("label", "cell", "blocks"), ["label", "cell"])
     member = member.select("label", "cell", F.pmod(F.hash("cls"), F.col("blocks")).alias("block"), F.lit(0).alias("side"), "cls", "copies", "unit", "codes", "error")
     asked = asked.join(lists.select("label", "cell", "blocks"), ["label", "cell"])
     asked = asked.select("label", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "cls", "copies", "unit", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"))
+    asked = materialize(asked, "probes")
     key = ["label", "cell", "block"]
 
     def search(keys, frame):
         """Queries of one block against the coded members of one block of a list."""
         asking = frame["side"] == 1
-        return _search(shared.value, int(keys[1]), frame[~asking], frame[asking], threshold, reach)
+        return _search(of_size(len(frame["unit"].iloc[0]))[0], int(keys[1]), frame[~asking], frame[asking], threshold, reach)
 
     # Queries are cut into blocks as well, so a hot list is many tasks; its members are repeated for each.
     counts = asked.groupBy(*key).count().select(*key, F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
-    asked = asked.join(counts, key).withColumn("part", F.pmod(F.hash("cls", F.lit(7)), F.col("parts"))).drop("parts")
+    cut = asked.join(counts, key).withColumn("part", F.pmod(F.hash("cls", F.lit(7)), F.col("parts"))).drop("parts")
     member = member.join(counts, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    group = [*key, "part"]
-    found = member.unionByName(asked).groupBy(*group).applyInPandas(search, "u long, v long, links long")
+    found = member.unionByName(cut).groupBy(*key, "part").applyInPandas(search, "u long, v long, links long")
     found = materialize(found, "found")
+    for done in (asked, coded):
+        discard(done)
     components = connected_components(found.where("v is not null").select("u", "v"))
     links = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
-    named = classes.select("label", "vec", "cls", "least", "copies").join(components, classes.cls == components.node, "left").drop("node")
-    named = named.withColumn("root", F.coalesce("component", "cls"))
-    least = named.groupBy("root").agg(F.min("least").alias("first"))
-    named = named.join(least, "root").join(links, named.cls == links.u, "left")
-    named = named.select("label", "vec", F.coalesce("links", F.lit(0)).alias("others"), "copies", "first")
-    out = base.join(named, ["label", "vec"], "left")
-    component = F.coalesce("first", "id")
-    return out.select("id", F.when(F.col("usable"), F.coalesce("others", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).otherwise(0).cast("long").alias("n_links"), component.alias("component")).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True)))
+    named = classes.select("digest", "cls", "least", "copies").join(components, classes.cls == components.node, "left").drop("node")
+    named = materialize(named.withColumn("root", F.coalesce("component", "cls")), "named")
+    least = named.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("n"))
+    named = join_hot(named, least, "root", "n").drop("n").join(links, F.col("cls") == F.col("u"), "left")
+    named = named.select("digest", F.coalesce("links", F.lit(0)).alias("others"), "copies", "first")
+    # Rows without a class stay as they are; a class of very many copies is dealt to several tasks.
+    single = base.where("digest is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    linked = join_hot(base.where("digest is not null").select("id", "digest"), named, "digest", "copies")
+    linked = linked.select("id", (F.col("others") + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("first", "id").alias("component"))
+    return single.union(linked).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True)))
 
 
 def _search(q: Quantiser, cell: int, member: pd.DataFrame, asked: pd.DataFrame, threshold: float, reach: float) -> pd.DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, join_hot, materialize
 from .components import connected_components
 
 SEED = 42
@@ -280,7 +280,7 @@ def near_duplicates(fps: DataFrame, radius: int = 3, width: int = 1, keys=None,
     pigeonhole keys of a 64-bit value. Shards of over `large` distinct fingerprints are dealt out by finer exact keys."""
     spark = fps.sparkSession
     fps = materialize(fps, "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("id").alias("rep"))
+    reps = fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
     exact = keys is None
     shards = reps.where("rep is not null")
     if exact:
@@ -294,8 +294,9 @@ def near_duplicates(fps: DataFrame, radius: int = 3, width: int = 1, keys=None,
         shards = shards.join(big, "key", "left").select("rep", "fp", F.explode(F.when(F.col("hot"), finer[F.col("block")]).otherwise(F.array("key"))).alias("key"))
     links = shards.select("key", "rep", "fp").repartition(F.col("key")).sortWithinPartitions("key", "rep").mapInArrow(_linker(radius, width), "u long, v long")
     labels = connected_components(links)
-    named = reps.join(labels, reps.rep == labels.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return fps.join(named, "fp").select("id", "fp", "component")
+    named = reps.join(labels, reps.rep == labels.node, "left").select("fp", F.coalesce("component", "rep").alias("component"), "times")
+    # A fingerprint of very many rows, such as that of texts without words, is dealt to several tasks.
+    return join_hot(fps, named, "fp", "times").select("id", "fp", "component")
 
 
 def _keyed(keys, width: int):
@@ -344,6 +345,8 @@ WIDE, WIDE_RADIUS = 4, 45
 KEY_MINIMA, KEYS = 5, 24
 #: Candidate groups of more texts than this are dealt out by key instead of whole.
 LARGE_GROUP = 256
+#: Texts that meet in one cell, about; two such lots where a group is cut.
+CELL = 1024
 _MASKS, _ODD = np.random.default_rng(11).integers(0, 2**64, (2, KEYS * KEY_MINIMA), dtype=np.uint64) | np.array([[0], [1]], np.uint64)
 
 
@@ -396,10 +399,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, flush: int
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, same binary, keys array<long>")
 
 
-def confirmed(sets: list[np.ndarray], chunk: int = 512) -> np.ndarray:
-    """For each set, the least index reachable over links of Jaccard similarity 0.8 or more. Pairs that are
-    already connected are not compared."""
+def confirmed(sets: list[np.ndarray], chunk: int = 512, known: np.ndarray | None = None) -> np.ndarray:
+    """For each set, the least index reachable over links of Jaccard similarity 0.8 or more, and over equal numbers
+    in `known`. Pairs that are already connected are not compared."""
     groups = Union(len(sets))
+    if known is not None:
+        _, first, back = np.unique(known, return_index=True, return_inverse=True)
+        groups.join(np.arange(len(sets)), first[back])
     size = np.array([len(x) for x in sets], np.int64)
     values, codes = np.unique(np.concatenate(sets), return_inverse=True)
     codes = np.split(codes, np.cumsum(size)[:-1])
@@ -420,27 +426,27 @@ def confirmed(sets: list[np.ndarray], chunk: int = 512) -> np.ndarray:
 
 
 def _confirmer(words: int):
-    """mapInArrow body over rows (group, id, same, text) sorted by group: a spanning forest (u, v) of the links
-    of each group. A row whose text is another one of the same id is passed over."""
+    """mapInArrow body over rows (cell, id, same, known, text) sorted by cell: a spanning forest (u, v) of the links
+    of each cell. A row whose text is another one of the same id is passed over."""
 
     def solve(members: dict) -> pa.RecordBatch:
         ids = np.array([i for i, _ in members], np.int64)
-        found = confirmed(list(members.values()))
+        found = confirmed([h for h, _ in members.values()], known=np.array([k for _, k in members.values()], np.int64))
         moved = np.flatnonzero(found != np.arange(len(ids)))
         return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[found[moved]])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, members = None, {}
         for batch in batches:
-            for group, i, same, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
-                if group != now:
+            for cell, i, same, known, text in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
+                if cell != now:
                     if len(members) > 1:
                         yield solve(members)
-                    now, members = group, {}
+                    now, members = cell, {}
                 if (i, same) not in members:
                     h = shingle_set(text.as_py(), words)
                     if set_digest(h) == same:
-                        members[i, same] = h
+                        members[i, same] = h, known
         if len(members) > 1:
             yield solve(members)
 
@@ -451,23 +457,49 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int) -> D
     """(id, component) for every row: groups linked by a Jaccard similarity of 0.8 or more of their shingle sets.
 
     Texts with equal sets are one. Others are candidates if they share a key; the texts of a group of candidates
-    meet in one task, which decides every link by the sets themselves. Members of a large group meet by key."""
+    meet in cells of a bounded number, which decide every link by the sets themselves. Members of a large group meet
+    by key. A group of more than CELL texts is cut into cells that share its first text; then only texts which that
+    did not connect to the first meet all others, cell by cell, and no pair that is connected is compared again."""
     rows = materialize(sketches(docs, id_col, text_col, words), "sketches")
-    reps = rows.groupBy("same").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
+    reps = rows.groupBy("same").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.count("*").alias("times"))
     keyed = reps.where("rep is not null").select("rep", "same", F.explode("keys").alias("key"))
-    low = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = materialize(keyed.join(low.hint("merge"), "key"), "shared")
+    low = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1")
+    shared = materialize(join_hot(keyed, low, "key", "n").drop("n"), "shared")
     near = connected_components(shared.select(F.col("rep").alias("u"), F.col("low").alias("v")))
-    placed = near.join(near.groupBy("component").count(), "component")
+    placed = join_hot(near, near.groupBy("component").count(), "component", "count")
     group = F.when(F.col("count") > LARGE_GROUP, F.col("key")).otherwise(F.col("component")).alias("group")
-    deal = shared.join(placed, shared.rep == placed.node).select(group, "rep", "same").distinct()
+    deal = materialize(shared.join(placed, shared.rep == placed.node).select(group, "rep", "same").distinct(), "deal")
+    sizes = deal.groupBy("group").agg(F.count("*").alias("n"), F.min("rep").alias("hub"))
+    deal = join_hot(deal, sizes, "group", "n").withColumn("parts", F.ceil(F.col("n") / CELL).cast("int"))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    # The list of candidates grows with the input, so it is never broadcast.
-    met = texts.join(deal.hint("merge"), "rep").select("group", "rep", "same", "text")
-    links = met.repartition(F.col("group")).sortWithinPartitions("group", "rep").mapInArrow(_confirmer(words), "u long, v long")
+
+    def links_in(cells: DataFrame, *cell: str) -> DataFrame:
+        # The list of candidates grows with the input, so it is never broadcast.
+        met = texts.join(cells.select(F.xxhash64("group", *cell).alias("cell"), "rep", "same", "known").hint("merge"), "rep")
+        met = met.select("cell", "rep", "same", "known", "text").repartition(F.col("cell")).sortWithinPartitions("cell", "rep")
+        return materialize(met.mapInArrow(_confirmer(words), "u long, v long"), "links")
+
+    own = lambda parts: F.pmod(F.xxhash64("rep", "same"), parts).cast("int")
+    every = lambda parts: F.sequence(F.lit(0), parts - 1)
+    first = deal.withColumn("known", F.col("rep")).withColumn("part", F.explode(F.when((F.col("rep") == F.col("hub")) & (F.col("parts") > 1), every(F.col("parts"))).otherwise(F.array(own(F.col("parts"))))))
+    links = links_in(first, "part")
+    large = deal.where("parts > 1")
+    if large.limit(1).count():
+        so_far = connected_components(links)
+        known = large.join(so_far, large.rep == so_far.node, "left").withColumn("known", F.coalesce("component", "rep")).drop("node", "component")
+        known = materialize(known, "known")
+        main = known.where("rep = hub").groupBy("group").agg(F.min("known").alias("main"), F.max("n").alias("n"))
+        apart = join_hot(known.drop("n"), main, "group", "n").where("known != main")
+        counts = apart.groupBy("group").agg(F.count("*").alias("m"), F.max("n").alias("n")).withColumn("apart_parts", F.ceil(F.col("m") / CELL).cast("int")).drop("m")
+        apart = join_hot(apart.drop("n", "main"), counts, "group", "n")
+        others = join_hot(known.drop("n"), counts, "group", "n")
+        pick = ["group", "rep", "same", "known", "part", "apart"]
+        cells = apart.withColumn("apart", own(F.col("apart_parts"))).withColumn("part", F.explode(every(F.col("parts")))).select(pick)
+        cells = cells.union(others.withColumn("part", own(F.col("parts"))).withColumn("apart", F.explode(every(F.col("apart_parts")))).select(pick))
+        links = links.union(links_in(cells, "part", "apart"))
     labels = connected_components(links)
-    named = reps.select("same", "rep").join(labels, reps.rep == labels.node, "left").select("same", F.coalesce("component", "rep").alias("component"))
-    return rows.select("id", "same").join(named, "same").select("id", "component")
+    named = reps.select("same", "rep", "times").join(labels, reps.rep == labels.node, "left").select("same", F.coalesce("component", "rep").alias("component"), "times")
+    return join_hot(rows.select("id", "same"), named, "same", "times").select("id", "component")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:

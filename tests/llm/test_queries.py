@@ -154,18 +154,40 @@ def test_embeddings(spark):
     for k in range(300):
         v = base[k % 30] + 0.12 * rng.standard_normal(8) * (k % 3)
         rows.append((k, [float(x) for x in v], k % 2))
-    rows += [(300, rows[0][1], 0), (301, rows[0][1], 1), (302, None, 0), (303, [0.0] * 8, 0), (304, [float("nan")] * 8, 0), (305, rows[0][1], None), (306, [1.0, None] + [0.0] * 6, 0), (307, [x * 1e6 for x in rows[0][1]], 0), (308, [float("inf")] * 8, 1)]
+    rows += [(300, rows[0][1], 0), (301, rows[0][1], 1), (302, None, 0), (303, [0.0] * 8, 0), (304, [float("nan")] * 8, 0), (305, rows[0][1], None), (306, [1.0, None] + [0.0] * 6, 0), (307, [x * 1e6 for x in rows[0][1]], 0), (308, [float("inf")] * 8, 1), (309, [1.0, 2.0], 0), (310, [2.0, 4.1], 0), (311, [], 0), (312, [1.0, 2.0], 0), (313, [-1.0, 2.0], 0)]
     table = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, embedding array<double>, label int, cls string, unit string")
     good = [(i, np.array(v, float) / np.linalg.norm(v), lab) for i, v, lab in rows if v and lab is not None and None not in v and np.isfinite(v).all() and np.any(v)]
-    links = [(a[0], b[0]) for k, a in enumerate(good) for b in good[:k] if a[2] == b[2] and a[1] @ b[1] >= 0.93]
+    links = [(a[0], b[0]) for k, a in enumerate(good) for b in good[:k] if a[2] == b[2] and len(a[1]) == len(b[1]) and a[1] @ b[1] >= 0.93]
     n = Counter(x for pair in links for x in pair)
     comp = brute_components([r[0] for r in rows], links)
-    got = pq.near_duplicates(table).collect()
+    got = pq.near_duplicates(table, recall=1.0).collect()
     assert len(got) == len(rows) and {r.id: (r.n_links, r.component) for r in got} == {i: (n[i], comp[i]) for i, _, _ in rows}
     assert all(r.kept == (r.id == r.component) for r in got)
     assert pq.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embeddings_recall_of_few_probes(spark, monkeypatch):
+    """The default probes against brute force, with links spread from the threshold up, and lengths without a sample."""
+    rng = np.random.default_rng(3)
+    seeds = rng.standard_normal((900, 48))
+    seeds /= np.linalg.norm(seeds, axis=1)[:, None]
+    side = rng.standard_normal(seeds.shape)
+    side -= (side * seeds).sum(1)[:, None] * seeds
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    c = rng.uniform(0.9, 0.999, 900)[:, None]
+    x = np.concatenate([seeds, c * seeds + np.sqrt(1 - c**2) * side])
+    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)] + [(5000 + i, [1.0, 0.0, i / 10], 1) for i in range(4)]
+    monkeypatch.setattr(pq, "FIT_ROWS", 800)
+    got = {r.id: r for r in pq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    close = np.triu(x @ x.T >= 0.93, 1)
+    found = sum(got[i].n_links for i in range(len(x))) / 2
+    assert 0.95 * close.sum() <= found <= close.sum()
+    assert [got[5000 + i].n_links for i in range(4)] == [3, 3, 3, 3]
+    quantiser = pq.Quantiser(x[:800], 85)
+    _, asked = quantiser.near_lists(x, quantiser.margin(x[:800], 0.93, 0.97) * math.sqrt(2 - 2 * 0.93))
+    assert asked.mean() < 0.35
+
+
 def test_simhash(odd):
     table = text_of(odd)
 
@@ -196,8 +218,9 @@ def test_keep_first(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == [(False, 3), (False, 7), (True, 0)]
 
 
-@pytest.mark.parametrize("large", [256, 1])
-def test_keep_first_equals_brute_force(spark, monkeypatch, large):
+@pytest.mark.parametrize("large,cell", [(256, 1024), (1, 1024), (256, 8), (1, 3)])
+def test_keep_first_equals_brute_force(spark, monkeypatch, large, cell):
+    monkeypatch.setattr(simhash, "CELL", cell)
     monkeypatch.setattr(simhash, "LARGE_GROUP", large)
     rows = []
     for k in range(2, 17):  # similarity (90 - k) / (90 + k): from 0.698 to 0.957, 0.8 at k = 10
