@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
+from ..functions.shared import settled
 
 
 def keyed_order(seed: str, *keys: str) -> Column:
@@ -54,14 +55,25 @@ def external_bio(text: Column, spans: Column) -> Column:
     return F.aggregate(order, start, step, lambda s: F.concat(s["out"], outside(F.substring(text, s["pos"] + 1, F.length(text)))))
 
 
-def stratified_split(rows: DataFrame, strata: list[str], share: float = 0.1, seed: str = "42", key: str = "id", least: int = 10) -> DataFrame:
-    """rows with `split`: of each stratum of at least `least` rows, max(1, int(n * share)) by keyed order are eval.
+def keyed_rank(rows: DataFrame, by: list[str], seed: str, key: str) -> DataFrame:
+    """rows with _k, the place of each in the keyed order of its group (nulls are a group), and _n, the group's size.
+
+    Rows are counted by group and by the first three digits of their order, 4,096 cells a group; a row's place is what the
+    cells before hold and its place in its own, so a window never holds more than a cell of a group."""
+    group, order = F.to_json(F.struct(*by)), keyed_order(seed, key)
+    cut = rows.withColumn("_g", group).withColumn("_o", order).withColumn("_c", F.substring("_o", 1, 3))
+    cells = cut.groupBy("_g", "_c").agg(F.count("*").alias("_m"))
+    within = Window.partitionBy("_g")
+    cells = cells.select("_g", "_c", (F.sum("_m").over(within.orderBy("_c")) - F.col("_m")).alias("_before"), F.sum("_m").over(within).alias("_n"))
+    place = F.row_number().over(Window.partitionBy("_g", "_c").orderBy("_o", key))
+    return cut.join(cells, ["_g", "_c"]).withColumn("_k", F.col("_before") + place).drop("_g", "_o", "_c", "_before")
 
-    Strata are counted by a plain aggregation; the window numbers rows inside them."""
-    n = F.count("*").over(Window.partitionBy(*strata))
-    k = F.row_number().over(Window.partitionBy(*strata).orderBy(keyed_order(seed, key), key))
-    take = F.when(n >= least, F.greatest(F.lit(1), F.floor(n * F.lit(share)))).otherwise(0)
-    return rows.withColumn("_n", take).withColumn("_k", k).withColumn("split", F.when(F.col("_k") <= F.col("_n"), "eval").otherwise("train")).drop("_n", "_k")
+
+def stratified_split(rows: DataFrame, strata: list[str], share: float = 0.1, seed: str = "42", key: str = "id", least: int = 10) -> DataFrame:
+    """rows with `split`: of each stratum of at least `least` rows, max(1, int(n * share)) by keyed order are eval."""
+    take = F.when(F.col("_n") >= least, F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share)))).otherwise(0)
+    ranked = keyed_rank(rows, strata, seed, key)
+    return ranked.withColumn("split", F.when(F.col("_k") <= take, "eval").otherwise("train")).drop("_n", "_k")
 
 
 def rarest_label_split(rows: DataFrame, labels: str = "labels", seed: str = "42", key: str = "id") -> DataFrame:
@@ -72,9 +84,8 @@ def rarest_label_split(rows: DataFrame, labels: str = "labels", seed: str = "42"
     with_freq = rows.crossJoin(F.broadcast(table))
     ranked = F.array_sort(F.transform(F.array_distinct(labels), lambda x: F.struct(F.element_at("freq", x).alias("f"), x.alias("l"))))
     out = with_freq.withColumn("bucket", F.coalesce(F.try_element_at(ranked, F.lit(1))["l"], F.lit("O"))).drop("freq")
-    k = F.row_number().over(Window.partitionBy("bucket").orderBy(keyed_order(seed, key), key))
-    n = F.count("*").over(Window.partitionBy("bucket"))
-    return out.withColumn("split", F.when(k <= F.greatest(F.lit(1), F.floor(n / 10)), "eval").otherwise("train"))
+    out = keyed_rank(out, ["bucket"], seed, key)
+    return out.withColumn("split", F.when(F.col("_k") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 10)), "eval").otherwise("train")).drop("_n", "_k")
 
 
 def uncovered_buckets(rows: DataFrame, strata: list[str], split: str = "split", least: int = 10) -> DataFrame:
@@ -88,9 +99,11 @@ def bucket_counts(rows: DataFrame, strata: list[str]) -> DataFrame:
 
 
 def dense_ids(rows: DataFrame, order: str) -> DataFrame:
-    """1-based ids in order, without one task for all rows: counts of range partitions give each its offset."""
-    ordered = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order)
-    numbered = ordered.withColumn("_m", F.monotonically_increasing_id())
+    """1-based ids in order, ties by the other columns, without one task for all rows: sizes of range partitions give each
+    its offset. Partitions are written once, since their bounds are drawn anew whenever they are made."""
+    keys = [order, *[c for c in rows.columns if c != order]]
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    numbered = settled(ordered.withColumn("_m", F.monotonically_increasing_id()), "dense")
     part, inside = F.shiftrightunsigned("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     # One row for each partition.
     sizes = numbered.groupBy(part.alias("_p")).agg(F.count("*").alias("_c"))
