@@ -9,14 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir, or else the one set on the context. Where neither
-    is set, as in tests, a folder below the warehouse is set, which the cluster shares too."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_hushframe_scratch")
-        base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
+from ..functions.shared import drop_at_exit, scratch_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -30,6 +23,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
+    drop_at_exit(spark, path)
     out = spark.read.schema(schema).parquet(path)
     out._scratch_path = path
     return out

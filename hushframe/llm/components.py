@@ -7,23 +7,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_hot, materialize
+from .common import discard, materialize
 
 
-def _mins(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+#: Tasks that the neighbours of one node are dealt to.
+SALTS = 64
+
+
+def _with_least(pairs: DataFrame) -> DataFrame:
+    """pairs (u, v) with m, the least of u and its v. Every node's neighbours are dealt to salts; the least is taken by
+    salt and then over the salts, and goes back to them, so a node with very many neighbours is never one task."""
+    salted = pairs.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    part = salted.groupBy("u", "s").agg(F.least(F.min("v"), F.col("u")).alias("low"))
+    least = part.groupBy("u").agg(F.min("low").alias("m"))
+    return salted.join(part.select("u", "s").join(least, "u"), ["u", "s"]).select("u", "v", "m")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return join_hot(both, _mins(both), "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    mins = _mins(down)
-    hung = join_hot(down, mins, "u", "n").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.union(mins.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+    # Each node and its other lower neighbours go to the least of them; for v = m the pair is the node's own.
+    hung = _with_least(down).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    return hung.where("u != v").distinct()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -34,6 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import drop_at_exit
 from .common import crc_bucket, documents, scratch_path
 from .eliasfano import EliasFano, SortedLists, filesystem, lists_build, map_arrays, write_arrays
 
@@ -332,6 +333,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
         raise ValueError("more than 2**32 distinct words: raise the width of pair keys")
     if not spec["N"]:
         return spec
+    drop_at_exit(spark, base)
     spec["words"] = write_arrays(base, "directory-words", {"shard": done["shard"], "first": first, "name": done["name"]})
 
     # Pair shards: ranges of (first id, second id) with about equal numbers of tokens.

@@ -461,9 +461,10 @@ def library_encoder(path: str) -> LibraryEncoder:
 _ROW = "shard int, row int, ids array<long>, sizes array<long>, blocks array<binary>"
 
 
-def write_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+def write_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, target: str | None = None) -> DataFrame:
     """Write the ids of all documents, in ascending order of their ids, each closed by end_id; returns the
-    table as read back: rows of whole documents, numbered by (shard, row)."""
+    table as read back: rows of whole documents, numbered by (shard, row). With `target` they are kept there; else they
+    are scratch."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = texts.repartitionByRange(shuffle_partitions(docs.sparkSession), "id").sortWithinPartitions("id", "text")
 
@@ -492,7 +493,11 @@ def write_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         if parts:
             yield flush()
 
-    return materialize(ordered.mapInArrow(run, _ROW), "tokens")
+    rows = ordered.mapInArrow(run, _ROW)
+    if target is None:
+        return materialize(rows, "tokens")
+    rows.write.parquet(target)
+    return docs.sparkSession.read.schema(_ROW).parquet(target)
 
 
 def read_token_table(table: DataFrame) -> DataFrame:
