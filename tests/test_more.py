@@ -3,11 +3,12 @@
 import json
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from hushframe.functions import rules
+from hushframe.functions import rules, shared
 from hushframe.functions import text as T
 from hushframe.operators import audit, corpus, detect, policy, synth
 from hushframe.sources import corpus_files
@@ -133,6 +134,47 @@ def test_python_tagger_and_word_pieces(spark):
     assert words.select(T.piece_labels(F.col("p"), F.col("t"), False).alias("x")).first().x == [1, -100, 0, 4, -100, -100]
 
 
+def test_scratch_folder_where_none_is_named(spark, tmp_path):
+    """A session without the setting: the context's folder, or one below the warehouse."""
+    class Context:
+        folder = None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, path):
+            self.folder = path + "/of-this-run"
+
+    context = Context()
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: {"spark.sql.warehouse.dir": str(tmp_path)}.get(k, d)), sparkContext=context)
+    first = shared.scratch_dir(session)
+    assert first.startswith(str(tmp_path)) and shared.scratch_dir(session) == first
+    rows = shared.settled(spark.range(5), "test")
+    assert rows.count() == 5 and rows.schema == spark.range(1).schema
+
+
+def test_ranks_and_dense_ids_with_ties_and_nulls(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else "a", i % 4) for i in range(200)] + [(7, "a", 3)], "id long, g string, o int")
+    got = corpus.keyed_rank(rows, ["g"], "42", "id").collect()
+    assert sorted(r._k for r in got if r.g is None) == list(range(1, 68)) and {r._n for r in got if r.g is None} == {67}
+    assert sorted(r._k for r in got if r.g) == list(range(1, 135))
+    ids = corpus.dense_ids(rows.withColumnRenamed("id", "key"), "o").orderBy("id").collect()
+    assert [r.id for r in ids] == list(range(1, 202)) and [r.o for r in ids] == sorted(r.o for r in ids)
+
+
+def test_cooldown_rows_equal_the_fold(spark):
+    rows = [(f"h{i % 3}", (i * 7919) % 50000, i, i % 4 == 0) for i in range(900)] + [("quiet", 5, 10_000, False)]
+    df = spark.createDataFrame(rows, "host string, t long, event_id long, needs boolean")
+    got = {r.event_id: (r.silent, r.prompt) for r in policy.cooldown_rows(df, 5).collect()}
+    want, last = {}, {}
+    for host, t, i, needs in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        quiet = host in last and t - last[host] < 300
+        want[i] = (needs and quiet, needs and not quiet)
+        if want[i][1]:
+            last[host] = t
+    assert got == want
+
+
 def test_one_long_text(spark):
     long = spark.range(1).select(F.repeat(F.lit("word "), 30000).alias("text"), F.lit(1).alias("id"))
     assert corpus.bio_rows(long).select(F.size("tags").alias("n")).first().n == 30000
