@@ -150,7 +150,7 @@ def test_scratch_folder_where_none_is_named(spark, tmp_path):
     first = shared.scratch_dir(session)
     assert first.startswith(str(tmp_path)) and shared.scratch_dir(session) == first
     rows = shared.settled(spark.range(5), "test")
-    assert rows.count() == 5 and rows.schema == spark.range(1).schema
+    assert rows.count() == 5 and rows.dtypes == spark.range(1).dtypes
 
 
 def test_ranks_and_dense_ids_with_ties_and_nulls(spark):
