@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, join_hot, materialize
+from .common import discard, documents, join_hot, materialize
 from .components import connected_components
 
 SEED = 42
@@ -273,73 +273,24 @@ def refined_keys(fp: F.Column, radius: int) -> F.Column:
     return F.array(*keys)
 
 
-def near_duplicates(fps: DataFrame, radius: int = 3, width: int = 1, keys=None, large: int = 4096) -> DataFrame:
-    """fps (id, fp) -> (id, fp, component): groups linked by fingerprints at most `radius` bits apart.
+def near_duplicates(fps: DataFrame, radius: int = 3, large: int = 4096) -> DataFrame:
+    """fps (id, fp of 64 bits) -> (id, fp, component): groups linked by fingerprints at most `radius` bits apart.
 
-    keys: a function from fingerprints, as (rows, width) words, to (rows, keys) shard keys; by default the exact
-    pigeonhole keys of a 64-bit value. Shards of over `large` distinct fingerprints are dealt out by finer exact keys."""
-    spark = fps.sparkSession
+    Shards of over `large` distinct fingerprints are dealt out by finer exact keys."""
     fps = materialize(fps, "fingerprints")
     reps = fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
-    exact = keys is None
-    shards = reps.where("rep is not null")
-    if exact:
-        shards = shards.select("rep", "fp", F.posexplode(pigeonhole_keys(F.col("fp"), radius)).alias("block", "key"))
-    else:
-        shards = shards.select("rep", "fp").mapInArrow(_keyed(keys, width), "rep long, fp binary, key long")
-    if exact:
-        # Shards that one task should not hold whole are dealt again by finer keys; their list is short.
-        big = shards.groupBy("key").count().where(F.col("count") > large).select("key", F.lit(True).alias("hot"))
-        finer = refined_keys(F.col("fp"), radius)
-        shards = shards.join(big, "key", "left").select("rep", "fp", F.explode(F.when(F.col("hot"), finer[F.col("block")]).otherwise(F.array("key"))).alias("key"))
-    links = shards.select("key", "rep", "fp").repartition(F.col("key")).sortWithinPartitions("key", "rep").mapInArrow(_linker(radius, width), "u long, v long")
+    shards = reps.where("rep is not null").select("rep", "fp", F.posexplode(pigeonhole_keys(F.col("fp"), radius)).alias("block", "key"))
+    # Shards that one task should not hold whole are dealt again by finer keys; their list is short.
+    big = shards.groupBy("key").count().where(F.col("count") > large).select("key", F.lit(True).alias("hot"))
+    finer = refined_keys(F.col("fp"), radius)
+    shards = shards.join(big, "key", "left").select("rep", "fp", F.explode(F.when(F.col("hot"), finer[F.col("block")]).otherwise(F.array("key"))).alias("key"))
+    links = shards.select("key", "rep", "fp").repartition(F.col("key")).sortWithinPartitions("key", "rep").mapInArrow(_linker(radius, 1), "u long, v long")
     labels = connected_components(links)
     named = reps.join(labels, reps.rep == labels.node, "left").select("fp", F.coalesce("component", "rep").alias("component"), "times")
     # A fingerprint of very many rows, such as that of texts without words, is dealt to several tasks.
     return join_hot(fps, named, "fp", "times").select("id", "fp", "component")
 
 
-def _keyed(keys, width: int):
-    """mapInArrow body: one row for each shard key of each fingerprint."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
-                words = np.frombuffer(b"".join(part.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(-1, width)
-                k = keys(words)
-                at = np.repeat(np.arange(len(words)), k.shape[1])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(k.ravel())], ["rep", "fp", "key"])
-
-    return run
-
-
-def sampled_keys(rows: int, width: int, radius: int, recall: float = 0.95, seed: int = 7):
-    """Shard keys from sampled bits of wide fingerprints. Pairs at the radius share each bit with chance
-    1 - radius / bits; so many keys are drawn that they share a whole key with chance `recall`, nearer pairs
-    with more. Keys have more bits for more rows, so that shards stay small."""
-    bits = 64 * width
-    taken = int(np.clip(np.ceil(np.log2(max(rows, 2))) - 3, 8, 24))
-    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - radius / bits) ** taken)))
-    rng = np.random.default_rng(seed)
-    chosen = [rng.choice(bits, taken, replace=False) for _ in range(tables)]
-
-    def keys(words: np.ndarray) -> np.ndarray:
-        out = np.empty((len(words), tables), np.int64)
-        for t, some in enumerate(chosen):
-            value = np.full(len(words), t, np.uint64)
-            for b in some:
-                value = (value << np.uint64(1)) | ((words[:, b // 64] >> np.uint64(63 - b % 64)) & np.uint64(1))
-            out[:, t] = value.view(np.int64)
-        return out
-
-    return keys
-
-
-#: 256 bits, of which at most 45 differ: texts whose 5-word shingles have a Jaccard similarity of 0.8 differ in
-#: 39 of 256 bits on average.
-WIDE, WIDE_RADIUS = 4, 45
-
 #: Keys are made of 5 minima each. Two texts share a minimum with a chance equal to their similarity, so at 0.8
 #: they miss all 24 keys with chance (1 - 0.8**5)**24 = 7e-5, at 0.85 with 2e-6, whatever the number of rows.
 KEY_MINIMA, KEYS = 5, 24
@@ -468,8 +419,9 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int) -> D
     near = connected_components(shared.select(F.col("rep").alias("u"), F.col("low").alias("v")))
     placed = join_hot(near, near.groupBy("component").count(), "component", "count")
     group = F.when(F.col("count") > LARGE_GROUP, F.col("key")).otherwise(F.col("component")).alias("group")
-    deal = materialize(shared.join(placed, shared.rep == placed.node).select(group, "rep", "same").distinct(), "deal")
-    sizes = deal.groupBy("group").agg(F.count("*").alias("n"), F.min("rep").alias("hub"))
+    deal_table = materialize(shared.join(placed, shared.rep == placed.node).select(group, "rep", "same").distinct(), "deal")
+    made: list[DataFrame] = []
+    deal, sizes = deal_table, deal_table.groupBy("group").agg(F.count("*").alias("n"), F.min("rep").alias("hub"))
     deal = join_hot(deal, sizes, "group", "n").withColumn("parts", F.ceil(F.col("n") / CELL).cast("int"))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
 
@@ -477,7 +429,8 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int) -> D
         # The list of candidates grows with the input, so it is never broadcast.
         met = texts.join(cells.select(F.xxhash64("group", *cell).alias("cell"), "rep", "same", "known").hint("merge"), "rep")
         met = met.select("cell", "rep", "same", "known", "text").repartition(F.col("cell")).sortWithinPartitions("cell", "rep")
-        return materialize(met.mapInArrow(_confirmer(words), "u long, v long"), "links")
+        made.append(materialize(met.mapInArrow(_confirmer(words), "u long, v long"), "links"))
+        return made[-1]
 
     own = lambda parts: F.pmod(F.xxhash64("rep", "same"), parts).cast("int")
     every = lambda parts: F.sequence(F.lit(0), parts - 1)
@@ -488,6 +441,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int) -> D
         so_far = connected_components(links)
         known = large.join(so_far, large.rep == so_far.node, "left").withColumn("known", F.coalesce("component", "rep")).drop("node", "component")
         known = materialize(known, "known")
+        made.append(known)
         main = known.where("rep = hub").groupBy("group").agg(F.min("known").alias("main"), F.max("n").alias("n"))
         apart = join_hot(known.drop("n"), main, "group", "n").where("known != main")
         counts = apart.groupBy("group").agg(F.count("*").alias("m"), F.max("n").alias("n")).withColumn("apart_parts", F.ceil(F.col("m") / CELL).cast("int")).drop("m")
@@ -499,14 +453,17 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int) -> D
         links = links.union(links_in(cells, "part", "apart"))
     labels = connected_components(links)
     named = reps.select("same", "rep", "times").join(labels, reps.rep == labels.node, "left").select("same", F.coalesce("component", "rep").alias("component"), "times")
-    return join_hot(rows.select("id", "same"), named, "same", "times").select("id", "component")
+    found = materialize(join_hot(rows.select("id", "same"), named, "same", "times").select("id", "component"), "groups")
+    for done in (rows, shared, deal_table, *made):
+        discard(done)
+    return found
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """The rows of docs that are the first, by id, of their group of near-duplicates; columns as they are.
 
     Rows that share an id are one document, and stay once for each text; rows without an id stay."""
-    found = materialize(similar_groups(docs, id_col, text_col, words), "groups")
+    found = similar_groups(docs, id_col, text_col, words)
     first = found.groupBy("id").agg(F.max(F.col("id") == F.col("component")).alias("first"), F.count("*").alias("times"))
     # The list of ids grows with the input, so it is never broadcast.
     gone = first.where(~F.col("first")).select(F.col("id").alias("gone")).hint("merge")

@@ -130,17 +130,6 @@ def test_majority_bits():
         assert int.from_bytes(got[k].tobytes(), "big") == want
 
 
-def test_sampled_keys_find_near_pairs():
-    rng = np.random.default_rng(4)
-    a = rng.integers(0, 2**64, (400, 4), dtype=np.uint64)
-    b = a.copy()
-    for row in b:
-        for bit in rng.choice(256, 38, replace=False):
-            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-    keys = simhash.sampled_keys(100_000, 4, simhash.WIDE_RADIUS)
-    assert (keys(a) == keys(b)).any(axis=1).mean() > 0.93
-
-
 def test_quantiser_error_bounds():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((600, 16))
