@@ -437,16 +437,44 @@ def test_token_table(spark, odd):
     assert token_files.read_token_table(token_files.write_token_table(odd.limit(0), path)).count() == 0
 
 
+def keeps(text):
+    """The quality rules in plain Python."""
+    w = (text or "").encode().split()
+
+    def inside(size):
+        seen = Counter(tuple(w[k : k + size]) for k in range(len(w) - size + 1))
+        return {k + j for k in range(len(w) - size + 1) if seen[tuple(w[k : k + size])] > 1 for j in range(size)}
+
+    if len(w) < 50 or 100 * len(inside(3)) > 50 * len(w):
+        return False
+    return len(inside(20)) <= 0.2 * len(w) and not inside(101)
+
+
 def test_pipeline(spark, sf):
+    """Every stage against plain Python: rules, all pairs, the library's ids, copies by rates."""
     import corpus_pipeline
 
-    table = spark.read.parquet(f"{sf}/documents.parquet")
-    good = {r.id for r in quality.quality_rules(table).where("kept").collect()}
-    out = corpus_pipeline.run(spark, sf)
-    ids = {r.doc_id for r in out.collect()}
-    assert ids and ids <= good
-    kept = simhash.keep_first(table.where(F.col("doc_id").isin(list(good))))
-    assert ids == {r.doc_id for r in kept.collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    good = {i for i, t in texts.items() if keeps(t)}
+    sets = {}
+    for i in good:
+        w = texts[i].lower().split()
+        sets[i] = set(zip(*(w[j:] for j in range(5))))
+    links = [(a, b) for a in good for b in good if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    first = brute_components(sorted(good), links)
+    spark.conf.set(pii.KEY_SETTING, "key")
+    try:
+        out = corpus_pipeline.run(spark, sf).collect()
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert {r.doc_id for r in out} == {i for i in good if first[i] == i}
+    path, pattern = bpe.production_vocabulary()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.Vocabulary.load(path).ranks, special_tokens={})
+    changed = {r.doc_id: r.text for r in pii.pseudonymise(spark.read.parquet(f"{sf}/documents.parquet"), "key").collect()}
+    for r in out:
+        assert np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(changed[r.doc_id])
+        assert r.decoded_sha256 == hashlib.sha256(changed[r.doc_id].encode()).hexdigest()
+    assert any(changed[i] != texts[i] for i in good) and max(Counter(r.doc_id for r in out).values()) >= 1
 
 
 def test_names():
