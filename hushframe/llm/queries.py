@@ -9,6 +9,7 @@ from .ngram_lm import op3_lm_elias_fano_trie
 from .ordinal import op5_quality_ordinal
 from .pii import op6_pii_feistel
 from .product_quantisation import op4_embeddings_product_quantisation
+from .secret_scan import OP11_SQL, op11_secrets_ownership
 from .quality import op2_quality_suffix_array
 from .simhash import op7_simhash_bk_tree
 from .token_files import op10_token_files_mixing_coder
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_language_bigru": op8_language_bigru,
         "op9_mixing_soft_membership": op9_mixing_soft_membership,
         "op10_token_files_mixing_coder": op10_token_files_mixing_coder,
+        "op11_secrets_ownership": op11_secrets_ownership,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_secrets_ownership": OP11_SQL}
