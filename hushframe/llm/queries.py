@@ -12,6 +12,7 @@ from .product_quantisation import op4_embeddings_product_quantisation
 from .secret_scan import OP11_SQL, op11_secrets_ownership
 from .quality import op2_quality_suffix_array
 from .simhash import op7_simhash_bk_tree
+from .spelling import OP12_SQL, op12_spelling_trie_pairs
 from .token_files import op10_token_files_mixing_coder
 
 
@@ -28,8 +29,9 @@ def queries() -> dict:
         "op9_mixing_soft_membership": op9_mixing_soft_membership,
         "op10_token_files_mixing_coder": op10_token_files_mixing_coder,
         "op11_secrets_ownership": op11_secrets_ownership,
+        "op12_spelling_trie_pairs": op12_spelling_trie_pairs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_secrets_ownership": OP11_SQL}
+    return {"op11_secrets_ownership": OP11_SQL, "op12_spelling_trie_pairs": OP12_SQL}
