@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op1_byte_bpe_prefix_dp
+from .collocations import OP13_SQL, op13_collocations_rabin_karp
 from .language_id import op8_language_bigru
 from .mixing import op9_mixing_soft_membership
 from .ngram_lm import op3_lm_elias_fano_trie
@@ -30,8 +31,9 @@ def queries() -> dict:
         "op10_token_files_mixing_coder": op10_token_files_mixing_coder,
         "op11_secrets_ownership": op11_secrets_ownership,
         "op12_spelling_trie_pairs": op12_spelling_trie_pairs,
+        "op13_collocations_rabin_karp": op13_collocations_rabin_karp,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_secrets_ownership": OP11_SQL, "op12_spelling_trie_pairs": OP12_SQL}
+    return {"op11_secrets_ownership": OP11_SQL, "op12_spelling_trie_pairs": OP12_SQL, "op13_collocations_rabin_karp": OP13_SQL}
