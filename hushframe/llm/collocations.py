@@ -96,8 +96,8 @@ class Block:
         return b" ".join(self.raw[self.start[i] : self.end[i]].tobytes() for i in range(at, at + k))
 
     def same_text(self, at: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
-        """Whether the n-grams at two places have the same bytes, word for word."""
-        ok = np.ones(len(at), bool)
+        """Whether the n-grams at two places have the same language and the same bytes, word for word."""
+        ok = self.lang[at] == self.lang[other]
         for j in range(k):
             a, b = self.start[at + j], self.start[other + j]
             size = self.end[at + j] - a
