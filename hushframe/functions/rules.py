@@ -32,10 +32,10 @@ PATTERNS = [
 MARKER = r"\[([^\]\|]*)\|([A-Z_]+)\]"
 MARKER_V1 = r"\[([^\]\|]+)\|([A-Z_]+)\]"
 MARKER_STRICT = r"\[([^\[\]\|]*)\|([A-Z_]+)\]"
-# What is put for a span of a label, and stored names of settings and answers.
-MASK_HEAD, MASK_TAIL = "[", "_REDACTED]"
-SILENT_MODE, COOLDOWN_MODE = "auto-redact", "cooldown"
-ANSWERS = {"mask": "redact", "send": "send-anyway", "cancel": "cancel"}
+# What is put for a span of a label, and names of settings and answers.
+MASK_HEAD, MASK_TAIL = "[", "_MASKED]"
+SILENT_MODE, COOLDOWN_MODE = "auto-mask", "cooldown"
+ANSWERS = {"mask": "mask", "send": "send", "cancel": "cancel"}
 # Least scores of tagger spans.
 THRESHOLDS = {"block": 0.85, "warn": 0.70}
 TOKEN_FLOOR = 0.5
