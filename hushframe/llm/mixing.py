@@ -4,9 +4,11 @@ A classifier learnt from labelled rows gives every document a posterior over the
 tokens and posterior p_i; at rates r_i the expected tokens of domain k are sum_i r_i n_i p_ik. Rates are fitted
 by projected-gradient least squares: they start at 1, each step moves all rates along the gradient of the
 squared misses, scaled by the inverse of its curvature over the domains and the rates that are free to move, and
-clips them at `floor`, by default 0. One step is one distributed sum of some dozen numbers; a document's rate
-follows from its own posterior and the few multipliers so far, so rates are never shuffled or stored between
-steps. Steps end at `tolerance`; if they run out before, that is an error, so results always meet the targets.
+clips them at `floor`, by default 0. Where clipping makes such a step useless, the plain gradient is taken. One step
+is one distributed sum of some dozen numbers; a document's rate follows from its own posterior and the few multipliers
+so far, so rates are never shuffled or stored between steps. Steps end where the targets are met to `tolerance`, or
+where rates come no nearer, ten steps together by less than a hundredth of the squared misses: targets that are out of
+reach get such rates, and the report has the miss. If the sums run out before, that is an error.
 
 The classifier is multinomial naive Bayes over hashed words, from a bounded sample (fit_rows labelled rows, by
 least id hash); posteriors and token counts read every whole text. Unless a total is given, the targets add up to
@@ -17,8 +19,9 @@ In the tables here a text says nothing about its source column, so a classifier
 the prior; the query's domains are the languages, of the documents that the labels table covers.
 
 Defined results: null and empty texts have no tokens, the prior as posterior and rate 1; rows of a domain
-that is not in the targets train nothing; without labelled rows all posteriors are even; an empty
-table gives an empty result; repeated rows get equal rates; extra columns are ignored.
+that is not in the targets train nothing; without labelled rows all posteriors are even, and so rates stay as they
+are; targets without any tokens to meet them leave all rates at 1; an empty table gives an empty result; repeated rows
+get equal rates; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ WORD_MEMORY = 300_000
 #: Targets of the registered query and of the pipeline.
 TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 ROUNDS = 200
+#: Steps that are looked back on to tell whether rates still come nearer.
+STALLED = 10
 
 
 def word_buckets(text: str | None, known: dict[bytes, int]) -> np.ndarray:
@@ -126,8 +131,9 @@ def fit_rates(found: DataFrame, domains: list[str], targets: dict[str, float], t
     Every step asks for the expected tokens of each domain at the present rates, and for their curvature over the
     documents whose rate is above the floor. The gradient in r_i of half the squared misses is n_i sum_k p_ik
     miss_k; it is preconditioned by n_i, so that long texts do not move first, and by that curvature. A step is cut
-    in half until it brings the squared misses down. RuntimeError: `rounds` sums were not enough for `tolerance`,
-    relative to the greatest target."""
+    in half until it brings the squared misses down; where none does, the gradient itself is taken, which does so
+    anywhere but at the closest rates. RuntimeError: `rounds` sums were enough neither for `tolerance`, relative to
+    the greatest target, nor to come to a stop."""
     if floor < 0 or floor > 1:
         raise ValueError("floor must be from 0 to 1, the rate at the start")
     share = np.array([targets[d] for d in domains], float)
@@ -144,39 +150,63 @@ def fit_rates(found: DataFrame, domains: list[str], targets: dict[str, float], t
         return got[: len(domains)], got[len(domains) :].reshape(len(domains), -1)
 
     now, gram = sums([])
-    if not now.sum() or not (now[share > 0] > 0).all():
+    if not now.sum():
         return F.lit(1.0), {"before": now.tolist(), "after": now.tolist(), "target": now.tolist(), "steps": 0, "history": []}
     target = share * (total if total is not None else now.sum())
     history: list[np.ndarray] = []
     before, asked = now, 0
-    while np.abs(target - now).max() > tolerance * target.max():
-        step = np.linalg.pinv(gram, rcond=1e-9) @ (target - now)
-        for half in range(20):
-            after, curve = sums([*history, step * 0.5**half])
-            asked += 1
-            if ((target - after) ** 2).sum() < ((target - now) ** 2).sum():
-                break
+
+    def better(step: np.ndarray, halves: int) -> bool:
+        """Take the first of step, its half, ... that brings the squared misses down by more than rounding."""
+        nonlocal history, now, gram, asked
+        worst = ((target - now) ** 2).sum()
+        for half in range(halves):
             if asked >= rounds:
                 raise RuntimeError(f"rates miss the targets by {np.abs(target - now).max() / target.max():.2e} after {asked} sums")
-        else:
-            raise RuntimeError(f"no rates from {floor} up come nearer to the targets than {np.abs(target - now).max() / target.max():.2e}")
-        history, now, gram = [*history, step * 0.5**half], after, curve
+            after, curve = sums([*history, step * 0.5**half])
+            asked += 1
+            if ((target - after) ** 2).sum() < worst * (1 - 1e-9):
+                history, now, gram = [*history, step * 0.5**half], after, curve
+                return True
+        return False
+
+    trail = [((target - now) ** 2).sum()]
+    while np.abs(target - now).max() > tolerance * target.max():
+        if len(trail) > STALLED and trail[-1] > 0.99 * trail[-1 - STALLED]:
+            break
+        miss = target - now
+        newton = np.linalg.pinv(gram, rcond=1e-9) @ miss
+        if np.abs(newton).max() > 0 and better(newton, 4):
+            trail.append(((target - now) ** 2).sum())
+            continue
+        # No curvature of free rates at all: a step that moves the mean rate by one is a start.
+        scale = np.linalg.norm(gram, 2) or np.abs(target - now).max()
+        if not better(miss / scale, 12):
+            break
+        trail.append(((target - now) ** 2).sum())
     return _rate(F.col("p"), history, floor), {"before": before.tolist(), "after": now.tolist(), "target": target.tolist(), "steps": len(history), "history": history}
 
 
-def reachable_total(found: DataFrame, domains: list[str], targets: dict[str, float], slack: float = 1.05) -> float:
+def reachable_total(found: DataFrame, domains: list[str], targets: dict[str, float], slack: float = 1.05, most: float = 20.0) -> float:
     """A total at which rates of 1 and more meet the targets: rates are 1 + sum_k p_ik x_k, with x not negative. Where
-    the shortfall at the scale of the best supplied domain needs a negative x, the scale grows."""
+    the shortfall at the scale of the best supplied domain needs a negative x, the scale grows. Targets that would need more
+    than `most` times the tokens there are, or that no rates meet, get the total there is."""
     kth = [F.col("p")[k] for k in range(len(domains))]
     row = found.agg(*[F.sum(F.col("n_tokens") * x) for x in kth], *[F.sum(F.col("n_tokens") * x * y) for x in kth for y in kth]).first()
     got = np.array([float(v or 0.0) for v in row])
     now, gram = got[: len(domains)], got[len(domains) :].reshape(len(domains), -1)
     share = np.array([targets[d] for d in domains], float)
     share = share / share.sum()
-    total = float((now[share > 0] / share[share > 0]).max()) if now.sum() else 0.0
-    while total and (np.linalg.pinv(gram, rcond=1e-9) @ (share * total - now) < 0).any() and total < 1e6 * now.sum():
+    if not now.sum() or not (now[share > 0] > 0).all():
+        return float(now.sum())
+    total, inverse = float((now[share > 0] / share[share > 0]).max()), np.linalg.pinv(gram, rcond=1e-9)
+    while total <= most * now.sum():
+        short = share * total - now
+        x = inverse @ short
+        if (x >= -1e-9 * np.abs(x).max()).all() and np.abs(gram @ x - short).max() <= 1e-6 * total:
+            return total
         total *= slack
-    return total
+    return float(now.sum())
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", floor: float = 0.0, total: float | None = None, **options) -> tuple[DataFrame, dict]:

@@ -409,9 +409,35 @@ def test_mixing_is_least_squares(spark):
     for _ in range(20000):
         r = np.maximum(0, r + w @ (goal - r @ w) / np.linalg.norm(w.T @ w, 2))
     assert ((goal - ours @ w) ** 2).sum() <= ((goal - r @ w) ** 2).sum() + (1e-6 * goal.max()) ** 2 * 3
-    # Out of reach: nothing in these documents is of the third domain alone, so a share near one cannot be met.
-    with pytest.raises(RuntimeError):
-        mixing.fit_rates(found.where("p[2] < 0.5"), ["a", "b", "c"], {"a": 0.001, "b": 0.001, "c": 0.998})
+    # Out of reach: nothing in these documents is of the third domain alone, so the closest rates miss it.
+    some = found.where("p[2] < 0.5")
+    keep = p[:, 2] < 0.5
+    rate, report = mixing.fit_rates(some, ["a", "b", "c"], {"a": 0.001, "b": 0.001, "c": 0.998})
+    ours = np.array([r.rate for r in some.select("id", rate.alias("rate")).orderBy("id").collect()])
+    w = (n[:, None] * p)[keep]
+    goal, r = np.array([0.001, 0.001, 0.998]) * n[keep].sum(), np.ones(keep.sum())
+    for _ in range(40000):
+        r = np.maximum(0, r + w @ (goal - r @ w) / np.linalg.norm(w.T @ w, 2))
+    best = ((goal - r @ w) ** 2).sum()
+    assert (ours >= 0).all() and best > (0.1 * goal.max()) ** 2 and ((goal - ours @ w) ** 2).sum() <= best * 1.1
+    assert np.allclose(report["after"], ours @ w)
+
+
+@pytest.mark.parametrize("labels", ["none", "one", "one language"])
+def test_mixing_with_few_labels(spark, sf, tmp_path, labels):
+    """Rates for any labels there are, the miss beside them."""
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    covered = {"none": "false", "one": f"doc_id = {table.where('lang = \'en\'').first().doc_id}", "one language": "lang = 'de'"}[labels]
+    given = table.where(covered).select("doc_id")
+    for floor in (0.0, 1.0):
+        found, report = mixing.mix(table, mixing.labelled_domains(table, given), mixing.TARGETS, floor=floor)
+        rows = found.collect()
+        assert len(rows) == table.count() and all(r.rate >= floor and math.isfinite(r.rate) for r in rows)
+        assert np.allclose(sum(np.array(r.p) * r.n_tokens * r.rate for r in rows), report["after"])
+        again = mixing.repeat_rows(table, report).count()
+        assert again < 40 * len(rows) and (floor == 0 or again >= len(rows))
+        if labels == "none":
+            assert {r.rate for r in rows} == {1.0}
 
 
 def test_mixing_odd(odd):
