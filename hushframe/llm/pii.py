@@ -14,13 +14,14 @@ ranges that are covered exactly, so no value of one class can take the pseudonym
   IBANs        country stays, letters and digits are permuted by class, check digits are recomputed if they
                were right
   IPv4         the two last octets' pair and the two first octets' pair are permuted
-  e-mails      letters and digits of the local part are permuted by runs; the domain stays
+  e-mails      letters and digits of the local part are permuted within their classes; the domain stays
   secrets      AKIA keys, 32 hex digits or more, and values after password=, token= and the like
 
 The permutation alternates two halves (a mod m, b mod n) with sums of keyed SHA-256 values, so any product
 m*n is a valid domain. The key decides everything and has no default: who has it can undo the pseudonyms. The
-registered query takes it from the session's setting spark.hushframe.pii.key; where that is unset it draws one for
-the run, which then links values within that run only.
+registered query takes it from the session's setting spark.hushframe.pii.secret, a name that Spark hides in its UI and
+logs; where that is unset it draws one for the run, with a warning, which then links values within that run only. Plans
+hold no key either: it is a row of a local table, which joins every document.
 
 Defined results: null texts stay null; empty texts and texts without matches come back unchanged; other
 columns are left as they are; repeated rows get equal results; an empty table gives an empty result.
@@ -29,6 +30,7 @@ columns are left as they are; repeated rows get equal results; an empty table gi
 from __future__ import annotations
 
 import secrets
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +40,7 @@ from .common import documents
 
 ROUNDS = 8
 #: The session's setting that holds the key.
-KEY_SETTING = "spark.hushframe.pii.key"
+KEY_SETTING = "spark.hushframe.pii.secret"
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,250}[A-Za-z0-9])?\.[A-Za-z]{2,24}"
 AKIA = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
@@ -68,7 +70,7 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def feistel(a: Column, b: Column, m: Column | int, n: Column | int, key: str, tweak: str) -> Column:
+def feistel(a: Column, b: Column, m: Column | int, n: Column | int, key: Column | str, tweak: Column | str) -> Column:
     """A keyed permutation of the pairs (a, b) with a below m and b below n, as a struct. Rounds are a fold, so
     the expression does not double in size with every round."""
     m = m if isinstance(m, Column) else F.lit(m).cast("long")
@@ -83,13 +85,15 @@ def feistel(a: Column, b: Column, m: Column | int, n: Column | int, key: str, tw
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), step)
 
 
-def _noise_at(key: str, tweak: str, k: Column, x: Column, modulus: Column) -> Column:
-    seed = F.concat_ws("|", F.lit(f"{key}|{tweak}"), k.cast("string"), x.cast("string"))
+def _noise_at(key: Column | str, tweak: Column | str, k: Column, x: Column, modulus: Column) -> Column:
+    named = [c if isinstance(c, Column) else F.lit(c) for c in (key, tweak)]
+    seed = F.concat_ws("|", *named, k.cast("string"), x.cast("string"))
     return F.pmod(F.conv(F.substring(F.sha2(seed, 256), 1, 14), 16, 10).cast("long"), modulus)
 
 
-def permute_run(run: Column, base: int, key: str, tweak: str) -> Column:
-    """Permute a string of digits of one base (10, 16, 26 as 0-9a-p, or 36, lower case), 10 digits at a time."""
+def permute_run(run: Column, base: int, key: Column | str, tweak: Column | str) -> Column:
+    """Permute a string of digits of one base (10, 16, 26 as 0-9a-p, or 36, lower case), 10 digits at a time; the place of
+    such a block counts, so equal blocks of a value become different."""
 
     number = lambda t: F.when(F.length(t) == 0, F.lit(0).cast("long")).otherwise(F.conv(t, base, 10).cast("long"))
     power = lambda e: F.round(F.pow(F.lit(float(base)), e)).cast("long")
@@ -102,7 +106,7 @@ def permute_run(run: Column, base: int, key: str, tweak: str) -> Column:
     def part(i: Column) -> Column:
         def mixed(s: Column) -> Column:
             w, x = F.length(s["l"]), F.length(s["r"])
-            return let(feistel(number(s["l"]), number(s["r"]), power(w), power(x), key, f"{tweak}|{base}"), lambda f: F.concat(text(f["a"], w), text(f["b"], x)))
+            return let(feistel(number(s["l"]), number(s["r"]), power(w), power(x), key, F.concat_ws("|", F.lit(f"{tweak}|{base}"), i.cast("string"))), lambda f: F.concat(text(f["a"], w), text(f["b"], x)))
 
         return let(let(F.substring(run, i * 10 + 1, F.lit(10)), halves), mixed)
 
@@ -129,13 +133,29 @@ def replace_each(text: Column, pattern: str, change) -> Column:
     return F.concat(F.element_at(gaps, 1), F.array_join(F.zip_with(F.transform(hits, change), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda h, g: F.concat(h, g)), ""))
 
 
-def _by_class(v: Column, key: str, tweak: str) -> Column:
-    """Permute runs of digits, of lower-case and of upper-case letters, each within its class."""
-    def run(x: Column) -> Column:
-        letters = F.translate(permute_run(F.translate(F.lower(x), _LOWER, _BASE26), 26, key, tweak), _BASE26, _LOWER)
-        return F.when(x.rlike("^[0-9]"), permute_run(x, 10, key, tweak)).when(x.rlike("^[A-Z]"), F.upper(letters)).otherwise(letters)
+def _by_class(v: Column, key: Column | str, tweak: Column | str) -> Column:
+    """Permute digits, lower-case and upper-case letters, each within its class, others staying. The two halves of the value
+    take turns: each character is moved within its class by a number that depends on the whole other half and its place."""
+    tweak = tweak if isinstance(tweak, Column) else F.lit(tweak)
 
-    return replace_each(v, "[0-9]+|[a-z]+|[A-Z]+", run)
+    def moved(half: Column, other: Column, k: Column) -> Column:
+        noise = F.transform(F.sequence(F.lit(0), F.floor(F.length(half) / 16).cast("int")), lambda j: F.sha2(F.concat_ws("|", key if isinstance(key, Column) else F.lit(key), tweak, k.cast("string"), j.cast("string"), other), 256))
+
+        def one(c: Column, at: Column, noise: Column) -> Column:
+            step = F.conv(F.substring(F.element_at(noise, F.floor(at / 16).cast("int") + 1), F.pmod(at, F.lit(16)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+            turn = lambda first, size: F.char(F.lit(ord(first)) + F.pmod(F.ascii(c) - ord(first) + step, F.lit(size)))
+            return F.when(c.between("0", "9"), turn("0", 10)).when(c.between("a", "z"), turn("a", 26)).when(c.between("A", "Z"), turn("A", 26)).otherwise(c)
+
+        return let(noise, lambda some: F.array_join(F.transform(F.split(half, ""), lambda c, at: one(c, at, some)), ""))
+
+    def step(s: Column, k: Column) -> Column:
+        even = k % 2 == 0
+        new = moved(F.when(even, s["l"]).otherwise(s["r"]), F.when(even, s["r"]).otherwise(s["l"]), k)
+        return let(new, lambda x: F.struct(F.when(even, x).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise(x).alias("r")))
+
+    half = F.floor(F.length(v) / 2).cast("int")
+    start = F.struct(F.substring(v, F.lit(1), half).alias("l"), F.substring(v, half + 1, F.length(v)).alias("r"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["l"], s["r"]))
 
 
 def _two(v: Column, w: int) -> Column:
@@ -146,7 +166,7 @@ def _two(v: Column, w: int) -> Column:
 _SHORT, _LONG = 17, 4297
 
 
-def _day(date: Column, key: str) -> Column:
+def _day(date: Column, key: Column | str) -> Column:
     """The pseudonym of a calendar day."""
     epoch = F.lit("1900-01-01").cast("date")
     since = F.datediff(date, epoch)
@@ -167,7 +187,7 @@ def _calendar(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("yyyy-MM-dd")).cast("date")
 
 
-def _date(v: Column, key: str) -> Column:
+def _date(v: Column, key: Column | str) -> Column:
     day = let(_calendar(F.substring(v, 1, 4), F.substring(v, 6, 2), F.substring(v, 9, 2)), lambda d: F.date_format(_day(d, key), "yyyy-MM-dd"))
     return F.coalesce(day, v)
 
@@ -176,7 +196,7 @@ def _date(v: Column, key: str) -> Column:
 _WITH_30, _WITH_31 = [1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12], [1, 3, 5, 7, 8, 10, 12]
 
 
-def _month_first(date: Column, key: str) -> Column:
+def _month_first(date: Column, key: Column | str) -> Column:
     """The pseudonym of a calendar day above the 12th of 1900 to 2099, among such days: the 13th to the 28th of all
     months; the 29th, 30th and 31st each over the months that have them; the 29th of February over leap years."""
     year, month, day = (F.year(date) - 1900).cast("long"), F.month(date).cast("long"), F.dayofmonth(date).cast("long")
@@ -193,7 +213,7 @@ def _month_first(date: Column, key: str) -> Column:
     return F.when(day <= 28, common).when((day == 29) & (month == 2), leap_day).when(day == 31, late(_WITH_31, "31st")).otherwise(late(_WITH_30, "30th"))
 
 
-def _dmy(v: Column, key: str) -> Column:
+def _dmy(v: Column, key: Column | str) -> Column:
     """Day first, unless only month first is a calendar day."""
     a, b, y = F.substring(v, 1, 2), F.substring(v, 4, 2), F.substring(v, 7, 4)
     day_first = let(_calendar(y, b, a), lambda d: F.date_format(_day(d, key), "ddMMyyyy"))
@@ -202,7 +222,7 @@ def _dmy(v: Column, key: str) -> Column:
     return F.coalesce(_refill(v, text), v)
 
 
-def _nanp(v: Column, key: str) -> Column:
+def _nanp(v: Column, key: Column | str) -> Column:
     def numbered(d: Column) -> Column:
         ten = F.right(d, F.lit(10))
         return F.struct(
@@ -221,7 +241,7 @@ def _nanp(v: Column, key: str) -> Column:
     return _refill(v, let(let(_digits(v), numbered), new))
 
 
-def _abroad(v: Column, key: str) -> Column:
+def _abroad(v: Column, key: Column | str) -> Column:
     """Digits after the first three, which hold the country code, are permuted."""
     return _refill(v, let(_digits(v), lambda d: F.concat(F.substring(d, 1, 3), permute_run(F.substring(d, F.lit(4), F.length(d)), 10, key, "phone"))))
 
@@ -232,7 +252,7 @@ def _luhn_digit(body: Column) -> Column:
     return F.element_at(F.filter(digits, lambda c: F.call_function("luhn_check", F.concat(body, c))), 1).cast("int")
 
 
-def _card(v: Column, key: str) -> Column:
+def _card(v: Column, key: Column | str) -> Column:
     """The last digit keeps its distance from the right one, so right stays right and wrong stays wrong."""
     def new(d: Column) -> Column:
         n = F.length(d)
@@ -243,7 +263,7 @@ def _card(v: Column, key: str) -> Column:
     return _refill(v, let(_digits(v), new))
 
 
-def _ssn(v: Column, key: str) -> Column:
+def _ssn(v: Column, key: Column | str) -> Column:
     """Areas 001-665 and 667-899 are 898 in a row; the other 102 are 000, 666 and 900-999."""
     area, group, serial = F.substring(v, 1, 3).cast("long"), F.substring(v, 5, 2).cast("long"), F.substring(v, 8, 4).cast("long")
     row = F.when(area > 666, area - 2).otherwise(area - 1)
@@ -265,7 +285,7 @@ def _iban_rest(plain: Column) -> Column:
     return F.aggregate(codes, F.lit(0).cast("long"), lambda s, x: F.pmod(s * F.when(x >= 10, F.lit(100)).otherwise(10) + x, F.lit(97)).cast("long"))
 
 
-def _iban(v: Column, key: str) -> Column:
+def _iban(v: Column, key: Column | str) -> Column:
     country = F.substring(v, 1, 2)
 
     def new(plain: Column) -> Column:
@@ -280,28 +300,29 @@ def _iban(v: Column, key: str) -> Column:
     return let(let(F.replace(v, F.lit(" "), F.lit("")), new), spaced)
 
 
-def _ipv4(v: Column, key: str) -> Column:
+def _ipv4(v: Column, key: Column | str) -> Column:
     p = F.split(v, r"\.")
     o = [p[k].cast("long") for k in range(4)]
     octets = lambda x: [F.floor(x / 256).cast("string"), (x % 256).cast("string")]
     return let(feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ipv4"), lambda f: F.concat_ws(".", *octets(f["a"]), *octets(f["b"])))
 
 
-def _email(v: Column, key: str) -> Column:
+def _email(v: Column, key: Column | str) -> Column:
+    """The name, by a permutation of its domain's own."""
     at = F.instr(v, "@")
-    return F.concat(_by_class(F.substring(v, F.lit(1), at - 1), key, "email"), F.substring(v, at, F.length(v)))
+    return let(F.substring(v, at, F.length(v)), lambda domain: F.concat(_by_class(F.substring(v, F.lit(1), at - 1), key, F.concat(F.lit("email|"), domain)), domain))
 
 
-def _hex(v: Column, key: str) -> Column:
+def _hex(v: Column, key: Column | str) -> Column:
     new = permute_run(F.lower(v), 16, key, "hex")
     return F.when(v.rlike("[A-F]"), F.upper(new)).otherwise(new)
 
 
-def _akia(v: Column, key: str) -> Column:
+def _akia(v: Column, key: Column | str) -> Column:
     return F.concat(F.lit("AKIA"), F.upper(permute_run(F.lower(F.substring(v, 5, 16)), 36, key, "akia")))
 
 
-def _secret(v: Column, key: str) -> Column:
+def _secret(v: Column, key: Column | str) -> Column:
     value = F.regexp_extract(v, "[A-Za-z0-9]+$", 0)
     new = F.when(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _hex(value, key)).otherwise(_by_class(value, key, "secret"))
     return F.concat(F.substring(v, F.lit(1), F.length(v) - F.length(value)), new)
@@ -310,7 +331,7 @@ def _secret(v: Column, key: str) -> Column:
 _CHANGE = {"email": _email, "secret": _secret, "akia": _akia, "hex": _hex, "date": _date, "dmy": _dmy, "ssn": _ssn, "nanp": _nanp, "card": _card, "abroad": _abroad, "iban": _iban, "ipv4": _ipv4}
 
 
-def pseudonym(value: Column, key: str) -> Column:
+def pseudonym(value: Column, key: Column | str) -> Column:
     """The pseudonym of one whole match, by the first kind that it fits."""
     kinds = [(value.rlike(f"^(?:{pattern})$"), _CHANGE[kind](value, key)) for kind, pattern in KINDS.items()]
     return F.coalesce(reduce(lambda chain, case: chain.when(*case), kinds[1:], F.when(*kinds[0])), value)
@@ -318,14 +339,16 @@ def pseudonym(value: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", hits_col: str | None = None) -> DataFrame:
     """docs with PII in text_col replaced; all other columns as they are. hits_col: keeps the matches there."""
-    hits = hits_col or _free_name(docs, "hits")
+    hits, secret = hits_col or _free_name(docs, "hits"), _free_name(docs, "secret")
     text = F.col(f"`{text_col}`")
+    # One row; as a literal the key would stand in every plan.
+    keys = docs.sparkSession.sql(f"SELECT * FROM VALUES (:key) AS t(`{secret}`)", {"key": key})
     # The matches are a column of their own, so that both uses read one search.
-    found = docs.withColumn(hits, F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    changed = F.transform(F.col(f"`{hits}`"), lambda v: pseudonym(v, key))
+    found = docs.withColumn(hits, F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))).crossJoin(F.broadcast(keys))
+    changed = F.transform(F.col(f"`{hits}`"), lambda v: pseudonym(v, F.col(f"`{secret}`")))
     gaps = F.split(text, ANY, -1)
     whole = F.array_join(F.flatten(F.zip_with(gaps, F.concat(changed, F.array(F.lit(""))), lambda g, h: F.array(g, h))), "")
-    out = found.withColumn(text_col, F.when(F.size(F.col(f"`{hits}`")) > 0, whole).otherwise(text))
+    out = found.withColumn(text_col, F.when(F.size(F.col(f"`{hits}`")) > 0, whole).otherwise(text)).drop(secret)
     return out if hits_col else out.drop(hits)
 
 
@@ -337,7 +360,10 @@ def _free_name(docs: DataFrame, name: str) -> str:
 
 def session_key(spark: SparkSession) -> str:
     """The key of the session's setting, or one drawn for this run where it is unset."""
-    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(16)
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms of this run have a key of their own", stacklevel=2)
+    return key or secrets.token_hex(16)
 
 
 def op6_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:

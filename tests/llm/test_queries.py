@@ -348,6 +348,11 @@ def test_pii_key_is_of_the_session(spark, sf):
 
 def test_pii_plan_is_native(spark, sf):
     plan = pii.op6_pii_feistel(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(pii.KEY_SETTING, "unmistakable")
+    held = pii.op6_pii_feistel(spark, sf)
+    held.count()
+    assert "unmistakable" not in held._jdf.queryExecution().toString() + held._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset(pii.KEY_SETTING)
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
