@@ -1,15 +1,15 @@
 """Phrase collocations from Rabin-Karp fingerprints of word n-grams.
 
 Texts of a block lie end to end as bytes; prefix sums of byte times power, modulo 2**64, give every word's fingerprint, and
-prefix sums over the words give that of every n-gram, all in numpy. Three passes over the texts:
+prefix sums over the words give that of every n-gram, all in numpy. Two passes over the texts:
   1. fingerprints of all pairs of words are summed; those that occur often enough go into a bit table of a fixed size,
      which all tasks get. It may let more through as data grow past its size, never less.
-  2. n-grams whose pairs all pass are summed by fingerprint; those that are frequent go into a second table of bits.
-  3. n-grams that pass it as well are counted by language and text, with a pointer (document, word) to an occurrence. Within
-     a block, every occurrence is compared with the text that the first one's pointer leads to, byte for byte, and blocks
-     meet by text; so phrases whose fingerprints collide are counted apart.
-A phrase of `least` occurrences has a fingerprint with as many, and so have its parts, so nothing is lost; only phrases with
-a frequent fingerprint are ever written out as text. Blocks sum before they send.
+  2. n-grams whose pairs all pass are summed by fingerprint, each with a pointer (row, place) to an occurrence, and the least
+     and greatest of a second fingerprint to other bases.
+Then the pointers of the frequent fingerprints go to their texts, and there the phrases are read; no other phrase is
+ever written out. Where the second fingerprints differ, different phrases have met in one fingerprint: those are counted
+once more by their text, with every occurrence compared byte for byte. A phrase of `least` occurrences has a fingerprint
+with as many, and so have its parts, so nothing is lost. Blocks sum before they send.
 
 Scores, containment and ranks are joins and sums over the frequent phrases. Ranks come from range partitions and their sizes,
 since one language may hold most phrases. Products are decimals of 38 digits.
@@ -40,7 +40,8 @@ BLOCK, HELD = 4 << 20, 3_000_000
 MOST_BITS = 28
 UNKNOWN = "und"
 
-_BYTE, _WORD = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
+#: Bases of the polynomials over bytes and over words, of the first and of the second fingerprint.
+_BASES = [tuple(np.uint64(x) for x in pair) for pair in ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB))]
 _TURN = np.uint64(0xBF58476D1CE4E5B9)
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[0x20, 0x09]] = 1
@@ -62,10 +63,17 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _prefixes(values: np.ndarray, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of value times power of the base, and the inverse powers: (up[b] - up[a]) * down[a] is the polynomial of a to b."""
+    up = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * _powers(base, len(values)), dtype=np.uint64)))
+    return up, _powers(np.uint64(pow(int(base), -1, 1 << 64)), len(values) + 1)
+
+
 class Block:
-    """Words of some texts, each text closed by a piece's end: bytes, starts, ends, pieces, texts, languages and fingerprints."""
+    """Words of some texts, each text closed by a piece's end: bytes, starts, ends, pieces, texts, languages and fingerprints.
+    width: bits of the first fingerprint; `skipped`: words of the (only) text that lie before this block."""
 
-    def __init__(self, texts: list[bytes], langs: np.ndarray, seeds: np.ndarray):
+    def __init__(self, texts: list[bytes], langs: np.ndarray, seeds: np.ndarray, width: int = 64, skipped: int = 0):
         self.raw = _LOW[np.frombuffer(b"\n".join(texts), np.uint8)]
         kind = _CLASS[self.raw]
         edge = np.diff(np.concatenate(([0], (kind == 0).view(np.int8), [0])))
@@ -74,14 +82,20 @@ class Block:
         closes = np.cumsum([len(t) + 1 for t in texts])
         self.text = np.searchsorted(closes, self.start, "right")
         self.lang = langs[self.text] if len(self.text) else self.text
-        first = np.searchsorted(self.start, np.concatenate(([0], closes[:-1])))
-        self.place = np.arange(len(self.start)) - first[self.text] if len(self.text) else self.text
-        up = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.raw * _powers(_BYTE, len(self.raw)), dtype=np.uint64)))
-        down = _powers(np.uint64(pow(int(_BYTE), -1, 1 << 64)), len(self.raw) + 1)
-        word = _mixed((up[self.end] - up[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
-        self._up = np.concatenate((np.zeros(1, np.uint64), np.cumsum(word * _powers(_WORD, len(word)), dtype=np.uint64)))
-        self._down = _powers(np.uint64(pow(int(_WORD), -1, 1 << 64)), len(word) + 1)
-        self._seed = seeds[self.text] if len(self.text) else word
+        self.first = np.searchsorted(self.start, np.concatenate(([0], closes[:-1])))
+        self.skipped, self.mask = skipped, np.uint64((1 << width) - 1)
+        self.place = skipped + np.arange(len(self.start)) - self.first[self.text] if len(self.text) else self.text
+        self.seed = seeds[self.text] if len(self.text) else self.text.astype(np.uint64)
+        self.over_words: list = [None, None]
+
+    def _polynomials(self, which: int, at: np.ndarray, k: int) -> np.ndarray:
+        if self.over_words[which] is None:
+            byte, word = _BASES[which]
+            up, down = _prefixes(self.raw, byte)
+            words = _mixed((up[self.end] - up[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+            self.over_words[which] = _prefixes(words, word)
+        up, down = self.over_words[which]
+        return _mixed((up[at + k] - up[at]) * down[at] + self.seed[at] + np.uint64(k))
 
     def grams(self, k: int) -> np.ndarray:
         """First words of the n-grams of k words inside one piece."""
@@ -90,7 +104,11 @@ class Block:
 
     def prints(self, at: np.ndarray, k: int) -> np.ndarray:
         """Fingerprints of the n-grams of k words at `at`, apart by language and length."""
-        return _mixed((self._up[at + k] - self._up[at]) * self._down[at] + self._seed[at] + np.uint64(k))
+        return self._polynomials(0, at, k) & self.mask
+
+    def checks(self, at: np.ndarray, k: int) -> np.ndarray:
+        """The second fingerprints."""
+        return self._polynomials(1, at, k)
 
     def phrase(self, at: int, k: int) -> bytes:
         return b" ".join(self.raw[self.start[i] : self.end[i]].tobytes() for i in range(at, at + k))
@@ -121,23 +139,22 @@ def _cut(text: bytes) -> list[bytes]:
     return [*out, text[at:]]
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list[str], list]]:
-    """Blocks of (row, lang, text) batches, with the names of their languages and the ids of their rows."""
+def blocks(batches: Iterator[pa.RecordBatch], width: int = 64) -> Iterator[tuple[Block, list[str], pa.RecordBatch]]:
+    """Blocks of batches (key, lang, text, ...), with the names of their languages and the rows they are of."""
     for part in byte_slices(batches, 2, BLOCK):
         names = [UNKNOWN if x is None else x for x in part.column(1).to_pylist()]
         known = sorted(set(names))
         langs = np.array([known.index(x) for x in names], np.int64)
         seeds = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in known], np.uint64)[langs]
-        texts, ids = [t.as_py() or b"" for t in part.column(2)], part.column(0).to_pylist()
+        texts = [t.as_py() or b"" for t in part.column(2)]
         if len(texts) > 1:
-            yield Block(texts, langs, seeds), known, ids
+            yield Block(texts, langs, seeds, width), known, part
             continue
         words = 0
         for piece in _cut(texts[0]):
-            block = Block([piece], langs, seeds)
-            block.place += words
+            block = Block([piece], langs, seeds, width, words)
             words += len(block.start)
-            yield block, known, ids
+            yield block, known, part
 
 
 def _leads(ordered: np.ndarray) -> np.ndarray:
@@ -159,8 +176,7 @@ def _send(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     order = np.argsort(prints)
     prints, n = prints[order], n[order]
     lead = _leads(prints)
-    sums = np.add.reduceat(n, lead) if len(n) else n
-    return pa.RecordBatch.from_arrays([pa.array(prints[lead].view(np.int64)), pa.array(sums)], ["print", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(prints[lead].view(np.int64)), pa.array(np.add.reduceat(n, lead) if len(n) else n)], ["print", "n"])
 
 
 class Bits:
@@ -201,16 +217,17 @@ def bit_table(frequent: DataFrame, most_bits: int = MOST_BITS) -> Bits:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    text = F.encode(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "UTF-8")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("row"), F.col(f"`{lang_col}`").cast("string").alias("lang"), text.alias("text"))
+    """(key, lang, text as bytes, row); rows with the same key are the same, but for what a check of the text finds out."""
+    row, text, lang = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.col(f"`{lang_col}`").cast("string")
+    return docs.select(F.xxhash64(row, lang, text).alias("key"), lang.alias("lang"), F.encode(text, "UTF-8").alias("text"), row.alias("row"))
 
 
-def pair_prints(texts: DataFrame) -> DataFrame:
+def pair_prints(texts: DataFrame, width: int = 64) -> DataFrame:
     """(print, n) of all pairs of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for block, _, _ in blocks(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+        for block, _, _ in blocks(batches, width):
             held.append(_counted(block.prints(block.grams(2), 2)))
             if sum(len(h[0]) for h in held) > HELD:
                 yield _send(held)
@@ -221,8 +238,7 @@ def pair_prints(texts: DataFrame) -> DataFrame:
 
 def _candidates(block: Block, pairs: Bits, longest: int) -> Iterator[tuple[int, np.ndarray]]:
     """(k, first words) of the single words, and of the n-grams whose pairs all pass."""
-    at = block.grams(1)
-    yield 1, at
+    yield 1, block.grams(1)
     good = np.zeros(len(block.start) + 1, bool)
     two = block.grams(2)
     good[two[pairs.passes(block.prints(two, 2))]] = True
@@ -233,29 +249,91 @@ def _candidates(block: Block, pairs: Bits, longest: int) -> Iterator[tuple[int,
         at = at[good[np.minimum(at + k - 1, len(good) - 1)]]
 
 
-def gram_prints(texts: DataFrame, pairs: Bits, longest: int = LONGEST) -> DataFrame:
-    """(print, n) of all words, and of the n-grams whose pairs pass."""
+def gram_prints(texts: DataFrame, pairs: Bits, longest: int = LONGEST, width: int = 64) -> DataFrame:
+    """(print, n, alike, k, key, place) of all words, and of the n-grams whose pairs pass. (key, place) is an occurrence in
+    the row of least key, k its number of words; alike: all occurrences have the same second fingerprint."""
     shared = texts.sparkSession.sparkContext.broadcast(pairs)
+    names = ("print", "n", "low", "high", "k", "key", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for block, _, _ in blocks(batches):
-            held += [_counted(block.prints(at, k)) for k, at in _candidates(block, shared.value, longest)]
+        held: list[tuple[np.ndarray, ...]] = []
+        for block, _, part in blocks(batches, width):
+            keys = part.column(0).to_numpy(zero_copy_only=False)
+            for k, at in _candidates(block, shared.value, longest):
+                prints, checks = block.prints(at, k), block.checks(at, k).view(np.int64)
+                # By fingerprint, then by second fingerprint: a row for each pair of them that is there.
+                order = np.lexsort((checks, prints))
+                prints, checks, at = prints[order], checks[order], at[order]
+                lead = np.flatnonzero(np.concatenate((np.ones(min(len(at), 1), bool), (prints[1:] != prints[:-1]) | (checks[1:] != checks[:-1]))))
+                counts = np.diff(np.append(lead, len(at)))
+                # The order is stable, so the first occurrence in the block leads.
+                first, check = at[lead], checks[lead]
+                held.append((prints[lead], counts, check, check, np.full(len(lead), k), keys[block.text[first]], block.place[first]))
             if sum(len(h[0]) for h in held) > HELD:
-                yield _send(held)
-        yield _send(held)
+                yield _merged(held, names)
+        yield _merged(held, names)
 
-    return texts.mapInArrow(run, "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
+    found = texts.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return found.groupBy("print").agg(
+        F.sum("n").alias("n"), (F.min("low") == F.max("high")).alias("alike"), F.min_by("k", "key").alias("k"), F.min("key").alias("key"), F.min_by("place", "key").alias("place"),
+    )
+
+
+def _merged(held: list[tuple[np.ndarray, ...]], names: tuple[str, ...]) -> pa.RecordBatch:
+    """One row for each fingerprint: sums of n, least low, greatest high, and the occurrence of least key and then least place."""
+    columns = [np.concatenate([*(h[i] for h in held), np.empty(0, np.uint64 if i == 0 else np.int64)]) for i in range(len(names))]
+    held.clear()
+    order = np.lexsort((columns[6], columns[5], columns[0]))
+    prints, n, low, high, k, key, place = (c[order] for c in columns)
+    lead = _leads(prints)
+    over = lambda f, x: f.reduceat(x, lead) if len(x) else x
+    out = (prints[lead].view(np.int64), over(np.add, n), over(np.minimum, low), over(np.maximum, high), k[lead], key[lead], place[lead])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in out], list(names))
+
+
+_PHRASE = "print long, lang string, k int, phrase binary, row long, place long"
 
 
-_PHRASE = "lang string, k int, phrase binary, n long, row long, place long"
+def pointed_phrases(texts: DataFrame, prints: DataFrame, width: int = 64, most_bits: int = MOST_BITS) -> DataFrame:
+    """prints (print, k, key, place, ...) -> (print, lang, k, phrase, pointer): what stands where the pointers lead to."""
+    wanted = prints.groupBy("key").agg(F.collect_list(F.struct("print", "k", "place")).alias("wanted"))
+    rows = texts.sparkSession.sparkContext.broadcast(bit_table(prints.select(F.col("key").alias("print")).distinct(), most_bits))
 
+    def pointed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) if batch.num_rows else np.empty(0, np.uint64)
+            yield batch.filter(pa.array(rows.value.passes(keys)))
 
-def phrase_counts(texts: DataFrame, pairs: Bits, frequent: Bits, longest: int = LONGEST) -> DataFrame:
-    """(lang, k, phrase, n, pointer struct(row, place)) of the n-grams whose fingerprints pass, by their text. The pointer is to the
-    first occurrence in a row of least id."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, names, part in blocks(batches, width):
+            lists, ids = part.column(4), part.column(3).to_pylist()
+            ends = lists.offsets.to_numpy()
+            text = np.repeat(np.arange(len(ids)), np.diff(ends))
+            inner = lists.values.slice(ends[0], ends[-1] - ends[0])
+            sought, k, place = (inner.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            at = block.first[text] + place - block.skipped
+            # Those of this block whose fingerprint is the one that was sought.
+            here = np.flatnonzero((at >= block.first[text]) & (at + k <= len(block.start)))
+            hit = np.zeros(len(here), bool)
+            for size in np.unique(k[here]).tolist():
+                of = np.flatnonzero(k[here] == size)
+                a = at[here[of]]
+                hit[of] = (block.piece[a] == block.piece[a + size - 1]) & (block.prints(a, size).view(np.int64) == sought[here[of]]) & (block.text[a] == text[here[of]])
+            found = here[hit]
+            cells = [(int(sought[i]), names[block.lang[at[i]]], int(k[i]), block.phrase(int(at[i]), int(k[i])), ids[text[i]], int(place[i])) for i in found.tolist()]
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in cells], t) for i, t in enumerate(kinds)], ["print", "lang", "k", "phrase", "row", "place"])
+
+    joined = texts.mapInArrow(pointed, texts.schema).join(wanted, "key").select("key", "lang", "text", "row", "wanted")
+    # Repeated rows read the same phrase more than once.
+    return joined.mapInArrow(run, _PHRASE).dropDuplicates(["print"]).select("print", "lang", "k", "phrase", F.struct("row", "place").alias("pointer"))
+
+
+def phrase_counts(texts: DataFrame, pairs: Bits, some: Bits, longest: int = LONGEST, width: int = 64) -> DataFrame:
+    """(print, lang, k, phrase, n, pointer) of the n-grams whose fingerprints are in `some`, by their text. Occurrences are
+    compared byte for byte with the first of their fingerprint; those that differ are compared among themselves, and so on."""
     context = texts.sparkSession.sparkContext
-    first, second = context.broadcast(pairs), context.broadcast(frequent)
+    first, second = context.broadcast(pairs), context.broadcast(some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple] = {}
@@ -263,32 +341,31 @@ def phrase_counts(texts: DataFrame, pairs: Bits, frequent: Bits, longest: int =
         def send() -> pa.RecordBatch:
             rows = [(*key, *found) for key, found in held.items()]
             held.clear()
-            kinds = (pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["lang", "k", "phrase", "n", "row", "place"])
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["print", "lang", "k", "phrase", "row", "place", "n"])
 
-        for block, names, ids in blocks(batches):
+        for block, names, part in blocks(batches, width):
+            ids = part.column(3).to_pylist()
             for k, at in _candidates(block, first.value, longest):
                 prints = block.prints(at, k)
-                some = second.value.passes(prints)
-                at, prints = at[some], prints[some]
+                passed = second.value.passes(prints)
+                at, prints = at[passed], prints[passed]
                 while len(at):
                     order = np.argsort(prints, kind="stable")
                     at, prints = at[order], prints[order]
                     lead = _leads(prints)
                     same = block.same_text(at, np.repeat(at[lead], np.diff(np.append(lead, len(at)))), k)
-                    for i, n in zip(at[lead].tolist(), np.add.reduceat(same.astype(np.int64), lead).tolist()):
-                        key, here = (names[block.lang[i]], k, block.phrase(i, k)), (ids[block.text[i]], int(block.place[i]))
+                    for i, x, n in zip(at[lead].tolist(), prints[lead].view(np.int64).tolist(), np.add.reduceat(same.astype(np.int64), lead).tolist()):
+                        key = (x, names[block.lang[i]], k, block.phrase(i, k))
                         old = held.get(key)
-                        # Rows without an id come first, as Spark's least has them.
-                        held[key] = (n, *here) if old is None else (n + old[0], *min(old[1:], here, key=lambda x: (x[0] is not None, x)))
-                    # Those that only share the fingerprint go into another round.
+                        held[key] = (ids[block.text[i]], int(block.place[i]), n) if old is None else (*old[:2], old[2] + n)
                     at, prints = at[~same], prints[~same]
             if len(held) > HELD // 4:
                 yield send()
         yield send()
 
-    found = texts.mapInArrow(run, _PHRASE)
-    return found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"), F.min(F.struct("row", "place")).alias("pointer"))
+    found = texts.mapInArrow(run, _PHRASE + ", n long")
+    return found.groupBy("print", "lang", "k", "phrase").agg(F.sum("n").alias("n"), F.min(F.struct("row", "place")).alias("pointer"))
 
 
 def word_totals(texts: DataFrame) -> DataFrame:
@@ -304,20 +381,22 @@ def word_totals(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "lang string, total long").groupBy("lang").agg(F.sum("total").alias("total"))
 
 
-def frequent_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST, most_bits: int = MOST_BITS) -> DataFrame:
+def frequent_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST, most_bits: int = MOST_BITS, width: int = 64) -> DataFrame:
     """(lang, k, phrase, a, pointer) of all phrases of 1 to `longest` words with `least` occurrences."""
     texts = _texts(docs, id_col, text_col, lang_col)
-
-    def table(prints: DataFrame, name: str) -> Bits:
-        kept = materialize(prints.where(F.col("n") >= least).select("print"), name)
-        bits = bit_table(kept, most_bits)
-        discard(kept)
-        return bits
-
-    pairs = table(pair_prints(texts), "pairs")
-    frequent = table(gram_prints(texts, pairs, longest), "prints")
-    counted = phrase_counts(texts, pairs, frequent, longest).where(F.col("n") >= least)
-    return materialize(counted.select("lang", "k", F.decode("phrase", "UTF-8").alias("phrase"), F.col("n").alias("a"), "pointer"), "phrases")
+    frequent = materialize(pair_prints(texts, width).where(F.col("n") >= least).select("print"), "pairs")
+    pairs = bit_table(frequent, most_bits)
+    discard(frequent)
+    prints = materialize(gram_prints(texts, pairs, longest, width).where(F.col("n") >= least), "prints")
+    read = pointed_phrases(texts, prints.where("alike"), width, most_bits)
+    found = read.join(prints.where("alike").select("print", F.col("n").alias("a")), "print").select("lang", "k", "phrase", "a", "pointer")
+    mixed = prints.where("not alike").select("print")
+    if not mixed.isEmpty():
+        counted = phrase_counts(texts, pairs, bit_table(mixed, most_bits), longest, width).where(F.col("n") >= least)
+        found = found.union(counted.join(mixed, "print").select("lang", "k", "phrase", F.col("n").alias("a"), "pointer"))
+    out = materialize(found.withColumn("phrase", F.decode("phrase", "UTF-8")), "phrases")
+    discard(prints)
+    return out
 
 
 def _part(words: Column, first: Column | int, size: Column | int) -> Column:
@@ -361,9 +440,10 @@ def ranked(rows: DataFrame, first: int = FIRST) -> DataFrame:
     return found.withColumn("rank", F.col("before") + F.col("at") - F.col("low") + 1).where(F.col("rank") <= first).drop("at", "part", "low", "before")
 
 
-def collocations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST, share: int = CONTAINED, first: int = FIRST, most_bits: int = MOST_BITS) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score of the first phrases of every language, with the document and word of an occurrence."""
-    phrases = frequent_phrases(docs, id_col, text_col, lang_col, longest, least, most_bits)
+def collocations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST, share: int = CONTAINED, first: int = FIRST, most_bits: int = MOST_BITS, width: int = 64) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score of the first phrases of every language, with the document and the word of an
+    occurrence. width: bits of the fingerprints that are summed; with fewer, more of them collide and are told apart by text."""
+    phrases = frequent_phrases(docs, id_col, text_col, lang_col, longest, least, most_bits, width)
     totals = word_totals(_texts(docs, id_col, text_col, lang_col)).withColumnRenamed("total", "n")
     best = ranked(not_contained(phrases, scored(phrases), share), first)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", "score", F.col("pointer.row").alias("doc_id"), F.col("pointer.place").alias("word"))
@@ -371,22 +451,21 @@ def collocations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op13_collocations_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2,000 collocations of every language of the documents."""
-    return collocations(documents(spark, sf_dir))
+    return collocations(documents(spark, sf_dir)).drop("doc_id", "word")
 
 
-OP13_SQL = f"""WITH pieces AS (SELECT doc_id, lang, p AS spot, regexp_extract_all(pieces[p], '[^\\x20\\x09]+') AS words FROM (
- SELECT doc_id, coalesce(lang, '{UNKNOWN}') AS lang, pieces, unnest(range(1, len(pieces) + 1)) AS p FROM (
-  SELECT doc_id, lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS pieces FROM documents) p0) p1),
-placed AS (SELECT *, coalesce(sum(len(words)) OVER (PARTITION BY doc_id ORDER BY spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pieces),
-starts AS (SELECT doc_id, lang, words, before, unnest(range(1, len(words) + 1)) AS i FROM placed),
-grams AS (SELECT doc_id, lang, k, before + i - 1 AS place, array_to_string(words[i:i + k - 1], ' ') AS phrase FROM starts, range(1, {LONGEST + 1}) r(k) WHERE i + k - 1 <= len(words)),
-known AS (SELECT lang, k, phrase, count(*) AS a, min({{'d': doc_id, 'w': place}}) AS pointer FROM grams GROUP BY ALL HAVING count(*) >= {LEAST}),
+OP13_SQL = f"""WITH pieces AS (SELECT lang, regexp_extract_all(pieces[p], '[^\\x20\\x09]+') AS words FROM (
+ SELECT coalesce(lang, '{UNKNOWN}') AS lang, pieces, unnest(range(1, len(pieces) + 1)) AS p FROM (
+  SELECT lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS pieces FROM documents) p0) p1),
+starts AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces),
+grams AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase FROM starts, range(1, {LONGEST + 1}) r(k) WHERE i + k - 1 <= len(words)),
+known AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= {LEAST}),
 totals AS (SELECT lang, sum(len(words)) AS n FROM pieces GROUP BY lang),
-cuts AS (SELECT c.lang, c.k, c.phrase, c.a, c.pointer, cut, string_split(c.phrase, ' ') AS w FROM known c, range(1, {LONGEST}) r(cut) WHERE cut < c.k),
-scored AS (SELECT c.lang, c.k, c.phrase, c.a, c.pointer, x.a AS l, y.a AS r, ({SCALE}::HUGEINT * c.a) // (x.a + y.a) AS score, cut
+cuts AS (SELECT c.lang, c.k, c.phrase, c.a, cut, string_split(c.phrase, ' ') AS w FROM known c, range(1, {LONGEST}) r(cut) WHERE cut < c.k),
+scored AS (SELECT c.lang, c.k, c.phrase, c.a, x.a AS l, y.a AS r, ({SCALE}::HUGEINT * c.a) // (x.a + y.a) AS score, cut
  FROM cuts c JOIN known x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN known y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
 lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 inner_parts AS (SELECT lang, a, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (SELECT lang, k, a, string_split(phrase, ' ') AS w FROM known WHERE k > 2) z, range(2, {LONGEST}) s(n), range(1, {LONGEST}) t(i) WHERE n < k AND i + n - 1 <= k),
 outer_most AS (SELECT lang, phrase, max(a) AS outer_a FROM inner_parts GROUP BY ALL),
 kept AS (SELECT l.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest l LEFT JOIN outer_most USING (lang, phrase) WHERE outer_a IS NULL OR 100 * outer_a < {CONTAINED} * a)
-SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score, pointer.d AS doc_id, CAST(pointer.w AS BIGINT) AS word FROM kept JOIN totals USING (lang) WHERE rank <= {FIRST}"""
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM kept JOIN totals USING (lang) WHERE rank <= {FIRST}"""

@@ -194,6 +194,9 @@ def test_collocations(spark, phrase_rows):
     table = docs(spark, phrase_rows)
     for least, share, first in ((5, 80, 2000), (12, 50, 7)):
         assert shown(collocations.collocations(table, least=least, share=share, first=first)) == best_phrases(phrase_rows, least, share, first)
+    # Fingerprints of 9 bits: nearly all phrases share one with others, and only their texts tell them apart.
+    assert shown(collocations.collocations(table, least=12, width=9)) == best_phrases(phrase_rows, 12, 80, 2000)
+    assert shown(collocations.collocations(table, least=12, width=20, most_bits=12)) == best_phrases(phrase_rows, 12, 80, 2000)
     assert collocations.collocations(table.limit(0)).count() == 0
     texts = {r[0]: r[1] for r in phrase_rows}
     for r in collocations.collocations(table, least=12).collect():
@@ -203,8 +206,6 @@ def test_collocations(spark, phrase_rows):
 
 def test_collocations_when_fingerprints_collide(spark, phrase_rows, monkeypatch):
     """Few fingerprints and full bit tables: only the text tells phrases apart."""
-    whole = collocations.Block.prints
-    monkeypatch.setattr(collocations.Block, "prints", lambda self, at, k: whole(self, at, k) % np.uint64(97))
     monkeypatch.setattr(collocations, "BLOCK", 5000)
     monkeypatch.setattr(collocations, "HELD", 2000)
     some = phrase_rows[-50:]
@@ -221,7 +222,7 @@ def test_collocations_when_fingerprints_collide(spark, phrase_rows, monkeypatch)
         def agg(self, *cells): return self.got
 
     f = Counter()
-    for r in collocations.phrase_counts(Here(), full, full, 4):
+    for r in collocations.phrase_counts(Here(), full, full, 4, 6):
         f[r["lang"], tuple(r["phrase"].decode().split(" "))] += r["n"]
     want = Counter()
     for _, text, lang, *_ in some:
