@@ -2,9 +2,9 @@
 
 Texts of a block lie end to end as bytes; prefix sums of byte times power, modulo 2**64, give every word's fingerprint, and
 prefix sums over the words give that of every n-gram, all in numpy. Two passes over the texts:
-  1. fingerprints of all pairs of words are summed; those that occur often enough go into a bit table of a fixed size,
-     which all tasks get. It may let more through as data grow past its size, never less.
-  2. n-grams whose pairs all pass are summed by fingerprint, each with a pointer (row, place) to an occurrence, and the least
+  1. fingerprints of all words and pairs of words are summed; those that occur often enough go into a bit table of a
+     fixed size, which all tasks get. It may let more through as data grow past its size, never less.
+  2. words that pass, and n-grams whose pairs all pass, are summed by fingerprint, each with a pointer (row, place) to an occurrence, and the least
      and greatest of a second fingerprint to other bases.
 Then the pointers of the frequent fingerprints go to their texts, and there the phrases are read; no other phrase is
 ever written out. Where the second fingerprints differ, different phrases have met in one fingerprint: those are counted
@@ -34,8 +34,8 @@ from .common import byte_slices, discard, documents, materialize
 
 LONGEST, LEAST, CONTAINED, FIRST = 4, 30, 80, 2000
 SCALE = 2_000_000
-#: Bytes of text that are hashed together, and rows that a task holds before it sums and sends them.
-BLOCK, HELD = 4 << 20, 3_000_000
+#: Bytes of text that are hashed together, and rows that a task holds before it sums them.
+BLOCK, HELD = 2 << 20, 1_000_000
 #: Bound of a bit table that is sent to all tasks: 2**28 bits are 32 MB.
 MOST_BITS = 28
 UNKNOWN = "und"
@@ -169,14 +169,52 @@ def _counted(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return prints[lead], np.diff(np.append(lead, len(prints)))
 
 
-def _send(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Sums of (fingerprints, counts) as rows (print, n)."""
-    prints, n = (np.concatenate([*(h[i] for h in held), np.empty(0, t)]) for i, t in enumerate((np.uint64, np.int64)))
-    held.clear()
-    order = np.argsort(prints)
-    prints, n = prints[order], n[order]
+class Held:
+    """Columns of rows, the first of them fingerprints, that a task sums whenever there are more than HELD, and sends on
+    where the sums are not much fewer."""
+
+    def __init__(self, names: tuple[str, ...], merge):
+        self.names, self.merge = names, merge
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def _merged(self) -> tuple[np.ndarray, ...]:
+        kinds = [np.uint64, *[np.int64] * (len(self.names) - 1)]
+        whole = [np.concatenate([*(p[i] for p in self.parts), np.empty(0, t)]) for i, t in enumerate(kinds)]
+        self.parts.clear()
+        return self.merge(whole)
+
+    def add(self, *rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(rows)
+        if sum(len(p[0]) for p in self.parts) > HELD:
+            found = self._merged()
+            if len(found[0]) > HELD // 2:
+                yield self._batch(found)
+            else:
+                self.parts.append(found)
+
+    def _batch(self, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], list(self.names))
+
+    def rest(self) -> pa.RecordBatch:
+        return self._batch(self._merged())
+
+
+def _sums(columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(fingerprints, counts): one row for each fingerprint."""
+    order = np.argsort(columns[0])
+    prints, n = columns[0][order], columns[1][order]
     lead = _leads(prints)
-    return pa.RecordBatch.from_arrays([pa.array(prints[lead].view(np.int64)), pa.array(np.add.reduceat(n, lead) if len(n) else n)], ["print", "n"])
+    return prints[lead], np.add.reduceat(n, lead) if len(n) else n
+
+
+def _occurrences(columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(fingerprints, n, low, high, k, key, place): one row for each fingerprint, with the sum of n, the least low, the greatest
+    high, and the occurrence of least key and then least place."""
+    order = np.lexsort((columns[6], columns[5], columns[0]))
+    prints, n, low, high, k, key, place = (c[order] for c in columns)
+    lead = _leads(prints)
+    over = lambda f, x: f.reduceat(x, lead) if len(x) else x
+    return prints[lead], over(np.add, n), over(np.minimum, low), over(np.maximum, high), k[lead], key[lead], place[lead]
 
 
 class Bits:
@@ -222,26 +260,26 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
     return docs.select(F.xxhash64(row, lang, text).alias("key"), lang.alias("lang"), F.encode(text, "UTF-8").alias("text"), row.alias("row"))
 
 
-def pair_prints(texts: DataFrame, width: int = 64) -> DataFrame:
-    """(print, n) of all pairs of words."""
+def short_prints(texts: DataFrame, width: int = 64) -> DataFrame:
+    """(print, n) of all words and pairs of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held = Held(("print", "n"), _sums)
         for block, _, _ in blocks(batches, width):
-            held.append(_counted(block.prints(block.grams(2), 2)))
-            if sum(len(h[0]) for h in held) > HELD:
-                yield _send(held)
-        yield _send(held)
+            for k in (1, 2):
+                yield from held.add(*_counted(block.prints(block.grams(k), k)))
+        yield held.rest()
 
     return texts.mapInArrow(run, "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
 
 
-def _candidates(block: Block, pairs: Bits, longest: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(k, first words) of the single words, and of the n-grams whose pairs all pass."""
-    yield 1, block.grams(1)
+def _candidates(block: Block, short: Bits, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, first words) of the single words that pass, and of the n-grams whose pairs all pass."""
+    one = block.grams(1)
+    yield 1, one[short.passes(block.prints(one, 1))]
     good = np.zeros(len(block.start) + 1, bool)
     two = block.grams(2)
-    good[two[pairs.passes(block.prints(two, 2))]] = True
+    good[two[short.passes(block.prints(two, 2))]] = True
     at = np.flatnonzero(good)
     for k in range(2, longest + 1):
         yield k, at
@@ -249,14 +287,14 @@ def _candidates(block: Block, pairs: Bits, longest: int) -> Iterator[tuple[int,
         at = at[good[np.minimum(at + k - 1, len(good) - 1)]]
 
 
-def gram_prints(texts: DataFrame, pairs: Bits, longest: int = LONGEST, width: int = 64) -> DataFrame:
-    """(print, n, alike, k, key, place) of all words, and of the n-grams whose pairs pass. (key, place) is an occurrence in
+def gram_prints(texts: DataFrame, short: Bits, longest: int = LONGEST, width: int = 64) -> DataFrame:
+    """(print, n, alike, k, key, place) of the words that pass, and of the n-grams whose pairs do. (key, place) is an occurrence in
     the row of least key, k its number of words; alike: all occurrences have the same second fingerprint."""
-    shared = texts.sparkSession.sparkContext.broadcast(pairs)
+    shared = texts.sparkSession.sparkContext.broadcast(short)
     names = ("print", "n", "low", "high", "k", "key", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held = Held(names, _occurrences)
         for block, _, part in blocks(batches, width):
             keys = part.column(0).to_numpy(zero_copy_only=False)
             for k, at in _candidates(block, shared.value, longest):
@@ -265,13 +303,10 @@ def gram_prints(texts: DataFrame, pairs: Bits, longest: int = LONGEST, width: in
                 order = np.lexsort((checks, prints))
                 prints, checks, at = prints[order], checks[order], at[order]
                 lead = np.flatnonzero(np.concatenate((np.ones(min(len(at), 1), bool), (prints[1:] != prints[:-1]) | (checks[1:] != checks[:-1]))))
-                counts = np.diff(np.append(lead, len(at)))
                 # The order is stable, so the first occurrence in the block leads.
                 first, check = at[lead], checks[lead]
-                held.append((prints[lead], counts, check, check, np.full(len(lead), k), keys[block.text[first]], block.place[first]))
-            if sum(len(h[0]) for h in held) > HELD:
-                yield _merged(held, names)
-        yield _merged(held, names)
+                yield from held.add(prints[lead], np.diff(np.append(lead, len(at))), check, check, np.full(len(lead), k), keys[block.text[first]], block.place[first])
+        yield held.rest()
 
     found = texts.mapInArrow(run, ", ".join(f"{x} long" for x in names))
     return found.groupBy("print").agg(
@@ -279,18 +314,6 @@ def gram_prints(texts: DataFrame, pairs: Bits, longest: int = LONGEST, width: in
     )
 
 
-def _merged(held: list[tuple[np.ndarray, ...]], names: tuple[str, ...]) -> pa.RecordBatch:
-    """One row for each fingerprint: sums of n, least low, greatest high, and the occurrence of least key and then least place."""
-    columns = [np.concatenate([*(h[i] for h in held), np.empty(0, np.uint64 if i == 0 else np.int64)]) for i in range(len(names))]
-    held.clear()
-    order = np.lexsort((columns[6], columns[5], columns[0]))
-    prints, n, low, high, k, key, place = (c[order] for c in columns)
-    lead = _leads(prints)
-    over = lambda f, x: f.reduceat(x, lead) if len(x) else x
-    out = (prints[lead].view(np.int64), over(np.add, n), over(np.minimum, low), over(np.maximum, high), k[lead], key[lead], place[lead])
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in out], list(names))
-
-
 _PHRASE = "print long, lang string, k int, phrase binary, row long, place long"
 
 
@@ -329,11 +352,11 @@ def pointed_phrases(texts: DataFrame, prints: DataFrame, width: int = 64, most_b
     return joined.mapInArrow(run, _PHRASE).dropDuplicates(["print"]).select("print", "lang", "k", "phrase", F.struct("row", "place").alias("pointer"))
 
 
-def phrase_counts(texts: DataFrame, pairs: Bits, some: Bits, longest: int = LONGEST, width: int = 64) -> DataFrame:
+def phrase_counts(texts: DataFrame, short: Bits, some: Bits, longest: int = LONGEST, width: int = 64) -> DataFrame:
     """(print, lang, k, phrase, n, pointer) of the n-grams whose fingerprints are in `some`, by their text. Occurrences are
     compared byte for byte with the first of their fingerprint; those that differ are compared among themselves, and so on."""
     context = texts.sparkSession.sparkContext
-    first, second = context.broadcast(pairs), context.broadcast(some)
+    first, second = context.broadcast(short), context.broadcast(some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple] = {}
@@ -384,15 +407,15 @@ def word_totals(texts: DataFrame) -> DataFrame:
 def frequent_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST, most_bits: int = MOST_BITS, width: int = 64) -> DataFrame:
     """(lang, k, phrase, a, pointer) of all phrases of 1 to `longest` words with `least` occurrences."""
     texts = _texts(docs, id_col, text_col, lang_col)
-    frequent = materialize(pair_prints(texts, width).where(F.col("n") >= least).select("print"), "pairs")
-    pairs = bit_table(frequent, most_bits)
+    frequent = materialize(short_prints(texts, width).where(F.col("n") >= least).select("print"), "short")
+    short = bit_table(frequent, most_bits)
     discard(frequent)
-    prints = materialize(gram_prints(texts, pairs, longest, width).where(F.col("n") >= least), "prints")
+    prints = materialize(gram_prints(texts, short, longest, width).where(F.col("n") >= least), "prints")
     read = pointed_phrases(texts, prints.where("alike"), width, most_bits)
     found = read.join(prints.where("alike").select("print", F.col("n").alias("a")), "print").select("lang", "k", "phrase", "a", "pointer")
     mixed = prints.where("not alike").select("print")
     if not mixed.isEmpty():
-        counted = phrase_counts(texts, pairs, bit_table(mixed, most_bits), longest, width).where(F.col("n") >= least)
+        counted = phrase_counts(texts, short, bit_table(mixed, most_bits), longest, width).where(F.col("n") >= least)
         found = found.union(counted.join(mixed, "print").select("lang", "k", "phrase", F.col("n").alias("a"), "pointer"))
     out = materialize(found.withColumn("phrase", F.decode("phrase", "UTF-8")), "phrases")
     discard(prints)
