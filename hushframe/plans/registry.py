@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
-from ..operators import audit, corpus, detect, evaluate, policy, synth
+from ..operators import audit, corpus, crf, detect, evaluate, policy, synth
 from . import oracle
 from .fixtures import annotated
 
@@ -391,6 +391,41 @@ def entity_f1(spark, sf):
     return found.select("label", "expected", "predicted", "correct", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), F.round("f1", 9).alias("f1"))
 
 
+#: Documented bound of the marked texts that the tagger of the queries is trained on.
+TAGGER_ROWS = 3000
+_TAGGERS: dict[tuple[str, str], crf.Weights] = {}
+
+
+def tagged(spark, sf):
+    """(id, category, expected, predicted): the texts whose checksum is even, and the spans that a tagger finds which is trained on
+    the others. The class weights are those of the training texts' tags."""
+    rows = annotated(spark, sf).withColumn("even", F.crc32(F.col("id").cast("string").cast("binary")) % 2 == 0)
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TAGGERS:
+        some = corpus.keyed_sample(rows.where("not even").select("id", "text"), TAGGER_ROWS)
+        weights = {r.label_id: r.weight for r in evaluate.class_weights(corpus.bio_rows(some), "ner_tags").collect()}
+        _TAGGERS[key] = crf.train(crf.labelled(some), class_weights=weights)
+    found = crf.predicted(crf.labelled(rows.where("even")), _TAGGERS[key])
+    part = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"))
+    return found.select("id", "category", F.transform("entities", part).alias("expected"), F.transform("spans", part).alias("predicted"), "spans")
+
+
+@query
+def tagger_spans(spark, sf):
+    return spans_rows(tagged(spark, sf).select("id", F.col("spans").alias("s"))).withColumn("score", F.round("score", 3))
+
+
+@query
+def tagger_entity_f1(spark, sf):
+    found = evaluate.entity_scores_of(tagged(spark, sf), "expected", "predicted")
+    return found.select("label", "expected", "predicted", "correct", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), F.round("f1", 9).alias("f1"))
+
+
+@query
+def tagger_scorecard(spark, sf):
+    return evaluate.scorecard(tagged(spark, sf)).withColumn("detect_pct", F.round("detect_pct", 6))
+
+
 def _tags(spark, sf):
     rows = corpus.bio_rows(annotated(spark, sf).select("id", "text"))
     return T.unnest(rows, "tags", "tag", "id", at="pos")
