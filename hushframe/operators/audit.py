@@ -135,9 +135,9 @@ def prefix_overlap(positives: DataFrame, negatives: DataFrame, size: int = 6, le
     return negatives.select("id", F.explode(heads).alias("prefix")).join(common, "prefix", "left_semi").select("id").distinct()
 
 
-def tokenization(rows: DataFrame, count: Column, sample: int = 100, limit: int = 512, seed: str = "42") -> DataFrame:
-    """Token counts of a sample drawn by keyed hash: a sampling report."""
-    some = rows.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string"))), "id").limit(sample).select(count.alias("n"))
+def tokenization(rows: DataFrame, count: Callable[[DataFrame], DataFrame], sample: int = 100, limit: int = 512, seed: str = "42") -> DataFrame:
+    """Token counts of a sample drawn by keyed hash: a sampling report. count gives the column n of the rows drawn."""
+    some = count(rows.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string"))), "id").limit(sample)).select("n")
     s = F.array_sort(F.collect_list("n"))
     n = F.count("*")
     return some.agg(n.alias("sampled"), F.try_element_at(s, F.greatest(F.lit(0), F.floor(n / 100).cast("int")) + 1).alias("p1"), F.try_element_at(s, F.floor(n / 2).cast("int") + 1).alias("p50"), F.try_element_at(s, F.least(n - 1, F.floor(n * 0.99)).cast("int") + 1).alias("p99"), F.count_if(F.col("n") > limit).alias("over_limit"), F.max("n").alias("max"))

@@ -6,6 +6,7 @@ import re
 
 from ..functions import rules, text
 from ..operators import detect, policy, synth
+from ..operators import word_pieces as pieces
 from .fixtures import ANNOTATED_CTE
 
 
@@ -30,6 +31,14 @@ def find_all(source: str, pattern: str, key: str = "id", col: str = "text", grou
  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT {key}, regexp_extract_all({col}, {p}) AS hits, regexp_split_to_array({col}, {p}) AS gaps{g} FROM {source}) x0) x1"""
 
 
+def place_all(source: str, pattern: str, key: str = "id", col: str = "text") -> str:
+    """find_all() for sources with a row for each key, by running sums: linear in the matches of a text."""
+    p = q(pattern)
+    return f"""SELECT {key}, i, CAST(upto - length(value) AS INT) AS start, CAST(upto AS INT) AS "end", value FROM (
+ SELECT {key}, i, value, sum(length(gap) + length(value)) OVER (PARTITION BY {key} ORDER BY i) AS upto FROM (
+  SELECT {key}, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS value, unnest(gaps[1:len(hits)]) AS gap FROM (SELECT {key}, regexp_extract_all({col}, {p}) AS hits, regexp_split_to_array({col}, {p}) AS gaps FROM {source}) x0) x1) x2"""
+
+
 _MARK = rules.MARKER
 _KNOWN = ", ".join(map(q, rules.LABELS))
 _STRIP = f"regexp_replace(text, {q(_MARK)}, '\\1', 'g')"
@@ -43,6 +52,28 @@ EVERY = f"every AS (SELECT id, text FROM clean UNION ALL SELECT -doc_id - 1, tex
 BASE = f"WITH {ANNOTATED_CTE}, {MARKERS}, {ENTITIES}, {CLEAN}, {EVERY}"
 
 
+def word_pieces_cte(source: str, key: str) -> str:
+    """CTEs (after WITH RECURSIVE) that end in pieces (key, pos, piece, id_, word, start, end) of the rows (key, i, word, shift, value) of
+    source: runs with the number of their word and its place."""
+    glue, unknown = q(pieces.GLUE), q("[UNK]")
+    return f"""bench AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[0-9a-zà-ɏ]+')) AS w FROM benchmark),
+vocab AS (SELECT piece, CAST(row_number() OVER (ORDER BY piece) + {len(pieces.SPECIAL) - 1} AS INT) AS id FROM (SELECT w AS piece FROM bench UNION SELECT left(w, n) FROM bench, range(1, 5) r(n) UNION SELECT {glue} || right(w, n) FROM bench, range(1, 5) r(n)) v),
+runs AS ({source}),
+forms AS (SELECT DISTINCT lower(value) AS form FROM runs WHERE length(value) <= {pieces.LONGEST}),
+tried AS (SELECT form, spot, size, CASE WHEN spot > 0 THEN {glue} ELSE '' END || substr(form, spot + 1, size) AS piece FROM (SELECT form, spot, unnest(range(1, least(length(form) - spot, 40) + 1))::INT AS size FROM (SELECT form, unnest(range(0, length(form)))::INT AS spot FROM forms) t0) t1),
+fits AS (SELECT form, spot, max(size) AS size FROM tried JOIN vocab USING (piece) GROUP BY ALL),
+cut AS (SELECT form, spot, size, 0 AS k FROM fits WHERE spot = 0 UNION ALL SELECT f.form, f.spot, f.size, c.k + 1 FROM cut c JOIN fits f ON f.form = c.form AND f.spot = c.spot + c.size),
+whole AS (SELECT form FROM cut WHERE spot + size = length(form)),
+matched AS (SELECT c.form, c.k, c.spot, c.size, v.piece, v.id FROM cut c JOIN whole USING (form) JOIN vocab v ON v.piece = CASE WHEN c.spot > 0 THEN {glue} ELSE '' END || substr(c.form, c.spot + 1, c.size)),
+spread AS (SELECT r.{key}, r.i, coalesce(m.k, 0) AS k, coalesce(m.piece, {unknown}) AS piece, coalesce(m.id, 1) AS id_, r.word, r.shift + coalesce(m.spot, 0) AS start, r.shift + coalesce(m.spot + m.size, length(r.value)) AS "end" FROM runs r LEFT JOIN matched m ON m.form = lower(r.value)),
+pieces AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY i, k) - 1 AS pos, piece, id_, word, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end" FROM spread)"""
+
+
+#: A run's word is the last white-space word that begins before or with it.
+DOCUMENT_PIECES = f"""WITH RECURSIVE texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), spaced AS ({place_all('texts', pieces.SPACE, 'doc_id')}),
+{word_pieces_cte("SELECT r.doc_id, r.i, r.start AS shift, r.value, s.i - 1 AS word FROM (" + place_all('texts', pieces.RUN, 'doc_id') + ") r ASOF JOIN spaced s ON r.doc_id = s.doc_id AND r.start >= s.start", 'doc_id')}"""
+
+
 def hits(source: str, key: str = "id") -> str:
     parts = [f"SELECT {key}, start, \"end\", {q(label)} AS label, value, {q('regex:' + name)} AS source, {q(tier)} AS tier, CAST({score} AS DOUBLE) AS score FROM ({find_all(source, pattern, key)}) h{k}" for k, (name, label, tier, score, pattern) in enumerate(rules.PATTERNS)]
     return " UNION ALL ".join(parts)
@@ -132,6 +163,11 @@ _LABELS = "sets AS (SELECT a.id, a.split, coalesce((SELECT list_sort(list(DISTIN
 _STRATA = "strata AS (SELECT id, category, CASE WHEN length(text) < 80 THEN 'short' WHEN length(text) < 150 THEN 'medium' ELSE 'long' END AS length_mode, id % 3 AS context FROM annotated)"
 _ORDER = "md5('42:' || CAST(id AS VARCHAR))"
 _IDS = "CASE tag " + " ".join(f"WHEN {q(t)} THEN {k}" for k, t in enumerate(rules.BIO)) + " END"
+PIECE_WINDOWS = f"""{BASE.replace('WITH ', 'WITH RECURSIVE ', 1)}, {WORDS}, named AS (SELECT id, i AS wi, word AS w, {_IDS} AS tag_id FROM bio),
+{word_pieces_cte("SELECT id, wi * 100000 + i AS i, wi - 1 AS word, start AS shift, value FROM (" + place_all('named', pieces.RUN, 'id, wi', 'w') + ") z", 'id')},
+told AS (SELECT p.*, p.id_ AS piece_id, n.tag_id, lag(p.word) OVER (PARTITION BY p.id ORDER BY pos) AS before FROM (SELECT id, pos, piece, word, start, "end", id_ FROM pieces) p JOIN named n ON n.id = p.id AND n.wi = p.word + 1),
+begun AS (SELECT id, unnest(CASE WHEN n <= 126 THEN [0] ELSE range(0, n - 32, 94) END) AS begins FROM (SELECT id, count(*) AS n FROM pieces GROUP BY id) c),
+labelled AS (SELECT t.id, b.begins, t.pos, t.piece_id, t.start, t."end", CASE WHEN pos = begins OR before IS DISTINCT FROM word THEN tag_id WHEN tag_id > 0 AND tag_id % 2 = 1 THEN tag_id + 1 ELSE tag_id END AS label FROM told t JOIN begun b ON b.id = t.id AND t.pos >= b.begins AND t.pos < b.begins + 126)"""
 _SHIFTED = f"""ner AS (SELECT id, start + CAST(id % 4 AS INT) AS start, CAST(greatest("end", start + id % 4 + 1) AS INT) AS "end", label, i, ((id * 37) % 60 + 40) / 100.0 AS score FROM ents),
 tagged AS (SELECT n.id, n.i, n.start, n."end", n.label, substr(c.text, n.start + 1, n."end" - n.start) AS value, 'ner' AS source, {tier_case('n.label')} AS tier, CAST(n.score AS DOUBLE) AS score FROM ner n JOIN clean c USING (id)),
 hit AS ({hits('clean')})"""
@@ -348,7 +384,10 @@ def statements() -> dict[str, str]:
         "audit_cross_split": f"WITH {ANNOTATED_CTE}, s AS (SELECT DISTINCT split, text FROM annotated) SELECT 'internal:' || split AS check, count(*) - count(DISTINCT text) AS n FROM annotated GROUP BY split UNION ALL SELECT a.split || '&' || b.split, count(*) FROM s a JOIN s b ON a.text = b.text AND a.split < b.split GROUP BY 1",
         "audit_prefix_overlap": f"{BASE}, p AS (SELECT left(value, 6) AS prefix FROM marks m JOIN annotated a USING (id) WHERE a.split <> 'neg' AND label = 'CREDENTIAL' AND length(value) >= 6 GROUP BY 1 HAVING count(*) >= 5) SELECT DISTINCT a.id FROM annotated a, p WHERE a.split = 'neg' AND (" + " OR ".join(f"contains(a.text, {c} || prefix)" for c in ("' '", "'='", "':'", "'\"'", "''''", "chr(10)")) + ")",
         "audit_first_examples": f"{BASE} SELECT id FROM annotated WHERE id NOT IN (SELECT id FROM marks) ORDER BY id LIMIT 5",
-        "audit_token_sample": "WITH x AS (SELECT len(string_split(text, ' ')) AS n FROM documents ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100), y AS (SELECT list_sort(list(n)) AS s, count(*) AS c FROM x) SELECT c AS sampled, CAST(s[c // 100 + 1] AS INT) AS p1, CAST(s[c // 2 + 1] AS INT) AS p50, CAST(s[CAST(least(c - 1, floor(c * 0.99)) AS INT) + 1] AS INT) AS p99, (SELECT count(*) FROM x WHERE n > 512) AS over_limit, CAST((SELECT max(n) FROM x) AS INT) AS max FROM y",
+        "audit_token_sample": f"{DOCUMENT_PIECES}, x AS (SELECT d.doc_id, count(p.pos) AS n FROM documents d LEFT JOIN pieces p USING (doc_id) GROUP BY d.doc_id ORDER BY md5('42:' || CAST(d.doc_id AS VARCHAR)), d.doc_id LIMIT 100), y AS (SELECT list_sort(list(n)) AS s, count(*) AS c FROM x) SELECT c AS sampled, CAST(s[c // 100 + 1] AS INT) AS p1, CAST(s[c // 2 + 1] AS INT) AS p50, CAST(s[CAST(least(c - 1, floor(c * 0.99)) AS INT) + 1] AS INT) AS p99, (SELECT count(*) FROM x WHERE n > 512) AS over_limit, CAST((SELECT max(n) FROM x) AS INT) AS max FROM y",
+        "document_pieces": f"""{DOCUMENT_PIECES} SELECT d.doc_id, count(p.pos) AS n_pieces, count(*) FILTER (p.id_ = 1) AS n_unknown, md5(coalesce(string_agg(p.piece || ':' || p.id_ || ':' || p.word || ':' || p.start || ':' || p."end", ' ' ORDER BY p.pos), '')) AS pieces_md5 FROM documents d LEFT JOIN pieces p USING (doc_id) GROUP BY d.doc_id""",
+        "piece_windows": f"""{PIECE_WINDOWS} SELECT id, CAST(begins AS BIGINT) AS start, count(*) + 2 AS n_ids, md5('2 ' || string_agg(CAST(piece_id AS VARCHAR), ' ' ORDER BY pos) || ' 3') AS ids_md5, md5('-100 ' || string_agg(CAST(label AS VARCHAR), ' ' ORDER BY pos) || ' -100') AS labels_md5,
+ md5(' ' || string_agg(start || ':' || "end", ' ' ORDER BY pos) || ' ') AS offsets_md5 FROM labelled GROUP BY id, begins""",
         "benchmark_overlap": "SELECT doc_id FROM documents WHERE text IN (SELECT text FROM benchmark)",
         "stratified_split": f"WITH {ANNOTATED_CTE}, {_STRATA} SELECT id, CASE WHEN k <= CASE WHEN n >= 10 THEN greatest(1, floor(n * 0.1)) ELSE 0 END THEN 'eval' ELSE 'train' END AS split FROM (SELECT id, count(*) OVER (PARTITION BY context, length_mode, category) AS n, row_number() OVER (PARTITION BY context, length_mode, category ORDER BY {_ORDER}, id) AS k FROM strata) x",
         "bucket_counts": f"WITH {ANNOTATED_CTE}, {_STRATA} SELECT context, length_mode, category, count(*) AS n FROM strata GROUP BY ALL",

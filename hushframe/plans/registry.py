@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..operators import audit, corpus, crf, detect, evaluate, policy, synth
+from ..operators import word_pieces as wp
 from . import oracle
 from .fixtures import annotated
 
@@ -185,6 +186,33 @@ def token_windows(spark, sf):
     return w.select("doc_id", F.col("w.start").cast("long").alias("start"), F.size("w.tokens").cast("long").alias("n_tokens"), F.size("w.labels").cast("long").alias("n_labels"))
 
 
+def piece_vocabulary(spark, sf):
+    """Words of the benchmark texts, and their first and last one to four letters as pieces that begin or go on."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[0-9a-zà-ɏ]+"), F.lit(0))).alias("w")).distinct()
+    sizes = F.sequence(F.lit(1), F.lit(4))
+    pieces = F.concat(F.array("w"), F.transform(sizes, lambda n: F.left("w", n)), F.transform(sizes, lambda n: F.concat(F.lit(wp.GLUE), F.right("w", n))))
+    return wp.vocabulary(words.select(F.explode(pieces).alias("piece")))
+
+
+@query
+def document_pieces(spark, sf):
+    """The pieces of every document, those of each position summed up."""
+    docs = wp.encode(table(spark, sf, "documents").select("doc_id", "text"), piece_vocabulary(spark, sf), F.col("text")).drop("text")
+    shown = F.array_join(F.transform("pieces", lambda p: F.concat_ws(":", p["piece"], p["id"].cast("string"), p["word"].cast("string"), p["start"].cast("string"), p["end"].cast("string"))), " ")
+    unknown = F.size(F.filter("pieces", lambda p: p["id"] == wp.SPECIAL.index("[UNK]")))
+    return docs.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), unknown.cast("long").alias("n_unknown"), F.md5(shown).alias("pieces_md5"))
+
+
+@query
+def piece_windows(spark, sf):
+    """Training windows over the pieces of the marked texts' words, with their labels."""
+    rows = corpus.bio_rows(annotated(spark, sf).select("id", "text"))
+    cut = wp.encode(rows.select("id", "tokens", "ner_tags"), piece_vocabulary(spark, sf), words=F.col("tokens"))
+    w = T.unnest(cut, wp.windows(F.col("pieces"), F.col("ner_tags"), 126, 32), "w", "id")
+    joined = lambda c: F.md5(F.array_join(c, " "))
+    return w.select("id", F.col("w.start").cast("long").alias("start"), F.size("w.input_ids").cast("long").alias("n_ids"), joined("w.input_ids").alias("ids_md5"), joined("w.labels").alias("labels_md5"), joined(F.transform("w.offsets", lambda o: F.concat_ws(":", o["start"].cast("string"), o["end"].cast("string")))).alias("offsets_md5"))
+
+
 @query
 def contract_outside_markers(spark, sf):
     return annotated(spark, sf).select("id", T.outside_markers(F.col("text"), T.contract).alias("text"))
@@ -282,7 +310,8 @@ def audit_first_examples(spark, sf):
 
 @query
 def audit_token_sample(spark, sf):
-    return audit.tokenization(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), F.size(F.split("text", " ")))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return audit.tokenization(docs, lambda some: wp.encode(some, piece_vocabulary(spark, sf), F.col("text")).select(F.size("pieces").alias("n")))
 
 
 @query
