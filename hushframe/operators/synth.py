@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
-from .corpus import weighted_choice
+from . import grammar
+from .corpus import keyed_rank, weighted_choice
+from .templates import ADVERSARIAL, CONTEXTS, NEGATIVES
 
 # Alphabets. hex has its letters twice, so they come twice as often.
 _UP, _LOW, _DIG = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -137,12 +139,6 @@ def value_of(name: str, key: Column, seed: str = "42", slot: str | Column | None
     return value_from(F.element_at(shape_table([name]), 1)["parts"], key, seed, slot)
 
 
-def text_of(shape: str, key: Column, seed: str, slot: str) -> Column:
-    """The text of a shape that has no name."""
-    rows = [{"alphabet": p[0], "least": p[1], "most": p[2]} if len(p) == 3 else {"choices": p[0]} if isinstance(p[0], list) else {"text": p[0]} for p in parse_shape(shape)]
-    return value_from(F.from_json(F.lit(json.dumps(rows)), PARTS), key, seed, F.lit(slot))
-
-
 def card_number(key: Column, seed: str = "42", slot: str | Column = "card") -> Column:
     """16 digits that begin with 4 and pass the Luhn test, in groups or not."""
     slot = slot if isinstance(slot, Column) else F.lit(slot)
@@ -182,31 +178,6 @@ VALUE_COUNTS = {"short": {1: 0.7, 2: 0.3}, "medium": {1: 0.3, 2: 0.4, 3: 0.2, 4:
 VOICE_SHARE = 0.2
 LENGTH_WEIGHTS = {"short": 0.30, "medium": 0.45, "long": 0.25}
 LABEL_WEIGHTS = {"CREDENTIAL": 0.55, "EMAIL": 0.13, "PHONE": 0.12, "SSN": 0.10, "CREDIT_CARD": 0.10}
-#: Contexts; names and modes are those that corpora of this kind share, texts are this project's own: modes of length, whether voices suit them, and an opening, a line for each value, and a closing. In a
-#: line, {var} is a variable name that suits the value, {m} the marker, {t}, {sha} fillers.
-CONTEXTS: dict[str, tuple[str, bool, str, str, str]] = {
-    "env": ("SML", True, "# settings for the service", "{var}={m}", "DEBUG=false"),
-    "error_log": ("SML", True, "ERROR request failed, trace {sha}", "  context {var}={m}", "  at handler (app.js:42)"),
-    "support": ("SML", True, "Hi team, a customer wrote in about {t}.", "They sent us {m} to look into it.", "Can someone help today?"),
-    "code": ("SML", False, "def connect():", '    client = Client("{m}")', "    return client"),
-    "chat": ("SM", True, "hey, quick one about {t}", "here is what I have: {m}", "thanks!"),
-    "bug_report": ("ML", False, "## Steps to reproduce\n1. deploy {sha}", "2. send {m}", "## Expected\nno failure"),
-    "ci_log": ("ML", False, "[build] checkout {sha}", "[build] export {var}={m}", "[build] done in 42s"),
-    "email_fwd": ("ML", True, "From: ops@corp.example\nSubject: {t}", "Please use {m} from now on.", "Best,\nOps"),
-    "yaml_config": ("SML", False, "apiVersion: v1\ndata:", "  {var}: {m}", "kind: Secret"),
-    "dockerfile": ("SM", False, "FROM python:3.13", "ENV {var}={m}", 'CMD ["app"]'),
-    "terraform": ("SML", False, 'resource "app" "main" {', '  {var} = "{m}"', "}"),
-    "curl_request": ("SML", False, "curl https://api.example.com/v1", '  -H "Authorization: Bearer {m}"', "  -d '{}'"),
-    "sql_query": ("SM", False, "BEGIN;", "CREATE USER app IDENTIFIED BY '{m}';", "COMMIT;"),
-    "diff_paste": ("SM", False, "--- a/.env\n+++ b/.env", "+{var}={m}", " DEBUG=false"),
-    "log_lines": ("SML", False, "INFO start {sha}", "WARN value {m} seen", "INFO stop"),
-    "runbook_postmortem": ("ML", True, "# Postmortem {t}", "The leaked value was {m}.", "It has been rotated."),
-    "slack_thread": ("SML", True, "*ops* 10:01 deploy {sha} is stuck", "*kim* 10:02 try {m}", "*ops* 10:04 works now"),
-    "jupyter_notebook": ("ML", False, "In [1]: import app", 'In [2]: app.login("{m}")', "Out[2]: True"),
-    "env_multi": ("SML", False, "# .env.production", "{var}={m}", "LOG_LEVEL=info"),
-    "proximity_chain": ("SML", True, "credentials for {t}:", "{m} and then", "that is all"),
-    "test_and_real_mix": ("SM", True, "the sample 4242424242424242 is fine to share", "but {m} is real", "please remove it"),
-}
 _MODE = {"S": "short", "M": "medium", "L": "long"}
 
 
@@ -257,35 +228,53 @@ def variable_rules() -> list[dict]:
     return [open_ | rule | {"names": names} for rule, names in VARIABLE_POOLS]
 
 
-def _fill(line: str, key: Column, seed: str, item: Column | None = None) -> Column:
-    parts = []
-    for chunk in re.split(r"(\{(?:var|m|t|sha|name|path|service)\})", line):
-        made = {"{t}": "ticket", "{sha}": "short_sha", "{name}": "full_name", "{path}": "file_path", "{service}": "service"}.get(chunk)
-        if chunk in ("{var}", "{m}"):
-            parts.append(item["var"] if chunk == "{var}" else T.annotate(item["value"], item["label"]))
-        elif made:
-            parts.append(value_of(made, key, seed))
-        elif chunk:
-            parts.append(F.lit(chunk))
-    return F.concat(*parts)
+def register_context(name: str, kind: grammar.Kind) -> None:
+    """Add a context of one's own: positives draw it from then on where its lengths allow."""
+    if name in CONTEXTS or not kind.item or set(kind.modes) - set(_MODE):
+        raise ValueError(f"context {name}: the name is taken, it has no lines for items, or its lengths are not of S, M and L")
+    grammar.table({name: kind}, SHAPES, ALPHABETS)
+    CONTEXTS[name] = kind
+
+
+def register_negative(name: str, weight: float, kind: grammar.Kind) -> None:
+    """Add a kind of negatives of one's own, with its weight."""
+    if name in NEGATIVES or kind.item or weight <= 0:
+        raise ValueError(f"negative {name}: the name is taken, it has lines for items, or no weight")
+    grammar.table({name: kind}, SHAPES, ALPHABETS)
+    NEGATIVES[name] = (weight, kind)
+
+
+def register_category(name: str, kind: grammar.Kind) -> None:
+    """Add a category of adversarial rows of one's own."""
+    if name in ADVERSARIAL:
+        raise ValueError(f"category {name} is taken")
+    grammar.table({name: kind}, SHAPES, ALPHABETS)
+    ADVERSARIAL[name] = kind
 
 
-def _filler(line: str, key: Column, seed: str):
-    return lambda item: _fill(line, key, seed, item)
+def unregister(name: str) -> None:
+    """Take back a context, negative or category."""
+    for known in (CONTEXTS, NEGATIVES, ADVERSARIAL):
+        known.pop(name, None)
+
+
+_ITEMS = "array<struct<at:int,label:string,value:string,var:string>>"
+
+
+def _rule(kinds: dict[str, grammar.Kind], name: str) -> Column:
+    return grammar.rules_of(kinds, F.col(name), SHAPES, ALPHABETS)
 
 
 def positives(ids: DataFrame, seed: str = "42", key: str = "id") -> DataFrame:
     """ids -> (key, text, context, length_mode, primary_label).
 
-    A text has as many values as its length draws, each with a label and a shape of its own. In code only credentials
-    stay, one at least; env_multi is topped up with credentials to three to eight values, proximity_chain to four or
-    more; test_and_real_mix has the first value alone. A fifth of the texts, where the context suits it, get a voice.
-    primary_label is that of the first value drawn."""
+    A text has as many values as its length draws, each with a label and a shape of its own; its context says which of them
+    it takes and what it adds. A fifth of the texts, where the context suits it, get a voice. primary_label is that of the
+    first value drawn, which a context may leave out."""
     k = F.col(key)
-    names = list(CONTEXTS)
     mode = weighted_choice(uniform(seed, k, "length"), LENGTH_WEIGHTS)
     base = ids.select(k, mode.alias("length_mode"))
-    allowed = F.create_map(*[x for m in LENGTH_WEIGHTS for x in (F.lit(m), F.array(*[F.lit(c) for c in names if m in [_MODE[y] for y in CONTEXTS[c][0]]]))])
+    allowed = F.create_map(*[x for m in LENGTH_WEIGHTS for x in (F.lit(m), F.array(*[F.lit(c) for c, kind in CONTEXTS.items() if m in [_MODE[y] for y in kind.modes]]))])
     n = reduce(lambda chain, m: chain.when(F.col("length_mode") == m, weighted_choice(uniform(seed, k, "count"), {str(c): w for c, w in VALUE_COUNTS[m].items()})), VALUE_COUNTS, F.when(F.lit(False), "")).cast("int")
     base = base.withColumn("context", T.let(allowed[F.col("length_mode")], lambda pool: F.element_at(pool, (T.draw(seed, k, "context", 1 << 30) % F.size(pool)).cast("int") + 1))).withColumn("_n", n)
 
@@ -293,86 +282,43 @@ def positives(ids: DataFrame, seed: str = "42", key: str = "id") -> DataFrame:
         u = T.draw(seed, k, F.concat(F.lit("label."), j.cast("string")), 1 << 30) / float(1 << 30)
         return T.let(u, lambda x: weighted_choice(x, LABEL_WEIGHTS))
 
-    numbered = lambda at, label: F.struct(at.alias("at"), label.alias("label"))
-    drawn = F.transform(F.sequence(F.lit(1), F.col("_n")), lambda j: numbered(j, label_at(j)))
-    base = base.withColumn("_drawn", drawn).withColumn("primary_label", F.col("_drawn")[0]["label"])
-    credential = lambda i: numbered(i, F.lit("CREDENTIAL"))
-    more = lambda d, upto: F.concat(d, F.transform(F.when(upto > F.size(d), F.sequence(F.size(d) + 1, F.greatest(upto, F.size(d) + 1))).otherwise(F.array().cast("array<int>")), credential))
-    d = F.col("_drawn")
-    only = F.filter(d, lambda x: x["label"] == "CREDENTIAL")
-    chosen = (
-        F.when(F.col("context") == "code", F.when(F.size(only) > 0, only).otherwise(F.array(credential(F.lit(99)))))
-        .when(F.col("context") == "env_multi", more(d, T.draw(seed, k, "dense", 6).cast("int") + 3))
-        .when((F.col("context") == "proximity_chain") & (F.size(d) < 3), more(d, F.greatest(F.size(d) + 2, F.lit(4))))
-        .when(F.col("context") == "test_and_real_mix", F.slice(d, 1, 1)).otherwise(d)
-    )
+    drawn = F.transform(F.sequence(F.lit(1), F.col("_n")), lambda j: F.struct(j.alias("at"), label_at(j).alias("label")))
+    base = base.withColumn("_drawn", drawn).withColumn("primary_label", F.col("_drawn")[0]["label"]).withColumn("_rule", _rule(CONTEXTS, "context"))
 
     def made(x: Column) -> Column:
         slot = F.concat(F.lit("item."), x["at"].cast("string"))
-        full = T.let(labelled_value(x["label"], k, seed, slot), lambda v: F.struct(x["label"].alias("label"), v.alias("value"), variable_name(v, x["label"], k, seed, F.concat(slot, F.lit(".var"))).alias("var")))
-        return full
-
-    base = base.withColumn("_items", F.transform(chosen, made))
-    text = F.when(F.lit(False), "")
-    for name, (_, _, head, line, tail) in CONTEXTS.items():
-        lines = F.array_join(F.transform("_items", _filler(line, k, seed)), "\n")
-        text = text.when(F.col("context") == name, F.concat_ws("\n", _fill(head, k, seed), lines, F.lit(tail)))
-    base = base.withColumn("_text", text)
-    spoken = F.col("context").isin([c for c in names if CONTEXTS[c][1]]) & (uniform(seed, k, "voiced") < VOICE_SHARE)
-    return base.withColumn("text", F.when(spoken, voiced(F.col("_text"), k, seed)).otherwise(F.col("_text"))).select(key, "text", "context", "length_mode", "primary_label")
-
-
-#: Weighted kinds of texts without sensitive values; kinds and weights are fixed values, the texts this project's own.
-NEGATIVES: dict[str, tuple[float, str]] = {
-    "stack_trace": (2.0, "Traceback (most recent call last): line {D:2} in handler, KeyError at commit {H:7}"),
-    "code_review": (1.5, "nit: rename this in {H:7}, otherwise {looks good|ship it|one question}"),
-    "documentation": (2.0, "Set API_KEY to <your-key-here> and restart the {api|worker|web} service."),
-    "version_or_hash": (1.5, "bumped to v{D:1}.{D:2}.{D:1} at {H:40}"), "postal_or_id": (1.5, "ship to {D:5}-{D:4}, order {D:8}"),
-    "innocuous_chat": (1.0, "lunch at {noon|one|half past twelve}? see you at gate {D:1}"), "code_about_creds": (1.5, 'token = os.environ["{API|AUTH|ACCESS}_TOKEN"]'),
-    "numeric_lookalikes": (1.5, "invoice {D:4} {D:4} total {D:3}.{D:2}"), "well_known_test_values": (2.5, "use test value {tok_visa|pk_test_sample|000-00-0000} in staging"),
-    "public_ids_lookalikes": (3.5, "see {sha256|build|image}:{H:12} and ARN arn:aws:iam::{D:12}:role/app"), "hashes": (1.5, "md5 {H:32}"), "license_keys": (1.0, "license {U:5}-{U:5}-{U:5}"),
-    "tracking_analytics_ids": (1.5, "G-{U:10} fires on load"), "public_certs_keys": (1.0, "-----BEGIN CERTIFICATE-----"), "doc_placeholders": (1.5, "password: {changeme|example|********}"),
-    "arn_resource_names": (1.0, "arn:aws:s3:::{L:8}-{dev|prod}"), "type_signatures": (1.0, "def verify(token: str, n: int = {D:1}) -> bool: ..."), "log_format_lookalikes": (1.5, "GET /v1/items/{D:6} {D:3} in {D:2} ms"),
-}
+        return T.let(labelled_value(x["label"], k, seed, slot), lambda v: F.struct(x["at"].alias("at"), x["label"].alias("label"), v.alias("value"), variable_name(v, x["label"], k, seed, F.concat(slot, F.lit(".var"))).alias("var")))
+
+    chosen = grammar.chosen_items(F.col("_rule"), F.col("_drawn"), F.col("length_mode"), k, seed)
+    base = base.withColumn("_items", F.transform(chosen, made)).withColumn("_text", grammar.text_of(F.col("_rule"), F.col("_items"), F.col("length_mode"), k, seed))
+    spoken = F.col("context").isin([c for c, kind in CONTEXTS.items() if kind.voice]) & (uniform(seed, k, "voiced") < VOICE_SHARE)
+    return base.withColumn("text", F.when(spoken, T.let(F.col("_text"), lambda t: voiced(t, k, seed))).otherwise(F.col("_text"))).select(key, "text", "context", "length_mode", "primary_label")
 
 
 def negatives(ids: DataFrame, seed: str = "42", key: str = "id") -> DataFrame:
-    """ids -> (key, kind, text): marker-free texts; half are framed."""
+    """ids -> (key, kind, text): texts without markers; half are framed by a beginning and an end."""
     k = F.col(key)
     kind = weighted_choice(uniform(seed, k, "neg"), {n: w for n, (w, _) in NEGATIVES.items()})
-    base = ids.select(k, kind.alias("kind"))
-    text = F.when(F.col("kind") == "", "")
-    for name, (_, shape) in NEGATIVES.items():
-        text = text.when(F.col("kind") == name, text_of(shape, k, seed, f"neg.{name}"))
-    framed = F.concat(F.lit("fyi: "), F.col("text"), F.lit(" - no action needed"))
-    return base.withColumn("text", text).withColumn("text", F.when(T.draw(seed, k, "frame", 2) == 1, framed).otherwise(F.col("text")))
-
-
-#: Categories of adversarial rows, which are fixed values, with texts of this project's own and {A} a credential marker and {M} an e-mail marker.
-ADVERSARIAL: dict[str, str] = {
-    "boundary": "key:{A}.", "proximity": "{A} and {A2}", "nested": "see (({A}))", "multiline": "one\n{A}\ntwo\n{M}", "ambiguity": "is 4242424242424242 or {A} the test value?",
-    "sentinel": "on line 42 nothing is secret", "cursor_paste": "<cursor>{A}</cursor>", "terminal_session": "$ export TOKEN={A}\n$ echo done",
-    "api_request": 'POST /login {{"token": "{A}", "user": "{M}"}}', "runbook_buried": "step 1 stop\nstep 2 use {A}\nstep 3 mail {M}\nstep 4 start",
-}
+    base = ids.select(k, kind.alias("kind")).withColumn("_rule", _rule({n: x for n, (_, x) in NEGATIVES.items()}, "kind"))
+    return base.select(k, "kind", grammar.text_of(F.col("_rule"), F.array().cast(_ITEMS), F.lit("medium"), k, seed).alias("text"))
 
 
 def adversarial(ids: DataFrame, seed: str = "42", key: str = "id") -> DataFrame:
-    """ids -> (key, category, text): the categories in turn."""
+    """ids -> (key, category, text): the categories in turn, with two credentials and an e-mail address at hand."""
     k = F.col(key)
-    names = list(ADVERSARIAL)
-    a = T.annotate(value_of("github_pat", k, seed, "adv.a"), F.lit("CREDENTIAL"))
-    a2 = T.annotate(value_of("aws_access_key", k, seed, "adv.b"), F.lit("CREDENTIAL"))
-    m = T.annotate(value_of("email", k, seed, "adv.m"), F.lit("EMAIL"))
-    category = F.element_at(F.array(*map(F.lit, names)), F.pmod(k, F.lit(len(names))).cast("int") + 1)
-    base = ids.select(k, category.alias("category"))
-    text = F.when(F.col("category") == "", "")
-    for name, line in ADVERSARIAL.items():
-        made = F.lit(line.replace("{{", "{").replace("}}", "}"))
-        for hole, put in (("{A2}", a2), ("{A}", a), ("{M}", m)):
-            if hole in line:
-                made = F.replace(made, F.lit(hole), put)
-        text = text.when(F.col("category") == name, made)
-    return base.withColumn("text", text)
+    item = lambda at, label, shape, slot: F.struct(F.lit(at).alias("at"), F.lit(label).alias("label"), value_of(shape, k, seed, slot).alias("value"), F.lit("").alias("var"))
+    items = F.array(item(1, "CREDENTIAL", "github_pat", "adv.a"), item(2, "CREDENTIAL", "aws_access_key", "adv.b"), item(3, "EMAIL", "email", "adv.m"))
+    category = F.element_at(F.array(*map(F.lit, ADVERSARIAL)), F.pmod(k, F.lit(len(ADVERSARIAL))).cast("int") + 1)
+    base = ids.select(k, category.alias("category")).withColumn("_rule", _rule(ADVERSARIAL, "category")).withColumn("_items", items)
+    return base.select(k, "category", grammar.text_of(F.col("_rule"), F.col("_items"), F.lit("medium"), k, seed).alias("text"))
+
+
+def corpus(ids: DataFrame, seed: str = "42", key: str = "id", negative_share: float = 0.3) -> DataFrame:
+    """ids -> (key, split, kind, text): int(n * negative_share) rows by keyed order are negatives, the others positives."""
+    ranked = keyed_rank(ids.select(key), [], seed, key).withColumn("_neg", F.col("_k") <= F.floor(F.col("_n") * F.lit(negative_share)))
+    kept = ranked.select(key, "_neg")
+    good = positives(kept.where("not _neg").select(key), seed, key).select(key, F.lit("positive").alias("split"), F.col("context").alias("kind"), "text")
+    return good.union(negatives(kept.where("_neg").select(key), seed, key).select(key, F.lit("negative").alias("split"), "kind", "text"))
 
 
 # Abbreviations of the terse voice, and words that the panicked one raises.

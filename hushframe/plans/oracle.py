@@ -7,6 +7,7 @@ import re
 from ..functions import rules, text
 from ..operators import detect, policy, synth
 from ..operators import word_pieces as pieces
+from . import synth_sql
 from .fixtures import ANNOTATED_CTE
 
 
@@ -270,70 +271,6 @@ def voiced(text: str, key: str) -> str:
     return f"CASE {weighted(uniform(key, 'voice'), synth.VOICES)} WHEN 'casual' THEN {calm} WHEN 'terse' THEN {_between_markers(text, terse)} WHEN 'panicked' THEN {panicked} ELSE {text} END"
 
 
-def _filled(line: str, key: str) -> str:
-    names = {"{t}": "ticket", "{sha}": "short_sha", "{name}": "full_name", "{path}": "file_path", "{service}": "service"}
-    parts = []
-    for chunk in re.split(r"(\{(?:var|m|t|sha|name|path|service)\})", line):
-        if chunk == "{var}":
-            parts.append("var")
-        elif chunk == "{m}":
-            parts.append("'[' || value || '|' || label || ']'")
-        elif chunk in names:
-            parts.append(shape_value(synth.SHAPES[names[chunk]], key, names[chunk]))
-        elif chunk:
-            parts.append(_text(chunk))
-    return " || ".join(parts)
-
-
-def _positives() -> str:
-    C = synth.CONTEXTS
-    pools = {m: [c for c in C if m in [synth._MODE[x] for x in C[c][0]]] for m in synth.LENGTH_WEIGHTS}
-    pool = "CASE length_mode " + " ".join(f"WHEN {q(m)} THEN [{', '.join(map(q, v))}]" for m, v in pools.items()) + " END"
-    count = "CASE length_mode " + " ".join(f"WHEN {q(m)} THEN CAST({weighted(uniform('id', 'count'), {str(c): w for c, w in v.items()})} AS INT)" for m, v in synth.VALUE_COUNTS.items()) + " END"
-    groups = {"CREDENTIAL": synth.credential_shapes(), **synth.BY_LABEL}
-    rows = []
-    for label, names in groups.items():
-        for i, n in enumerate(names):
-            for k, part in enumerate(synth.parse_shape(synth.SHAPES[n])):
-                cell = lambda v: "NULL" if v is None else v
-                text, alphabet, least, most, choices = None, None, 0, 0, None
-                if len(part) == 3:
-                    alphabet, least, most = q(part[0]), part[1], part[2]
-                elif isinstance(part[0], list):
-                    choices = "[" + ", ".join(map(q, part[0])) + "]"
-                else:
-                    text = "(" + _text(part[0]) + ")"
-                rows.append(f"({q(label)}, {len(names)}, {i}, {k}, {cell(text)}, {cell(alphabet)}, {least}, {most}, {cell(choices)})")
-    slot = "'item.' || CAST(spot AS VARCHAR)"
-    many = lambda names, n: f"CAST(CAST('0x' || substr(md5('42:' || CAST(id AS VARCHAR) || ':' || {names}), 1, 8) AS UBIGINT) % {n} AS BIGINT)"
-    here = f"{slot} || '.value.' || CAST(k AS VARCHAR)"
-    run = f"array_to_string(list_transform(range(1, least + {many(here + chr(32) + '||' + chr(32) + q('.n'), 'greatest(most - least + 1, 1)')} + 1), lambda i: substr(alphabet, {many(here + ' || ' + q('.') + ' || CAST(i AS VARCHAR)', 'length(alphabet)')} + 1, 1)), '')"
-    digits = f"'4' || array_to_string(list_transform(range(1, 15), lambda i: CAST({many(slot + ' || ' + q('.value.0.') + ' || CAST(i AS VARCHAR)', 10)} AS VARCHAR)), '')"
-    luhn_sum = "list_sum(list_transform(range(1, 16), lambda i: CASE WHEN i % 2 = 1 THEN CASE WHEN 2 * CAST(substr(b, i, 1) AS INT) > 9 THEN 2 * CAST(substr(b, i, 1) AS INT) - 9 ELSE 2 * CAST(substr(b, i, 1) AS INT) END ELSE CAST(substr(b, i, 1) AS INT) END))"
-    sep = f"list_extract(['', '-', ' '], {many(slot + ' || ' + q('.value.sep'), 3)} + 1)"
-    line = "CASE context " + " ".join(f"WHEN {q(c)} THEN {_filled(v[3], 'id')}" for c, v in C.items()) + " END"
-    head = "CASE context " + " ".join(f"WHEN {q(c)} THEN {_filled(v[2], 'id')}" for c, v in C.items()) + " END"
-    tail = "CASE context " + " ".join(f"WHEN {q(c)} THEN {_text(v[4])}" for c, v in C.items()) + " END"
-    voices = ", ".join(q(c) for c, v in C.items() if v[1])
-    label_u = f"({draw('id', q('label.') + ' || CAST(spot AS VARCHAR)', 1 << 30)} / {float(1 << 30)})"
-    return f"""WITH a AS (SELECT c_custkey AS id, {weighted(uniform('c_custkey', 'length'), synth.LENGTH_WEIGHTS)} AS length_mode FROM customer),
- b AS (SELECT *, {pool}[{draw('id', q('context'), 1 << 30)} % len({pool}) + 1] AS context, {count} AS n FROM a),
- drawn AS (SELECT *, {weighted(label_u, synth.LABEL_WEIGHTS)} AS label FROM (SELECT *, unnest(range(1, n + 1)) AS spot FROM b) u),
- more AS (SELECT *, CASE WHEN context = 'env_multi' THEN 3 + {draw('id', q('dense'), 6)} WHEN context = 'proximity_chain' AND n < 3 THEN greatest(n + 2, 4) ELSE 0 END AS upto FROM b),
- items AS (SELECT id, context, spot, label FROM drawn WHERE (context <> 'code' OR label = 'CREDENTIAL') AND (context <> 'test_and_real_mix' OR spot = 1)
-  UNION ALL SELECT id, context, unnest(range(n + 1, upto + 1)), 'CREDENTIAL' FROM more
-  UNION ALL SELECT id, context, 99, 'CREDENTIAL' FROM b WHERE context = 'code' AND id NOT IN (SELECT id FROM drawn WHERE label = 'CREDENTIAL')),
- shapes(label, size, pick, k, text, alphabet, least, most, choices) AS (VALUES {', '.join(rows)}),
- parts AS (SELECT id, context, spot, i.label, k, CASE WHEN text IS NOT NULL THEN text WHEN choices IS NOT NULL THEN choices[{many(here, 'len(choices)')} + 1] ELSE {run} END AS piece
-  FROM items i JOIN shapes s ON s.label = i.label AND s.pick = {many(slot + ' || ' + q('.shape'), 's.size')}),
- valued AS (SELECT id, context, spot, label, string_agg(piece, '' ORDER BY k) AS value FROM parts GROUP BY ALL
-  UNION ALL SELECT id, context, spot, label, substr(f, 1, 4) || sep || substr(f, 5, 4) || sep || substr(f, 9, 4) || sep || substr(f, 13, 4) FROM (SELECT *, b || CAST((10 - {luhn_sum} % 10) % 10 AS VARCHAR) AS f FROM (SELECT *, {digits} AS b, {sep} AS sep FROM items WHERE label = 'CREDIT_CARD') c0) c1),
- named AS (SELECT *, {_variable('value', 'label', 'id', slot + ' || ' + q('.var'))} AS var FROM valued),
- lines AS (SELECT id, string_agg({line}, chr(10) ORDER BY spot) AS body FROM named GROUP BY id),
- whole AS (SELECT b.id, context, length_mode, {head} || chr(10) || body || chr(10) || {tail} AS text FROM b JOIN lines USING (id))
- SELECT id, CASE WHEN context IN ({voices}) AND {uniform('id', 'voiced')} < {synth.VOICE_SHARE} THEN {voiced('text', 'id')} ELSE text END AS text, context, length_mode, (SELECT label FROM drawn d WHERE d.id = w.id AND d.spot = 1) AS primary_label FROM whole w"""
-
-
 def statements() -> dict[str, str]:
     cols = "id, start, \"end\", label, value, source, tier, score"
     audit_sets = {k: q(p) for k, p in rules.AUDIT_FORMATS.items()}
@@ -341,11 +278,10 @@ def statements() -> dict[str, str]:
     var_rules = [(v, "starts_with", p, None) for v, ps in rules.VARIABLE_PREFIXES.items() for p in ps] + [(v, "len_eq", "", n) for v, n in rules.VARIABLE_LENGTHS.items()]
     shapes = " UNION ALL ".join(f"SELECT n_nationkey, {q(n)} AS shape, {shape_value(s, 'n_nationkey', n)} AS value FROM nation" for n, s in synth.SHAPES.items())
     stop = r"\b(?:" + "|".join(rules.STOP_WORDS) + r")\b"
-    neg = " ".join(f"WHEN {q(n)} THEN {shape_value(s, 'id', f'neg.{n}')}" for n, (_, s) in synth.NEGATIVES.items())
-    a = "'[' || " + shape_value(synth.SHAPES["github_pat"], "id", "adv.a") + " || '|CREDENTIAL]'"
-    a2 = "'[' || " + shape_value(synth.SHAPES["aws_access_key"], "id", "adv.b") + " || '|CREDENTIAL]'"
-    m = "'[' || " + shape_value(synth.SHAPES["email"], "id", "adv.m") + " || '|EMAIL]'"
-    adv = " ".join(f"WHEN {q(n)} THEN replace(replace(replace({_text(s.replace('{{', '{').replace('}}', '}'))}, '{{A2}}', a2), '{{A}}', a), '{{M}}', m)" for n, s in synth.ADVERSARIAL.items())
+    customers = "SELECT c_custkey AS id FROM customer"
+    positives, negatives = synth_sql.positives(customers, voiced, _variable, weighted), synth_sql.negatives(customers, weighted)
+    ranked = "ranked AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY md5('42:' || CAST(c_custkey AS VARCHAR)), c_custkey) <= floor(count(*) OVER () * 0.3) AS neg FROM customer)"
+    of = lambda keep: f"SELECT id FROM ranked WHERE {keep}"
     top = lambda f, t: f"CASE WHEN {t} THEN {f} ELSE 0 END"
     out = {
         "detect_regex_spans": f"{BASE} SELECT {cols} FROM ({hits('every')}) h",
@@ -411,8 +347,10 @@ def statements() -> dict[str, str]:
         "best_epoch": "SELECT n_nationkey AS epoch FROM nation ORDER BY (n_nationkey * 7) % 11 DESC, n_nationkey LIMIT 1",
         "synth_values": shapes,
         "synth_cards": f"SELECT c_custkey, {card('c_custkey')} AS card, true AS valid FROM customer",
-        "synth_negatives": f"SELECT id, kind, CASE WHEN {draw('id', q('frame'), 2)} = 1 THEN 'fyi: ' || t || ' - no action needed' ELSE t END AS text FROM (SELECT id, kind, CASE kind {neg} END AS t FROM (SELECT c_custkey AS id, {weighted(uniform('c_custkey', 'neg'), {n: w for n, (w, _) in synth.NEGATIVES.items()})} AS kind FROM customer) a) b",
-        "synth_adversarial": f"SELECT id, category, CASE category {adv} END AS text FROM (SELECT id, list_extract([{', '.join(map(q, synth.ADVERSARIAL))}], id % {len(synth.ADVERSARIAL)} + 1) AS category, {a} AS a, {a2} AS a2, {m} AS m FROM (SELECT c_custkey AS id FROM customer) x) y",
+        "synth_negatives": f"WITH {negatives} SELECT * FROM negatives",
+        "synth_adversarial": f"WITH {synth_sql.adversarial(customers, shape_value)} SELECT id, kind AS category, text FROM b JOIN texts USING (id)",
+        "synth_corpus": f"""WITH {ranked} SELECT id, 'positive' AS split, context AS kind, text FROM (WITH {synth_sql.positives(of('NOT neg'), voiced, _variable, weighted)} SELECT * FROM positives) p
+ UNION ALL SELECT id, 'negative', kind, text FROM (WITH {synth_sql.negatives(of('neg'), weighted)} SELECT * FROM negatives) n""",
         "variable_names": f"{BASE} SELECT id, i - 1 AS pos, {_variable('value', 'label', 'id')} AS var FROM marks",
         "site_lookup": f"SELECT page_id, host, site FROM (SELECT page_id, nullif(regexp_extract(url, '^[a-z]+://(?:[^/@]*@)?([^/:?#]+)', 1), '') AS host FROM pages) p LEFT JOIN (SELECT * FROM {values(list(policy.HOSTS.items()), 'h, site')}) s ON p.host = s.h",
         "effective_settings": "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'false' ELSE 'true' END AS enabled, CASE WHEN n_nationkey % 2 = 0 THEN 'confirm' ELSE 'modal' END AS \"blockBehavior\", CAST(n_nationkey AS VARCHAR) AS \"cooldownMinutes\", 'banner' AS \"warnBehavior\", '5' AS \"warnAutoDismissSec\" FROM nation",
@@ -443,7 +381,7 @@ def statements() -> dict[str, str]:
  flat AS (SELECT id, a, b, c, label, words, unnest(range(1, len(words) + 1)) AS k FROM parts)
  SELECT id, row_number() OVER (PARTITION BY id ORDER BY a, b, c, k) - 1 AS pos, words[k] AS word, CASE WHEN label IS NULL THEN 'O' WHEN k = 1 THEN 'B-' || label ELSE 'I-' || label END AS tag FROM flat""",
         "aggregate_word_pieces": _aggregated(),
-        "synth_positives": _positives(),
+        "synth_positives": f"WITH {positives} SELECT * FROM positives",
         "synth_voices": f"WITH {ANNOTATED_CTE} SELECT id, {voiced('text', 'id')} AS text FROM annotated",
     }
     return out

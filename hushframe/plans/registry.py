@@ -522,6 +522,11 @@ def synth_adversarial(spark, sf):
     return synth.adversarial(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")))
 
 
+@query
+def synth_corpus(spark, sf):
+    return synth.corpus(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")))
+
+
 @query
 def synth_voices(spark, sf):
     rows = annotated(spark, sf)
