@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
+from ..functions.shared import settled
 from . import detect
 
 # Settings where none are stored, and the least length of a paste that is looked at.
@@ -70,40 +67,44 @@ def cooldown(events: Column, minutes: Column) -> Column:
     return T.fold(events, F.lit(None), step, "struct<t:bigint,silent:boolean,prompt:boolean>", "bigint")
 
 
-def cooldown_rows(events: DataFrame, minutes: int = 5, gap: int = 3600) -> DataFrame:
+def cooldown_rows(events: DataFrame, minutes: int = 5) -> DataFrame:
     """events (host, t seconds, event_id, needs) with `silent` and `prompt`, as cooldown() gives them.
 
-    A host's time line is cut where no event in need lies within the window before a time bucket's first one: what
-    follows does not depend on what was before. So a busy host is many stretches, and a stretch is read in order
-    of time with one number of state, however long it is."""
+    Prompts are a chain: each is the first time in need that is a window or more after the last. So every time gets its
+    successor, from buckets of one window: it lies in the next bucket, or is the first time of a later one. The chains
+    begin where nothing in need lies within a window before, and grow by jumps of 1, 2, 4, ... successors, each a join on
+    host and time. No task holds more of a host than the times of one bucket, and a row for each bucket; nulls are a host."""
     window = max(1, min(120, minutes or 5)) * 60
-    by = Window.partitionBy("host").orderBy("_b")
-    rows = events.withColumn("_b", F.floor(F.col("t") / max(gap, window)))
+    rows = events.withColumn("_h", F.to_json(F.struct("host")))
+    times = settled(rows.where("needs and t is not null").select("_h", "t", F.floor(F.col("t") / window).alias("_b")).distinct(), "times")
+    by = Window.partitionBy("_h").orderBy("_b")
+    lead = lambda c, n: F.lead(c, n).over(by)
     # One row for each host and bucket with an event in need.
-    buckets = rows.where("needs").groupBy("host", "_b").agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
-    cut = F.coalesce(F.col("_lo") - F.lag("_hi").over(by) >= window, F.lit(True))
-    stretches = buckets.select("host", "_b", F.sum(cut.cast("int")).over(by).alias("_s"))
-    # Buckets without an event in need are their own stretches: nothing in them is silent or a prompt.
-    rows = rows.join(stretches, ["host", "_b"], "left").withColumn("_s", F.coalesce("_s", -F.col("_b") - 1))
-    ordered = rows.drop("_b").repartition("host", "_s").sortWithinPartitions("host", "_s", "t", "event_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last = None, None
-        for batch in batches:
-            hosts, parts, t, needs = (batch.column(batch.schema.get_field_index(c)) for c in ("host", "_s", "t", "needs"))
-            t, needs = t.to_numpy(zero_copy_only=False), needs.to_numpy(zero_copy_only=False).astype(bool)
-            keys = list(zip(hosts.to_pylist(), parts.to_pylist()))
-            prompt = np.zeros(len(t), bool)
-            for i in np.flatnonzero(needs).tolist():
-                if keys[i] != key:
-                    key, last = keys[i], None
-                if last is None or t[i] - last >= window:
-                    prompt[i], last = True, t[i]
-            kept = batch.drop_columns(["_s"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(needs & ~prompt), pa.array(prompt)], [*kept.schema.names, "silent", "prompt"])
-
-    fields = T.fields(events)
-    return ordered.select(*events.columns, "_s").mapInArrow(run, f"{fields}, silent boolean, prompt boolean")
+    buckets = times.groupBy("_h", "_b").agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
+    opens = F.coalesce(F.col("_lo") - F.lag("_hi").over(by) >= window, F.lit(True))
+    buckets = settled(buckets.select("_h", "_b", "_lo", opens.alias("_opens"), lead("_b", 1).alias("_b1"), lead("_lo", 1).alias("_lo1"), lead("_lo", 2).alias("_lo2")), "buckets")
+    # The times of a bucket, and those of the one before moved on by a window, in order.
+    both = times.select("_h", "_b", F.col("t").alias("_at"), F.col("t").alias("_time"), F.lit(None).cast("long").alias("_from"))
+    both = both.union(times.select("_h", F.col("_b") + 1, F.col("t") + window, F.lit(None).cast("long"), "t"))
+    within = Window.partitionBy("_h", "_b").orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    soon = both.withColumn("_soon", F.min("_time").over(within)).where("_from is not null").select("_h", F.col("_from").alias("t"), (F.col("_b") - 1).alias("_b"), "_soon")
+    next_ = F.when(F.col("_b1") == F.col("_b") + 1, F.coalesce("_soon", "_lo2")).otherwise(F.col("_lo1"))
+    jumps = settled(soon.join(buckets, ["_h", "_b"]).select("_h", "t", next_.alias("next")).where("next is not null"), "jumps")
+    chain = settled(buckets.where("_opens").select("_h", F.col("_lo").alias("t")), "chain")
+    n = chain.count()
+    while n:
+        reached = settled(chain.union(chain.join(jumps, ["_h", "t"]).select("_h", F.col("next").alias("t"))).distinct(), "chain")
+        more = reached.count()
+        chain = reached
+        if more == n:
+            break
+        n = more
+        jumps = settled(jumps.join(jumps.select("_h", F.col("t").alias("next"), F.col("next").alias("_further")), ["_h", "next"]).select("_h", "t", F.col("_further").alias("next")), "jumps")
+    # Of several events in need at the time of a prompt the first is it.
+    needs = F.coalesce(F.col("needs") & F.col("t").isNotNull(), F.lit(False))
+    place = F.row_number().over(Window.partitionBy("_h", "t").orderBy(F.desc(needs), "event_id"))
+    found = rows.join(chain.withColumn("_on", F.lit(True)), ["_h", "t"], "left").withColumn("prompt", needs & F.coalesce("_on", F.lit(False)) & (place == 1))
+    return found.select(*events.columns, (needs & ~F.col("prompt")).alias("silent"), "prompt")
 
 
 def decide(mode: Column, quiet: Column, has_block: Column, answer: Column, text: Column, masked: Column) -> Column:

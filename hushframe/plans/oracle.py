@@ -366,7 +366,7 @@ def statements() -> dict[str, str]:
  w AS (SELECT *, label AS last_label, "end" AS last_end, true AS kept FROM o WHERE n = 1
   UNION ALL SELECT o.*, CASE WHEN w.last_label = o.label AND w.last_end > o.start THEN w.last_label ELSE o.label END, CASE WHEN w.last_label = o.label AND w.last_end > o.start THEN w.last_end ELSE o."end" END, NOT (w.last_label = o.label AND w.last_end > o.start) FROM w JOIN o ON o.id = w.id AND o.n = w.n + 1)
  SELECT {cols} FROM w WHERE kept""",
-        "cooldown_sessions": """WITH RECURSIVE e AS (SELECT 'host' || (user_id % 11) AS host, epoch(ts)::BIGINT AS t, event_id % 3 = 0 AS needs FROM events),
+        "cooldown_sessions": """WITH RECURSIVE e AS (SELECT 'host' || (user_id % 11) AS host, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_id % 3 = 0 AS needs FROM events),
  p AS (SELECT host, min(t) AS t FROM e WHERE needs GROUP BY host UNION ALL SELECT p.host, (SELECT min(e.t) FROM e WHERE e.host = p.host AND e.needs AND e.t >= p.t + 300) FROM p WHERE p.t IS NOT NULL),
  c AS (SELECT host, count(t) AS prompts FROM p GROUP BY host)
  SELECT host, count(*) AS n, count(*) FILTER (WHERE needs) - min(coalesce(prompts, 0)) AS silent, min(coalesce(prompts, 0)) AS prompts FROM e LEFT JOIN c USING (host) GROUP BY host""",

@@ -231,10 +231,16 @@ def test_ranks_and_dense_ids_with_ties_and_nulls(spark):
 
 def test_cooldown_rows_equal_the_fold(spark):
     rows = [(f"h{i % 3}", (i * 7919) % 50000, i, i % 4 == 0) for i in range(900)] + [("quiet", 5, 10_000, False)]
-    df = spark.createDataFrame(rows, "host string, t long, event_id long, needs boolean")
+    # A host without any pause, times that many events share, negative times and a null host.
+    rows += [("busy", 100 * i, 20_000 + i, True) for i in range(300)] + [("ties", 7 * (i // 5), 30_000 + i, i % 2 == 0) for i in range(600)]
+    rows += [(None, -1000 + 299 * i, 40_000 + i, True) for i in range(20)]
+    df = spark.createDataFrame(rows, "host string, t long, event_id long, needs boolean").repartition(3)
+    assert policy.cooldown_rows(df.limit(0), 5).count() == 0
+    odd = policy.cooldown_rows(spark.createDataFrame([("a", None, 1, True), ("a", 5, 2, None), ("a", 6, 3, True), ("a", 6, 3, True)], df.schema), 5).collect()
+    assert sorted((r.event_id, r.silent, r.prompt) for r in odd) == [(1, False, False), (2, False, False), (3, False, True), (3, True, False)]
     got = {r.event_id: (r.silent, r.prompt) for r in policy.cooldown_rows(df, 5).collect()}
     want, last = {}, {}
-    for host, t, i, needs in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+    for host, t, i, needs in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
         quiet = host in last and t - last[host] < 300
         want[i] = (needs and quiet, needs and not quiet)
         if want[i][1]:
