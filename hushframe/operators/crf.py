@@ -357,10 +357,10 @@ def load(spark, path: str) -> Weights:
     return Weights.of(flat)
 
 
-def provider(spark, w: Weights) -> Callable[[DataFrame], DataFrame]:
+def provider(spark, w: Weights, guarded: bool = False) -> Callable[[DataFrame], DataFrame]:
     """A provider for detect.detect(): the weights go to the workers once, and are unpacked once in each."""
     shared = spark.sparkContext.broadcast(w.flat().astype(np.float32))
-    return detect.tagger(lambda: Tagger(Weights.of(shared.value.astype(np.float64))), f"crf-{uuid.uuid4().hex}")
+    return detect.tagger(lambda: Tagger(Weights.of(shared.value.astype(np.float64))), f"crf-{uuid.uuid4().hex}", guarded)
 
 
 def predicted(rows: DataFrame, w: Weights, text_col: str = "text", policy: str = "shipped") -> DataFrame:

@@ -182,39 +182,71 @@ def of_tier(spans: Column, tier: str) -> Column:
 
 def detect(docs: DataFrame, text_col: str = "text", provider: Callable[[DataFrame], DataFrame] | None = None, tokens_col: str = "tokens", policy: str = "shipped") -> DataFrame:
     """docs with a column `spans`. A provider adds, per chunk, the tagger's pieces in tokens_col; without one only
-    the catalogue is used and the plan stays in the JVM. Patterns read the whole text, the tagger its chunks."""
+    the catalogue is used and the plan stays in the JVM. Patterns read the whole text, the tagger its chunks. A provider
+    that reports errors in a column `error` makes docs have one too: of a text's chunks the first error, null if none failed;
+    the spans of a text that failed are those of the catalogue."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     if provider is None:
         return docs.withColumn("spans", postprocess(regex_spans(text), policy))
     docs = docs.withColumn("_row", F.monotonically_increasing_id())
     # The row number is only joined within this plan; pieces of one text are few.
     pieces = provider(docs.select("_row", F.explode(T.chunks(text)).alias("c")).select("_row", F.col("c.pos").alias("pos"), F.col("c.chunk").alias("chunk")))
-    found = pieces.select("_row", "pos", aggregate_bio(F.col("chunk"), F.col(tokens_col)).alias("s"))
-    moved = found.select("_row", "pos", F.transform("s", lambda s: F.struct((s["start"] + F.col("pos")).alias("start"), (s["end"] + F.col("pos")).alias("end"), s["label"], s["score"])).alias("s"))
-    tagged = moved.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"])).alias("ner"), F.count("*").alias("n"))
+    guarded = "error" in pieces.columns
+    failed = [F.col("error").alias("_error")] if guarded else []
+    found = pieces.select("_row", "pos", aggregate_bio(F.col("chunk"), F.col(tokens_col)).alias("s"), *failed)
+    moved = found.select("_row", "pos", *(["_error"] if guarded else []), F.transform("s", lambda s: F.struct((s["start"] + F.col("pos")).alias("start"), (s["end"] + F.col("pos")).alias("end"), s["label"], s["score"])).alias("s"))
+    tagged = moved.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"])).alias("ner"), F.count("*").alias("n"), *([F.min_by("_error", F.when(F.col("_error").isNotNull(), F.col("pos"))).alias("_error")] if guarded else []))
     joined = docs.join(tagged, "_row", "left")
     ner = F.when(F.col("n") > 1, dedupe_overlapping(F.col("ner"))).otherwise(F.col("ner"))
+    if guarded:
+        ner = F.when(F.col("_error").isNull(), ner)
     spans = F.coalesce(tagged_spans(text, ner, policy), F.array().cast(SPAN))
-    return joined.withColumn("spans", postprocess(merge_spans(spans, regex_spans(text)), policy)).drop("_row", "ner", "n")
+    out = joined.withColumn("spans", postprocess(merge_spans(spans, regex_spans(text)), policy)).drop("_row", "ner", "n")
+    return out.withColumn("error", F.col("_error")).drop("_error") if guarded else out
 
 
 _LOADED: dict[str, Callable] = {}
 
 
-def tagger(load: Callable[[], Callable[[list[str]], list[list[dict]]]], name: str = "tagger") -> Callable[[DataFrame], DataFrame]:
+def tagger(load: Callable[[], Callable[[list[str]], list[list[dict]]]], name: str = "tagger", guarded: bool = False) -> Callable[[DataFrame], DataFrame]:
     """A provider for detect() from a token tagger in Python. load() gives a function from texts to their word pieces,
     dicts of entity, score, index and word; it is called once in each Python worker, at its first batch, and what it
-    returns stays there. Chunks come and go in Arrow batches."""
+    returns stays there. Chunks come and go in Arrow batches.
+
+    guarded: errors become data. If a batch fails, its texts are tried one by one, and those that fail alone have no
+    pieces and their error in the column `error`; so has every text of a batch before which load() failed. An answer
+    of the wrong length or shape is an error too. Nothing of it fails the job."""
     pieces = "array<struct<entity:string,score:double,index:int,word:string>>"
 
+    def answered(texts: list[str]) -> list[list[dict]]:
+        if name not in _LOADED:
+            _LOADED[name] = load()
+        found = _LOADED[name](texts)
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} answers to {len(texts)} texts")
+        return [[{"entity": str(p["entity"]), "score": float(p["score"]), "index": int(p["index"]), "word": str(p["word"])} for p in x] for x in found]
+
+    def tried(texts: list[str]) -> tuple[list[list[dict]], list[str | None]]:
+        try:
+            return answered(texts), [None] * len(texts)
+        except Exception as error:
+            said = f"{type(error).__name__}: {error}"[:500]
+            if len(texts) == 1 or name not in _LOADED:
+                return [[] for _ in texts], [said] * len(texts)
+            each = [tried([t]) for t in texts]
+            return [x[0][0] for x in each], [x[1][0] for x in each]
+
     def provider(chunks: DataFrame) -> DataFrame:
         def run(frames):
-            if name not in _LOADED:
-                _LOADED[name] = load()
             for frame in frames:
-                yield frame.assign(tokens=_LOADED[name](frame["chunk"].tolist()))
-
-        return chunks.mapInPandas(run, f"{T.fields(chunks)}, tokens {pieces}")
+                texts = frame["chunk"].tolist()
+                if guarded:
+                    found, errors = tried(texts)
+                    yield frame.assign(tokens=found, error=errors)
+                else:
+                    yield frame.assign(tokens=answered(texts))
+
+        return chunks.mapInPandas(run, f"{T.fields(chunks)}, tokens {pieces}" + (", error string" if guarded else ""))
 
     return provider
 

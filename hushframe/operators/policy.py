@@ -119,11 +119,23 @@ def shows_banner(spans: Column, behaviour: Column) -> Column:
     return (F.size(detect.of_tier(spans, "warn")) > 0) & (behaviour == "banner")
 
 
+#: What becomes of a text whose detection failed: it passes as it is, it is held back, or only the catalogue masks it.
+FAILURES = ("open", "held", "patterns")
+
+
 def fail_open(masked: Column, text: Column, open_: bool = True) -> Column:
     """Where detection gave nothing: the text as it is, or nothing."""
     return F.coalesce(masked, text) if open_ else masked
 
 
+def released(masked: Column, text: Column, error: Column, on_error: str = "open") -> Column:
+    """What goes out: the masked text, or where there was an error what the policy says."""
+    if on_error not in FAILURES:
+        raise ValueError(f"on_error is one of {', '.join(FAILURES)}")
+    failed = {"open": text, "held": F.lit(None).cast("string"), "patterns": masked}[on_error]
+    return F.when(error.isNotNull(), failed).otherwise(masked)
+
+
 def chips(spans: Column, k: int = 3) -> Column:
     """The first k findings for display and how many more there are."""
     shown = F.transform(F.slice(spans, 1, k), lambda s: F.struct(T.pretty_label(s["label"]).alias("label"), T.mask_value(s["value"]).alias("value")))

@@ -321,6 +321,8 @@ def statements() -> dict[str, str]:
         "audit_prefix_overlap": f"{BASE}, p AS (SELECT left(value, 6) AS prefix FROM marks m JOIN annotated a USING (id) WHERE a.split <> 'neg' AND label = 'CREDENTIAL' AND length(value) >= 6 GROUP BY 1 HAVING count(*) >= 5) SELECT DISTINCT a.id FROM annotated a, p WHERE a.split = 'neg' AND (" + " OR ".join(f"contains(a.text, {c} || prefix)" for c in ("' '", "'='", "':'", "'\"'", "''''", "chr(10)")) + ")",
         "audit_first_examples": f"{BASE} SELECT id FROM annotated WHERE id NOT IN (SELECT id FROM marks) ORDER BY id LIMIT 5",
         "audit_token_sample": f"{DOCUMENT_PIECES}, x AS (SELECT d.doc_id, count(p.pos) AS n FROM documents d LEFT JOIN pieces p USING (doc_id) GROUP BY d.doc_id ORDER BY md5('42:' || CAST(d.doc_id AS VARCHAR)), d.doc_id LIMIT 100), y AS (SELECT list_sort(list(n)) AS s, count(*) AS c FROM x) SELECT c AS sampled, CAST(s[c // 100 + 1] AS INT) AS p1, CAST(s[c // 2 + 1] AS INT) AS p50, CAST(s[CAST(least(c - 1, floor(c * 0.99)) AS INT) + 1] AS INT) AS p99, (SELECT count(*) FROM x WHERE n > 512) AS over_limit, CAST((SELECT max(n) FROM x) AS INT) AS max FROM y",
+        "failed_detection": f"""SELECT doc_id, CASE WHEN bad THEN 'RuntimeError: seven' ELSE '' END AS error, md5(CASE WHEN bad THEN text ELSE masked END) AS open_md5, md5(CASE WHEN bad THEN 'held' ELSE masked END) AS held_md5, md5(masked) AS patterns_md5
+ FROM (SELECT doc_id, text, length(text) % 7 = 0 AS bad, {block_masked('text')} AS masked FROM documents WHERE length(text) <= {rules.CHUNK}) d""",
         "document_pieces": f"""{DOCUMENT_PIECES} SELECT d.doc_id, count(p.pos) AS n_pieces, count(*) FILTER (p.id_ = 1) AS n_unknown, md5(coalesce(string_agg(p.piece || ':' || p.id_ || ':' || p.word || ':' || p.start || ':' || p."end", ' ' ORDER BY p.pos), '')) AS pieces_md5 FROM documents d LEFT JOIN pieces p USING (doc_id) GROUP BY d.doc_id""",
         "piece_windows": f"""{PIECE_WINDOWS} SELECT id, CAST(begins AS BIGINT) AS start, count(*) + 2 AS n_ids, md5('2 ' || string_agg(CAST(piece_id AS VARCHAR), ' ' ORDER BY pos) || ' 3') AS ids_md5, md5('-100 ' || string_agg(CAST(label AS VARCHAR), ' ' ORDER BY pos) || ' -100') AS labels_md5,
  md5(' ' || string_agg(start || ':' || "end", ' ' ORDER BY pos) || ' ') AS offsets_md5 FROM labelled GROUP BY id, begins""",

@@ -566,6 +566,25 @@ def cooldown_sessions(spark, sf):
     return found.groupBy("host").agg(F.count("*").alias("n"), F.count_if("silent").alias("silent"), F.count_if("prompt").alias("prompts"))
 
 
+def _fails_on_sevenths():
+    """A tagger that knows no words, and fails on texts whose length is a multiple of seven."""
+    def tag(texts):
+        if any(len(t) % 7 == 0 for t in texts):
+            raise RuntimeError("seven")
+        return [[] for _ in texts]
+
+    return tag
+
+
+@query
+def failed_detection(spark, sf):
+    """Documents of one chunk, masked by a tagger that fails on some, under each policy for those."""
+    docs = table(spark, sf, "documents").where(F.length("text") <= rules.CHUNK).select("doc_id", "text")
+    rows = detect.mask(detect.detect(docs, provider=detect.tagger(_fails_on_sevenths, "sevenths", guarded=True)))
+    out = [F.md5(F.coalesce(policy.released(F.col("masked"), F.col("text"), F.col("error"), x), F.lit("held"))).alias(f"{x}_md5") for x in policy.FAILURES]
+    return rows.select("doc_id", F.coalesce("error", F.lit("")).alias("error"), *out)
+
+
 @query
 def paste_decisions(spark, sf):
     rows = clean_texts(spark, sf)
