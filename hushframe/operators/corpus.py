@@ -42,17 +42,22 @@ def external_bio(text: Column, spans: Column) -> Column:
     words = lambda s: F.filter(F.split(s, r"\s+"), lambda w: w != "")
     pair = lambda w, t: F.struct(w.alias("word"), t.alias("tag"))
     outside = lambda s: F.transform(words(s), lambda w: pair(w, F.lit("O")))
-    order = F.array_sort(spans, lambda a, b: a["start"] - b["start"])
-
-    def step(state: Column, s: Column) -> Column:
+    plain = lambda s, last: F.struct(s["label"].alias("label"), s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["value"].alias("value"), F.lit(last).alias("last"))
+    order = F.transform(F.array_sort(spans, lambda a, b: a["start"] - b["start"]), lambda s: plain(s, False))
+    nothing = F.lit(None).cast("string")
+    # A last element brings out what is behind the last value.
+    close = F.array(F.struct(nothing.alias("label"), F.length(text).alias("start"), F.length(text).alias("end"), nothing.alias("value"), F.lit(True).alias("last")))
+    kind = "struct<word:string,tag:string>"
+
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
         label = F.try_element_at(labels, s["label"])
-        before = outside(F.substring(text, state["pos"] + 1, F.greatest(s["start"] - state["pos"], F.lit(0))))
+        before = outside(F.substring(text, at + 1, F.greatest(s["start"] - at, F.lit(0))))
         value = F.transform(words(s["value"]), lambda w, i: pair(w, F.concat(F.when(i == 0, "B-").otherwise("I-"), label)))
         use = label.isNotNull()
-        return F.struct(F.when(use & (F.size(value) > 0), s["end"]).otherwise(state["pos"]).alias("pos"), F.when(use, F.concat(state["out"], before, value)).otherwise(state["out"]).alias("out"))
+        new = F.when(s["last"], before).when(use, F.concat(before, value)).otherwise(F.array().cast(f"array<{kind}>"))
+        return F.when(use & (F.size(value) > 0), s["end"]).otherwise(at), new
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<word:string,tag:string>>").alias("out"))
-    return F.aggregate(order, start, step, lambda s: F.concat(s["out"], outside(F.substring(text, s["pos"] + 1, F.length(text)))))
+    return T.fold(F.concat(order, close), F.lit(0), step, kind, "int")
 
 
 def keyed_rank(rows: DataFrame, by: list[str], seed: str, key: str) -> DataFrame:

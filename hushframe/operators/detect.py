@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -257,6 +257,15 @@ def mask(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -> D
 
 
 def anti_interval_join(hits: DataFrame, spans: DataFrame) -> DataFrame:
-    """Rows of hits (doc_id, start, end) that overlap no row of spans of their document."""
-    s = spans.select("doc_id", F.col("start").alias("s2"), F.col("end").alias("e2"))
-    return hits.join(s, (hits["doc_id"] == s["doc_id"]) & (F.col("start") < F.col("e2")) & (F.col("s2") < F.col("end")), "left_anti")
+    """Rows of hits (doc_id, start, end) that overlap no row of spans of their document, by a sweep: of all spans that begin
+    before a hit's end, one reaches past its start if the farthest does. Hits and spans of a document go by one line, in one
+    sort, so many of them are no product. Rows with a null in doc_id, start or end overlap nothing."""
+    line = Window.partitionBy("doc_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # At one place hits come first: a span that begins where a hit ends does not overlap it.
+    row = F.struct(*[F.col(f"`{c}`") for c in hits.columns])
+    h = hits.select("doc_id", F.col("end").cast("long").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_end"), row.alias("_row"))
+    known = spans.where("doc_id is not null and start is not null and end is not null")
+    s = known.select("doc_id", F.col("start").cast("long").alias("_at"), F.lit(1).alias("_kind"), F.col("end").cast("long").alias("_end"), F.lit(None).cast(hits.select(row.alias("r")).schema["r"].dataType).alias("_row"))
+    swept = h.unionByName(s).withColumn("_far", F.max("_end").over(line)).where("_kind = 0")
+    met = F.col("doc_id").isNotNull() & F.col("_at").isNotNull() & (F.col("_far") > F.col("_row.start"))
+    return swept.where(~F.coalesce(met, F.lit(False))).select("_row.*")

@@ -1,7 +1,9 @@
 """Sources, settings, voices, word pieces and synthesis rules that have no query of their own."""
 
 import json
+import random
 import re
+import time
 from collections import Counter
 from types import SimpleNamespace
 
@@ -236,6 +238,37 @@ def test_a_tagger_that_fails_fails_no_job(spark):
     assert "error" not in detect.detect(df.limit(1), provider=detect.tagger(load, "fails")).columns
 
 
+def test_interval_sweep(spark):
+    rng = random.Random(4)
+    one = lambda doc, most: (doc, (a := rng.randrange(60)), a + rng.randrange(most))
+    hits = [one(rng.choice([1, 2, None]), 5) for _ in range(300)] + [(1, None, 5), (1, 5, None), (3, 1, 2), (3, 1, 2)]
+    spans = [one(rng.choice([1, 2, None, 9]), 4) for _ in range(12)] + [(1, None, 60), (2, 0, None)]
+    h = spark.createDataFrame([(*x, i, "s") for i, x in enumerate(hits)], "doc_id int, start int, end int, _at int, source string")
+    got = detect.anti_interval_join(h, spark.createDataFrame(spans, "doc_id int, start int, end int"))
+    over = lambda a, b: None not in a and None not in b and a[0] == b[0] and a[1] < b[2] and b[1] < a[2]
+    assert got.columns == h.columns
+    assert sorted(r._at for r in got.collect()) == [i for i, x in enumerate(hits) if not any(over(x, y) for y in spans)]
+    # 100,000 spans and as many hits of one document.
+    many = spark.range(100_000)
+    h = many.select(F.lit(1).alias("doc_id"), (F.col("id") * 10).cast("int").alias("start"), (F.col("id") * 10 + 5).cast("int").alias("end"))
+    s = many.select(F.lit(1).alias("doc_id"), (F.col("id") * 20 + 4).cast("int").alias("start"), (F.col("id") * 20 + 7).cast("int").alias("end"))
+    began = time.time()
+    assert detect.anti_interval_join(h, s).count() == 50_000
+    assert time.time() - began < 30
+
+
+def test_outside_corpus_with_many_values(spark):
+    n = 4000
+    text = " ".join(f"to user{i}@x.org ok" for i in range(n))
+    mask = [("EMAIL", m.start(), m.end(), m[0]) for m in re.finditer(r"user\d+@x.org", text)]
+    df = spark.createDataFrame([(text, mask), ("a b", []), ("a b", [("NOSUCH", 0, 1, "a")])], "t string, m array<struct<label:string,start:int,end:int,value:string>>")
+    began = time.time()
+    got = [[(w.word, w.tag) for w in r.w] for r in df.select(corpus.external_bio(F.col("t"), F.col("m")).alias("w")).collect()]
+    assert time.time() - began < 30
+    assert got[0] == [x for i in range(n) for x in (("to", "O"), (f"user{i}@x.org", "B-EMAIL"), ("ok", "O"))]
+    assert got[1] == got[2] == [("a", "O"), ("b", "O")]
+
+
 def test_scratch_folder_where_none_is_named(spark, tmp_path):
     """A session without the setting: the context's folder, or one below the warehouse."""
     class Context:
