@@ -26,8 +26,6 @@ from .common import crc_bucket, documents
 
 #: Documented bound of the training sample: documents for each language.
 FIT_ROWS = 250
-#: Windows, from anywhere in it, that the fit reads of each of those documents; None reads them whole.
-FIT_WINDOWS = 4
 WINDOW = 96
 HIDDEN = 16
 _LANES = 2048
@@ -178,8 +176,9 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.ascontiguousarray(padded.reshape(-1, WINDOW).T), np.repeat(np.arange(len(texts)), count), sizes
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS, fit_windows: int | None = FIT_WINDOWS) -> ByteTagger | None:
-    """Learn from rows with a language and a letter in the text: of each language, the rows of least id hash."""
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> ByteTagger | None:
+    """Learn from the whole texts of rows with a language: of each language, the rows of least id hash. Batches are drawn
+    from all their windows."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     total = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(total)
@@ -189,21 +188,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     some = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < chance * (1 << 20))
     cut = some.select("lang", "text", F.xxhash64("id").alias("h")).orderBy("h").limit(2 * fit_rows * len(languages) + 1000).toPandas()
     texts, y = [], []
-    rng = np.random.default_rng(0)
     for k, name in enumerate(languages):
-        for text in cut.loc[cut["lang"] == name, "text"][:fit_rows]:
-            raw = text.encode("utf-8", "replace")
-            last = max(1, len(raw) - WINDOW + 1)
-            for start in range(0, max(1, len(raw)), WINDOW) if fit_windows is None else rng.integers(0, last, fit_windows):
-                texts.append(raw[start : start + WINDOW])
-                y.append(k)
-    full = [i for i, t in enumerate(texts) if t]
-    if not full:
+        some = [t.encode("utf-8", "replace") for t in cut.loc[cut["lang"] == name, "text"][:fit_rows] if t]
+        texts += some
+        y += [k] * len(some)
+    if not texts:
         return None
-    x, owner, _ = windows([texts[i] for i in full])
+    x, owner, _ = windows(texts)
     model = ByteTagger(languages)
     if len(languages) > 1:
-        model.train(x, np.array(y)[full][owner])
+        model.train(x, np.array(y)[owner])
     return model
 
 
