@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -73,10 +75,14 @@ def length_percentiles(rows: DataFrame) -> DataFrame:
     # As many rows as there are different lengths.
     run = Window.orderBy("len")
     placed = counts.withColumn("upto", F.sum("count").over(run)).withColumn("n", F.sum("count").over(Window.partitionBy()))
+    return placed.agg(*_percentiles())
+
+
+def _percentiles() -> list[Column]:
     n = F.col("n")
     target = lambda q, low: F.when(n > 100, F.floor(n * F.lit(q))).otherwise(F.lit(0) if low else n - 1)
     at = lambda k: F.min(F.when(F.col("upto") > k, F.col("len")))
-    return placed.agg(at(target(0.01, True)).alias("p1"), at(F.floor(n / 2)).alias("p50"), at(target(0.99, False)).alias("p99"))
+    return [at(target(0.01, True)).alias("p1"), at(F.floor(n / 2)).alias("p50"), at(target(0.99, False)).alias("p99")]
 
 
 def diversity(rows: DataFrame) -> DataFrame:
@@ -143,26 +149,139 @@ def tokenization(rows: DataFrame, count: Callable[[DataFrame], DataFrame], sampl
     return some.agg(n.alias("sampled"), F.try_element_at(s, F.greatest(F.lit(0), F.floor(n / 100).cast("int")) + 1).alias("p1"), F.try_element_at(s, F.floor(n / 2).cast("int") + 1).alias("p50"), F.try_element_at(s, F.least(n - 1, F.floor(n * 0.99)).cast("int") + 1).alias("p99"), F.count_if(F.col("n") > limit).alias("over_limit"), F.max("n").alias("max"))
 
 
-def report(train: DataFrame, evals: DataFrame, negatives: DataFrame, checks: dict[str, Callable[[Column, Column], Column]] | None = None) -> dict:
-    """The nested audit report; every part is a few numbers. checks: those of semantic()."""
-    row = lambda df: df.first().asDict()
+def shared_passages(docs: DataFrame, items: DataFrame, words: int = 8, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
+    """(doc_id, item_id, shared, passages): documents that hold passages of `words` white-space words of a held-out item, how
+    many of its different passages, and how many it has. An equi join on passages; one that very many documents hold meets only the
+    items that hold it too. Texts that are shorter have no passages."""
+    def passages(rows: DataFrame, key: str) -> DataFrame:
+        run = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), r"\s+"), lambda w: w != "")
+        starts = lambda w: F.when(F.size(w) >= words, F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        cut = T.let(run, lambda w: F.array_distinct(F.transform(starts(w), lambda i: F.array_join(F.slice(w, i, F.lit(words)), " "))))
+        return T.unnest(rows.select(key, cut.alias("_p")), "_p", "passage", key)
+
+    known = passages(items, item_id)
+    sizes = known.groupBy(item_id).agg(F.count("*").alias("passages"))
+    met = passages(docs, doc_id).join(known, "passage").groupBy(doc_id, item_id).agg(F.count("*").alias("shared"))
+    return met.join(sizes, item_id).select(doc_id, item_id, "shared", "passages")
+
+
+SPLITS = ("train", "eval", "neg")
+_NAMES = {"train": "train", "eval": "eval", "neg": "negatives"}
+
+
+def _variable_table() -> Column:
+    some = {v: {"prefixes": list(p)} for v, p in rules.VARIABLE_PREFIXES.items()} | {v: {"len": n} for v, n in rules.VARIABLE_LENGTHS.items()}
+    return F.from_json(F.lit(json.dumps(some)), "map<string,struct<prefixes:array<string>,len:int>>")
+
+
+def row_measures(text: Column, checks: dict[str, Callable[[Column, Column], Column]] | None = None) -> Column:
+    """What additive audits count in one marked text, as a struct of numbers; its markers are parsed once. It holds what
+    structural(), semantic(), variable_mismatches(), coverage(), word_leaks() and adjacent_labels() count by row."""
+    v, cred = lambda x: x["value"], lambda x: x["label"] == "CREDENTIAL"
+    formats = rules.AUDIT_FORMATS
+    stop = T.spark_pattern(r"\b(?:" + "|".join(rules.STOP_WORDS) + r")\b")
+    by_marker = {
+        "empty_value": lambda x: v(x) == "", "unknown_label": lambda x: ~x["label"].isin(rules.LABELS),
+        "cred_looks_like_ssn": lambda x: cred(x) & v(x).rlike(formats["SSN"]), "cred_looks_like_cc": lambda x: cred(x) & v(x).rlike(r"^[0-9\s\-]{15,19}$"), "cred_looks_like_email": lambda x: cred(x) & v(x).rlike(formats["EMAIL"]),
+        **{f"{k.lower()}_bad_format": (lambda x, k=k, p=p: (x["label"] == k) & ~v(x).rlike(p)) for k, p in formats.items()},
+        **{name: (lambda x, check=check: check(v(x), x["label"])) for name, check in (checks or {}).items()},
+        **{f"label_{k}": (lambda x, k=k: x["label"] == k) for k in rules.LABELS},
+        "common_word_leak": lambda x: cred(x) & F.lower(v(x)).rlike(stop),
+    }
+    number = lambda c: c.cast("long")
+
+    def counted(m: Column) -> Column:
+        follows = F.zip_with(m, F.slice(m, 2, F.greatest(F.size(m) - 1, F.lit(0))), lambda a, b: F.coalesce((a["label"] == b["label"]) & (b["start"] - a["end"] <= 5), F.lit(False)))
+        # One argument: a second one would be taken for the place.
+        each = [number(F.size(F.filter(m, (lambda c: lambda x: c(x))(c)))).alias(name) for name, c in by_marker.items()]
+        return F.struct(number(F.size(m)).alias("n"), *each, number(F.size(F.filter(follows, lambda x: x))).alias("adjacent_same_label"))
+
+    def mismatched(found: Column) -> Column:
+        def bad(x: Column) -> Column:
+            fits = lambda r: F.when(r["prefixes"].isNotNull(), F.exists(r["prefixes"], lambda p: x["g2"].startswith(p))).when(r["len"].isNotNull(), F.length(x["g2"]) == r["len"]).otherwise(True)
+            return ~T.let(F.try_element_at(_variable_table(), x["g1"]), fits)
+
+        return number(F.size(F.filter(found, bad)))
+
+    text = F.coalesce(text, F.lit(""))
+    line = r"(?m)^([A-Z][A-Z_0-9]+)=" + rules.MARKER
+    loose = F.regexp_replace(text, rules.MARKER, "").rlike(r"\|(?:CREDENTIAL|EMAIL|SSN)\]")
+    return F.struct(T.let(T.markers(text), counted).alias("m"), number(loose.cast("int")).alias("unparsed_marker"), mismatched(T.find_all(text, line, (1, 2, 3))).alias("var_value_mismatch"))
+
+
+def additive(measures: str = "_a", checks: dict | None = None) -> list[Column]:
+    """Sums of row_measures() for each split, as aggregates that agg() takes as well as observe()."""
+    names = ["empty_value", "unknown_label", *_semantic_names(checks), *[f"label_{k}" for k in rules.LABELS], "common_word_leak", "adjacent_same_label", "n"]
+    out = []
+    for split in SPLITS:
+        mine = F.col("split") == split
+        total = lambda c, name: F.coalesce(F.sum(F.when(mine, c)), F.lit(0)).cast("long").alias(f"{split}:{name}")  # noqa: B023, E731
+        out += [total(F.col(f"{measures}.m.{n}"), n) for n in names] + [total(F.col(f"{measures}.{n}"), n) for n in ("unparsed_marker", "var_value_mismatch")]
+        out += [total((F.col(f"{measures}.m.n") == 0).cast("int"), "without"), total((F.col(f"{measures}.m.n") > 0).cast("int"), "with")]
+    return out
+
+
+def _semantic_names(checks: dict | None) -> list[str]:
+    return ["cred_looks_like_ssn", "cred_looks_like_cc", "cred_looks_like_email", *[f"{k.lower()}_bad_format" for k in rules.AUDIT_FORMATS], *(checks or {})]
+
+
+def _additive_report(sums: dict[str, int], checks: dict | None) -> dict:
     out: dict = {}
-    for name, rows, positive in (("train", train, True), ("eval", evals, True), ("negatives", negatives, False)):
-        part = {"structural": row(structural(rows, positive)), "diversity": row(diversity(rows)) | row(length_percentiles(rows)), "top_repeat_counts": [r["count"] for r in top_repeats(rows).collect()]}
-        if positive:
-            part["semantic"] = row(semantic(rows, checks)) | {"var_value_mismatch": variable_mismatches(rows).count()}
-        out[name] = part
-    every = train.union(evals)
-    out["coverage"] = {r.label: r.asDict() for r in coverage(every).collect()}
-    out["hygiene"] = {"common_word_leak_count": word_leaks(every).count(), "adjacent_same_label_count": adjacent_labels(every).count()}
-    splits = train.select(F.lit("train").alias("split"), "text").union(evals.select(F.lit("eval"), "text")).union(negatives.select(F.lit("neg"), "text"))
-    out["cross_split"] = {r.check: r.n for r in cross_split(splits).collect()}
-    out["neg_prefix_overlap"] = prefix_overlap(every, negatives).count()
+    for split in SPLITS:
+        got = lambda name: sums[f"{split}:{name}"]  # noqa: B023, E731
+        marker = {"negative_with_marker": got("with")} if split == "neg" else {"positive_without_marker": got("without")}
+        out[_NAMES[split]] = {"structural": {"empty_value": got("empty_value"), "unknown_label": got("unknown_label"), **marker, "unparsed_marker": got("unparsed_marker")}}
+        if split != "neg":
+            out[_NAMES[split]]["semantic"] = {n: got(n) for n in _semantic_names(checks)} | {"var_value_mismatch": got("var_value_mismatch")}
+    both = lambda name: sums[f"train:{name}"] + sums[f"eval:{name}"]
+    total, out["coverage"] = both("n"), {}
+    for label, expected in rules.EXPECTED_SHARE.items():
+        n = both(f"label_{label}")
+        actual = n * 100.0 / total if total else 0.0
+        deviation = (actual - expected) / expected * 100
+        out["coverage"][label] = {"label": label, "n": n, "actual_pct": actual, "expected_pct": expected, "deviation_pct": deviation, "within_tolerance": abs(deviation) <= 20}
+    out["hygiene"] = {"common_word_leak_count": both("common_word_leak"), "adjacent_same_label_count": both("adjacent_same_label")}
     flat = [v for k in ("train", "eval") for part in ("structural", "semantic") for v in out[k][part].values()] + list(out["negatives"]["structural"].values())
     out["summary"] = {"passed": not any(flat), "failures": int(sum(flat))}
     return out
 
 
+def audited_write(rows: DataFrame, path: str, strict: bool = False, checks: dict | None = None, text_col: str = "text") -> dict:
+    """Write rows (split, text, ...) as Parquet and audit them in the same scan: the additive part of the report comes from
+    observed sums of the write itself. strict: a row that an audit counts as a failure fails the write, and nothing is committed."""
+    seen = Observation("audit")
+    measured = rows.withColumn("_a", row_measures(F.col(text_col), checks)).observe(seen, *additive("_a", checks))
+    if strict:
+        m = lambda n: F.col(f"_a.m.{n}")
+        marked = [m("n") == 0, *[m(n) > 0 for n in _semantic_names(checks)], F.col("_a.var_value_mismatch") > 0]
+        wrong = (m("empty_value") > 0) | (m("unknown_label") > 0) | (F.col("_a.unparsed_marker") > 0)
+        bad = F.coalesce(wrong | F.when(F.col("split") == "neg", m("n") > 0).otherwise(reduce(lambda a, b: a | b, marked)), F.lit(False))
+        measured = measured.where(F.when(bad, F.raise_error(F.concat(F.lit("audit: this text fails: "), F.left(F.coalesce(F.col(text_col), F.lit("")), F.lit(80)))).isNull()).otherwise(True))
+    measured.drop("_a").write.parquet(path)
+    return _additive_report(seen.get, checks)
+
+
+def report(train: DataFrame, evals: DataFrame, negatives: DataFrame, checks: dict[str, Callable[[Column, Column], Column]] | None = None) -> dict:
+    """The nested audit report; every part is a few numbers. checks: those of semantic(). Each text's markers are parsed once,
+    for all the sums together; shapes, lengths, repeats and prefixes take a shuffle each, for all splits together."""
+    rows = train.select("id", F.lit("train").alias("split"), "text").union(evals.select("id", F.lit("eval"), "text")).union(negatives.select("id", F.lit("neg"), "text"))
+    out = _additive_report(rows.withColumn("_a", row_measures(F.col("text"), checks)).agg(*additive("_a", checks)).first().asDict(), checks)
+    shapes = rows.groupBy("split", T.shape_hash(F.col("text")).alias("shape")).count()
+    first = F.row_number().over(Window.partitionBy("split").orderBy(F.desc("count"), "shape"))
+    found = {r.split: r for r in shapes.withColumn("_k", first).groupBy("split").agg(F.sum("count").alias("rows"), F.count("*").alias("unique"), F.array_sort(F.collect_list(F.when(F.col("_k") <= 5, F.struct("_k", "count")))).alias("top")).collect()}
+    lengths = rows.groupBy("split", F.length("text").alias("len")).count()
+    placed = lengths.withColumn("upto", F.sum("count").over(Window.partitionBy("split").orderBy("len"))).withColumn("n", F.sum("count").over(Window.partitionBy("split")))
+    sizes = {r.split: r for r in placed.groupBy("split").agg(*_percentiles()).collect()}
+    for split in SPLITS:
+        r, p, part = found.get(split), sizes.get(split), out[_NAMES[split]]
+        n, unique = (r.rows, r.unique) if r else (0, 0)
+        part["diversity"] = {"rows": n, "unique_shapes": unique, "diversity_pct": unique * 100.0 / n if n else 0.0, **{k: p[k] if p else None for k in ("p1", "p50", "p99")}}
+        part["top_repeat_counts"] = [x["count"] for x in r.top] if r else []
+    out["cross_split"] = {r.check: r.n for r in cross_split(rows.select("split", "text")).collect()}
+    out["neg_prefix_overlap"] = prefix_overlap(rows.where("split != 'neg'"), negatives).count()
+    return out
+
+
 def render_markdown(found: dict) -> str:
     lines = ["# Corpus audit", "", f"Passed: {found['summary']['passed']}", "", "## Label balance", "", "| label | n | share | expected | deviation | within 20 % |", "|---|---|---|---|---|---|"]
     for label, r in sorted(found["coverage"].items()):

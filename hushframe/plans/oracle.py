@@ -327,6 +327,9 @@ def statements() -> dict[str, str]:
         "piece_windows": f"""{PIECE_WINDOWS} SELECT id, CAST(begins AS BIGINT) AS start, count(*) + 2 AS n_ids, md5('2 ' || string_agg(CAST(piece_id AS VARCHAR), ' ' ORDER BY pos) || ' 3') AS ids_md5, md5('-100 ' || string_agg(CAST(label AS VARCHAR), ' ' ORDER BY pos) || ' -100') AS labels_md5,
  md5(' ' || string_agg(start || ':' || "end", ' ' ORDER BY pos) || ' ') AS offsets_md5 FROM labelled GROUP BY id, begins""",
         "benchmark_overlap": "SELECT doc_id FROM documents WHERE text IN (SELECT text FROM benchmark)",
+        "benchmark_passages": """WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM benchmark),
+ dp AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 7], ' ') AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM d WHERE len(w) >= 8) x), ip AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 7], ' ') AS p FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS k FROM i WHERE len(w) >= 8) y)
+ SELECT doc_id, item_id, count(*) AS shared, max(n) AS passages FROM dp JOIN ip USING (p) JOIN (SELECT item_id, count(*) AS n FROM ip GROUP BY item_id) z USING (item_id) GROUP BY doc_id, item_id""",
         "stratified_split": f"WITH {ANNOTATED_CTE}, {_STRATA} SELECT id, CASE WHEN k <= CASE WHEN n >= 10 THEN greatest(1, floor(n * 0.1)) ELSE 0 END THEN 'eval' ELSE 'train' END AS split FROM (SELECT id, count(*) OVER (PARTITION BY context, length_mode, category) AS n, row_number() OVER (PARTITION BY context, length_mode, category ORDER BY {_ORDER}, id) AS k FROM strata) x",
         "bucket_counts": f"WITH {ANNOTATED_CTE}, {_STRATA} SELECT context, length_mode, category, count(*) AS n FROM strata GROUP BY ALL",
         "uncovered_buckets": f"WITH {ANNOTATED_CTE}, {_STRATA} SELECT context, length_mode, category, count(*) FILTER (WHERE id % 97 <> 0) AS n FROM strata GROUP BY context, length_mode, category HAVING n >= 10 AND count(*) FILTER (WHERE id % 97 = 0) = 0",

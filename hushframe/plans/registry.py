@@ -320,6 +320,11 @@ def benchmark_overlap(spark, sf):
     return docs.join(items.select("text").distinct(), "text", "left_semi").select("doc_id")
 
 
+@query
+def benchmark_passages(spark, sf):
+    return audit.shared_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 # Splits and samples
 
 

@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from hushframe.functions import rules
@@ -151,6 +152,47 @@ def test_csv_round_trip(spark, tmp_path):
     assert got == {i + 1: t for i, t in enumerate(texts)}
 
 
+def separate_report(train, evals, negatives, checks):
+    """The report from the audits one by one."""
+    row = lambda df: df.first().asDict()
+    out = {}
+    for name, rows, positive in (("train", train, True), ("eval", evals, True), ("negatives", negatives, False)):
+        part = {"structural": row(audit.structural(rows, positive)), "diversity": row(audit.diversity(rows)) | row(audit.length_percentiles(rows)), "top_repeat_counts": [r["count"] for r in audit.top_repeats(rows).collect()]}
+        if positive:
+            part["semantic"] = row(audit.semantic(rows, checks)) | {"var_value_mismatch": audit.variable_mismatches(rows).count()}
+        out[name] = part
+    every = train.union(evals)
+    out["coverage"] = {r.label: r.asDict() for r in audit.coverage(every).collect()}
+    out["hygiene"] = {"common_word_leak_count": audit.word_leaks(every).count(), "adjacent_same_label_count": audit.adjacent_labels(every).count()}
+    return out
+
+
+def plainly(x):
+    if isinstance(x, dict):
+        return {k: plainly(v) for k, v in x.items()}
+    return round(x, 6) if isinstance(x, float) else x
+
+
+def test_audit_in_one_scan(spark, sf, tmp_path):
+    checks = {"short_secret": lambda v, label: (label == "CREDENTIAL") & (F.length(v) < 8)}
+    rows = annotated(spark, sf).select("id", "split", "text")
+    parts = [rows.where(f"split = '{s}'").select("id", "text") for s in ("train", "eval", "neg")]
+    want, got = separate_report(*parts, checks), audit.report(*parts, checks)
+    assert {k: plainly(got[k]) for k in want} == plainly(want)
+    assert any(want["train"]["semantic"].values()) and want["train"]["structural"]["empty_value"]
+    written = audit.audited_write(rows, str(tmp_path / "corpus"), checks=checks)
+    assert {k: plainly(written[k]["structural"]) for k in ("train", "eval", "negatives")} == {k: want[k]["structural"] for k in ("train", "eval", "negatives")}
+    assert plainly(written["coverage"]) == plainly(want["coverage"]) and written["hygiene"] == want["hygiene"] and written["train"]["semantic"] == want["train"]["semantic"]
+    assert not written["summary"]["passed"] and spark.read.parquet(str(tmp_path / "corpus")).count() == rows.count()
+    with pytest.raises(Exception, match="audit: this text fails"):
+        audit.audited_write(rows, str(tmp_path / "strict"), strict=True)
+    assert not (tmp_path / "strict" / "_SUCCESS").exists() and not list((tmp_path / "strict").glob("part-*"))
+    good = spark.createDataFrame([(1, "train", "mail [a@b.org|EMAIL] now"), (2, "neg", "nothing"), (3, "eval", "x [c@d.org|EMAIL]")], "id int, split string, text string")
+    assert audit.audited_write(good, str(tmp_path / "good"), strict=True)["summary"] == {"passed": True, "failures": 0}
+    empty = audit.audited_write(good.limit(0), str(tmp_path / "empty"))
+    assert empty["summary"]["failures"] == 0 and set(audit.report(*[p.limit(0) for p in parts])) == set(audit.report(*parts))
+
+
 def test_audit_report(spark, sf):
     rows = annotated(spark, sf)
     found = audit.report(*(rows.where(f"split = '{s}'") for s in ("train", "eval", "neg")))
@@ -179,3 +221,13 @@ def test_entry_without_optional_parts():
 
     assert set(registry.queries()) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_shared_passages(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    docs = [(1, "before " + item + " after"), (2, item.upper()), (3, " ".join(item.split()[:7])), (4, None), (5, ""), (6, "x " + item.replace(" ", " \n ") + " " + item), (7, "other words " * 50)]
+    items = [(10, item), (11, "short item"), (12, None), (13, "tail " + " ".join(item.split()[4:]))]
+    d, i = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    got = {(r.doc_id, r.item_id): (r.shared, r.passages) for r in audit.shared_passages(d, i, words=8).collect()}
+    assert got == {(1, 10): (5, 5), (6, 10): (5, 5), (1, 13): (1, 2), (6, 13): (1, 2)}
+    assert audit.shared_passages(d.limit(0), i).count() == 0 == audit.shared_passages(d, i.limit(0)).count()
