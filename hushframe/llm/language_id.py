@@ -50,21 +50,23 @@ class Direction:
         h = np.zeros((lanes, H), np.float32)
         out = np.empty((steps, lanes, H), np.float32)
         kept = []
+        # Buffers of their own, and gates with the sign that exp() needs: fresh arrays of this size cost more than the sums.
+        x, gates = x.astype(np.intp), -self.inner
+        a, g, rh, c = (np.empty((lanes, k * H), np.float32) for k in (3, 2, 1, 1))
+        z, r = g[:, :H], g[:, H:]
         for t in range(steps):
-            a = self.table[x[t]]
-            g = h @ self.inner
-            g += a[:, : 2 * H]
-            np.negative(g, out=g)
+            np.take(self.table, x[t], axis=0, out=a, mode="clip")
+            np.matmul(h, gates, out=g)
+            g -= a[:, : 2 * H]
             np.exp(g, out=g)
             g += 1
             np.reciprocal(g, out=g)
-            z, r = g[:, :H], g[:, H:]
-            rh = r * h
-            c = rh @ self.candidate
+            np.multiply(r, h, out=rh)
+            np.matmul(rh, self.candidate, out=c)
             c += a[:, 2 * H :]
             np.tanh(c, out=c)
             if keep:
-                kept.append((h, z.copy(), r.copy(), c))
+                kept.append((h, z.copy(), r.copy(), c.copy()))
             new = out[t]
             np.subtract(c, h, out=new)
             new *= z
