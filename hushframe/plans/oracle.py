@@ -327,6 +327,8 @@ def statements() -> dict[str, str]:
         "piece_windows": f"""{PIECE_WINDOWS} SELECT id, CAST(begins AS BIGINT) AS start, count(*) + 2 AS n_ids, md5('2 ' || string_agg(CAST(piece_id AS VARCHAR), ' ' ORDER BY pos) || ' 3') AS ids_md5, md5('-100 ' || string_agg(CAST(label AS VARCHAR), ' ' ORDER BY pos) || ' -100') AS labels_md5,
  md5(' ' || string_agg(start || ':' || "end", ' ' ORDER BY pos) || ' ') AS offsets_md5 FROM labelled GROUP BY id, begins""",
         "benchmark_overlap": "SELECT doc_id FROM documents WHERE text IN (SELECT text FROM benchmark)",
+        "audit_diversity_sketches": f"WITH {ANNOTATED_CTE} SELECT coalesce(split, 'all') AS split, count(*) AS rows, count(DISTINCT {_SHAPE}) AS unique_shapes, true AS estimate_is_near FROM annotated GROUP BY GROUPING SETS ((split), ())",
+        "audit_cube": f"WITH {ANNOTATED_CTE}, {MARKERS} SELECT a.split, a.category, m.label, CAST(grouping_id(a.split, a.category, m.label) AS BIGINT) AS level, count(*) AS n FROM annotated a JOIN marks m USING (id) GROUP BY CUBE (a.split, a.category, m.label)",
         "benchmark_passages": """WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM benchmark),
  dp AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 7], ' ') AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM d WHERE len(w) >= 8) x), ip AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 7], ' ') AS p FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS k FROM i WHERE len(w) >= 8) y)
  SELECT doc_id, item_id, count(*) AS shared, max(n) AS passages FROM dp JOIN ip USING (p) JOIN (SELECT item_id, count(*) AS n FROM ip GROUP BY item_id) z USING (item_id) GROUP BY doc_id, item_id""",

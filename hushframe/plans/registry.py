@@ -272,6 +272,24 @@ def audit_diversity(spark, sf):
     return audit.diversity(rows).crossJoin(audit.length_percentiles(rows))
 
 
+@query
+def audit_diversity_sketches(spark, sf):
+    """Distinct shapes by split, and of all, exactly and from merged sketches, with whether four standard errors hold."""
+    rows = annotated(spark, sf).select("id", "text", "split", F.pmod("id", F.lit(5)).alias("day"))
+    sketches = audit.shape_sketches(rows, "split", "day")
+    every = lambda df: df.withColumn("split", F.lit("all"))
+    exact = lambda df: df.groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct(T.shape_hash(F.col("text"))).alias("unique_shapes"))
+    told = audit.merged_diversity(sketches, "split").union(audit.merged_diversity(every(sketches), "split"))
+    both = exact(rows).union(exact(every(rows))).join(told.select("split", "unique_estimate"), "split")
+    near = F.abs(F.col("unique_estimate") - F.col("unique_shapes")) <= F.greatest(F.lit(1.0), 4 * 0.0163 * F.col("unique_shapes"))
+    return both.select("split", "rows", "unique_shapes", near.alias("estimate_is_near"))
+
+
+@query
+def audit_cube(spark, sf):
+    return audit.occurrence_cube(annotated(spark, sf), "split", "category").select("split", "category", "label", F.col("level").cast("long").alias("level"), "n")
+
+
 @query
 def audit_top_repeats(spark, sf):
     return audit.top_repeats(annotated(spark, sf)).select("shape", F.col("count").alias("n"))
