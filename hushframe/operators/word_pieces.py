@@ -91,17 +91,24 @@ def encode(rows: DataFrame, ids: dict[str, int], text: Column | None = None, wor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(shared.value)
         runs, spaced = re.compile(RUN), re.compile(SPACE)
-        kind = pa.list_(pa.struct([("piece", pa.string()), ("id", pa.int32()), ("word", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            found = []
+            # Column by column: a dictionary for each piece would cost more than the matching.
+            ends, names, numbers, places, starts, stops = [0], [], [], [], [], []
             for given in batch.column(batch.num_columns - 1).to_pylist():
                 parts = [(m.start(), m[0]) for m in spaced.finditer(given or "")] if whole else [(0, w or "") for w in given or []]
-                found.append([
-                    {"piece": p, "id": k, "word": w, "start": shift + m.start() + a, "end": shift + m.start() + b}
-                    for w, (shift, word) in enumerate(parts) for m in runs.finditer(word) for p, k, a, b in trie.cut(m[0])
-                ])
-            columns = [*batch.columns[:-1], pa.array(found, kind)]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], out])
+                for w, (shift, word) in enumerate(parts):
+                    for m in runs.finditer(word):
+                        at = shift + m.start()
+                        for p, k, a, b in trie.cut(m[0]):
+                            names.append(p)
+                            numbers.append(k)
+                            places.append(w)
+                            starts.append(at + a)
+                            stops.append(at + b)
+                ends.append(len(names))
+            cells = pa.StructArray.from_arrays([pa.array(names, pa.string()), *(pa.array(x, pa.int32()) for x in (numbers, places, starts, stops))], ["piece", "id", "word", "start", "end"])
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*batch.schema.names[:-1], out])
 
     given = words if words is not None else F.coalesce(text.cast("string"), F.lit(""))
     kept = rows.withColumn("_given", given).drop(out).withColumnRenamed("_given", out)
