@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, documents
+from .common import byte_slices, documents, with_release
 
 #: Bounds of a worker's memory of units and of token pairs; a full one is emptied, results do not depend on it.
 UNIT_MEMORY = 250_000
@@ -290,7 +290,7 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                 cols = [part.column(0), pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *(part.column(k) for k in range(2, part.num_columns))]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(c, pa.binary())] * with_ids, ["id", "n_tokens", "ids_sha256", "decoded_sha256", *names.values()] + ["ids"] * with_ids)
 
-    out = kept.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + fields + ", ids binary" * with_ids)
+    out = kept.mapInArrow(with_release(run), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + fields + ", ids binary" * with_ids)
     return out.withColumnsRenamed({n: c for c, n in names.items()})
 
 

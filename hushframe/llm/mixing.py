@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, documents, materialize
+from .common import byte_slices, documents, materialize, with_release
 
 BUCKETS = 1 << 18
 #: Documented bounds: labelled rows that are learnt from, and words whose bucket a worker remembers.
@@ -77,7 +77,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], text_col: st
         yield pa.RecordBatch.from_arrays([pa.array(np.append(k, np.arange(len(domains)))), pa.array(np.append(b, np.full(len(domains), -1))), pa.array(np.append(counts[k, b], rows))], ["k", "b", "n"])
 
     # At most domains x BUCKETS sums, whatever the input.
-    sums = texts.mapInArrow(run, "k long, b long, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).toArrow()
+    sums = texts.mapInArrow(with_release(run), "k long, b long, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).toArrow()
     k, b, n = (sums.column(c).to_numpy() for c in ("k", "b", "n"))
     counts, rows = np.zeros((BUCKETS, len(domains))), np.zeros(len(domains))
     rows[k[b < 0]] = n[b < 0]
@@ -98,7 +98,7 @@ def members(docs: DataFrame, weights: np.ndarray, text_col: str = "text", id_col
             n, p = posteriors((t.as_py() for t in batch.column(1)), shared.value, known, temperature)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], ["id", "n_tokens", "p"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_tokens long, p array<double>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(with_release(run), "id long, n_tokens long, p array<double>")
 
 
 def posteriors(texts: Iterable[str | None], w: np.ndarray, known: dict[bytes, int], temperature: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +243,7 @@ def repeat_rows(docs: DataFrame, report: dict, text_col: str = "text", id_col: s
             times = np.floor(r).astype(np.int64) + (u < r - np.floor(r))
             yield part.take(pa.array(np.repeat(np.arange(len(texts)), times)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(with_release(run), docs.schema)
 
 
 def copies(rate: F.Column, *keys: F.Column) -> F.Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, documents
+from .common import byte_slices, documents, with_release
 
 _SPACE = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
@@ -190,7 +190,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", limits: RepetitionLimits
             repetitive = (n["covered_words"] > limits.max_covered * n["n_words"]) | (n["longest_repeat"] > limits.max_longest)
             yield part.filter(pa.array(~failed & ~repetitive))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(with_release(run), docs.schema)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: RepetitionLimits = RepetitionLimits()) -> DataFrame:
