@@ -117,6 +117,43 @@ def test_bk_forest_links_like_all_pairs():
         assert got.tolist() == [find(i) for i in range(n)]
 
 
+def test_confirmed_finds_by_trees_of_fingerprints(monkeypatch):
+    """All links at similarity 0.8 of each cell, and every pair that is decided comes from a BK-tree of fingerprints."""
+    rng = np.random.default_rng(12)
+    built, found = [], []
+
+    class Forest(simhash.BKForest):
+        def __init__(self, words, roots):
+            built.append(words)
+            super().__init__(words, roots)
+            found.extend(len(a) for a, _, _ in self.met)
+
+    monkeypatch.setattr(simhash, "BKForest", Forest)
+    for t in range(40):
+        sets = []
+        while len(sets) < 60:
+            m = int(rng.integers(1, 40))
+            x = int(rng.integers(0, m + 1))
+            shared, a, b = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (4 * m, x, m - x))
+            sets += [np.unique(np.concatenate((shared, a))), np.unique(np.concatenate((shared, b)))]
+            if rng.random() < 0.5:  # just below 0.8
+                sets.append(np.unique(np.concatenate((shared, a, rng.integers(0, 2**64, m - x + 1, dtype=np.uint64)))))
+        sets = [*(sets[i] for i in rng.permutation(len(sets))), np.empty(0, np.uint64), np.empty(0, np.uint64)]
+        n = len(sets)
+        roots = np.zeros(n, np.int64)
+        roots[n // 3 :] = n // 3
+        known = rng.integers(0, 3, n) if t % 2 else np.arange(n)
+        want = np.arange(n)
+        for i in range(n):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if roots[i] == roots[j] and (known[i] == known[j] or 5 * both >= 4 * max(len(sets[i]) + len(sets[j]) - both, 1)):
+                    a, b = sorted((want[i], want[j]))
+                    want[want == b] = a
+        assert simhash.confirmed(sets, roots, known).tolist() == want.tolist()
+    assert len(built) == 40 and all(w.shape[1] == simhash.WIDE for w in built) and sum(found)
+
+
 def test_workers_give_freed_memory_back():
     """A stage's freed memory does not stay with the worker, which the next stages use too."""
     from hushframe.llm.common import with_release
