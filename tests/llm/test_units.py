@@ -175,6 +175,35 @@ def test_workers_give_freed_memory_back():
     assert held() - before < 100
 
 
+def test_elias_fano_looks_up_in_pieces(monkeypatch):
+    """Neighbours together, the select in a word, and lookups of more numbers than a piece, against plain arrays."""
+    from hushframe.llm import eliasfano
+
+    rng = np.random.default_rng(8)
+    word = np.concatenate((rng.integers(0, 2**64, 3000, dtype=np.uint64), rng.integers(0, 2**64, 3000, dtype=np.uint64) & rng.integers(0, 2**64, 3000, dtype=np.uint64) & rng.integers(0, 2**64, 3000, dtype=np.uint64), np.array([1, 1 << 63, 2**64 - 1], np.uint64)))
+    word = word[word > 0]
+    k = (rng.random(len(word)) * np.bitwise_count(word)).astype(np.int64)
+    want = [[i for i in range(64) if int(w) >> i & 1][j] for w, j in zip(word, k)]
+    assert eliasfano._select_in_word(word, k).tolist() == want
+    for piece in (1 << 14, 7):
+        monkeypatch.setattr(eliasfano, "PIECE", piece)
+        for top in (3, 500, 2**40, 2**64):
+            v = np.sort(rng.integers(0, top, 2000, dtype=np.uint64))
+            e = EliasFano(EliasFano.build(v, ""), "")
+            i = rng.integers(0, len(v) - 1, 500)
+            a, b = e.both(i)
+            assert (a == v[i]).all() and (b == v[i + 1]).all() and (e.at(np.arange(len(v))) == v).all()
+            x = np.concatenate((v, rng.integers(0, top, 2000, dtype=np.uint64)))
+            at = np.searchsorted(v, x)
+            hit = v[np.minimum(at, len(v) - 1)] == x
+            assert (e.find(x) == np.where(hit, at, -1)).all()
+            lo = rng.integers(0, len(v), len(x))
+            hi = np.minimum(lo + rng.integers(0, 400, len(x)), len(v))
+            inside = np.clip(at, lo, hi)
+            hit = (inside < hi) & (v[np.minimum(inside, len(v) - 1)] == x)
+            assert (e.find(x, lo, hi) == np.where(hit, inside, -1)).all()
+
+
 def test_majority_bits():
     rng = np.random.default_rng(3)
     counts = np.array([0, 1, 2, 700, 255, 256])
