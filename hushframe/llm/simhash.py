@@ -478,7 +478,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int) -> D
     first = deal.withColumn("known", F.col("rep")).withColumn("part", F.explode(F.when((F.col("rep") == F.col("hub")) & (F.col("parts") > 1), every(F.col("parts"))).otherwise(F.array(own(F.col("parts"))))))
     links = links_in(first, "part")
     large = deal.where("parts > 1")
-    if large.limit(1).count():
+    if not sizes.where(F.col("n") > CELL).isEmpty():
         so_far = connected_components(links)
         known = large.join(so_far, large.rep == so_far.node, "left").withColumn("known", F.coalesce("component", "rep")).drop("node", "component")
         known = materialize(known, "known")

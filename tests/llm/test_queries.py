@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hushframe.llm import bpe, language_id, mixing, ngram_lm, ordinal, pii, queries, quality, simhash, token_files
+from hushframe.llm import bpe, components, language_id, mixing, ngram_lm, ordinal, pii, queries, quality, simhash, token_files
 from hushframe.llm import product_quantisation as pq
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, id string, key int, hits string, cell string"
@@ -245,6 +246,30 @@ def test_keep_first_equals_brute_force(spark, monkeypatch, large, cell):
     assert sorted(r.doc_id for r in got) == sorted(i for i in want if want[i] == i)
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    written, materialize = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    chain = [(i, i + 1) for i in range(40)]
+    hub = [(1000 + (37 * i) % 91, 500) for i in range(91)] + [(600, 1090)]
+    edges = [(3, 3), (None, 4), *chain, *chain[:5], *hub]
+    want = brute_components(sorted({x for e in edges[2:] for x in e}), edges[2:])
+    for most in (components.HUB, 10):
+        monkeypatch.setattr(components, "HUB", most)
+        got = components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
+        assert sorted(tuple(r) for r in got) == sorted(want.items())
+        assert written.count("stars") <= 14
+        written.clear()
+    # Edges that point at their components' least nodes already are left alone; there were two rounds to see that.
+    got = components.connected_components(spark.createDataFrame([(1, i) for i in range(2, 50)], "u long, v long")).collect()
+    assert {r.component for r in got} == {1} and len(got) == 49 and written == ["edges"]
+    # What one round costs: one exchange for each star, and one for its distinct edges; 12 before.
+    monkeypatch.setattr(components, "HUB", 100)
+    now = spark.createDataFrame(chain, "v long, u long")
+    plan = components._small_star(components._large_star(now, 100), 100)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange\b", plan)) <= 4
+    assert components.connected_components(now.limit(0)).count() == 0
+
+
 def luhn(d):
     s = [int(c) * (2 if k % 2 else 1) for k, c in enumerate(reversed(d))]
     return sum(x - 9 if x > 9 else x for x in s) % 10 == 0
