@@ -6,6 +6,7 @@ import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,19 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str | int, limit: int
             yield batch.slice(start)
 
 
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts one after another, end of each); nulls are empty."""
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    flat = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.empty(0, np.uint8)
+    return flat, bounds[1:] - bounds[0]
+
+
 def with_release(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow body that gives freed memory back to the system when its task ends: workers live on, and what
     a stage has freed but kept would count beside the next stages' memory."""

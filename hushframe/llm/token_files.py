@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, documents, materialize, shuffle_partitions
+from .common import byte_slices, bytes_of, documents, materialize, shuffle_partitions
 
 #: Ids in a block, more or less; lanes of a block; blocks that are coded side by side.
 BLOCK = 1 << 17
@@ -357,7 +357,7 @@ class LibraryEncoder:
     def encode_column(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each); null texts are empty. With end_id, it closes
         each text."""
-        data, ends = _bytes_of(texts)
+        data, ends = bytes_of(texts)
         edge = _borders(data)
         whole = data.tobytes()
         for token in self.added:
@@ -420,17 +420,6 @@ class LibraryEncoder:
             yield next(pieces) if j else np.array(next(others).ids, "<u4").tobytes()
 
 
-def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all texts one after another, end of each)."""
-    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    _, offsets, data = texts.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-    flat = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.empty(0, np.uint8)
-    return flat, bounds[1:] - bounds[0]
-
-
 def _borders(data: np.ndarray) -> np.ndarray:
     """Whether a match of the library's splitting pattern always begins at a byte: at a single space that has no
     white space beside it; at a mark or line end behind an ASCII letter; at an ASCII letter behind a single line end.

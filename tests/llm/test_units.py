@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from hushframe.llm import bpe, language_id, ordinal, quality, simhash, token_files
+from hushframe.llm import bpe, language_id, ngram_lm, ordinal, quality, simhash, token_files
 from hushframe.llm import product_quantisation as pq
 from hushframe.llm.eliasfano import EliasFano, SortedLists, lists_build
 
@@ -304,3 +304,16 @@ def test_ordinal_grades_are_ordered():
     assert mean[0] < 0.6 < mean[1] < 1.5 < mean[2] and (np.diff(m.thresholds) >= 0).all()
 
 
+def test_tokens_of_a_column(monkeypatch):
+    texts = ["One two  ONE", None, "", "three\tone\x0btwo\x0c\r\n", " \x1cx\u00a0Y\u2003z \u00c0b ", "e", "nd", "\n", "two"]
+    hashed, digest = [], ngram_lm.xxhash.xxh64_intdigest
+    monkeypatch.setattr(ngram_lm.xxhash, "xxh64_intdigest", lambda x: hashed.append(x) or digest(x))
+    for some in (texts, texts[:1], texts[1:3], [], texts[::-1]):
+        hashed.clear()
+        column = pa.array(["before", *some, "after"], pa.string()).slice(1, len(some))
+        hashes, which, counts = ngram_lm.tokens_of(column)
+        words = [(t or "").encode().lower().split() for t in some]
+        assert hashes[which].tolist() == [h for w in words for h in (*map(digest, w), ngram_lm.END)]
+        assert counts.tolist() == [len(w) + 1 for w in words]
+        # Each word is hashed once; every occurrence was.
+        assert sorted(hashed) == sorted({x for w in words for x in w})
