@@ -2,10 +2,11 @@
 
 Texts of a block lie end to end as bytes; prefix sums of byte times power, modulo 2**64, give every word's fingerprint, and
 prefix sums over the words give that of every n-gram, all in numpy. Two passes over the texts:
-  1. fingerprints of all words and pairs of words are summed; those that occur often enough go into a bit table of a
+  1. all n-grams are counted by the low SIEVE_BITS of their fingerprints; those that occur often enough go into a bit table of a
      fixed size, which all tasks get. It may let more through as data grow past its size, never less.
-  2. words that pass, and n-grams whose pairs all pass, are summed by fingerprint, each with a pointer (row, place) to an occurrence, and the least
+  2. n-grams that pass are summed by fingerprint, each with a pointer (row, place) to an occurrence, and the least
      and greatest of a second fingerprint to other bases.
+Both send sorted blocks to shards of fingerprints, as compressed gaps and counts, so what is sent is in proportion to the texts.
 Then the pointers of the frequent fingerprints go to their texts, and there the phrases are read; no other phrase is
 ever written out. Where the second fingerprints differ, different phrases have met in one fingerprint: those are counted
 once more by their text, with every occurrence compared byte for byte. A phrase of `least` occurrences has a fingerprint
@@ -27,21 +28,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, discard, documents, materialize
+from .common import byte_slices, discard, documents, materialize, release, with_release
 
 LONGEST, LEAST, CONTAINED, FIRST = 4, 30, 80, 2000
 SCALE = 2_000_000
 #: Bytes of text that are hashed together, and rows that a task holds before it sums them.
 BLOCK, HELD = 2 << 20, 1_000_000
+#: Bits of a fingerprint that the first pass counts; the count is kept below them, and goes up to its greatest number. N-grams that
+#: a task holds before it sums them, and bytes of text to a shard of fingerprints, some 9 million n-grams.
+SIEVE_BITS, COUNT_BITS, TALLIES, SHARD_BYTES = 40, 24, 4_000_000, 12_000_000
 #: Bound of a bit table that is sent to all tasks: 2**28 bits are 32 MB.
 MOST_BITS = 28
 UNKNOWN = "und"
 
 #: Bases of the polynomials over bytes and over words, of the first and of the second fingerprint.
 _BASES = [tuple(np.uint64(x) for x in pair) for pair in ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB))]
+_SIEVE, _COUNT, _SHIFT = np.uint64((1 << SIEVE_BITS) - 1), np.uint64((1 << COUNT_BITS) - 1), np.uint64(COUNT_BITS)
 _TURN = np.uint64(0xBF58476D1CE4E5B9)
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[0x20, 0x09]] = 1
@@ -162,49 +168,64 @@ def _leads(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate((np.ones(min(len(ordered), 1), bool), ordered[1:] != ordered[:-1])))
 
 
-def _counted(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct fingerprints, how often)."""
-    prints = np.sort(prints)
-    lead = _leads(prints)
-    return prints[lead], np.diff(np.append(lead, len(prints)))
-
-
 class Held:
-    """Columns of rows, the first of them fingerprints, that a task sums whenever there are more than HELD, and sends on
+    """Columns of rows, the first of them fingerprints, that a task sums whenever there are more than `most`, and sends on
     where the sums are not much fewer."""
 
-    def __init__(self, names: tuple[str, ...], merge):
-        self.names, self.merge = names, merge
+    def __init__(self, columns: int, most: int, merge, send):
+        self.columns, self.most, self.merge, self.send = columns, most, merge, send
         self.parts: list[tuple[np.ndarray, ...]] = []
 
     def _merged(self) -> tuple[np.ndarray, ...]:
-        kinds = [np.uint64, *[np.int64] * (len(self.names) - 1)]
+        kinds = [np.uint64, *[np.int64] * (self.columns - 1)]
         whole = [np.concatenate([*(p[i] for p in self.parts), np.empty(0, t)]) for i, t in enumerate(kinds)]
         self.parts.clear()
         return self.merge(whole)
 
     def add(self, *rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append(rows)
-        if sum(len(p[0]) for p in self.parts) > HELD:
+        if sum(len(p[0]) for p in self.parts) > self.most:
             found = self._merged()
-            if len(found[0]) > HELD // 2:
-                yield self._batch(found)
+            if len(found[0]) > self.most // 2:
+                yield self.send(found)
             else:
                 self.parts.append(found)
 
-    def _batch(self, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], list(self.names))
-
     def rest(self) -> pa.RecordBatch:
-        return self._batch(self._merged())
+        return self.send(self._merged())
+
+
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of 64-bit numbers by planes of bytes, most of which are zero."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns), 1)
+
+
+def _unpack(block: bytes, columns: int) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(block), np.uint8).reshape(columns, 8, -1)
+    return [np.ascontiguousarray(c.T).view(np.uint64).ravel() for c in raw]
+
+
+def _by_shard(shard: np.ndarray, pack) -> pa.RecordBatch:
+    """One block for each run of equal shards: what `pack` makes of its first and last row."""
+    cut = np.append(_leads(shard), len(shard)).tolist()
+    blocks = [pack(a, b) for a, b in zip(cut, cut[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]].astype(np.int64)), pa.array(blocks, pa.binary())], ["shard", "block"])
+
+
+_BLOCKS = "shard long, block binary"
 
 
-def _sums(columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(fingerprints, counts): one row for each fingerprint."""
-    order = np.argsort(columns[0])
-    prints, n = columns[0][order], columns[1][order]
+def _gaps(prints: np.ndarray) -> np.ndarray:
+    return np.diff(prints, prepend=np.uint64(0))
+
+
+def _tallied(tallies: np.ndarray) -> np.ndarray:
+    """Short fingerprints, each above its count, in order: one for each fingerprint."""
+    tallies.sort()
+    prints = tallies >> _SHIFT
     lead = _leads(prints)
-    return prints[lead], np.add.reduceat(n, lead) if len(n) else n
+    n = np.add.reduceat(tallies & _COUNT, lead) if len(lead) else tallies
+    return (prints[lead] << _SHIFT) | np.minimum(n, _COUNT)
 
 
 def _occurrences(columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -217,6 +238,11 @@ def _occurrences(columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     return prints[lead], over(np.add, n), over(np.minimum, low), over(np.maximum, high), k[lead], key[lead], place[lead]
 
 
+def sieved(prints: np.ndarray) -> np.ndarray:
+    """What stands for fingerprints in the bit table of the first pass: their low bits, spread."""
+    return _mixed(prints & _SIEVE)
+
+
 class Bits:
     """A table of bits: two for each fingerprint that was put in."""
 
@@ -260,41 +286,62 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
     return docs.select(F.xxhash64(row, lang, text).alias("key"), lang.alias("lang"), F.encode(text, "UTF-8").alias("text"), row.alias("row"))
 
 
-def short_prints(texts: DataFrame, width: int = 64) -> DataFrame:
-    """(print, n) of all words and pairs of words."""
+def shard_count(texts: DataFrame) -> int:
+    """Shards of fingerprints: as the bytes of the texts."""
+    return max(1, -(-int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
+
+
+def short_prints(texts: DataFrame, shards: int, longest: int = LONGEST, least: int = LEAST, width: int = 64) -> DataFrame:
+    """(print) of all words and n-grams whose short fingerprints occur `least` times, as `sieved` gives it."""
+    enough = np.uint64(min(least, int(_COUNT)))
+
+    def send(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        (tallies,) = found
+        prints = tallies >> _SHIFT
+        return _by_shard(prints * np.uint64(shards) >> np.uint64(SIEVE_BITS), lambda a, b: _pack([(_gaps(prints[a:b]) << _SHIFT) | (tallies[a:b] & _COUNT)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Held(("print", "n"), _sums)
+        held = Held(1, TALLIES, lambda columns: (_tallied(columns[0]),), send)
         for block, _, _ in blocks(batches, width):
-            for k in (1, 2):
-                yield from held.add(*_counted(block.prints(block.grams(k), k)))
+            for k in range(1, longest + 1):
+                yield from held.add(((block.prints(block.grams(k), k) & _SIEVE) << _SHIFT) | np.uint64(1))
         yield held.rest()
 
-    return texts.mapInArrow(run, "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
+    def often(table: pa.Table) -> pa.Table:
+        parts = [_unpack(x.as_py(), 1)[0] for x in table.column("block")]
+        tallies = _tallied(np.concatenate([(np.cumsum(x >> _SHIFT, dtype=np.uint64) << _SHIFT) | (x & _COUNT) for x in parts]))
+        found = sieved(tallies[(tallies & _COUNT) >= enough] >> _SHIFT)
+        del parts, tallies
+        release()
+        return pa.table({"print": pa.array(found.view(np.int64))})
+
+    return texts.mapInArrow(with_release(run), _BLOCKS).groupBy("shard").applyInArrow(often, "print long")
 
 
 def _candidates(block: Block, short: Bits, longest: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(k, first words) of the single words that pass, and of the n-grams whose pairs all pass."""
-    one = block.grams(1)
-    yield 1, one[short.passes(block.prints(one, 1))]
-    good = np.zeros(len(block.start) + 1, bool)
-    two = block.grams(2)
-    good[two[short.passes(block.prints(two, 2))]] = True
-    at = np.flatnonzero(good)
-    for k in range(2, longest + 1):
+    """(k, first words) of the n-grams that pass; their parts do, too."""
+    good = np.ones(len(block.start) + 1, bool)
+    for k in range(1, longest + 1):
+        at = block.grams(k)
+        at = at[good[at] & good[at + 1]] if k > 1 else at
+        at = at[short.passes(sieved(block.prints(at, k)))]
         yield k, at
-        # The pair that the next word adds begins at the last word.
-        at = at[good[np.minimum(at + k - 1, len(good) - 1)]]
+        good = np.zeros(len(block.start) + 1, bool)
+        good[at] = True
 
 
-def gram_prints(texts: DataFrame, short: Bits, longest: int = LONGEST, width: int = 64) -> DataFrame:
-    """(print, n, alike, k, key, place) of the words that pass, and of the n-grams whose pairs do. (key, place) is an occurrence in
+def gram_prints(texts: DataFrame, short: Bits, shards: int, longest: int = LONGEST, width: int = 64) -> DataFrame:
+    """(print, n, alike, k, key, place) of the n-grams that pass. (key, place) is an occurrence in
     the row of least key, k its number of words; alike: all occurrences have the same second fingerprint."""
     shared = texts.sparkSession.sparkContext.broadcast(short)
-    names = ("print", "n", "low", "high", "k", "key", "place")
+
+    def send(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        prints, n, low, high, *rest = found
+        shard = (prints >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+        return _by_shard(shard, lambda a, b: _pack([_gaps(prints[a:b]), n[a:b], low[a:b], low[a:b] ^ high[a:b], *(c[a:b] for c in rest)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Held(names, _occurrences)
+        held = Held(7, HELD, _occurrences, send)
         for block, _, part in blocks(batches, width):
             keys = part.column(0).to_numpy(zero_copy_only=False)
             for k, at in _candidates(block, shared.value, longest):
@@ -308,10 +355,18 @@ def gram_prints(texts: DataFrame, short: Bits, longest: int = LONGEST, width: in
                 yield from held.add(prints[lead], np.diff(np.append(lead, len(at))), check, check, np.full(len(lead), k), keys[block.text[first]], block.place[first])
         yield held.rest()
 
-    found = texts.mapInArrow(run, ", ".join(f"{x} long" for x in names))
-    return found.groupBy("print").agg(
-        F.sum("n").alias("n"), (F.min("low") == F.max("high")).alias("alike"), F.min_by("k", "key").alias("k"), F.min("key").alias("key"), F.min_by("place", "key").alias("place"),
-    )
+    def summed(table: pa.Table) -> pa.Table:
+        parts = [_unpack(x.as_py(), 7) for x in table.column("block")]
+        for p in parts:
+            p[0], p[3] = np.cumsum(p[0], dtype=np.uint64), p[2] ^ p[3]
+        prints, *rest = (np.concatenate([p[i] for p in parts]) for i in range(7))
+        prints, n, low, high, k, key, place = _occurrences([prints, *(c.view(np.int64) for c in rest)])
+        out = pa.table({"print": prints.view(np.int64), "n": n, "alike": low == high, "k": k, "key": key, "place": place})
+        del parts, rest
+        release()
+        return out
+
+    return texts.mapInArrow(with_release(run), _BLOCKS).groupBy("shard").applyInArrow(summed, "print long, n long, alike boolean, k long, key long, place long")
 
 
 _PHRASE = "print long, lang string, k int, phrase binary, row long, place long"
@@ -347,9 +402,9 @@ def pointed_phrases(texts: DataFrame, prints: DataFrame, width: int = 64, most_b
             kinds = (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in cells], t) for i, t in enumerate(kinds)], ["print", "lang", "k", "phrase", "row", "place"])
 
-    joined = texts.mapInArrow(pointed, texts.schema).join(wanted, "key").select("key", "lang", "text", "row", "wanted")
+    joined = texts.mapInArrow(with_release(pointed), texts.schema).join(wanted, "key").select("key", "lang", "text", "row", "wanted")
     # Repeated rows read the same phrase more than once.
-    return joined.mapInArrow(run, _PHRASE).dropDuplicates(["print"]).select("print", "lang", "k", "phrase", F.struct("row", "place").alias("pointer"))
+    return joined.mapInArrow(with_release(run), _PHRASE).dropDuplicates(["print"]).select("print", "lang", "k", "phrase", F.struct("row", "place").alias("pointer"))
 
 
 def phrase_counts(texts: DataFrame, short: Bits, some: Bits, longest: int = LONGEST, width: int = 64) -> DataFrame:
@@ -387,7 +442,7 @@ def phrase_counts(texts: DataFrame, short: Bits, some: Bits, longest: int = LONG
                 yield send()
         yield send()
 
-    found = texts.mapInArrow(run, _PHRASE + ", n long")
+    found = texts.mapInArrow(with_release(run), _PHRASE + ", n long")
     return found.groupBy("print", "lang", "k", "phrase").agg(F.sum("n").alias("n"), F.min(F.struct("row", "place")).alias("pointer"))
 
 
@@ -401,16 +456,17 @@ def word_totals(texts: DataFrame) -> DataFrame:
                 totals[name] = totals.get(name, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], ["lang", "total"])
 
-    return texts.mapInArrow(run, "lang string, total long").groupBy("lang").agg(F.sum("total").alias("total"))
+    return texts.mapInArrow(with_release(run), "lang string, total long").groupBy("lang").agg(F.sum("total").alias("total"))
 
 
 def frequent_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST, most_bits: int = MOST_BITS, width: int = 64) -> DataFrame:
     """(lang, k, phrase, a, pointer) of all phrases of 1 to `longest` words with `least` occurrences."""
     texts = _texts(docs, id_col, text_col, lang_col)
-    frequent = materialize(short_prints(texts, width).where(F.col("n") >= least).select("print"), "short")
+    shards = shard_count(texts)
+    frequent = materialize(short_prints(texts, shards, longest, least, width), "short")
     short = bit_table(frequent, most_bits)
     discard(frequent)
-    prints = materialize(gram_prints(texts, short, longest, width).where(F.col("n") >= least), "prints")
+    prints = materialize(gram_prints(texts, short, shards, longest, width).where(F.col("n") >= least), "prints")
     read = pointed_phrases(texts, prints.where("alike"), width, most_bits)
     found = read.join(prints.where("alike").select("print", F.col("n").alias("a")), "print").select("lang", "k", "phrase", "a", "pointer")
     mixed = prints.where("not alike").select("print")

@@ -82,6 +82,15 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, bounds[1:] - bounds[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def with_release(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow body that gives freed memory back to the system when its task ends: workers live on, and what
     a stage has freed but kept would count beside the next stages' memory."""
@@ -90,11 +99,7 @@ def with_release(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # not glibc
-                pass
+            release()
 
     return body
 

@@ -232,6 +232,27 @@ def test_collocations_when_fingerprints_collide(spark, phrase_rows, monkeypatch)
     assert f == want
 
 
+def test_collocations_send_frequent_phrases_only(spark, monkeypatch):
+    """Rare n-grams of frequent pairs are no rows of the second pass: they would grow much faster than the texts."""
+    rng, sent, real = np.random.default_rng(5), [], collocations.gram_prints
+    monkeypatch.setattr(collocations, "gram_prints", lambda *a: sent.append(real(*a)) or sent[-1])
+    table = docs(spark, [(i, " ".join(rng.choice(list("abcdefg"), 300)), "en", "s", 1) for i in range(20)])
+    found = collocations.frequent_phrases(table, least=60)
+    n = [r.n for r in sent[0].collect()]
+    assert found.where("k = 2").count() == 49 and sum(x >= 60 for x in n) == found.count()
+    assert sum(x < 60 for x in n) <= 0.02 * (7**3 + 7**4)
+
+
+def test_tallies_are_summed_and_capped():
+    rng = np.random.default_rng(2)
+    prints, n = rng.integers(0, 50, 3000).astype(np.uint64), rng.integers(1, 9, 3000).astype(np.uint64)
+    got = collocations._tallied((prints << np.uint64(collocations.COUNT_BITS)) | n)
+    assert dict(zip((got >> np.uint64(collocations.COUNT_BITS)).tolist(), (got & collocations._COUNT).tolist())) == dict(enumerate(np.bincount(prints.astype(int), n.astype(int)).astype(int).tolist()))
+    top = collocations._tallied(np.full(3, collocations._COUNT - np.uint64(1), np.uint64))
+    assert top.tolist() == [int(collocations._COUNT)]
+    assert len(collocations._tallied(np.empty(0, np.uint64))) == 0
+
+
 def test_collocation_ranks_over_many_partitions(spark):
     rows = [("en", f"p{i % 40}", i % 7, 100 - i % 5) for i in range(300)] + [("de", "q", 1, 1)]
     table = spark.createDataFrame(rows, "lang string, phrase string, score long, a long").repartition(9)
