@@ -127,12 +127,15 @@ class EliasFano:
         if not self.bits:
             return np.zeros(len(i), np.uint64)
         at = i * self.bits
-        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        word = at >> 6
+        at &= 63
+        shift = at.view(np.uint64)
         out = self.low[word] >> shift
-        over = (at & 63) + self.bits > 64
-        if over.any():
+        over = np.flatnonzero(at > 64 - self.bits)
+        if len(over):
             out[over] |= self.low[word[over] + 1] << (np.uint64(64) - shift[over])
-        return out & np.uint64((1 << self.bits) - 1)
+        out &= np.uint64((1 << self.bits) - 1)
+        return out
 
     def _place(self, i: np.ndarray) -> np.ndarray:
         """Where the i-th one stands in the high bits."""

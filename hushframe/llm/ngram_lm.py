@@ -72,10 +72,8 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = _LOWER[data[inner]]
     bounds = np.concatenate(([0], np.cumsum(np.flatnonzero(last) + 1 - at)))
     coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(flat)]).dictionary_encode()
-    words, upto = bytes_of(coded.dictionary)
-    raw, upto, digest = words.tobytes(), [0, *upto.tolist()], xxhash.xxh64_intdigest
     found = len(coded.dictionary)
-    hashes = np.fromiter((digest(raw[a:b]) for a, b in zip(upto, upto[1:])), np.uint64, found)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_numpy(zero_copy_only=False)), np.uint64, found)
     counts = np.diff(np.concatenate(([0], np.searchsorted(at, ends)))) + 1
     which = np.full(len(at) + len(ends), found, np.int64)
     word = np.ones(len(which), bool)
@@ -466,8 +464,9 @@ def score(docs: DataFrame, spec: dict, id_col: str = "doc_id", text_col: str = "
         trie = opened(spec)
         V, N = spec["V"], spec["N"]
         for ids, hashes, which, counts in _batches(batches):
-            word, c = (x[which] for x in trie.words(hashes))
+            word, c = trie.words(hashes)
             p1 = (c + 1) / (N + V + 1)
+            word, known, base, p1 = (x[which] for x in (word, (c > 0).astype(np.int64), np.log10(p1), p1))
             at, rank, alpha2, rest2, inner = trie.adjacent(word, counts)
             p2 = alpha2 + rest2 * p1
             p = p2.copy()
@@ -481,7 +480,7 @@ def score(docs: DataFrame, spec: dict, id_col: str = "doc_id", text_col: str = "
                 p[where[order]] = alpha3 + rest3 * p2[where[order]]
             cut = np.concatenate(([0], np.cumsum(counts)[:-1]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), cut)), pa.array(np.add.reduceat(np.log10(p1), cut)), pa.array(np.add.reduceat(np.log10(p), cut))],
+                [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(np.add.reduceat(known, cut)), pa.array(np.add.reduceat(base, cut)), pa.array(np.add.reduceat(np.log10(p), cut))],
                 ["id", "n_tokens", "n_known", "base_score", "score"],
             )
 

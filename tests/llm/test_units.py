@@ -1,12 +1,14 @@
 """The methods themselves, without Spark, against brute force."""
 
 import random
+import sys
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 from tokenizers import Tokenizer
 
 from hushframe.llm import bpe, language_id, ngram_lm, ordinal, quality, simhash, token_files
@@ -229,6 +231,29 @@ def test_quantiser_error_bounds():
     assert np.allclose(sum(t[:, codes[:, k]] for k, t in enumerate(tables)), direct)
 
 
+def test_words_are_hashed_without_python_calls():
+    """Distinct words are hashed by one mapped call, so the interpreter's share does not grow with them."""
+    calls = []
+    column = pa.array([" ".join(f"Word{i}" for i in range(3000)), None])
+    ngram_lm.tokens_of(column)
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event == "call" else None)
+    try:
+        hashes, which, counts = ngram_lm.tokens_of(column)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 300 and counts.tolist() == [3001, 1]
+    assert hashes[which].tolist() == [*(xxhash.xxh64_intdigest(f"word{i}".encode()) for i in range(3000)), ngram_lm.END, ngram_lm.END]
+
+
+@pytest.mark.parametrize("bits", [1, 7, 32, 33, 50, 63])
+def test_low_bits_over_word_borders(bits):
+    values = np.sort(np.random.default_rng(bits).integers(0, 40 << bits if bits < 58 else 2**63 - 1, 41).astype(np.uint64))
+    ef = EliasFano(EliasFano.build(values, "x_"), "x_")
+    at = np.arange(41)
+    assert (ef.at(at) == values).all() and (at == np.arange(41)).all()
+    assert (values[ef.find(values)] == values).all()
+
+
 @pytest.mark.parametrize("n,blocks,v", [(1, 1, 10), (5, 3, 4), (64, 2, 300), (1000, 2, 50257), (5000, 1, 50257), (3000, 3, 2)])
 def test_range_coder_round_trip(n, blocks, v):
     x = np.random.default_rng(n).integers(0, v, (blocks, n))
