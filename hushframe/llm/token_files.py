@@ -1,17 +1,17 @@
-"""Token ids in compressed binary blocks: an adaptive context-mixing range coder over ids.
+"""Token ids in compressed binary blocks: an adaptive context-mixing range coder.
 
-Each block of ids is coded on its own: models start empty, and a checksum closes it. An id's interval comes
-from a mixture of predictions: counts of the ids that followed the previous two (order 2) and the previous one
-(order 1), counts of all ids (order 0), and an even share for ids that are new to the block. A context of order
-1 or 2 keeps counts of its SLOTS most frequent followers. Weights follow each order's own record of hits, in
-cells by how often its context was seen and whether one id alone followed: order 2 first, order 1 by its record
-where order 2 missed, order 0 by its record where both missed. The followers of order 2 come first, then those
-of order 1, order 0 and the even share; an id is coded by the largest interval that stands for it. Decoding finds it by comparing with at most 2 SLOTS bounds, or by one look into the
-sorted ids so far.
+The ids of a row of documents are those of its units, the pieces that texts are cut into before they are encoded. A row keeps each
+distinct unit's ids once, and the sequence of units is coded; where units hardly recur, the ids are coded themselves.
+
+Each block is coded on its own: models start empty, and a checksum closes it. A symbol's interval comes
+from a mixture of predictions: what last followed the previous two (order 2) and the previous one (order 1), and counts of all
+symbols, one more for each (order 0). Weights follow the record of hits of orders 2 and 1, in cells by how
+often a context was seen and by the share of what last followed it: order 2 first, order 1 by its record where order 2 missed.
+A symbol is coded by the largest interval that stands for it.
 
 To run as array operations, a block is dealt to lanes, each with a range coder and a contiguous share of the
-ids; lanes share the block's models. Followers are updated at each step, order-0 counts and weights at steps 1,
-2, 4, ... 64 and then each 64 steps. Arithmetic is on integers, so files do not depend on the machine.
+symbols; lanes share the block's models, which learn at steps 1, 4, 16, ... from all steps before. Arithmetic is on integers, so
+files do not depend on the machine.
 
 Blocks are rows of a table that Spark writes and commits, as are the ids and lengths of the documents they
 hold, so a lost executor costs a task and readers need no shared mount. A row holds whole documents.
@@ -33,33 +33,35 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, bytes_of, documents, materialize, shuffle_partitions
+from .common import byte_slices, bytes_of, documents, materialize, shuffle_partitions, with_release
 
-#: Ids in a block, more or less; lanes of a block; blocks that are coded side by side.
-BLOCK = 1 << 17
-MAX_LANES = 256
-SIDE = 8
-MAGIC = b"HCM2"
-#: magic, ids, vocabulary, lanes, CRC-32 of the ids, 16-bit words of payload, steps.
+#: Symbols in a block, more or less; lanes of a block, and the least steps of many; steps whose intervals are found together.
+BLOCK = 1_800_000
+MAX_LANES, MIN_STEPS = 2048, 512
+TOGETHER = 64
+MAGIC = b"HCM3"
+#: magic, symbols, vocabulary, lanes, CRC-32 of the symbols, 16-bit words of payload, steps.
 HEAD = struct.Struct("<4sIIIIII")
+#: CRC-32 of the rest, number of units, number of ids.
+UNITS = struct.Struct("<III")
 TOTAL_BITS = 24
 _TOTAL = 1 << TOTAL_BITS
-#: Followers that a context keeps, and the most that one is counted.
-SLOTS = 4
-_MOST = 255
+#: What orders 1 and 2 have at most; the rest is more than a block has symbols and a vocabulary ids.
+_ROOM = _TOTAL // 8 * 7
+_MOST_VOCABULARY = 1 << 18
 _HASH_BITS = 16
 _WEIGHT_BITS = 16
-#: The least even share; as many ids at most can a vocabulary have.
-_FLOOR = 1 << 18
-#: Level of a context by how often it was seen.
-_LEVEL = 2 * np.array([0, 1, 2, 3, 3, 4, 4, 4, 4, 5])
-_CELLS = 12
-#: Ids that a row of the table holds at least, unless the partition ends.
-ROW_IDS = 1 << 20
-UNIT_MEMORY = 400_000
+#: Level of a context by how often it was seen; a cell is a level and a quarter.
+_LEVEL = 4 * np.array([0, 1, 2, 3, 3, 4, 4, 4, 4, 5])
+_CELLS = 24
+#: Units that a worker keeps the ids of, and bytes of them.
+UNIT_MEMORY, UNIT_BYTES = 1_500_000, 64 << 20
+#: Units that the library encodes as one text.
+TEXT = 200
 #: Kinds of bytes: letters, marks, others, line ends, other white space and control characters.
 _LETTER, _MARK, _OTHER, _LINE, _WHITE = range(5)
 _KIND = np.full(256, _OTHER, np.uint8)
@@ -69,270 +71,254 @@ _KIND[[c for c in range(0x21, 0x7F) if chr(c).isalpha()]] = _LETTER
 
 
 class _Followers:
-    """The SLOTS ids that followed each context most, beside how often: one row of a table for each context."""
-
-    def __init__(self, contexts: int, vocabulary: int):
-        self.table = np.zeros((contexts, 2 * SLOTS), np.uint16 if vocabulary <= 1 << 16 else np.uint32)
-
-    def look(self, at: np.ndarray) -> None:
-        self.at = at
-        rows = self.table.take(at, axis=0).T.astype(np.int32, order="C")
-        self.ids, self.n = rows[:SLOTS], rows[SLOTS:]
-        self.total = np.add.reduce(self.n)
-        #: How sure the context is: by how often it was seen, and whether one id alone followed it.
-        self.cell = _LEVEL[np.minimum(self.total, len(_LEVEL) - 1)] + (np.maximum.reduce(self.n) == self.total)
-
-    def update(self, ids: np.ndarray) -> np.ndarray:
-        """Count ids, in place of the rarest one where they are new; returns where they were known."""
-        was = self.n * (self.ids == ids.astype(np.int32))
-        least, slot = self.n[0], np.zeros(len(ids), np.int8)
-        for k in range(1, SLOTS):
-            slot = np.where(self.n[k] < least, np.int8(k), slot)
-            least = np.minimum(least, self.n[k])
-        count = np.maximum.reduce(was)
-        known = count > 0
-        for k in range(SLOTS):
-            slot = np.where(was[k] > 0, np.int8(k), slot)
-        flat, k = self.table.reshape(-1), self.at * (2 * SLOTS) + slot
-        flat[k] = ids.astype(flat.dtype)
-        flat[k + SLOTS] = np.minimum(count + 1, _MOST).astype(flat.dtype)
-        return known
+    """What followed each context last, and how often it was that."""
+
+    def __init__(self, contexts: int):
+        self.last, self.seen, self.same = (np.zeros(contexts, np.int64) for _ in range(3))
+        self.cell, self.tries, self.hits = np.zeros(contexts, np.int64), np.full(_CELLS, 4, np.int64), np.full(_CELLS, 2, np.int64)
+        self.table = np.zeros(contexts, np.int64)
+
+    def record(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Count whether contexts told what followed; returns where they did not."""
+        cell = self.cell[at]
+        hit = (self.last[at] == x) & (cell > 3)
+        self.tries += np.bincount(cell, minlength=_CELLS)
+        self.hits += np.bincount(cell[hit], minlength=_CELLS)
+        return ~hit
+
+    def learn(self, at: np.ndarray, x: np.ndarray) -> None:
+        before = self.last.copy()
+        self.last[at] = x
+        self.same[self.last != before] = 0
+        self.seen += np.bincount(at, minlength=len(self.seen))
+        self.same += np.bincount(at[self.last[at] == x], minlength=len(self.seen))
+        self.cell = _LEVEL[np.minimum(self.seen, len(_LEVEL) - 1)] + 3 * self.same // np.maximum(self.seen, 1)
+        weight = (self.hits << _WEIGHT_BITS) // (self.tries + 1)
+        weight[:4] = 0
+        #: For each context its weight, and below it what followed last.
+        self.table = (weight[self.cell] << 32) | self.last
 
 
 class _Mixture:
-    """Models of several blocks of equal shape, each used by `lanes` lanes."""
-
-    def __init__(self, blocks: int, lanes: int, vocabulary: int):
-        self.V, self.blocks, self.block = vocabulary, blocks, np.repeat(np.arange(blocks), lanes)
-        self.one, self.two = _Followers(blocks * (vocabulary + 1), vocabulary), _Followers(blocks << _HASH_BITS, vocabulary)
-        self.before = np.full((2, blocks * lanes), vocabulary, np.int64)
-        self.counts = np.zeros((blocks, vocabulary), np.int64)
-        #: Records of each order, by block and cell: order 2; order 1 where it missed; order 0 where both missed.
-        self.tries, self.hits = np.full((3, blocks, _CELLS), 4, np.int64), np.full((3, blocks, _CELLS), 2, np.int64)
-        self.seen: list[np.ndarray] = []
-        self.log: tuple[list, list, list] = ([], [], [])
-        self.refresh()
-
-    def refresh(self) -> None:
-        """Fold what was coded since into the order-0 counts and into the weights."""
-        if self.seen:
-            at = np.concatenate([self.block * self.V + ids for ids in self.seen])
-            self.counts += np.bincount(at, minlength=self.counts.size).reshape(self.counts.shape)
-            for order, log in enumerate(self.log):
-                for record, cells in zip((self.tries, self.hits), zip(*log)):
-                    record[order] += np.bincount(np.concatenate(cells), minlength=self.blocks * _CELLS).reshape(self.blocks, -1)
-            self.seen, self.log = [], ([], [], [])
-        self.cum = np.zeros((self.blocks, self.V + 1), np.int64)
-        np.cumsum(self.counts, axis=1, out=self.cum[:, 1:])
-        self.N = int(self.cum[0, -1])
-        self.cum = self.cum.reshape(-1)
-        #: Ids so far, in order, block after block: the inverse of the cumulative counts.
-        self.ordered = np.repeat(np.tile(np.arange(self.V), self.blocks), self.counts.reshape(-1))
-        self.weight = ((self.hits << _WEIGHT_BITS) // (self.tries + 1)).reshape(3, -1)
-
-    def predict(self) -> None:
-        a, b = self.before
-        one, two = self.one, self.two
-        one.look(self.block * (self.V + 1) + a)
-        two.look((self.block << _HASH_BITS) + (((a * 0x9E3779B1 + b * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - _HASH_BITS)))
-        room = _TOTAL - _FLOOR
-        self.c2, self.c1 = self.block * _CELLS + two.cell, self.block * _CELLS + one.cell
-        w2 = np.where(two.total > 0, room * self.weight[0, self.c2] >> _WEIGHT_BITS, 0)
-        rest = room - w2
-        w1 = np.where(one.total > 0, rest * self.weight[1, self.c1] >> _WEIGHT_BITS, 0)
-        rest -= w1
-        self.w0 = rest * self.weight[2, self.block * _CELLS] >> _WEIGHT_BITS if self.N else np.zeros_like(rest)
-        shares = two.n * (w2.astype(np.int32) // np.maximum(two.total, 1)), one.n * (w1.astype(np.int32) // np.maximum(one.total, 1))
-        self.ids, self.mass = np.concatenate([two.ids, one.ids]), np.concatenate(shares)
-        self.ends = np.cumsum(self.mass, axis=0, dtype=np.int32)
-        self.named = self.ends[-1].astype(np.int64)
-        self.wu = _TOTAL - self.named - self.w0
-
-    def _share(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) in the part of order 0."""
-        k = self.block * (self.V + 1) + ids
-        n = max(self.N, 1)
-        lo = self.cum.take(k) * self.w0 // n
-        return self.named + lo, self.cum.take(k + 1) * self.w0 // n - lo
-
-    def _even(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) in the part where all ids are alike."""
-        lo = self.wu * ids // self.V
-        return self.named + self.w0 + lo, self.wu * (ids + 1) // self.V - lo
-
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) among _TOTAL: the largest of the intervals that stand for each id."""
-        mass = self.mass * (self.ids == ids.astype(np.int32))
-        k, lane = mass.argmax(axis=0), np.arange(len(ids))
-        size = mass[k, lane].astype(np.int64)
-        start = self.ends[k, lane] - size
-        for other in (self._share, self._even):
-            lo, n = other(ids)
-            start, size = np.where(n > size, lo, start), np.maximum(size, n)
+    """The models of one block."""
+
+    def __init__(self, lanes: int, steps: int, vocabulary: int):
+        self.V = vocabulary
+        self.one, self.two = _Followers(vocabulary + 1), _Followers(1 << _HASH_BITS)
+        #: All symbols by step, behind two steps of no symbol.
+        self.past = np.full((steps + 2, lanes), vocabulary, np.int64)
+        self.counts, self.learnt = np.ones(vocabulary, np.int64), 0
+        self._order_0()
+
+    def _order_0(self) -> None:
+        self.cum = np.concatenate(([0], np.cumsum(self.counts)))
+        self.N = int(self.cum[-1])
+        #: Symbols in order, as often as they count: the inverse of the cumulative counts.
+        self.ordered = np.repeat(np.arange(self.V, dtype=np.int32), self.counts)
+
+    def _contexts(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of steps a to b: order 1, and order 2 as a hash."""
+        one, two = self.past[a + 1 : b + 1], self.past[a:b]
+        return one, ((one * 0x9E3779B1 + two * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - _HASH_BITS)
+
+    def learn(self, step: int) -> None:
+        """Take in the steps before this one."""
+        x = self.past[self.learnt + 2 : step + 2].ravel()
+        one, two = (c.ravel() for c in self._contexts(self.learnt, step))
+        missed = self.two.record(two, x)
+        self.one.record(one[missed], x[missed])
+        self.two.learn(two, x)
+        self.one.learn(one, x)
+        self.counts += np.bincount(x, minlength=self.V)
+        self.learnt = step
+        self._order_0()
+
+    def predict(self, a: int, b: int) -> tuple[np.ndarray, ...]:
+        """Of steps a to b: what orders 2 and 1 say, and their shares of _TOTAL."""
+        one, two = self._contexts(a, b)
+        said2, said1 = self.two.table[two], self.one.table[one]
+        share2 = (said2 >> 32) * _ROOM >> _WEIGHT_BITS
+        share1 = (said1 >> 32) * (_ROOM - share2) >> _WEIGHT_BITS
+        return said2 & 0xFFFFFFFF, said1 & 0xFFFFFFFF, share2, share1
+
+    def intervals(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) among _TOTAL of the symbols of steps a to b: the largest of the intervals that stand for each."""
+        said2, said1, share2, share1 = self.predict(a, b)
+        x, named = self.past[a + 2 : b + 2], share2 + share1
+        rest = _TOTAL - named
+        start = self.cum[x] * rest // self.N
+        size = self.cum[x + 1] * rest // self.N - start
+        start += named
+        for said, share, at in ((said1, share1, share2), (said2, share2, np.int64(0))):
+            more = (said == x) & (share > size)
+            start, size = np.where(more, at, start), np.where(more, share, size)
         return start, size
 
-    def lookup(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(id, start, size) of the interval that holds v."""
-        lane = np.arange(len(v))
-        k = np.minimum(np.add.reduce(self.ends <= v, dtype=np.int8), 2 * SLOTS - 1).astype(np.int64)
-        ids, size = self.ids[k, lane].astype(np.int64), self.mass[k, lane].astype(np.int64)
-        start = self.ends[k, lane] - size
-        m = np.flatnonzero(v >= self.named)
+    def lookup(self, step: int, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbol, start, size) of the interval that holds v."""
+        said2, said1, share2, share1 = (c[0] for c in self.predict(step, step + 1))
+        named = share2 + share1
+        second = v < share2
+        x, start, size = np.where(second, said2, said1), np.where(second, 0, share2), np.where(second, share2, share1)
+        m = np.flatnonzero(v >= named)
         if len(m):
-            r = v[m] - self.named[m]
-            w0, wu, n = self.w0[m], self.wu[m], max(self.N, 1)
-            common = r < w0
-            slot = np.where(common, ((r + 1) * n - 1) // np.maximum(w0, 1), 0)
-            even = ((r - w0 + 1) * self.V - 1) // wu
-            ids[m] = np.where(common, self.ordered[self.block[m] * self.N + slot], even) if self.N else even
-            for other, which in ((self._share, common), (self._even, ~common)):
-                lo, n = other(ids)
-                start[m[which]], size[m[which]] = lo[m[which]], n[m[which]]
-        return ids, start, size
-
-    def update(self, ids: np.ndarray) -> None:
-        hit2, hit1 = self.two.update(ids), self.one.update(ids)
-        k = self.block * (self.V + 1) + ids
-        hit0 = self.cum.take(k + 1) > self.cum.take(k)
-        self.log[0].append((self.c2, self.c2[hit2]))
-        self.log[1].append((self.c1[~hit2], self.c1[~hit2 & hit1]))
-        rare = ~hit2 & ~hit1
-        zero = self.block * _CELLS
-        self.log[2].append((zero[rare], zero[rare & hit0]))
-        self.seen.append(ids)
-        self.before = np.stack([ids, self.before[0]])
-
-
-def _due(step: int) -> bool:
-    return step > 0 and (step & (step - 1) == 0 if step < 64 else step % 64 == 0)
+            base = named[m]
+            rest = _TOTAL - base
+            found = self.ordered[((v[m] - base + 1) * self.N - 1) // rest].astype(np.int64)
+            low = self.cum[found] * rest // self.N
+            x[m], start[m], size[m] = found, base + low, self.cum[found + 1] * rest // self.N - low
+        return x, start, size
+
+
+def _learns(step: int) -> bool:
+    return step > 0 and step & (step - 1) == 0 and step.bit_length() % 2 == 1
 
 
 def _lanes(n: int) -> int:
-    return max(1, min(MAX_LANES, n // 64))
+    return max(1, min(MAX_LANES, n // MIN_STEPS))
 
 
 def encode_blocks(ids: np.ndarray, vocabulary: int, sizes: np.ndarray | None = None) -> list[bytes]:
     """ids: (blocks, n) -> one self-contained block of bytes for each row; sizes: ids of each row that count."""
-    if not 0 < vocabulary <= _FLOOR:
-        raise ValueError(f"vocabularies have 1 to {_FLOOR} ids")
-    blocks, n = ids.shape
-    sizes = np.full(blocks, n) if sizes is None else sizes
+    if not 0 < vocabulary <= _MOST_VOCABULARY:
+        raise ValueError(f"vocabularies have 1 to {_MOST_VOCABULARY} ids")
+    return [_encode(row if sizes is None else row[: sizes[k]], vocabulary) for k, row in enumerate(ids)]
+
+
+def _encode(ids: np.ndarray, vocabulary: int) -> bytes:
+    n = len(ids)
+    if n + MAX_LANES + vocabulary > _TOTAL - _ROOM:
+        raise ValueError(f"a block and its vocabulary have {_TOTAL - _ROOM - MAX_LANES} ids at most: pack() cuts longer runs")
     lanes = _lanes(n)
     steps = -(-n // lanes)
-    padded = np.zeros((blocks, lanes * steps), np.int64)
-    padded[:, :n] = ids
-    lane_ids = np.ascontiguousarray(padded.reshape(blocks * lanes, steps).T)
-    model = _Mixture(blocks, lanes, vocabulary)
-    width = blocks * lanes
-    low, span = np.zeros(width, np.uint64), np.full(width, (1 << 48) - 1, np.uint64)
-    out, pos = np.zeros((width, 2 * steps + 8), np.int64), np.ones(width, np.int64)
-    every = np.arange(width)
+    padded = np.zeros(lanes * steps, np.int64)
+    padded[:n] = ids
+    model = _Mixture(lanes, steps, vocabulary)
+    model.past[2:] = padded.reshape(lanes, steps).T
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
+    width = 2 * steps + 8
+    out, pos = np.zeros(lanes * width, np.int64), np.arange(lanes) * width + 1
     shift, mask48, mask32 = np.uint64(TOTAL_BITS), np.uint64((1 << 48) - 1), np.uint64((1 << 32) - 1)
+    t = end = 0
     for t in range(steps):
-        if _due(t):
-            model.refresh()
-        model.predict()
-        x = lane_ids[t]
-        lo, size = model.interval(x)
+        if _learns(t):
+            model.learn(t)
+        if t == end:
+            begin, end = t, min(steps, t + TOGETHER, 1 << t.bit_length())
+            starts, spans = (c.astype(np.uint64) for c in model.intervals(begin, end))
         r = span >> shift
-        low += lo.astype(np.uint64) * r
-        span = size.astype(np.uint64) * r
-        carry = (low >> np.uint64(48)).astype(np.int64)
-        if carry.any():
-            out[every, pos - 1] += carry
+        low += starts[t - begin] * r
+        span = spans[t - begin] * r
+        carry = np.flatnonzero(low > mask48)
+        if len(carry):
+            out[pos[carry] - 1] += 1
             low &= mask48
         for _ in range(2):
             m = np.flatnonzero(span <= mask32)
             if not len(m):
                 break
-            out[m, pos[m]] = (low[m] >> np.uint64(32)).astype(np.int64)
-            pos[m] += 1
-            low[m] = (low[m] & mask32) << np.uint64(16)
+            some, at = low[m], pos[m]
+            out[at] = (some >> np.uint64(32)).view(np.int64)
+            pos[m] = at + 1
+            low[m] = (some & mask32) << np.uint64(16)
             span[m] <<= np.uint64(16)
-        model.update(x)
     for k in (32, 16, 0):
-        out[every, pos] = ((low >> np.uint64(k)) & np.uint64(0xFFFF)).astype(np.int64)
+        out[pos] = ((low >> np.uint64(k)) & np.uint64(0xFFFF)).astype(np.int64)
         pos += 1
+    out, pos = out.reshape(lanes, width), pos - np.arange(lanes) * width
     # Carries go left; the first word is there to take one that never comes.
-    for k in range(out.shape[1] - 1, 0, -1):
-        over = out[:, k] >> 16
-        if over.any():
-            out[:, k] &= 0xFFFF
-            out[:, k - 1] += over
-    found = []
-    for b in range(blocks):
-        rows = range(b * lanes, (b + 1) * lanes)
-        ends = (pos[b * lanes : (b + 1) * lanes] - 1).astype("<u4")
-        words = np.concatenate([out[i, 1 : pos[i]] for i in rows]).astype("<u2")
-        raw = ids[b, : sizes[b]].astype("<u4").tobytes()
-        found.append(HEAD.pack(MAGIC, sizes[b], vocabulary, lanes, zlib.crc32(raw), len(words), steps) + ends.tobytes() + words.tobytes())
-    return found
+    while (over := np.flatnonzero(out > 0xFFFF)).size:
+        flat = out.reshape(-1)
+        carry = flat[over] >> 16
+        flat[over] &= 0xFFFF
+        flat[over - 1] += carry
+    kept = np.arange(width) < pos[:, None]
+    kept[:, 0] = False
+    words = out[kept].astype("<u2")
+    return HEAD.pack(MAGIC, n, vocabulary, lanes, zlib.crc32(ids.astype("<u4").tobytes()), len(words), steps) + (pos - 1).astype("<u4").tobytes() + words.tobytes()
 
 
 def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
-    """Ids of blocks; those of equal shape are decoded side by side. A wrong checksum is an error."""
-    heads = [HEAD.unpack_from(b) for b in blocks]
-    if any(h[0] != MAGIC for h in heads):
-        raise ValueError("not a block of token ids")
-    out: list[np.ndarray | None] = [None] * len(blocks)
-    shapes: dict[tuple, list[int]] = {}
-    for k, (_, _, vocabulary, lanes, _, _, steps) in enumerate(heads):
-        shapes.setdefault((vocabulary, lanes, steps), []).append(k)
-    for shape, which in shapes.items():
-        for a in range(0, len(which), SIDE):
-            part = which[a : a + SIDE]
-            for k, ids in zip(part, _decode_alike([blocks[k] for k in part], *shape)):
-                ids = ids[: heads[k][1]]
-                if zlib.crc32(ids.astype("<u4").tobytes()) != heads[k][4]:
-                    raise ValueError(f"block {k}: checksum of the ids is wrong")
-                out[k] = ids
+    """Ids of blocks. A wrong checksum is an error."""
+    out = []
+    for k, block in enumerate(blocks):
+        magic, n, vocabulary, lanes, crc, _, steps = HEAD.unpack_from(block)
+        if magic != MAGIC:
+            raise ValueError("not a block of token ids")
+        ids = _decode(block, vocabulary, lanes, steps)[:n]
+        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+            raise ValueError(f"block {k}: checksum of the ids is wrong")
+        out.append(ids)
     return out
 
 
-def _decode_alike(blocks: list[bytes], vocabulary: int, lanes: int, steps: int) -> np.ndarray:
-    width = len(blocks) * lanes
-    sizes = np.concatenate([np.frombuffer(b, "<u4", lanes, HEAD.size) for b in blocks]).astype(np.int64)
-    words = np.concatenate([np.frombuffer(b, "<u2", offset=HEAD.size + 4 * lanes) for b in blocks] + [np.zeros(4, np.uint16)]).astype(np.uint64)
+def _decode(block: bytes, vocabulary: int, lanes: int, steps: int) -> np.ndarray:
+    sizes = np.frombuffer(block, "<u4", lanes, HEAD.size).astype(np.int64)
+    # A lane reads at most its last words beyond its end, where others begin; what it reads there decides nothing.
+    words = np.concatenate([np.frombuffer(block, "<u2", offset=HEAD.size + 4 * lanes), np.zeros(8, np.uint16)]).astype(np.uint64)
     at = np.cumsum(sizes) - sizes
-    end = at + sizes
     code = (words[at] << np.uint64(32)) | (words[at + 1] << np.uint64(16)) | words[at + 2]
-    at = at + 3
-    span = np.full(width, (1 << 48) - 1, np.uint64)
-    model = _Mixture(len(blocks), lanes, vocabulary)
-    out = np.zeros((steps, width), np.int64)
-    shift, mask32 = np.uint64(TOTAL_BITS), np.uint64((1 << 32) - 1)
+    at += 3
+    span = np.full(lanes, (1 << 48) - 1, np.uint64)
+    model = _Mixture(lanes, steps, vocabulary)
+    shift, mask32, top = np.uint64(TOTAL_BITS), np.uint64((1 << 32) - 1), np.uint64(_TOTAL - 1)
     for t in range(steps):
-        if _due(t):
-            model.refresh()
-        model.predict()
+        if _learns(t):
+            model.learn(t)
         r = span >> shift
-        ids, lo, size = model.lookup(np.minimum(code // r, np.uint64(_TOTAL - 1)).astype(np.int64))
-        code -= lo.astype(np.uint64) * r
-        span = size.astype(np.uint64) * r
+        ids, start, size = model.lookup(t, np.minimum(code // r, top).view(np.int64))
+        code -= start.view(np.uint64) * r
+        span = size.view(np.uint64) * r
         for _ in range(2):
             m = np.flatnonzero(span <= mask32)
             if not len(m):
                 break
-            code[m] = (code[m] << np.uint64(16)) | np.where(at[m] < end[m], words[np.minimum(at[m], len(words) - 1)], 0)
-            at[m] += 1
+            where = at[m]
+            code[m] = (code[m] << np.uint64(16)) | words[where]
+            at[m] = where + 1
             span[m] <<= np.uint64(16)
-        out[t] = ids
-        model.update(ids)
-    return np.ascontiguousarray(out.T).reshape(len(blocks), -1)
+        model.past[t + 2] = ids
+    return np.ascontiguousarray(model.past[2:].T).reshape(-1)
 
 
 def pack(ids: np.ndarray, vocabulary: int) -> list[bytes]:
-    """A run of ids as blocks of nearly equal size, coded side by side."""
+    """A run of ids as blocks of nearly equal size."""
     if not len(ids):
         return []
-    blocks = max(1, round(len(ids) / BLOCK))
-    size = -(-len(ids) // blocks)
-    blocks = -(-len(ids) // size)
-    padded = np.zeros(blocks * size, np.int64)
-    padded[: len(ids)] = ids
-    rows, sizes = padded.reshape(blocks, size), np.full(blocks, size)
-    sizes[-1] = len(ids) - size * (blocks - 1)
-    return [b for a in range(0, blocks, SIDE) for b in encode_blocks(rows[a : a + SIDE], vocabulary, sizes[a : a + SIDE])]
+    parts = np.array_split(ids, max(1, -(-len(ids) // BLOCK)))
+    return [b for part in parts for b in encode_blocks(part[None], vocabulary)]
+
+
+def pack_units(which: np.ndarray, sizes: np.ndarray, ids: np.ndarray, vocabulary: int) -> tuple[bytes, list[bytes]]:
+    """(the ids of all units, blocks of the sequence of units) of a run of ids, given as numbers of units, ids of each unit, and those
+    ids end to end. Without units, blocks are of the ids themselves."""
+    if len(sizes) > min(_MOST_VOCABULARY, max(64, len(which) // 2)):
+        return b"", pack(joined(which, sizes, ids), vocabulary)
+    planes = [np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in (sizes, ids)]
+    body = zstandard.compress(b"".join(planes), 3)
+    return UNITS.pack(zlib.crc32(body), len(sizes), len(ids)) + body, pack(which, len(sizes))
+
+
+def unpack_units(units: bytes, blocks: list[bytes]) -> np.ndarray:
+    """The run of ids that pack_units was given."""
+    symbols = np.concatenate([*decode_blocks(blocks), np.empty(0, np.int64)])
+    if not units:
+        return symbols.astype("<u4")
+    crc, n, total = UNITS.unpack_from(units)
+    if zlib.crc32(units[UNITS.size :]) != crc:
+        raise ValueError("checksum of the units is wrong")
+    raw = np.frombuffer(zstandard.decompress(units[UNITS.size :]), np.uint8)
+    sizes, ids = (np.ascontiguousarray(c.reshape(4, -1).T).view("<u4").ravel() for c in (raw[: 4 * n], raw[4 * n : 4 * (n + total)]))
+    return joined(symbols, sizes.astype(np.int64), ids)
+
+
+def joined(which: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Ids of a sequence of units."""
+    first, each = np.cumsum(sizes) - sizes, sizes[which]
+    upto = np.cumsum(each)
+    at = np.arange(upto[-1] if len(upto) else 0)
+    at += np.repeat(first[which] - (upto - each), each)
+    return ids[at]
 
 
 class LibraryEncoder:
@@ -347,7 +333,8 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.vocabulary_size = self.library.get_vocab_size()
         self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.units = {b"": b""}
+        #: Units met before, how many ids each has, and those ids end to end.
+        self.units, self.sizes, self.ids = pa.array([], pa.large_binary()), np.empty(0, np.int64), np.empty(0, "<u4")
         (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
 
     def encode(self, text: str | None) -> bytes:
@@ -357,6 +344,12 @@ class LibraryEncoder:
     def encode_column(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each); null texts are empty. With end_id, it closes
         each text."""
+        which, sizes, ids, per_text = self.units_of(texts, end_id)
+        total = np.concatenate(([0], np.cumsum(sizes[which])))
+        return joined(which, sizes, ids), np.diff(total[np.concatenate(([0], np.cumsum(per_text)))])
+
+    def units_of(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of the units of all texts one after another, ids of each distinct unit, those ids end to end, units of each text)."""
         data, ends = bytes_of(texts)
         edge = _borders(data)
         whole = data.tobytes()
@@ -372,52 +365,54 @@ class LibraryEncoder:
         units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
         coded = units.dictionary_encode()
         which = coded.indices.to_numpy().astype(np.int64)
-        found = self._ids(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) // 4 for x in found], np.int64)
-        table = np.frombuffer(b"".join(found), "<u4")
-        first = np.cumsum(sizes) - sizes
+        sizes, table = self._ids(coded.dictionary)
         if end_id is not None:
             # The end is one more unit, put behind the last unit of each text.
-            first, sizes, table = np.append(first, len(table)), np.append(sizes, 1), np.append(table, np.uint32(end_id))
+            sizes, table = np.append(sizes, 1), np.append(table, np.uint32(end_id))
             last = np.searchsorted(cuts, ends)
             which = np.insert(which, last, len(sizes) - 1)
             per_text = np.diff(np.concatenate(([0], last + np.arange(1, len(ends) + 1))))
         else:
             per_text = np.diff(np.concatenate(([0], np.searchsorted(cuts, ends))))
-        each = sizes[which]
-        upto = np.cumsum(each)
-        at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(first[which] - (upto - each), each)
-        marks = np.concatenate(([0], np.cumsum(per_text)))
-        total = np.concatenate(([0], upto))[marks]
-        return table[at], np.diff(total)
-
-    def _ids(self, units: list[bytes]) -> list[bytes]:
-        new = [u for u in units if u not in self.units]
-        if len(self.units) + len(new) > UNIT_MEMORY:
-            self.units = {b"": b""}
-            new = [u for u in units if u]
-        self.units.update(zip(new, self._each(new)))
-        out = [self.units[u] for u in units]
-        for unit in new:
-            if len(unit) > 64:
-                del self.units[unit]
-        return out
-
-    def _each(self, raw: list[bytes]) -> Iterator[bytes]:
-        """Ids of each unit. Units that begin with a space and have neither other white space nor an added token
-        are encoded as one text, parted by line ends, which are then matches, and ids, of their own."""
-        units = [u.decode() for u in raw]
-        plain = [not any(a in u for a in self.added) for u in raw]
-        joined = [p and len(u.split()) == 1 and u[0] == " " and not u[1:2].isspace() and not u[-1].isspace() for u, p in zip(units, plain)]
-        together = "\n".join(u for u, j in zip(units, joined) if j)
-        alone = [u for u, j in zip(units, joined) if not j]
-        flat = np.array(self.library.encode(together, add_special_tokens=False).ids, "<u4") if together else np.empty(0, "<u4")
-        cut = np.flatnonzero(flat == self.line_end)
-        ids, edges = flat.tobytes(), [0, *(4 * cut + 4).tolist(), 4 * len(flat) + 4]
-        pieces = iter([ids[a : b - 4] for a, b in zip(edges, edges[1:])])
-        others = iter(self.library.encode_batch_fast(alone, add_special_tokens=False))
-        for j in joined:
-            yield next(pieces) if j else np.array(next(others).ids, "<u4").tobytes()
+        return which, sizes, table, per_text
+
+    def _ids(self, units: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each unit, those ids end to end)."""
+        at = pc.fill_null(pc.index_in(units, value_set=self.units), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        raw = units.take(pa.array(new))
+        order, sizes, ids = self._each(raw.to_numpy(zero_copy_only=False).tolist())
+        at[new[order]] = len(self.units) + np.arange(len(new))
+        self.units = pa.concat_arrays([self.units, raw.take(pa.array(order))])
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+        sizes, ids = self.sizes[at], joined(at, self.sizes, self.ids)
+        if len(self.units) > UNIT_MEMORY or self.units.nbytes > UNIT_BYTES:
+            # Those of this batch stay, which are most of what the next one has.
+            self.units, self.sizes, self.ids = units, sizes, ids
+        return sizes, ids
+
+    def _each(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(an order of the units, in that order ids of each, those ids end to end). Units that begin with a space and have
+        neither other white space nor an added token come first: they are encoded as texts of TEXT units, parted by line ends,
+        which are then matches, and ids, of their own."""
+        units, whole = [u.decode() for u in raw], b"\n".join(raw)
+        added = [a for a in self.added if a in whole]
+        together = np.array([len(u.split()) == 1 and u[0] == " " and not u[1:2].isspace() and not u[-1].isspace() for u in units], bool)
+        if added:
+            together &= np.array([not any(a in r for a in added) for r in raw], bool)
+        order = np.argsort(~together, kind="stable")
+        n = int(together.sum())
+        sizes, parts = [np.empty(0, np.int64)], [np.empty(0, "<u4")]
+        for i in range(0, n, TEXT):
+            text = "\n".join([units[k] for k in order[i : min(i + TEXT, n)].tolist()])
+            flat = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = flat == self.line_end
+            sizes.append(np.diff(np.flatnonzero(np.concatenate(([True], ends, [True])))) - 1)
+            parts.append(flat[~ends])
+        for found in self.library.encode_batch_fast([units[k] for k in order[n:].tolist()], add_special_tokens=False):
+            parts.append(np.array(found.ids, "<u4"))
+            sizes.append(np.array([len(parts[-1])]))
+        return order, np.concatenate(sizes), np.concatenate(parts)
 
 
 def _borders(data: np.ndarray) -> np.ndarray:
@@ -447,7 +442,7 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-_ROW = "shard int, row int, ids array<long>, sizes array<long>, blocks array<binary>"
+_ROW = "shard int, row int, ids array<long>, sizes array<long>, units binary, blocks array<binary>"
 
 
 def write_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, target: str | None = None) -> DataFrame:
@@ -461,28 +456,16 @@ def write_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         from pyspark import TaskContext
 
         coder, shard, row = library_encoder(path), TaskContext.get().partitionId(), 0
-        ids, sizes, parts, held = [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            flat = np.concatenate(parts)
-            cells = [[shard], [row], [np.concatenate(ids)], [np.concatenate(sizes)], [pack(flat, coder.vocabulary_size)]]
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], ["shard", "row", "ids", "sizes", "blocks"])
-
-        for batch in batches:
-            for part in byte_slices([batch], 1):
-                found, n = coder.encode_column(part.column(1), end_id)
-                ids.append(np.array(part.column(0).to_pylist(), object))
-                sizes.append(n)
-                parts.append(found)
-                held += len(found)
-                if held >= ROW_IDS:
-                    yield flush()
-                    ids, sizes, parts, held, row = [], [], [], 0, row + 1
-        if parts:
-            yield flush()
-
-    rows = ordered.mapInArrow(run, _ROW)
+        for part in byte_slices(batches, 1):
+            which, sizes, flat, per_text = coder.units_of(part.column(1), end_id)
+            total = np.concatenate(([0], np.cumsum(sizes[which])))[np.concatenate(([0], np.cumsum(per_text)))]
+            units, blocks = pack_units(which, sizes, flat, coder.vocabulary_size)
+            cells = [[shard], [row], [part.column(0).to_pylist()], [np.diff(total)], [units], [blocks]]
+            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], ["shard", "row", "ids", "sizes", "units", "blocks"])
+            row += 1
+
+    rows = ordered.mapInArrow(with_release(run), _ROW)
     if target is None:
         return materialize(rows, "tokens")
     rows.write.parquet(target)
@@ -493,14 +476,14 @@ def read_token_table(table: DataFrame) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, from the blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, row, ids, sizes, blocks in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                flat = np.concatenate(decode_blocks(blocks)).astype("<u4")
+            for shard, row, ids, sizes, units, blocks in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                flat = unpack_units(units, blocks)
                 ends = np.cumsum(sizes)
                 crc = [zlib.crc32(flat[e - n : e].tobytes()) for e, n in zip(ends, sizes)]
                 k = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * k, pa.int32()), pa.array([row] * k, pa.int32()), pa.array(ids, pa.int64()), pa.array(ends - sizes), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], ["shard", "row", "id", "inside", "n_tokens", "ids_crc32"])
 
-    found = table.select("shard", "row", "ids", "sizes", "blocks").mapInArrow(run, "shard int, row int, id long, inside long, n_tokens long, ids_crc32 long")
+    found = table.select("shard", "row", "ids", "sizes", "units", "blocks").mapInArrow(with_release(run), "shard int, row int, id long, inside long, n_tokens long, ids_crc32 long")
     # One line for each row of about a million ids; sums over shards first, so no window sees them all.
     rows = table.select("shard", "row", F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x).alias("n"))
     shards = rows.groupBy("shard").agg(F.sum("n").alias("n"))

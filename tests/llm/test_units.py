@@ -294,6 +294,45 @@ def test_packed_runs_have_even_blocks(monkeypatch):
         assert np.array_equal(np.concatenate([*token_files.decode_blocks(blocks), np.empty(0, np.int64)]), x)
 
 
+def test_units_are_coded_in_place_of_ids():
+    """The coder has one symbol for each unit, not one for each id, and gives back the same ids."""
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(0, 6, 900)
+    ids, which = rng.integers(0, 50257, sizes.sum()), rng.integers(0, 900, 20000) ** 2 // 900
+    want = [i for k in which for i in ids[sizes[:k].sum() : sizes[: k + 1].sum()]]
+    units, blocks = token_files.pack_units(which, sizes, ids, 50257)
+    assert sum(token_files.HEAD.unpack_from(b)[1] for b in blocks) == 20000 < len(want)
+    assert token_files.unpack_units(units, blocks).tolist() == want
+    with pytest.raises(ValueError):
+        token_files.unpack_units(units[:-1] + bytes([units[-1] ^ 1]), blocks)
+    # Units that hardly recur: the ids themselves are coded.
+    units, blocks = token_files.pack_units(np.arange(900), sizes, ids, 50257)
+    assert units == b"" and token_files.unpack_units(units, blocks).tolist() == ids.tolist()
+    assert token_files.unpack_units(*token_files.pack_units(which[:0], sizes[:0], ids[:0], 50257)).tolist() == []
+
+
+def test_carries_and_skewed_symbols_round_trip():
+    for v, odds in ((2, [0.999, 0.001]), (3, [0.5, 0.5, 0]), (300, None)):
+        x = np.random.default_rng(v).choice(v, 60000, p=odds)
+        (block,) = token_files.encode_blocks(x[None], v)
+        assert np.array_equal(token_files.decode_blocks([block])[0], x)
+    with pytest.raises(ValueError):
+        token_files.encode_blocks(np.zeros((1, 2_100_000), np.int64), 300)
+
+
+def test_unit_memory_is_bounded_and_changes_no_ids(monkeypatch):
+    monkeypatch.setattr(token_files, "UNIT_MEMORY", 40)
+    monkeypatch.setattr(token_files, "TEXT", 3)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ours, library = token_files.LibraryEncoder(path), Tokenizer.from_file(path)
+    for seed in range(6):
+        some = [*texts(60, seed=seed), " one two  three <|endoftext|> two\n one", "", "\n"]
+        flat, sizes = ours.encode_column(pa.array(some))
+        want = [library.encode(t, add_special_tokens=False).ids for t in some]
+        assert flat.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+        assert len(ours.units) == len(ours.sizes) and ours.sizes.sum() == len(ours.ids)
+
+
 def test_recurrent_gradients():
     m = language_id.ByteTagger(["a", "b", "c"], hidden=3)
     for d in (m.forward, m.backward):
