@@ -168,30 +168,38 @@ class EliasFano:
 
     def bucket(self, high: np.ndarray) -> np.ndarray:
         """How many entries have high bits below each value, up to all of them."""
-        k = high - 1
-        out = np.zeros(len(high), np.int64)
-        some = high > 0
-        k = k[some]
+        k = np.maximum(high - 1, 0)
         word = np.searchsorted(self.zeros, k, "right") - 1
-        inside = k - self.zeros[word] < 64 - np.bitwise_count(self.high[word]).astype(np.int64)
-        where = np.where(inside, 64 * word + _select_in_word(~self.high[word], np.where(inside, k - self.zeros[word], 0)), 0)
-        out[some] = np.where(inside, where - k, self.n)
+        bits = ~self.high[word]
+        left = k - self.zeros[word]
+        inside = left < np.bitwise_count(bits)
+        if not inside.all():
+            left[~inside] = 0
+        out = 64 * word + _select_in_word(bits, left) - k
+        out[~inside] = self.n
+        out[high <= 0] = 0
         return np.minimum(out, self.n)
 
     def run(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The entries [a, b) that have these high bits: a run of ones behind the zero that ends the bucket before."""
         a = self.bucket(high)
         at = a + high
-        length, open_ = np.zeros(len(high), np.int64), np.arange(len(high))
         last = 64 * len(self.high)
-        open_ = open_[at < last]
+        if (at >= last).any():
+            at = np.minimum(at, last - 1)
+        # The last bits are zeros, so a run ends before them.
+        shift = at & 63
+        rest = ~(self.high[at >> 6] >> shift.astype(np.uint64))
+        length = np.minimum(np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)), 64 - shift)
+        open_ = np.flatnonzero(length == 64 - shift)
+        at += length
+        open_ = open_[at[open_] < last]
         while len(open_):
-            word, shift = at[open_] >> 6, at[open_] & 63
-            rest = ~(self.high[word] >> shift.astype(np.uint64))
-            ones = np.minimum(np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)).astype(np.int64), 64 - shift)
+            rest = ~self.high[at[open_] >> 6]
+            ones = np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)).astype(np.int64)
             length[open_] += ones
             at[open_] += ones
-            open_ = open_[(ones == 64 - shift) & (at[open_] < last)]
+            open_ = open_[(ones == 64) & (at[open_] < last)]
         return a, np.minimum(a + length, self.n)
 
     def successor(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
@@ -203,7 +211,7 @@ class EliasFano:
         h = np.minimum(x >> np.uint64(self.bits), np.uint64(64 * len(self.high))).astype(np.int64)
         a, b = self.run(h)
         if lo is not None:
-            a, b = np.clip(a, lo, hi), np.clip(b, lo, hi)
+            a, b = np.minimum(np.maximum(a, lo), hi), np.minimum(np.maximum(b, lo), hi)
         low, end = x & np.uint64((1 << self.bits) - 1), b.copy()
         open_ = np.flatnonzero(a < b)
         while len(open_):

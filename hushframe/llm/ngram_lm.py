@@ -256,9 +256,12 @@ class Trie:
             a, b = np.searchsorted(shard, [t, t + 1])
             f = self.open("triples", t)
             local = pair[a:b] - self.pair_start[t]
-            rest[a:b] = restore(f["arrays"]["rest"][local])
+            lead = np.concatenate(([True], local[1:] != local[:-1]))
+            back = np.cumsum(lead) - 1
+            local = local[lead]
+            rest[a:b] = restore(f["arrays"]["rest"][local])[back]
             some = np.flatnonzero(rank[a:b] >= 0)
-            found, _ = f["lists"].find(local[some], rank[a:b][some].astype(np.uint64))
+            found, _ = f["lists"].find(local, rank[a:b][some].astype(np.uint64), back[some])
             hit = found >= 0
             alpha[a:b][some[hit]] = restore(f["arrays"]["alpha"][found[hit]])
         return alpha, rest

@@ -245,6 +245,18 @@ def test_words_are_hashed_without_python_calls():
     assert hashes[which].tolist() == [*(xxhash.xxh64_intdigest(f"word{i}".encode()) for i in range(3000)), ngram_lm.END, ngram_lm.END]
 
 
+def test_runs_of_equal_high_bits_over_words():
+    """Runs longer than a word, empty sequences and numbers beyond the last are found as a search of the numbers finds them."""
+    rng = np.random.default_rng(4)
+    for n, top in ((0, 1), (1, 1), (90, 5), (300, 2**40), (200, 2**63 - 1)):
+        values = np.sort(np.concatenate([rng.integers(0, top, n).astype(np.uint64), np.full(200 * (n > 1), top // 2, np.uint64)]))
+        ef = EliasFano(EliasFano.build(values, "x_"), "x_")
+        sought = np.concatenate([values, rng.integers(0, top, 50).astype(np.uint64), np.array([0, 1, 2**63, 2**64 - 1], np.uint64)])
+        place = np.searchsorted(values, sought)
+        assert (ef.successor(sought) == place).all()
+        assert (ef.find(sought) == np.where(np.isin(sought, values), place, -1)).all()
+
+
 @pytest.mark.parametrize("bits", [1, 7, 32, 33, 50, 63])
 def test_low_bits_over_word_borders(bits):
     values = np.sort(np.random.default_rng(bits).integers(0, 40 << bits if bits < 58 else 2**63 - 1, 41).astype(np.uint64))
