@@ -5,7 +5,8 @@ for every prefix, the last token of that prefix's encoding. The last token of a
 that ends there, encodes to itself, and forms a valid pair with the last token of the shorter prefix it
 follows: two tokens are a valid pair if their joined bytes encode to just those two. The encoding is read
 off backwards. Appending bytes extends the table exactly; an edit recomputes it from the edit on and stops
-as soon as the new entries run along the old ones.
+as soon as the new entries run along the old ones. The tables of many short pieces grow together, a byte of
+each at a time, as array operations.
 
 A piece that is itself in the vocabulary is one token, as rank-file encoders have it, even where the merges
 alone would not reach that token.
@@ -18,8 +19,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,12 +32,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_slices, documents, with_release
+from .token_files import UnitEncoder
 
-#: Bounds of a worker's memory of units and of token pairs; a full one is emptied, results do not depend on it.
-UNIT_MEMORY = 250_000
+#: Bounds of a worker's memory of units and of token pairs; results do not depend on them.
+UNIT_MEMORY = 500_000
 PAIR_MEMORY = 500_000
+#: Bits of a place in the memory of pairs that arrays of them have.
+PAIR_BITS = 21
+#: Bytes of pieces whose tables grow together, of the longest of them, and of texts that are encoded together.
+TOGETHER, SHORT, SLICE = 64 << 10, 128, 4 << 20
 #: The rank of a merge that never happens.
 NEVER = 1 << 60
+#: What parts the pieces of a search; no byte stands as it.
+_BETWEEN = "\u0100"
 
 
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
@@ -59,11 +69,14 @@ class Vocabulary:
         self.ending = ahocorasick.Automaton()
         for token, rank in ranks.items():
             self.tokens[rank] = token
-            self.ending.add_word(token.decode("latin-1"), (rank, len(token)))
+            self.ending.add_word(token.decode("latin-1"), rank)
         self.ending.make_automaton()
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.longest = max(map(len, ranks), default=0)
         self.histories: dict[int, tuple | None] = {}
         self.pairs: dict[int, bool] = {}
+        #: Pairs with their verdict in the lowest bit, each at the place that its hash gives; a newer one takes an older one's.
+        self.verdicts = np.full(1 << PAIR_BITS, -1, np.int64)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -115,10 +128,10 @@ class Vocabulary:
         begin = len(last)
         base = max(0, begin + 1 - self.longest)
         pairs, need = self.pairs, begin
-        for end, (token, size) in self.ending.iter(piece[base:].decode("latin-1")):
+        for end, token in self.ending.iter(piece[base:].decode("latin-1")):
             end += base
             if end == need:
-                start = end + 1 - size
+                start = end + 1 - len(self.tokens[token])
                 if start:
                     key = last[start - 1] << 32 | token
                     valid = pairs.get(key)
@@ -138,6 +151,78 @@ class Vocabulary:
         rank = self.ranks.get(piece)
         return [rank] if rank is not None else PrefixTable(self, piece).ids()
 
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, those ids end to end)."""
+        get = self.ranks.get
+        ranks = np.array([get(p, -1) for p in pieces], np.int64)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        sizes = (ranks >= 0).astype(np.int64)
+        whole, short = np.flatnonzero(ranks >= 0), np.flatnonzero((ranks < 0) & (lengths > 0) & (lengths <= SHORT))
+        found = [(whole, ranks[whole])]
+        for some in np.split(short, np.flatnonzero(np.diff(np.cumsum(lengths[short]) // TOGETHER)) + 1) if len(short) else []:
+            sizes[some], ids = self._together([pieces[k] for k in some.tolist()])
+            found.append((some, ids))
+        for k in np.flatnonzero((ranks < 0) & (lengths > SHORT)).tolist():
+            ids = np.array(self.encode_piece(pieces[k]), np.int64)
+            sizes[k] = len(ids)
+            found.append((np.array([k]), ids))
+        first = np.cumsum(sizes) - sizes
+        out = np.empty(sizes.sum(), "<u4")
+        for some, ids in found:
+            each = sizes[some]
+            out[np.repeat(first[some] - (np.cumsum(each) - each), each) + np.arange(len(ids))] = ids
+        return sizes, out
+
+    def _together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """encode_pieces() of pieces that are no tokens, by their prefix tables, all of them a byte longer at each step."""
+        none = len(self.tokens)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        begins = np.cumsum(lengths + 1) - (lengths + 1)
+        text = _BETWEEN.join([p.decode("latin-1") for p in pieces])
+        flat = np.fromiter(chain.from_iterable(self.ending.iter(text)), np.int64)
+        end, token = flat[::2], flat[1::2]
+        step = end - np.repeat(begins, lengths + 1)[end]
+        order = np.argsort(step.astype(np.int16), kind="stable")
+        end, token = end[order], token[order]
+        before = end - self.sizes[token]
+        bounds = np.cumsum(np.bincount(step, minlength=lengths.max())).tolist()
+        # What stands before a piece, and behind the last one, stays without a token.
+        last = np.full(len(text) + 1, none, np.int64)
+        for a, b in zip([0, *bounds], bounds):
+            valid = self._valid(last[before[a:b]] << 32 | token[a:b])
+            last[end[a:b][valid]] = token[a:b][valid]
+        lost = last == none
+        lost[begins - 1] = False
+        if lost.any():
+            at = int(lost.argmax())
+            k = int(np.searchsorted(begins, at, "right")) - 1
+            raise ValueError(f"no token ends at byte {at - begins[k]} of {pieces[k]!r}")
+        which, at, back = np.arange(len(pieces)), begins + lengths - 1, []
+        while len(which):
+            back.append((which, last[at]))
+            at = at - self.sizes[back[-1][1]]
+            more = at >= begins[which]
+            which, at = which[more], at[more]
+        sizes = np.bincount(np.concatenate([w for w, _ in back]), minlength=len(pieces))
+        out, upto = np.empty(sizes.sum(), np.int64), np.cumsum(sizes)
+        for k, (which, ids) in enumerate(back):
+            out[upto[which] - 1 - k] = ids
+        return sizes, out
+
+    def _valid(self, keys: np.ndarray) -> np.ndarray:
+        """valid_pair() of each key, whose upper half is the left token; len(tokens) is none, and then the right one has to
+        encode to itself."""
+        at = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).view(np.int64)
+        known = self.verdicts[at]
+        new = np.flatnonzero(known >> 1 != keys)
+        if len(new):
+            fresh, where = np.unique(keys[new], return_inverse=True)
+            none, low = len(self.tokens), (1 << 32) - 1
+            said = np.array([self.valid_pair(k >> 32, k & low) if k >> 32 != none else self.history(k & low) is not None for k in fresh.tolist()], bool)
+            known[new] = keys[new] << 1 | said[where]
+            self.verdicts[at[new]] = known[new]
+        return (known & 1).astype(bool)
+
 
 class PrefixTable:
     """The last tokens of all prefixes of one piece."""
@@ -183,70 +268,58 @@ class PrefixTable:
         return [rank] if rank is not None else self.tokens()
 
 
-#: A space that is followed by text always begins a match of the splitting pattern.
-_DOUBLE = regex.compile(r" (?:\s|$)")
-
+#: Letters after a space, in ASCII, are one match; so they need no pattern.
+_WORD = re.compile(rb" ?[A-Za-z]+")
 
-class TextEncoder:
-    """Whole texts to ids as little-endian unsigned 32-bit integers, and back.
 
-    The splitting pattern puts a border before every single space that text follows, so a text is cut
-    there first and each unit's ids are remembered."""
+class TextEncoder(UnitEncoder):
+    """Whole texts to ids as little-endian unsigned 32-bit integers, and back."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
+        super().__init__(UNIT_MEMORY)
         self.vocabulary = vocabulary
         self.split = regex.compile(pattern)
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        sizes = np.array([len(t) for t in vocabulary.tokens], np.int64)
-        self.sizes, self.starts = sizes, np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        self.starts = np.concatenate(([0], np.cumsum(vocabulary.sizes)[:-1]))
         self.blob = np.frombuffer(b"".join(vocabulary.tokens), np.uint8)
 
-    def _unit(self, unit: str) -> bytes:
-        out = []
-        # Letters after a space, in ASCII, are one match; so they need no pattern.
-        for piece in (unit,) if unit[1:].isalpha() and unit[0] == " " and unit.isascii() else self.split.findall(unit):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                if len(self.pieces) >= UNIT_MEMORY:
-                    self.pieces.clear()
-                ids = np.array(self.vocabulary.encode_piece(piece.encode("utf-8", "replace")), "<u4").tobytes()
-                if len(piece) < 64:
-                    self.pieces[piece] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def cut(self, text: str) -> list[str]:
-        if _DOUBLE.search(text):
-            # Cut only at single spaces with text on both sides of the border.
-            return regex.split(r"(?<=\S)(?= \S)", text)
-        head, *rest = text.split(" ")
-        return [head, *(" " + x for x in rest)]
+    def _each(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(an order of the units, in that order ids of each, those ids end to end). Units that are one match come first."""
+        word = _WORD.fullmatch
+        one = np.array([word(u) is not None for u in raw], bool)
+        order = np.argsort(~one, kind="stable")
+        n = int(one.sum())
+        matches = [self.split.findall(raw[k].decode()) for k in order[n:].tolist()]
+        pieces = [raw[k] for k in order[:n].tolist()] + [p.encode() for p in chain.from_iterable(matches)]
+        sizes, ids = self.vocabulary.encode_pieces(pieces)
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        ends = np.cumsum([0] + [1] * n + [len(m) for m in matches])
+        return order, np.diff(upto[ends]), ids
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        units, known = self.cut(text), self.units
-        if len(known) >= UNIT_MEMORY:
-            known.clear()
-        for unit in set(units).difference(known):
-            known[unit] = self._unit(unit)
-        out = b"".join(map(known.__getitem__, units))
-        for unit in {u for u in units if len(u) > 64}:
-            del known[unit]
-        return out
+        return self.encode_column(pa.array([text.encode("utf-8", "replace")], pa.binary()))[0].tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of the ids, gathered from one table of all tokens' bytes, a bounded part at a time."""
         all_ids, out = np.frombuffer(ids, "<u4").astype(np.int64), []
         for i in range(0, len(all_ids), 1 << 18):
             part = all_ids[i : i + (1 << 18)]
-            sizes = self.sizes[part]
+            sizes = self.vocabulary.sizes[part]
             ends = np.cumsum(sizes)
             at = np.arange(ends[-1]) + np.repeat(self.starts[part] - (ends - sizes), sizes)
             out.append(self.blob[at].tobytes())
         return b"".join(out)
 
+    def both_ways(self, texts: pa.Array) -> Iterator[tuple[memoryview, memoryview]]:
+        """(ids, bytes decoded from them) of each text; null texts are empty."""
+        ids, sizes = self.encode_column(texts)
+        raw = ids.astype("<u4", copy=False).tobytes()
+        decoded = memoryview(self.decode(raw))
+        ends, upto = np.cumsum(sizes), np.concatenate(([0], np.cumsum(self.vocabulary.sizes[ids])))
+        bounds, where = [0, *(4 * ends).tolist()], [0, *upto[ends].tolist()]
+        raw = memoryview(raw)
+        for a, b, c, d in zip(bounds, bounds[1:], where, where[1:]):
+            yield raw[a:b], decoded[c:d]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> TextEncoder:
@@ -259,11 +332,9 @@ def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                ids = [coder.encode(t.as_py() or "") for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([coder.decode(x) for x in ids], pa.binary())], ["id", "ids", "decoded"])
+        for part in byte_slices(batches, "text", SLICE):
+            ids, decoded = zip(*((x.tobytes(), y.tobytes()) for x, y in coder.both_ways(part.column(1))))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, ids binary, decoded binary")
 
@@ -277,18 +348,16 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
-        for batch in batches:
-            for part in byte_slices([batch], "text"):
-                counts, a, b, c = [], [], [], []
-                for text in part.column(1):
-                    ids = coder.encode(text.as_py() or "")
-                    counts.append(len(ids) // 4)
-                    a.append(hashlib.sha256(ids).hexdigest())
-                    b.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-                    if with_ids:
-                        c.append(ids)
-                cols = [part.column(0), pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *(part.column(k) for k in range(2, part.num_columns))]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(c, pa.binary())] * with_ids, ["id", "n_tokens", "ids_sha256", "decoded_sha256", *names.values()] + ["ids"] * with_ids)
+        for part in byte_slices(batches, "text", SLICE):
+            counts, a, b, c = [], [], [], []
+            for ids, decoded in coder.both_ways(part.column(1)):
+                counts.append(len(ids) // 4)
+                a.append(hashlib.sha256(ids).hexdigest())
+                b.append(hashlib.sha256(decoded).hexdigest())
+                if with_ids:
+                    c.append(ids.tobytes())
+            cols = [part.column(0), pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *(part.column(k) for k in range(2, part.num_columns))]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(c, pa.binary())] * with_ids, ["id", "n_tokens", "ids_sha256", "decoded_sha256", *names.values()] + ["ids"] * with_ids)
 
     out = kept.mapInArrow(with_release(run), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + fields + ", ids binary" * with_ids)
     return out.withColumnsRenamed({n: c for c, n in names.items()})

@@ -321,25 +321,22 @@ def joined(which: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return ids[at]
 
 
-class LibraryEncoder:
-    """Texts to ids by the tokenizers library. Texts are cut before single spaces that have other characters on
-    both sides, where its splitting pattern always has a border. A batch of texts is cut and its units are
-    told apart in Arrow arrays; the library encodes each unit it has not met, and ids are gathered by unit."""
+class UnitEncoder:
+    """Texts to ids by units. Texts are cut where a match of the splitting pattern always begins, as before single spaces that
+    have other characters on both sides. A batch of texts is cut and its units are told apart in Arrow arrays; _each() encodes
+    the units that were not met before, and ids are gathered by unit."""
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    #: Tokens that are found in whole texts; no cut goes through one.
+    added: list[bytes] = []
 
-        self.library = Tokenizer.from_file(path)
-        self.vocabulary_size = self.library.get_vocab_size()
-        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+    def __init__(self, memory: int):
         #: Units met before, how many ids each has, and those ids end to end.
         self.units, self.sizes, self.ids = pa.array([], pa.large_binary()), np.empty(0, np.int64), np.empty(0, "<u4")
-        (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
+        self.memory = memory
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of one text, as little-endian unsigned 32-bit integers."""
-        return self.encode_column(pa.array([text], pa.string()))[0].tobytes()
+    def _each(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(an order of the units, in that order ids of each, those ids end to end)."""
+        raise NotImplementedError
 
     def encode_column(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each); null texts are empty. With end_id, it closes
@@ -386,11 +383,29 @@ class LibraryEncoder:
         self.units = pa.concat_arrays([self.units, raw.take(pa.array(order))])
         self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
         sizes, ids = self.sizes[at], joined(at, self.sizes, self.ids)
-        if len(self.units) > UNIT_MEMORY or self.units.nbytes > UNIT_BYTES:
+        if len(self.units) > self.memory or self.units.nbytes > UNIT_BYTES:
             # Those of this batch stay, which are most of what the next one has.
             self.units, self.sizes, self.ids = units, sizes, ids
         return sizes, ids
 
+
+class LibraryEncoder(UnitEncoder):
+    """Texts to ids by the tokenizers library."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        super().__init__(UNIT_MEMORY)
+        self.library = Tokenizer.from_file(path)
+        self.vocabulary_size = self.library.get_vocab_size()
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of one text, as little-endian unsigned 32-bit integers."""
+        return self.encode_column(pa.array([text], pa.string()))[0].tobytes()
+
     def _each(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(an order of the units, in that order ids of each, those ids end to end). Units that begin with a space and have
         neither other white space nor an added token come first: they are encoded as texts of TEXT units, parted by line ends,

@@ -37,6 +37,37 @@ def test_bpe_equals_library_and_decodes(vocabulary):
         assert ours.decode(ids) == t.encode()
 
 
+def test_bpe_tables_grow_together(monkeypatch):
+    """New pieces are encoded as arrays, not one by one; small memories and few bytes at a time change no ids."""
+    monkeypatch.setattr(bpe, "PAIR_BITS", 6)
+    monkeypatch.setattr(bpe, "TOGETHER", 300)
+    monkeypatch.setattr(bpe, "UNIT_MEMORY", 50)
+    vocabulary = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
+    rng = random.Random(8)
+    pieces = ["".join(rng.choice("thein aéßж中=") for _ in range(rng.choice((0, 1, 2, 5, 9, 30)))).encode() for _ in range(600)]
+    long = b"th" * bpe.SHORT
+    sizes, ids = vocabulary.encode_pieces([*pieces, long])
+    want = [[vocabulary.ranks[p]] if p in vocabulary.ranks else [vocabulary.ranks[t] for t in bpe.merge_bytes(p, vocabulary.ranks)] for p in [*pieces, long]]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert [a.tolist() for a in vocabulary.encode_pieces([])] == [[], []]
+
+    def one_by_one(*_):
+        raise AssertionError("a short piece was encoded on its own")
+
+    monkeypatch.setattr(bpe.Vocabulary, "extend", one_by_one)
+    ours = bpe.TextEncoder(vocabulary, public_tokenizers.PATTERN)
+    for seed in range(4):
+        some = [*(t for t in texts(150, seed=seed) if all(len(w) < 30 for w in t.split())), "it's\n x\x85 y\u3000z  a", "", "\n", None]
+        for t, (ids, decoded) in zip(some, ours.both_ways(pa.array(some, pa.string())), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == theirs.encode_ordinary(t or "")
+            assert bytes(decoded) == (t or "").encode()
+
+    without = bpe.Vocabulary({bytes([k]): k for k in range(255)})
+    with pytest.raises(ValueError, match="byte 1 of"):
+        without.encode_pieces([b"ab", b"a\xffb"])
+
+
 def test_prefix_tables_append_and_edit(vocabulary):
     rng = random.Random(5)
     for _ in range(150):
