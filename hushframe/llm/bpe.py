@@ -40,7 +40,7 @@ PAIR_MEMORY = 500_000
 #: Bits of a place in the memory of pairs that arrays of them have.
 PAIR_BITS = 21
 #: Bytes of pieces whose tables grow together, of the longest of them, and of texts that are encoded together.
-TOGETHER, SHORT, SLICE = 64 << 10, 128, 4 << 20
+TOGETHER, SHORT, SLICE = 64 << 10, 128, 2 << 20
 #: The rank of a merge that never happens.
 NEVER = 1 << 60
 #: What parts the pieces of a search; no byte stands as it.
